@@ -7,7 +7,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import blocks, table
+from .common import blocks, held_out, table
 
 
 def tokenizer_path() -> str:
@@ -16,6 +16,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pii_digest
+
+    return pii_digest(table(spark, sf_dir, "documents"))
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_output import token_output
 
@@ -41,17 +47,37 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "keep_bitmap").mapInArrow(digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs.withColumn("held_out", held_out("doc_id", 3, 1)), train(docs), ("doc_id", "held_out"))
+
+
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80).drop("row")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .gru_lm import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    out = quality(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ppl")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op4_token_output, op5_line_dedup, op7_near_dup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_pii, op4_token_output, op5_line_dedup, op6_language_id, op7_near_dup, op8_lm_scoring, op9_quality, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}
