@@ -151,7 +151,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int) ->
 
     def task(batches):
         chunk, seen, enc = TaskContext.get().partitionId(), {}, encoder(tokenizer_path)
-        for b in blocks(batches):
+        for b in blocks(batches, 8 << 20):
             rows = []
             for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
                 ids += end
@@ -185,6 +185,6 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
             s, o = place_of(table, length, rank)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(s), pa.array(o)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    ranked = found.join(before, ["length", "chunk"])
+    ranked = found.join(before.hint("merge"), ["length", "chunk"])
     placed = ranked.mapInArrow(settle, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return placed.withColumn("doc_id", id_or_none())
