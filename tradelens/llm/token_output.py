@@ -32,11 +32,18 @@ _WIDTHS = np.array([[(c >> 2 * j & 3) + 1 for j in range(4)] for c in range(256)
 
 def encode_block(ids: np.ndarray) -> bytes:
     """A block of ids (unsigned 32-bit); no ids make an empty block."""
-    used, inverse, counts = np.unique(ids.astype("<u4"), return_inverse=True, return_counts=True)
+    ids = ids.astype("<u4")
+    if len(ids) and int(ids.max()) < 1 << 22:  # a vocabulary: count by direct address
+        every = np.bincount(ids)
+        used = np.flatnonzero(every).astype("<u4")
+        counts, at = every[used], ids
+    else:
+        used, at, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        every = used
     order = np.lexsort((used, -counts))
-    rank = np.empty(len(used), np.uint32)
-    rank[order] = np.arange(len(used), dtype=np.uint32)
-    ranks = rank[inverse]
+    rank = np.empty(len(every), np.uint32)
+    rank[used[order] if at is ids else order] = np.arange(len(used), dtype=np.uint32)
+    ranks = rank[at]
     extra = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     padded = np.zeros(-(-len(ids) // 4) * 4, np.uint8)
     padded[: len(ids)] = extra
