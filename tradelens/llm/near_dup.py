@@ -7,8 +7,9 @@
 3. A bucket's smallest node is linked to the others as a star, so candidates grow with the rows, not their square.
 4. A candidate passes a screen of set sizes and of one byte a bin (eight standard deviations wide; sets of up to 64
    shingles pass anyhow), then its full sets are compared.
-5. Where a bucket still holds several components, every pair across components is screened in blocks of at most 512
-   by 512 nodes, whatever the bucket's size, and confirmed the same way. No cap drops a candidate.
+5. Where a bucket of more than two still holds several components, every pair across components is compared in blocks
+   of about 512 by 512 nodes, whatever the bucket's size (by whole sets of up to 512 shingles, else by the bytes), and
+   what passes is confirmed on full sets. No cap drops a candidate.
 6. Components: smallest label by joins with pointer jumping, a written table each round.
 """
 
@@ -32,6 +33,8 @@ _BAND = _RNG.integers(0, 2**63, BANDS, np.uint64)
 #: Bytes of 256 that must agree: eight standard deviations below what similarity 0.8 gives.
 SCREEN, SMALL = int(256 * 0.8 - 8 * (256 * 0.8 * 0.2) ** 0.5), 64
 BLOCK = 512
+#: Shingles up to which a digest holds the whole set.
+FEW = 512
 _hashes = WordHash()
 
 
@@ -129,51 +132,92 @@ def confirmed(edges: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return edges.join(t("b", 2), "b").join(t("a", 1), "a").select("a", "b", "t1", "t2").mapInArrow(task, "a long, b long")
 
 
-def across(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Screened pairs of different components in one bucket; members: bucket, nid, c of buckets with several."""
+def digests(texts: DataFrame, width: int) -> DataFrame:
+    """nid, n, few (up to FEW shingles: all of them, in four bytes each), bytes (else one byte a bin)."""
+
+    def task(batches):
+        for b in blocks(batches):
+            cols = [[], [], []]
+            for text in b.column(1).to_pylist():
+                s = shingles(text, width)
+                cols[0].append(len(s))
+                cols[1].append(np.unique(s.astype(np.uint32)).tobytes() if len(s) <= FEW else b"")
+                cols[2].append((mix64(minima(s)) & np.uint64(255)).astype(np.uint8).tobytes() if 100 * len(s) > 50 * FEW else bytes(BINS))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["nid", "n", "few", "bytes"])
+
+    return texts.select("nid", "text").mapInArrow(task, "nid long, n long, few binary, bytes binary")
+
+
+def block_pairs(rows: list[tuple], same: bool, percent: int) -> list[tuple[int, int]]:
+    """Pairs of rows (n, c, nid, i, few, bytes) of different components that may be similar.
+
+    For sets of up to FEW shingles the comparison is that of the sets, so a pair that connects two components makes
+    further pairs between these superfluous.
+    """
+    n, c, nid, i = (np.array([r[k] for r in rows]) for k in range(4))
+    byte = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(-1, BINS)
+    sets = [np.frombuffer(r[4], np.uint32) for r in rows]
+    size = np.array([len(s) for s in sets])
+    flat = np.unique(np.concatenate([*sets, [0]]), return_inverse=True)[1][:-1]
+    ends = np.cumsum(size)
+    mark = np.zeros(len(flat) + 1, np.int32)
+    comp = np.unique(c, return_inverse=True)[1]
+    got = []
+    for x in range(len(rows)):
+        ok = (comp != comp[x]) & (nid > nid[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
+        if not same:
+            ok &= i != i[x]
+        if not ok.any():
+            continue
+        small = ok & (size > 0) & (size[x] > 0)
+        if small.any():
+            own = flat[ends[x] - size[x] : ends[x]]
+            mark[own] = 1
+            total = np.append(0, np.cumsum(mark[flat]))
+            mark[own] = 0
+            both = total[ends] - total[ends - size]
+            for y in np.flatnonzero(small & (100 * both >= percent * (n + n[x] - both))).tolist():
+                if comp[y] != comp[x]:
+                    got.append((int(nid[x]), int(nid[y])))
+                    comp[comp == comp[y]] = comp[x]
+        large = np.flatnonzero(ok & ~((size > 0) & (size[x] > 0)) & (comp != comp[x]))
+        if len(large):
+            got += [(int(nid[x]), y) for y in nid[large[(byte[large] == byte[x]).sum(1) >= SCREEN]].tolist()]
+    return got
+
+
+def across(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs of different components in one bucket that may be similar; members: bucket, nid, c."""
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
     dealt = members.join(saved(sizes, "bucket-sizes"), "bucket").withColumn("k", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("i", F.pmod(F.xxhash64("nid"), F.col("k")).cast("int"))
     # A member of block i meets every block j, once as the row and once as the column of a pair of blocks (i <= j).
     spread = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("bucket", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "nid", "c")
-    full = spread.join(nodes.select("nid", "n", "bytes"), "nid").repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
+    need = members.select("nid").distinct()
+    known = saved(digests(texts.join(need, "nid"), width), "digests")
+    full = spread.join(known, "nid").repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
 
     def task(batches):
-        own, held = None, []
-
-        def pairs():
-            n, c, nid, i = (np.array([r[k] for r in held]) for k in range(4))
-            byte = np.frombuffer(b"".join(r[4] for r in held), np.uint8).reshape(-1, BINS)
-            got = []
-            for x in range(len(held)):
-                ok = (c != c[x]) & (nid > nid[x])
-                if own[1] != own[2]:
-                    ok &= i != i[x]
-                at = np.flatnonzero(ok)
-                if len(at):
-                    at = at[_alike(n[at], n[x], byte[at], byte[x], percent)]
-                    got += [(int(nid[x]), y) for y in nid[at].tolist()]
-            return got
-
-        def out(got):
+        own, held, got = None, [], []
+
+        def out():
             return pa.RecordBatch.from_pydict({"a": [x for x, _ in got], "b": [y for _, y in got]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-        got = []
         for b in batches:
-            cols = [b.column(k).to_pylist() for k in ("bucket", "p", "q", "n", "c", "nid", "i", "bytes")]
+            cols = [b.column(k).to_pylist() for k in ("bucket", "p", "q", "n", "c", "nid", "i", "few", "bytes")]
             for row in zip(*cols, strict=True):
                 if row[:3] != own:
                     if len(held) > 1:
-                        got += pairs()
+                        got += block_pairs(held, own[1] == own[2], percent)
                     own, held = row[:3], []
                     if len(got) > 10_000:
-                        yield out(got)
+                        yield out()
                         got = []
                 held.append(row[3:])
         if len(held) > 1:
-            got += pairs()
-        yield out(got)
+            got += block_pairs(held, own[1] == own[2], percent)
+        yield out()
 
-    return full.select("bucket", "p", "q", "n", "c", "nid", "i", "bytes").mapInArrow(task, "a long, b long").distinct()
+    return full.select("bucket", "p", "q", "n", "c", "nid", "i", "few", "bytes").mapInArrow(task, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -221,10 +265,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     comp = components(links)
     known = members.join(comp, "nid", "left").select("bucket", "nid", F.coalesce("c", "nid").alias("c"))
     known = saved(known, "bucket-components")
-    split = known.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
+    split = known.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2").select("bucket")
     split = saved(split, "split-buckets")
     if not split.isEmpty():
-        rest = saved(across(known.join(split, "bucket"), nodes, percent), "across")
+        rest = saved(across(saved(known.join(split, "bucket"), "split-members"), texts, width, percent), "across")
         more = saved(confirmed(rest, texts, width, percent), "confirmed")
         if not more.isEmpty():
             comp = components(links.unionAll(more))
