@@ -6,6 +6,7 @@ import hashlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import blocks, held_out, table
 
@@ -22,6 +23,20 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hnsw import neighbours
+
+    return neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .sentencepieces import encode_decode
+
+    return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_output import token_output
 
@@ -79,5 +94,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op4_token_output, op5_line_dedup, op6_language_id, op7_near_dup, op8_lm_scoring, op9_quality, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_nearest, op3_sentencepiece, op4_token_output, op5_line_dedup, op6_language_id, op7_near_dup, op8_lm_scoring, op9_quality, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}
