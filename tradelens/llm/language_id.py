@@ -233,7 +233,11 @@ def train(docs: DataFrame, train_docs: int = 2000, train_chars: int = 8000, fold
     some = docs.where("lang is not null and text is not null").where(F.length("text") <= train_chars)
     if skip is not None:
         some = some.where(F.crc32(ids) % fold != skip)
-    rows = some.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("h")).orderBy("h", "lang").limit(train_docs).collect()
+    some = some.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text").alias("h"))
+    # Hashes first: eight bytes a row for train_docs rows a task reach the driver, then only the chosen texts.
+    last = some.select("h").orderBy("h").limit(train_docs).agg(F.max("h")).first()[0]
+    rows = [] if last is None else some.where(F.col("h") <= last).limit(train_docs).collect()
+    rows.sort(key=lambda r: (r.h, r.text, r.lang))
     return fit([r.text for r in rows], [r.lang for r in rows])
 
 
