@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +61,22 @@ def blocks(batches: Iterable[pa.RecordBatch], most: int = 4 << 20) -> Iterator[p
             yield batch.slice(i, step)
 
 
+_FOLD = bytes(32 if 9 <= c <= 13 else _LOWER[c] for c in range(256))
+
+
+def coded_words(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """words() of many texts at once: the different words, each word's number among them, and each text's first word
+    (with the end of the last)."""
+    raw = [t.encode("utf-8", "surrogatepass").translate(_FOLD) if t else b"" for t in texts]
+    split = pc.split_pattern(pa.array(raw, pa.large_binary()), b" ")
+    coded = split.values.dictionary_encode()
+    at, offsets, own = coded.indices.to_numpy(), split.offsets.to_numpy(), coded.dictionary.to_pylist()
+    if b"" in own:  # more than one space at a place
+        keep = at != own.index(b"")
+        at, offsets = at[keep], np.append(0, np.cumsum(keep))[offsets]
+    return own, at, offsets
+
+
 def words(text: str | None) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ in UTF-8, A-Z lower-cased."""
     return text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []

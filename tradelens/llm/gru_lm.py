@@ -21,17 +21,16 @@ document meet their counts in a join, whatever their number.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, blocks, bounded_batches, held_out, id_or_none, saved, text_key, words
+from .common import NO_ID, blocks, bounded_batches, coded_words, held_out, id_or_none, saved, text_key
 
-TAILS = 32
-LANES, WINDOW = 256, 16
+TAILS = 16
+LANES, WINDOW = 384, 16
 #: Tokens read side by side: bounds a task's memory, and lets short documents fill the lanes beside long ones.
 CHUNK = 3_000_000
 PART = 4096
@@ -205,31 +204,29 @@ def streams(docs: list[np.ndarray], end: int):
     return x, y, fresh, doc
 
 
-class Vocabulary(dict):
-    """Word bytes to row: known words by frequency, then one row for each tail class of the words beyond, then the end.
+class Vocabulary:
+    """Rows of words: known words by frequency, then one row for each tail class of the words beyond, then the end.
 
     symbols maps rows to the model's symbols.
     """
 
-    def __init__(self, known: list[bytes], head: int, limit: int = 300_000):
-        super().__init__(zip(known, range(len(known)), strict=True))
-        self.known, self.limit, self.end = known, limit, len(known) + TAILS
+    def __init__(self, known: list[bytes], head: int):
+        self.known, self.end = dict(zip(known, range(len(known)), strict=True)), len(known) + TAILS
         k = min(head, len(known))
         tails = [k + 1 + tail_class(w) for w in known[k:]]
         self.symbols = np.array([*range(k), *tails, *range(k + 1, k + 1 + TAILS), k], np.int32)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > self.limit:
-            self.clear()
-            self.update(zip(self.known, range(len(self.known)), strict=True))
-        s = self[word] = len(self.known) + tail_class(word)
-        return s
-
-    def of(self, ws: list[bytes]) -> np.ndarray:
-        out = np.empty(len(ws) + 1, np.int32)
-        out[:-1] = np.fromiter(map(self.__getitem__, ws), np.int32, len(ws))
-        out[-1] = self.end
-        return out
+    def rows(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Each text's rows, the end included."""
+        own, at, offsets = coded_words(texts)
+        n = len(self.known)
+        of = np.array([i if (i := self.known.get(w)) is not None else n + tail_class(w) for w in own] or [0], np.int32)
+        ends = offsets[1:] + np.arange(len(texts))
+        out = np.empty(len(at) + len(texts), np.int32)
+        inner = np.ones(len(out), bool)
+        inner[ends] = False
+        out[inner], out[ends] = of[at], self.end
+        return np.split(out, ends[:-1] + 1) if len(texts) else []
 
 
 def train_on(model: Gru, docs: list[np.ndarray], rate: float) -> None:
@@ -260,16 +257,19 @@ def count_words(src: DataFrame) -> DataFrame:
     """w, c of every word of src (text); a task holds at most about 300,000 words at a time."""
 
     def task(batches):
-        total: Counter = Counter()
+        total: dict[bytes, int] = {}
 
         def rows():
             got = pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["w", "c"])
             total.clear()
             return got
 
-        for b in blocks(batches):
-            for t in b.column(0).to_pylist():
-                total.update(words(t))
+        for b in blocks(batches, 8 << 20):
+            own, at, _ = coded_words(b.column(0).to_pylist())
+            get = total.get
+            for w, n in zip(own, np.bincount(at, minlength=len(own)).tolist(), strict=True):
+                if n:
+                    total[w] = get(w, 0) + n
             if len(total) > 300_000:
                 yield rows()
         yield rows()
@@ -277,6 +277,22 @@ def count_words(src: DataFrame) -> DataFrame:
     return src.mapInArrow(task, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
+def most_frequent(vocab: DataFrame, most: int) -> DataFrame:
+    """The words above a count, as many as `most` allows; words of (almost) one count all are in or all out.
+
+    Counts are cut to 16 steps a doubling, so the driver sees a thousand rows at most, and then the words alone.
+    """
+    step = F.floor(F.log2("c") * 16)
+    seen = {r.s: r.n for r in vocab.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    least, total = None, 0
+    for s in sorted(seen, reverse=True):
+        total += seen[s]
+        if total > most:
+            break
+        least = s
+    return vocab.where(F.lit(False) if least is None else step >= least).select("w", "c")
+
+
 def train(src: DataFrame, start: Gru, known: list[bytes], head: int, rate: float) -> Gru:
     """One pass over src (text) by tasks, each from the same start; the mean of their weights by tokens."""
     names = sorted(start.w)
@@ -286,10 +302,10 @@ def train(src: DataFrame, start: Gru, known: list[bytes], head: int, rate: float
         import copy
 
         model, table, tokens, held, n = copy.deepcopy(start), Vocabulary(known, head), 0, [], 0
-        for b in blocks(batches):
-            for t in b.column(0).to_pylist():
-                held.append(table.symbols[table.of(words(t))])
-                n += len(held[-1])
+        for b in blocks(batches, 8 << 20):
+            for r in table.rows(b.column(0).to_pylist()):
+                held.append(table.symbols[r])
+                n += len(r)
             if n > CHUNK:
                 train_on(model, held, rate)
                 tokens, held, n = tokens + n, [], 0
@@ -319,7 +335,7 @@ def train(src: DataFrame, start: Gru, known: list[bytes], head: int, rate: float
     return start
 
 
-def score(docs: DataFrame, head: int = 4096, known: int = 131_072, width: int = 64, state: int = 16, rate: float = 0.1, fold: int = 10) -> DataFrame:
+def score(docs: DataFrame, head: int = 2048, known: int = 131_072, width: int = 64, state: int = 16, rate: float = 0.1, fold: int = 10) -> DataFrame:
     """One row a document: held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Null texts are empty (the end token alone); a null doc_id counts as the empty text in the fold and comes back null;
@@ -332,7 +348,7 @@ def score(docs: DataFrame, head: int = 4096, known: int = 131_072, width: int =
     n_docs = training.select(F.lit(1).alias("x")).count()
     vocab = saved(count_words(training), "vocabulary")
     tail = F.crc32(F.expr("substring(w, -2, 2)")) % TAILS
-    top = vocab.orderBy(F.desc("c"), "w").limit(known).collect()
+    top = sorted(most_frequent(vocab, known).collect(), key=lambda r: (-r.c, r.w))
     sums = vocab.groupBy(tail.cast("int").alias("k")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()
     tail_n, tail_v = np.zeros(TAILS), np.zeros(TAILS)
     for r in sums:
@@ -362,12 +378,12 @@ def score(docs: DataFrame, head: int = 4096, known: int = 131_072, width: int =
                 held.clear()
             return pa.RecordBatch.from_arrays(got, names=names)
 
-        for b in blocks(batches):
+        for b in blocks(batches, 8 << 20):
+            texts = b.column(1).to_pylist()
             ids += b.column(0).to_pylist()
-            for t in b.column(1).to_pylist():
-                keys.append(text_key(t))
-                rows.append(table.of(words(t)))
-                n += len(rows[-1])
+            keys += map(text_key, texts)
+            rows += table.rows(texts)
+            n += sum(map(len, rows[-len(texts) :]))
             if n > CHUNK:
                 yield scored()
                 n = 0
@@ -376,17 +392,17 @@ def score(docs: DataFrame, head: int = 4096, known: int = 131_072, width: int =
 
     def rare(batches):
         common = set(names_known)
-        for b in blocks(batches):
-            rows, ws, ns, firsts = [], [], [], []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = Counter([w for w in words(text) if w not in common])
-                if own:
-                    rows += [(doc_id, text_key(text))] * len(own)
-                    ws += own
-                    ns += own.values()
-                    firsts += [1] + [0] * (len(own) - 1)
-            ids = np.array(rows, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(ws, pa.binary()), pa.array(ns, pa.int64()), pa.array(firsts, pa.int64())], names=["doc_id", "row", "w", "n", "first"])
+        for b in blocks(batches, 8 << 20):
+            texts = b.column(1).to_pylist()
+            own, at, offsets = coded_words(texts)
+            is_rare = np.array([w not in common for w in own] or [False])
+            doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
+            some = is_rare[at]
+            key, n = np.unique(doc[some] * len(own) + at[some], return_counts=True)
+            doc, word = key // max(1, len(own)), key % max(1, len(own))
+            first = np.diff(doc, prepend=-1) > 0
+            ids, keys = b.column(0).to_numpy(), np.array([text_key(t) for t in texts], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(keys[doc]), pa.array(own, pa.binary()).take(pa.array(word)), pa.array(n), pa.array(first.astype(np.int64))], names=["doc_id", "row", "w", "n", "first"])
 
     main = src.select("doc_id", "text").mapInArrow(task, "doc_id long, row long, n_tokens long, n_known long, base double, model double")
     pairs = src.select("doc_id", "text").mapInArrow(rare, "doc_id long, row long, w binary, n long, first long")
