@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tradelens.llm import language_id, line_dedup, near_dup, packing, pii
-from tradelens.llm.common import NO_ID, saved, table, text_key
+from tradelens.llm.common import NO_ID, row_key, saved, table
 from tradelens.llm.queries import tokenizer_path
 
 #: Words whose languages' mean marginal stays below this are a mixture that no language claims.
@@ -44,11 +44,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = near_dup.near_duplicates(docs, width=5, percent=80)
     keep = saved(found.where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("row").alias("_row"), F.coalesce("component_id", F.lit(NO_ID)).alias("_c")).distinct(), "kept")
 
-    @F.pandas_udf("long")
-    def key(text):
-        return text.map(text_key)
-
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_row", key(F.col("text").cast("string")))
+    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_row", row_key())
     joined = keyed.join(keep.drop("_c"), ["_id", "_row"])
     # Rows may repeat the smallest id; of them the first by text stays.
     first = Window.partitionBy("_id").orderBy("_row")

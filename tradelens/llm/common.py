@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -45,8 +46,8 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 16 MB, so that very long texts don't multiply by the row limit."""
-    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "4000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))):
+    """Arrow batches of at most 8 MB, so that very long texts don't multiply by the row limit."""
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))):
         spark.conf.set(key, value)
 
 
@@ -59,6 +60,7 @@ def blocks(batches: Iterable[pa.RecordBatch], most: int = 4 << 20) -> Iterator[p
         step = -(-batch.num_rows // n)
         for i in range(0, batch.num_rows, step):
             yield batch.slice(i, step)
+    release()
 
 
 _FOLD = bytes(32 if 9 <= c <= 13 else _LOWER[c] for c in range(256))
@@ -77,6 +79,15 @@ def coded_words(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.nd
     return own, at, offsets
 
 
+def release() -> None:
+    """Gives memory that a task has freed back to the system; Python workers outlive tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def words(text: str | None) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ in UTF-8, A-Z lower-cased."""
     return text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
@@ -109,8 +120,16 @@ class WordHash(dict):
 
 
 def text_key(text: str | None) -> int:
-    """A signed 64-bit key that tells apart rows that repeat a doc_id."""
-    return xxhash.xxh3_64_intdigest(b"" if text is None else text.encode("utf-8", "surrogatepass")) - 2**63
+    """A signed 64-bit key that tells apart rows that repeat a doc_id; the same as Spark's xxhash64 (see row_key)."""
+    if text is None:
+        return 42
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def row_key(col: str = "text"):
+    """text_key() as a column."""
+    return F.xxhash64(F.col(col).cast("string"))
 
 
 def id_or_none(col: str = "doc_id"):

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, NO_ID, blocks, bounded_batches, id_or_none, saved, text_key
+from .common import _LOWER, NO_ID, blocks, bounded_batches, id_or_none, saved, row_key, text_key
 
 _WHITE = " \t\n\x0b\x0c\r"
 _LINES = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("down", pa.int64()), ("row", pa.int64()), ("at", pa.binary())])
@@ -187,10 +187,6 @@ def with_bitmaps(docs: DataFrame, least: int = 40, least_docs: int = 5) -> DataF
     """docs with the column `keep_bitmap` (null: all lines stay)."""
     maps = keep_bitmaps(docs, least, least_docs).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("bitmap").alias("keep_bitmap"))
 
-    @F.pandas_udf("long")
-    def key(text):
-        return text.map(text_key)
-
     # Documents that lose lines are few rows of (id, key, bitmap); texts meet them in one equi-join.
-    keyed = docs.withColumn("_id0", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_row0", key(F.col("text").cast("string")))
+    keyed = docs.withColumn("_id0", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_row0", row_key())
     return keyed.join(maps, (F.col("_id0") == F.col("_id")) & (F.col("_row0") == F.col("_row")), "left").drop("_id", "_row", "_id0", "_row0")

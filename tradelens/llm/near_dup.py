@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, WordHash, blocks, bounded_batches, id_or_none, mix64, saved, text_key, words
+from .common import NO_ID, WordHash, blocks, bounded_batches, id_or_none, mix64, saved, row_key, text_key, words
 
 BINS, BANDS, ROWS = 256, 42, 6
 _RNG = np.random.default_rng(20240607)
@@ -256,11 +256,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     plain = saved(screened(edges, nodes, percent), "screened").distinct()
     need = members.select("nid").distinct().join(nodes.select("nid", "doc_id", "row"), "nid")
 
-    @F.pandas_udf("long")
-    def key(text):
-        return text.map(text_key)
-
-    texts = saved(src.withColumn("row", key("text")).join(need, ["doc_id", "row"]).select("nid", "text").dropDuplicates(["nid"]), "texts")
+    texts = saved(src.withColumn("row", row_key()).join(need, ["doc_id", "row"]).select("nid", "text").dropDuplicates(["nid"]), "texts")
     links = saved(confirmed(plain, texts, width, percent), "confirmed")
     comp = components(links)
     known = members.join(comp, "nid", "left").select("bucket", "nid", F.coalesce("c", "nid").alias("c"))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, NO_ID, blocks, bounded_batches, id_or_none, saved, text_key
+from .common import _LOWER, NO_ID, blocks, bounded_batches, id_or_none, saved, row_key, text_key
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -257,10 +257,6 @@ def redact(text: str | None, spans: list[tuple[int, int, int]], terms: list[tupl
 def sanitised(docs: DataFrame, remove_at: float = 0.95, **options) -> DataFrame:
     """docs with personal data and revealing terms replaced in `text`; rows and other columns stay."""
 
-    @F.pandas_udf("long")
-    def key(text):
-        return text.map(text_key)
-
     plan = find_pii(docs, **options).where("size(spans) > 0").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "spans", "terms").dropDuplicates(["_id", "_row"])
 
     @F.pandas_udf("string")
@@ -275,6 +271,6 @@ def sanitised(docs: DataFrame, remove_at: float = 0.95, **options) -> DataFrame:
 
         return pd.Series(out, dtype=object)
 
-    keyed = docs.withColumn("_id0", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_row0", key(F.col("text").cast("string")))
+    keyed = docs.withColumn("_id0", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_row0", row_key())
     joined = keyed.join(saved(plan, "pii-plan").withColumnsRenamed({"spans": "_spans", "terms": "_terms"}), (F.col("_id0") == F.col("_id")) & (F.col("_row0") == F.col("_row")), "left")
     return joined.withColumn("text", clean(F.col("text").cast("string"), "_spans", "_terms")).select(*docs.columns)
