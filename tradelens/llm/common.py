@@ -107,7 +107,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHash(dict):
     """Word bytes to a 64-bit hash; forgets all when full."""
 
-    limit = 400_000
+    limit = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:

@@ -34,6 +34,8 @@ LANES, WINDOW = 384, 16
 #: Tokens read side by side: bounds a task's memory, and lets short documents fill the lanes beside long ones.
 CHUNK = 3_000_000
 PART = 4096
+#: No logit is above it.
+TOP = np.float32(60)
 
 
 def tail_class(word: bytes) -> int:
@@ -56,7 +58,7 @@ class Gru:
         grid = counts.reshape(self.inner, width)
         mass = np.concatenate([grid.sum(1), [end + 0.1], tails + 0.1])
         with np.errstate(divide="ignore"):
-            inner_bias = np.where(grid > 0, np.log(np.maximum(grid, 1e-9)), -1e4)
+            inner_bias = np.where(grid > 0, np.log(np.maximum(grid, 1e-9) / np.maximum(grid.sum(1, keepdims=True), 1e-9)), -1e4)
         self.w = {
             "emb": (rng.normal(size=(symbols, n)) * 0.3).astype(np.float32),
             "wx": make(n, 3 * n),
@@ -73,29 +75,38 @@ class Gru:
         return np.where(sym < self.v, sym // self.width, sym - self.v + self.inner).astype(np.int32)
 
     def window(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray):
-        """States before each symbol of x (T, lanes) is read, given the one read before; fresh resets a lane's state."""
+        """States (T, lanes, state) after each symbol of x (T, lanes); fresh resets a lane. h and what is kept for
+        learning lie as (state, lanes), so that gates are contiguous."""
         n, w = self.state, self.w
-        out, cache = [], []
-        ax = w["emb"][x] @ w["wx"] + w["b"]
+        wh = np.ascontiguousarray(w["wh"].T)
+        ax = np.ascontiguousarray((w["emb"][x] @ w["wx"] + w["b"]).transpose(0, 2, 1))
+        out, cache = np.empty((len(x), n, x.shape[1]), np.float32), []
         for t in range(len(x)):
-            h = h * ~fresh[t][:, None]
-            g = h @ w["wh"]
-            zr = 1 / (1 + np.exp(-(ax[t, :, : 2 * n] + g[:, : 2 * n])))
-            z, r = zr[:, :n], zr[:, n:]
-            c = np.tanh(ax[t, :, 2 * n :] + r * g[:, 2 * n :])
-            new = h + z * (c - h)
-            cache.append((h, z, r, c, g[:, 2 * n :]))
-            out.append(new)
-            h = new
-        return np.stack(out), cache
+            if fresh[t].any():
+                h = h.copy()
+                h[:, fresh[t]] = 0
+            g = wh @ h
+            zr = ax[t, : 2 * n] + g[: 2 * n]
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            z, r = zr[:n], zr[n:]
+            c = r * g[2 * n :]
+            c += ax[t, 2 * n :]
+            np.tanh(c, out=c)
+            cache.append((h, z, r, c, g[2 * n :]))
+            h = np.subtract(c, h, out=out[t]) * z + h
+            out[t] = h
+        return out.transpose(0, 2, 1), cache, h
 
     def outputs(self, states: np.ndarray, sym: np.ndarray, learn: bool):
         """Log-probability of each symbol (tail symbols: of their class); gradients if asked for."""
         w = self.w
         logits = states @ w["out"] + w["ob"]
-        logits -= logits.max(1, keepdims=True)
+        np.minimum(logits, TOP, out=logits)  # keeps exp finite without the maxima
         p = np.exp(logits)
-        z = p.sum(1, keepdims=True)
+        z = (p @ np.ones(p.shape[1], np.float32))[:, None]
         cls = self.classes_of(sym)
         rows = np.arange(len(sym))
         logp = (logits[rows, cls] - np.log(z[:, 0])).astype(np.float64)
@@ -103,55 +114,69 @@ class Gru:
         if learn:
             p /= z
             p[rows, cls] -= 1
-            grads["out"], grads["ob"] = states.T @ p, p.sum(0)
+            grads["out"], grads["ob"] = states.T @ p, np.ones(len(p), np.float32) @ p
             dh = p @ w["out"].T
             grads["in"], grads["ib"] = np.zeros_like(w["in"]), np.zeros_like(w["ib"])
         head = np.flatnonzero(sym < self.v)
         if len(head):
             order = head[np.argsort(cls[head], kind="stable")]
-            own = cls[order]
+            own, s = cls[order], states[order]
             cuts = np.flatnonzero(np.diff(own, prepend=-1)).tolist() + [len(own)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                k, at = own[a], order[a:b]
-                s = states[at]
-                q = s @ w["in"][k] + w["ib"][k]
-                q -= q.max(1, keepdims=True)
-                e = np.exp(q)
-                ez = e.sum(1, keepdims=True)
-                pick = sym[at] - k * self.width
-                r = np.arange(b - a)
-                logp[at] += q[r, pick] - np.log(ez[:, 0])
-                if learn:
-                    e /= ez
-                    e[r, pick] -= 1
-                    grads["in"][k], grads["ib"][k] = s.T @ e, e.sum(0)
-                    dh[at] += e @ w["in"][k].T
+            parts = [(int(own[a]), a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
+            q = np.empty((len(order), self.width), np.float32)
+            for k, a, b in parts:
+                np.matmul(s[a:b], w["in"][k], out=q[a:b])
+            q += w["ib"][own]
+            np.minimum(q, TOP, out=q)
+            pick, r = sym[order] - own * self.width, np.arange(len(order))
+            top = q[r, pick]
+            np.exp(q, out=q)
+            ez = (q @ np.ones(self.width, np.float32))[:, None]
+            logp[order] += top - np.log(ez[:, 0])
+            if learn:
+                q /= ez
+                q[r, pick] -= 1
+                back = np.empty_like(s)
+                for k, a, b in parts:
+                    grads["in"][k], grads["ib"][k] = s[a:b].T @ q[a:b], np.ones(b - a, np.float32) @ q[a:b]
+                    np.matmul(q[a:b], w["in"][k].T, out=back[a:b])
+                dh[order] += back
         return logp, grads, dh
 
     def learn(self, x, y, fresh, mask, h, rate):
         """A step of truncated backpropagation over one window; returns the state to carry on."""
         n, w = self.state, self.w
-        states, cache = self.window(x, fresh, h)
+        states, cache, h = self.window(x, fresh, h)
         t_n, lanes, _ = states.shape
         flat = np.flatnonzero(mask.reshape(-1))
         _, grads, dflat = self.outputs(states.reshape(-1, n)[flat], y.reshape(-1)[flat], True)
         dh_all = np.zeros((t_n * lanes, n), np.float32)
         dh_all[flat] = dflat
-        dh_all = dh_all.reshape(t_n, lanes, n)
-        dh, dax = np.zeros((lanes, n), np.float32), np.empty((t_n, lanes, 3 * n), np.float32)
-        gwh = np.zeros_like(w["wh"])
+        dh_all = np.ascontiguousarray(dh_all.reshape(t_n, lanes, n).transpose(0, 2, 1))
+        dh, dax = np.zeros((n, lanes), np.float32), np.empty((t_n, 3 * n, lanes), np.float32)
+        gwh, wh = np.zeros((3 * n, n), np.float32), w["wh"]
         for t in range(t_n - 1, -1, -1):
             prev, z, r, c, gc = cache[t]
             d = dh + dh_all[t]
-            dc = d * z * (1 - c * c)
-            dz = d * (c - prev) * z * (1 - z)
-            dr = dc * gc * r * (1 - r)
-            dax[t, :, :n], dax[t, :, n : 2 * n], dax[t, :, 2 * n :] = dz, dr, dc
-            dg = np.concatenate([dz, dr, dc * r], 1)
-            gwh += prev.T @ dg
-            dh = (d * (1 - z) + dg @ w["wh"].T) * ~fresh[t][:, None]
-        flat_ax = dax.reshape(-1, 3 * n)
-        grads["wh"], grads["b"] = gwh, flat_ax.sum(0)
+            dz = d * z
+            dc = dz * (1 - c * c)
+            dax[t, 2 * n :] = dc
+            dh = d - dz
+            dz *= c - prev
+            dz *= 1 - z
+            dax[t, :n] = dz
+            dg = np.empty((3 * n, lanes), np.float32)
+            dg[:n] = dz
+            np.multiply(dc, r, out=dg[2 * n :])
+            gc = gc * dg[2 * n :]
+            gc *= 1 - r
+            dax[t, n : 2 * n] = dg[n : 2 * n] = gc
+            gwh += dg @ prev.T
+            dh += wh @ dg
+            if fresh[t].any():
+                dh[:, fresh[t]] = 0
+        flat_ax = dax.transpose(0, 2, 1).reshape(-1, 3 * n)
+        grads["wh"], grads["b"] = gwh.T, np.ones(len(flat_ax), np.float32) @ flat_ax
         grads["wx"] = w["emb"][x.reshape(-1)].T @ flat_ax
         demb = flat_ax @ w["wx"].T
         order = np.argsort(x.reshape(-1), kind="stable")
@@ -161,7 +186,7 @@ class Gru:
         for k, g in grads.items():
             self.step(k, slice(None), g, rate)
         self.step("emb", rows, gemb, rate)
-        return states[-1]
+        return h
 
     def step(self, key, at, g, rate):
         """AdaGrad on sums over a window's tokens; the start of 1 keeps weights that few tokens touch near theirs."""
@@ -231,22 +256,21 @@ class Vocabulary:
 
 def train_on(model: Gru, docs: list[np.ndarray], rate: float) -> None:
     x, y, fresh, doc = streams(docs, model.v)
-    h = np.zeros((x.shape[1], model.state), np.float32)
+    h = np.zeros((model.state, x.shape[1]), np.float32)
     for t in range(0, len(x), WINDOW):
         part = slice(t, t + WINDOW)
         live = int((doc[t] >= 0).sum())
-        h = model.learn(x[part, :live], y[part, :live], fresh[part, :live], doc[part, :live] >= 0, h[:live], rate)
+        h = model.learn(x[part, :live], y[part, :live], fresh[part, :live], doc[part, :live] >= 0, h[:, :live], rate)
 
 
 def score_docs(model: Gru, docs: list[np.ndarray]) -> np.ndarray:
     """Natural log-probability of each document's symbols, the state carried from its start to its end."""
     x, y, fresh, doc = streams(docs, model.v)
-    h, out = np.zeros((x.shape[1], model.state), np.float32), np.zeros(len(docs))
+    h, out = np.zeros((model.state, x.shape[1]), np.float32), np.zeros(len(docs))
     for t in range(0, len(x), WINDOW):
         part = slice(t, t + WINDOW)
         live = int((doc[t] >= 0).sum())
-        states, _ = model.window(x[part, :live], fresh[part, :live], h[:live])
-        h = states[-1]
+        states, _, h = model.window(x[part, :live], fresh[part, :live], h[:, :live])
         flat = np.flatnonzero(doc[part, :live].reshape(-1) >= 0)
         logp, _, _ = model.outputs(states.reshape(-1, model.state)[flat], y[part, :live].reshape(-1)[flat], False)
         out += np.bincount(doc[part, :live].reshape(-1)[flat], logp, len(docs))

@@ -37,7 +37,7 @@ class WordEncoder:
     frequent ones; later ones last for a call. When most words of a call are unknown, keeping starts anew.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 350_000):
         from tokenizers import Tokenizer
 
         self.library, self.limit = Tokenizer.from_file(path), limit
