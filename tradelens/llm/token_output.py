@@ -140,7 +140,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
         store, root = _filesystem(folder)
         name, writer, out = f"{root}/part-{part:06d}.rvb", None, None
         trial = f"{root}/.{part:06d}-{uuid.uuid4().hex}"
-        enc = encoder(tokenizer_path)
+        enc = encoder(tokenizer_path, 750_000)
         for b in blocks(batches, 8 << 20):
             if writer is None:
                 store.create_dir(root, recursive=True)

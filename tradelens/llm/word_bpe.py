@@ -119,8 +119,9 @@ class WordEncoder:
 _encoders: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """One encoder a process: its words outlive the task."""
+def encoder(path: str, limit: int = 350_000) -> WordEncoder:
+    """One encoder a process: its words outlive the task. limit: see WordEncoder; the task at hand sets it."""
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
+    _encoders[path].limit = limit
     return _encoders[path]
