@@ -12,8 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tests.compare import database, differences
 from tradelens.llm import gru_lm, hnsw, language_id, line_dedup, near_dup, packing, pii, quality, sentencepieces, token_output
-from tradelens.llm.queries import QUERIES, tokenizer_path
+from tradelens.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path
 
 FOLDER = "/root/testdata/sf0.001"
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -127,6 +128,12 @@ def test_line_dedup(spark, documents):
         assert got[d].kept_sha256 == hashlib.sha256("\n".join(lines).encode()).hexdigest()
 
 
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_sql(spark, name):
+    folder = "/root/testdata/sf0.01"
+    assert differences(QUERIES[name](spark, folder), database(folder), ORACLE_SQL[name]) == ""
+
+
 def test_line_groups_across_ranges(spark):
     docs = {i: "\n".join([LINE, f"{i} own line", LINE]) for i in range(400)}
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")

@@ -95,4 +95,28 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_nearest, op3_sentencepiece, op4_token_output, op5_line_dedup, op6_language_id, op7_near_dup, op8_lm_scoring, op9_quality, op10_packing)}
-ORACLE_SQL: dict[str, str] = {}
+
+_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_FOLD = f"'{_AZ}', '{_AZ.lower()}'"
+
+#: DuckDB SQL of the operators that it can express over whole tables; tests hold the others against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": rf"""with d as (select doc_id, coalesce(text, '') as text from documents),
+l as (select doc_id, i, line, translate(regexp_replace(line, '^[\x09-\x0D ]+|[\x09-\x0D ]+$', '', 'g'), {_FOLD}) as k
+ from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from d)),
+g as (select k, max(doc_id) as last from l where length(k) >= 40 group by k having count(distinct doc_id) >= 5)
+select doc_id, count(*) as n_lines, count(*) filter (where doc_id < last) as n_dropped,
+ sha256(coalesce(string_agg(line, chr(10) order by i) filter (where last is null or doc_id = last), '')) as kept_sha256
+from l left join g using (k) group by doc_id""",
+    "op7_near_dup": rf"""with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), {_FOLD}), '[\x09-\x0D ]+'), lambda x: x <> '') as w from documents),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) end as s from w),
+c as (select doc_id, len(s) as n, s from s),
+cls as (select min(doc_id) as rep, n, list_sort(s) as s from c where n > 0 group by n, list_sort(s)),
+mem as (select c.doc_id, cls.rep from c join cls on c.n = cls.n and list_sort(c.s) = cls.s),
+u as (select rep, n, hash(unnest(s)) as h from cls),
+p as (select a.rep as a, b.rep as b from u a join u b on a.h = b.h and a.rep < b.rep and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) group by a.rep, b.rep, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e as (select a, b from p union select b, a from p union select rep, rep from cls),
+r as (select a as x, b as y from e union select r.x, e.b from r join e on r.y = e.a),
+m as (select x, min(y) as m from r group by x)
+select c.doc_id, c.n as n_shingles, coalesce(m.m, c.doc_id) as component_id, coalesce(m.m, c.doc_id) = c.doc_id as kept from c left join mem using (doc_id) left join m on m.x = mem.rep""",
+}
