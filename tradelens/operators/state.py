@@ -45,45 +45,77 @@ def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
 def as_of(left: DataFrame, right: DataFrame, key: str, time: str, ttl_seconds: int, values: list[str]) -> DataFrame:
     """Each left row with the newest right row of its key not after it and within the TTL (hits), or nulls.
 
-    Both sides are one stream, sorted once by key and time; the last right row so far goes along.
+    A fresh right row lies in the left row's stretch of `ttl_seconds` or in the one before, so each right row goes to
+    two stretches, and keys are dealt out by stretch: a hot key is split by time. Right rows of one time: the largest
+    values count. Rows without a time meet nothing.
     """
-    r = right.select(key, F.col(time).alias("_t"), F.lit(0).alias("_side"), F.struct(F.col(time).alias("_put"), *values).alias("_v"))
+    stretch = lambda t: F.floor(F.unix_timestamp(t) / ttl_seconds)
+    r = right.select(key, F.col(time).alias("_t"), F.lit(0).alias("_side"), F.struct(F.col(time).alias("_put"), *values).alias("_v")).where("_t is not null")
+    r = r.withColumn("_part", F.explode(F.array(stretch("_t"), stretch("_t") + 1)))
     rest = [c for c in left.columns if c not in (key, time)]
-    l_ = left.select(key, F.col(time).alias("_t"), F.lit(1).alias("_side"), *rest)
-    w = Window.partitionBy(key).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    l_ = left.select(key, F.col(time).alias("_t"), F.lit(1).alias("_side"), *rest, stretch(time).alias("_part"))
+    w = Window.partitionBy(key, "_part").orderBy("_t", "_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
     out = l_.unionByName(r, allowMissingColumns=True).withColumn("_last", F.last("_v", True).over(w)).where("_side = 1")
     fresh = F.unix_timestamp("_t") - F.unix_timestamp("_last._put") < ttl_seconds
     return out.select(key, F.col("_t").alias(time), *rest, *(F.when(fresh, F.col(f"_last.{v}")).alias(v) for v in values), F.coalesce(fresh, F.lit(False)).alias("hit"))
 
 
 def trailing_counts(events: DataFrame, key: str, time: str, seconds: int) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.unix_micros(F.col(time).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return events.withColumn("n_trailing", F.count(F.lit(1)).over(w))
+    """n_trailing: events of the key within the `seconds` up to each event, itself and its peers included.
+
+    What counts lies in the event's stretch of `seconds` or the one before, so each event goes to its own stretch and,
+    as a mere time, to the next; a hot key is split by time. Events without a time count one another.
+    """
+    size = seconds * 1_000_000
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    timed = events.withColumn("_at", at).withColumn("_part", F.floor(F.col("_at") / size))
+    echo = timed.where("_part is not null").select(key, "_at", (F.col("_part") + 1).alias("_part"), F.lit(True).alias("_echo"))
+    w = Window.partitionBy(key, "_part").orderBy("_at").rangeBetween(-size, 0)
+    out = timed.unionByName(echo, allowMissingColumns=True).withColumn("n_trailing", F.count(F.lit(1)).over(w))
+    return out.where("_echo is null").drop("_at", "_part", "_echo")
+
+
+def _stretches(rows: DataFrame, key: str, micros: int) -> DataFrame:
+    """rows with _at (microseconds) and _island: runs of stretches of `micros` of a key that all have rows.
+
+    Between two islands a whole stretch is idle, so nothing that looks back by `micros` passes from one to the next.
+    """
+    timed = rows.withColumn("_part", F.floor(F.col("_at") / micros))
+    by_key = Window.partitionBy(key).orderBy("_part")
+    parts = timed.select(key, "_part").distinct().withColumn("_island", F.col("_part") - F.row_number().over(by_key))
+    own, other = timed.alias("x"), parts.alias("y")
+    met = own.join(other, F.col(f"x.{key}").eqNullSafe(F.col(f"y.{key}")) & F.col("x._part").eqNullSafe(F.col("y._part")))
+    return met.select("x.*", "y._island").drop("_part")
 
 
 def admit(requests: DataFrame, key: str, time: str, order: str, most: int, seconds: int) -> DataFrame:
     """Sliding log with feedback: a request passes while fewer than `most` accepted ones are within the window.
 
-    A fold over each key's sorted arrivals. The state is the last `most` accepted times: when it is full, its oldest
-    decides, so it never grows. Refused requests leave no trace.
+    Requests stream by, sorted, through a fold whose state is the last `most` accepted times; no group is gathered.
+    A key is dealt out by its idle gaps of a window and more, across which no state passes. Refused requests leave no
+    trace; requests without a time are refused.
     """
-    rows = requests.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.col(order).alias("o")))).alias("a"))
-    window = seconds * 1_000_000
+    from ..streaming.limits import admitter
 
-    def step(acc, x):
-        full = F.size(acc["log"]) >= most
-        ok = ~full | (x["t"] - F.element_at(acc["log"], 1) > window)
-        grown = F.concat(F.when(full, F.slice(acc["log"], 2, most)).otherwise(acc["log"]), F.array(x["t"]))
-        return F.struct(F.when(ok, grown).otherwise(acc["log"]).alias("log"), F.concat(acc["out"], F.array(F.struct(x["o"].alias("o"), ok.alias("ok")))).alias("out"))
-
-    start = F.struct(F.array().cast("array<bigint>").alias("log"), F.array().cast("array<struct<o:bigint,ok:boolean>>").alias("out"))
-    return rows.select(key, F.explode(F.aggregate("a", start, step, lambda acc: acc["out"])).alias("r")).select(key, F.col("r.o").alias(order), F.col("r.ok").alias("accepted"))
+    window = seconds * 1_000_000
+    rows = requests.select(key, order, F.unix_micros(F.col(time).cast("timestamp")).alias("_at"))
+    dealt = _stretches(rows, key, window + 1).repartition(key, "_island").sortWithinPartitions(key, "_island", "_at", order)
+    kinds = rows.schema
+    ddl = ", ".join(f"`{c}` {kinds[c].dataType.simpleString()}" for c in (key, order)) + ", accepted boolean"
+    return dealt.select(key, order, "_island", "_at").mapInArrow(admitter(most, window), ddl)
 
 
 def daily_budget(calls: DataFrame, time: str, order: str, most: int) -> DataFrame:
-    """The first `most` calls of each day: those below a rank that is counted day by day."""
-    w = Window.partitionBy(F.to_date(time)).orderBy(time, order)
-    return calls.withColumn("nth", F.row_number().over(w)).withColumn("allowed", F.col("nth") <= most)
+    """nth and allowed: the first `most` calls of each day. A call's rank is that within its minute and the number of
+    calls in the day's minutes before, so a day is split into its 1440 minutes."""
+    day, minute = F.to_date(time), F.date_trunc("minute", F.col(time))
+    timed = calls.withColumn("_day", day).withColumn("_minute", minute)
+    sizes = timed.groupBy("_day", "_minute").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_day").orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(F.col("_minute").alias("_m"), "_before")
+    met = timed.join(sizes, F.col("_minute").eqNullSafe(F.col("_m")))
+    nth = F.col("_before") + F.row_number().over(Window.partitionBy("_minute").orderBy(time, order))
+    return met.withColumn("nth", nth).withColumn("allowed", F.col("nth") <= most).drop("_day", "_minute", "_m", "_before")
 
 
 def job_state(events: DataFrame, job: str, stage: str, time: str, order: str) -> DataFrame:

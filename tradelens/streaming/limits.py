@@ -20,6 +20,29 @@ def fold(log: list[int], times: list[int], most: int, window: int) -> tuple[list
     return log, out
 
 
+def admitter(most: int, window: int):
+    """fold() over Arrow batches sorted by key, island, time, order (columns in the order key, order, island, time);
+    the log goes along from batch to batch and starts anew with each island."""
+    import pyarrow as pa
+
+    def task(batches):
+        own, log = None, []
+        for b in batches:
+            keys, islands, times = (b.column(k).to_pylist() for k in (0, 2, 3))
+            ok = []
+            for key, island, t in zip(keys, islands, times, strict=True):
+                if (key, island) != own:
+                    own, log = (key, island), []
+                if t is None:
+                    ok.append(False)
+                    continue
+                log, one = fold(log, [t], most, window)
+                ok += one
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], names=[*b.schema.names[:2], "accepted"])
+
+    return task
+
+
 def admit_stream(requests: DataFrame, key: str, most: int, seconds: int) -> DataFrame:
     """requests: key, ts, event_id. One row a request: key, event_id, accepted. State expires after a window's idleness."""
     window = seconds * 1_000_000
