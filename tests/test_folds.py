@@ -5,8 +5,8 @@ import zlib
 from pyspark.sql import functions as F
 
 from tradelens.functions import markup
-from tradelens.operators import requests, review, state
-from tradelens.plans import catalogue
+from tradelens.operators import profiles, requests, review, state
+from tradelens.plans import catalogue, entity_queries
 from tradelens.sources import captured
 
 FOLDER = "/root/testdata/sf0.01"
@@ -85,3 +85,26 @@ def test_json_files(spark, tmp_path):
 def test_people_and_requests_of_no_rows(spark):
     none = spark.createDataFrame([], "request long, seq long, action string, field string")
     assert requests.request_state(none).count() == 0
+
+
+def test_field_profile_fuzzy(spark):
+    rows = spark.sql(entity_queries.WORDINGS, customer=spark.read.parquet(f"{FOLDER}/customer.parquet")).orderBy("seq").collect()
+    leaders, want = {}, {}
+    for r in rows:
+        mine = leaders.setdefault(r.domain, [])
+        lead = next((x for x in mine if profiles.words_agree(x, r.value) or x == r.value), None)
+        if lead is None:
+            mine.append(lead := r.value)
+        want[r.domain, lead] = want.get((r.domain, lead), 0) + 1
+    got = {(r.domain, r.leader): r.n for r in catalogue.QUERIES["field_profile_fuzzy"](spark, FOLDER).collect()}
+    assert got == want and len(got) > 25
+
+
+def test_every_query_has_rows(spark):
+    # Every customer of these tables has orders.
+    assert [n for n, f in catalogue.QUERIES.items() if f(spark, FOLDER).isEmpty()] == ["orphan_entities"]
+
+
+def test_orphans(spark):
+    entities, links = spark.sql("select explode(array(1, 2, null)) as eik"), spark.sql("select explode(array(2, null)) as eik")
+    assert {r.eik for r in state.orphans(entities, links).collect()} == {1, None}

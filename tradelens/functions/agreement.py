@@ -67,3 +67,16 @@ def addresses_agree(a: Column, b: Column) -> Column:
 def wording_key(name: Column) -> Column:
     """What two spellings of one name share: its words, joined."""
     return F.array_join(words(name), " ")
+
+
+def display_name(name: Column) -> Column:
+    """Quotes out, one space between words, no dash before a legal form."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(name, r"[\"'„“”«»]", " "), r"\s+", " "))
+    return F.regexp_replace(plain, rf"(?iu)\s*[-–—]\s*({'|'.join(FORMS)})$", " $1")
+
+
+def display_address(address: Column) -> Column:
+    """A space after abbreviations and commas, none before; long words of capitals only get their first."""
+    spaced = F.regexp_replace(F.regexp_replace(address, r"(?u)(\p{L})\.(?=[\p{L}0-9])", "$1. "), r"\s*,\s*", ", ")
+    parts = F.split(F.trim(F.regexp_replace(spaced, r"\s+", " ")), " ")
+    return F.array_join(F.transform(parts, lambda w: F.when(w.rlike(r"^\p{Lu}{4,},?$"), F.initcap(w)).otherwise(w)), " ")

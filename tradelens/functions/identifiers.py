@@ -68,3 +68,34 @@ def email_key(value: Column) -> Column:
     v = F.regexp_replace(F.regexp_replace(F.lower(F.trim(value)), r"^mailto:", ""), r"\?.*$", "")
     v = F.regexp_replace(v, r"[.,;:]+$", "")
     return F.when(v.rlike(r"^[a-z0-9._%+-]+@[a-z0-9-]+(\.[a-z0-9-]+)+$") & ~v.rlike(r"\.(png|jpg|jpeg|gif|webp|svg)$"), v)
+
+
+def phone_display(value: Column) -> Column:
+    """A key's digits grouped: "2" of the capital, else a prefix of two digits."""
+    key = phone_key(value)
+    n = F.substring(key, 5, 9)
+    area = F.when(n.startswith("2"), 1).otherwise(2)
+    head, tail = F.substring(n, F.lit(1), area), F.substring(n, area + 1, F.lit(9))
+    return F.concat_ws(" ", F.lit("+359"), head, F.substring(tail, 1, 3), F.nullif(F.substring(tail, 4, 9), F.lit("")))
+
+
+#: Mail hosts that anyone can use, and words of institutions' hosts.
+FREE_MAIL = ("gmail.com", "abv.bg", "mail.bg", "yahoo.com", "hotmail.com", "outlook.com", "icloud.com", "proton.me")
+INSTITUTION = r"(^|\.)(kzp|cpdp|nra|government|egov|europa)\."
+
+
+def email_kind(email: Column, site: Column) -> Column:
+    """institution, corporate (the site's own host), published_contact (free mail or another host); null for no address."""
+    key = email_key(email)
+    host = F.substring_index(key, "@", -1)
+    own = (host == site) | host.endswith(F.concat(F.lit("."), site))
+    return F.when(key.isNull(), None).when(host.rlike(INSTITUTION), "institution").when(F.coalesce(own, F.lit(False)), "corporate").otherwise("published_contact")
+
+
+def is_free_mail(email: Column) -> Column:
+    return F.substring_index(email_key(email), "@", -1).isin(*FREE_MAIL)
+
+
+def email_hash(email: Column) -> Column:
+    """What stands for an address where it must not be told: 16 hex digits."""
+    return F.substring(F.sha2(F.lower(F.trim(email)), 256), 1, 16)

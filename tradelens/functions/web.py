@@ -59,3 +59,30 @@ def links(html: Column) -> Column:
 
 def emails_in(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"), 1), lambda x: F.lower(x)))
+
+
+def suffixes(host: Column) -> Column:
+    """All ends of a host by labels, longest first."""
+    p = F.split(host, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.array_join(F.slice(p, i, F.size(p) - i + 1), "."))
+
+
+def ascii_url(url: Column) -> Column:
+    """The host in its ASCII form and other characters outside ASCII and spaces percent-encoded, by Arrow; null where the
+    host has no such form."""
+    from urllib.parse import quote, urlsplit, urlunsplit
+
+    @F.pandas_udf("string")
+    def encoded(urls):
+        def one(u):
+            try:
+                p = urlsplit(u)
+                host = (p.hostname or "").encode("idna").decode("ascii")
+                net = host + (f":{p.port}" if p.port else "")
+                return urlunsplit((p.scheme, net, quote(p.path, "/%:@!$&'()*+,;=-._~"), quote(p.query, "/%:@!$&'()*+,;=-._~?"), quote(p.fragment, "%")))
+            except (UnicodeError, ValueError, TypeError, AttributeError):
+                return None
+
+        return urls.map(one)
+
+    return encoded(url)

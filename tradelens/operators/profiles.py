@@ -60,3 +60,38 @@ def shared_value_status(values: DataFrame) -> DataFrame:
 
 def profile_summary(status: DataFrame) -> DataFrame:
     return status.groupBy("field").agg(*(F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("verified", "corroborated", "published", "conflicting")), F.count(F.lit(1)).alias("n"))
+
+
+def fuzzy_groups(values: DataFrame, agree, keys: list[str]) -> DataFrame:
+    """values: domain, field, value, seq, authority. Adds leader: the value that each one is grouped with, in order of
+    arrival: it joins the first group whose first value agrees with it, or begins one. agree is a Python predicate.
+
+    Equal values are one before they are compared, with the earliest arrival; then each (domain, field) streams by, sorted,
+    with its leaders as the state. A value costs as many comparisons as there are leaders before it; rows of one
+    (domain, field) stay in one task, since each group depends on those before.
+    """
+    import pyarrow as pa
+
+    def task(batches):
+        own, leaders = None, []
+        for b in batches:
+            out = []
+            for *key, value, _ in zip(*(b.column(i).to_pylist() for i in range(len(keys) + 2)), strict=True):
+                if key != own:
+                    own, leaders = key, []
+                found = next((x for x in leaders if x == value or agree(x, value)), None)
+                if found is None:
+                    leaders.append(found := value)
+                out.append(found)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keys) + 1)), pa.array(out, pa.string())], names=[*keys, "value", "leader"])
+
+    once = values.where("value is not null").groupBy(*keys, "value").agg(F.min("seq").alias("seq"))
+    ddl = ", ".join(f"`{k}` {values.schema[k].dataType.simpleString()}" for k in keys) + ", value string, leader string"
+    led = once.repartition(*keys).sortWithinPartitions(*keys, "seq", "value").select(*keys, "value", "seq").mapInArrow(task, ddl)
+    return values.join(led, [*keys, "value"], "left")
+
+
+def words_agree(a: str, b: str) -> bool:
+    """Half the words of the shorter, one at least, are shared."""
+    x, y = set(a.lower().split()), set(b.lower().split())
+    return bool(x and y) and len(x & y) >= max(1, min(len(x), len(y)) // 2)

@@ -72,3 +72,13 @@ def alternatives(scored: DataFrame, most: int = 5) -> DataFrame:
     order = Window.partitionBy("domain").orderBy(level.desc(), "best_tier", "eik")
     out = ranked(scored).withColumn("rn", F.row_number().over(order))
     return out.where((F.col("rn") <= most) & ((F.col("rn") > 1) | (F.col("n_first") > 1))).select("domain", "eik", "rn")
+
+
+def conflicts(scored: DataFrame, most: int = 5) -> DataFrame:
+    """domain, kind, ids: a row for each id whose published names all disagree with the official one (names), and one for
+    each domain that several ids are claimed for (ids: the first `most` of them)."""
+    names = scored.where(F.col("name_ok") == F.lit(False)).select("domain", F.lit("names").alias("kind"), F.col("eik").cast("string").alias("ids"))
+    n = scored.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    listed = F.slice(F.sort_array(F.collect_list("eik")), 1, most)
+    several = scored.join(n.select("domain"), "domain", "left_semi").groupBy("domain").agg(F.array_join(listed.cast("array<string>"), ",").alias("ids"))
+    return names.unionByName(several.select("domain", F.lit("ids").alias("kind"), "ids"))

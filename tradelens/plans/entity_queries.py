@@ -72,6 +72,16 @@ def email_key(spark, folder):
     return synthesised(spark, folder, MAILS, ("supplier",)).select("s_suppkey", ids.email_key(F.col("raw")).alias("email"))
 
 
+@query(f"""select s_suppkey, case s_suppkey % 5 when 0 then 'corporate' when 1 then 'published_contact' when 4 then 'published_contact' end as kind, substr(sha256(lower(trim(raw))), 1, 16) as hash from ({_sql(MAILS)})""")
+def email_classify(spark, folder):
+    return synthesised(spark, folder, MAILS, ("supplier",)).select("s_suppkey", ids.email_kind(F.col("raw"), F.lit("shop.example.com")).alias("kind"), ids.email_hash(F.col("raw")).alias("hash"))
+
+
+@query(f"""select s_suppkey, case s_suppkey % 5 when 0 then '+359 2 ' || substr(n, 1, 3) || ' ' || substr(n, 4) else '+359 ' || substr(m, 1, 2) || ' ' || substr(m, 3, 3) || ' ' || substr(m, 6) end as phone from (select s_suppkey, cast(9000000 + s_suppkey as varchar) as n, cast(case when s_suppkey % 5 = 4 then 8700000 + s_suppkey else 88000000 + s_suppkey end as varchar) as m from supplier) where s_suppkey % 5 <> 3""")
+def phone_shown(spark, folder):
+    return synthesised(spark, folder, PHONES, ("supplier",)).where("s_suppkey % 5 <> 3").select("s_suppkey", ids.phone_display(F.col("raw")).alias("phone"))
+
+
 @query("""select doc_id, email from (select distinct doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+'))) as email from documents)""")
 def doc_emails(spark, folder):
     return table(spark, folder, "documents").select("doc_id", F.explode(web.emails_in(F.col("text"))).alias("email"))
@@ -142,6 +152,11 @@ def resolve_alternatives(spark, folder):
     return resolution.alternatives(_scored(spark, folder))
 
 
+@query(f"with s as ({_scored_sql()}) select domain, 'names' as kind, cast(eik as varchar) as ids from s where not name_ok union all select domain, 'ids', array_to_string(list_sort(list(eik))[1:5], ',') from s group by domain having count(*) > 1")
+def resolve_conflicts(spark, folder):
+    return resolution.conflicts(_scored(spark, folder))
+
+
 @query("select kind, count(*) as n, count(tier) as with_tier, count(user_id) as with_user from (select 'order' as kind, 1 as tier, null as user_id from orders union all select 'line', l_linenumber, null from lineitem union all select 'event', null, user_id from events) group by kind")
 def evidence_union(spark, folder):
     branches = [table(spark, folder, "orders").select(F.lit("order").alias("kind"), F.lit(1).alias("tier")), table(spark, folder, "lineitem").select(F.lit("line").alias("kind"), F.col("l_linenumber").alias("tier")), table(spark, folder, "events").select(F.lit("event").alias("kind"), "user_id")]
@@ -282,3 +297,13 @@ def ct_hosts(spark, folder):
     hosts = raw.select(F.explode(F.split(F.lower("names"), "\n")).alias("host")).select(F.regexp_replace("host", r"^\*\.", "").alias("host"))
     return hosts.where(F.col("host").endswith(".example.com")).distinct()
 
+
+
+WORDINGS = "select c_nationkey as domain, 'name' as field, concat(c_mktsegment, ' ', case c_custkey % 4 when 0 then 'alpha one' when 1 then 'beta' when 2 then 'ALPHA two' else 'three gamma' end) as value, c_custkey as seq from {customer}"
+
+
+@query(None)
+def field_profile_fuzzy(spark, folder):
+    rows = synthesised(spark, folder, WORDINGS, ("customer",))
+    grouped = profiles.fuzzy_groups(rows, profiles.words_agree, ["domain", "field"])
+    return grouped.groupBy("domain", "field", "leader").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import agreement, identifiers, markup, web
-from ..operators import crawl
+from ..operators import crawl, hosts
 from ..sources import captured
 from ..sources.tables import synthesised, table
 from .registry import plain, query
@@ -71,8 +71,8 @@ _HOST = "regexp_replace(regexp_extract(lower(url), '^https?://([^/:?#]+)', 1), '
 
 @query(f"select domain, host, pages, cast(place as int) as place from (select *, row_number() over (partition by domain order by pages desc, length(host), host) as place from (select concat_ws('.', split_part(h, '.', -2), split_part(h, '.', -1)) as domain, h as host, count(*) as pages from (select {_HOST} as h from pages) group by all)) where place <= 12")
 def host_rank(spark, folder):
-    hosts = table(spark, folder, "pages").select(web.host_of(F.col("url")).alias("host")).groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    return crawl.host_rank(hosts.withColumn("domain", web.registrable(F.col("host"))))
+    seen = table(spark, folder, "pages").select(web.host_of(F.col("url")).alias("host")).groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    return crawl.host_rank(seen.withColumn("domain", web.registrable(F.col("host"))))
 
 
 @query("select page_id, case when page_id % 5 = 0 then 'refused' when page_id % 3 = 0 then 'error' else 'ok' end as state, page_id % 4 = 0 as challenge, page_id % 6 = 0 as shell, page_id % 7 = 0 as private from pages")
@@ -176,3 +176,63 @@ def same_name_other_id(spark, folder):
 def name_inconsistent(spark, folder):
     rows = synthesised(spark, folder, NAMES, ("supplier",))
     return rows.groupBy("n").agg(F.count_distinct(agreement.wording_key(F.col("name"))).alias("n_names"), F.min_by("name", "k").alias("name")).where("n_names > 1")
+
+
+_SUFFIXES = "select * from values ('com', 'rule'), ('uk', 'rule'), ('co.uk', 'rule'), ('ck', 'wildcard'), ('www.ck', 'exception') as r(suffix, kind)"
+_HOSTS = "select c_custkey as k, case c_custkey % 7 when 0 then 'a.b.example.com' when 1 then 'x.shop.co.uk' when 2 then 'co.uk' when 3 then 'a.b.co.ck' when 4 then 'www.ck' when 5 then 'b.c.test' else 'u.www.ck' end as host from {customer}"
+
+
+@query(f"select k, host, case k % 7 when 0 then 'example.com' when 1 then 'shop.co.uk' when 3 then 'b.co.ck' when 4 then 'www.ck' when 5 then 'c.test' when 6 then 'www.ck' end as domain from ({plain(_HOSTS)})")
+def suffix_rules(spark, folder):
+    return hosts.registrable_domains(synthesised(spark, folder, _HOSTS, ("customer",)), spark.sql(_SUFFIXES))
+
+
+_ANSWERS = "select c_nationkey as host, case c_custkey % 3 when 0 then 'A' when 1 then 'MX' else 'TXT' end as type, concat('10.0.0.', cast(c_custkey % 20 as string)) as data, c_custkey as seq from {customer}"
+
+
+@query(f"select host, type, array_to_string(list_sort(list(distinct data))[1:10], ',') as \"values\" from ({plain(_ANSWERS)}) group by host, type")
+def dns_records(spark, folder):
+    return hosts.dns_table(synthesised(spark, folder, _ANSWERS, ("customer",)))
+
+
+_NAMES = "select c_custkey % 300 as host, case when c_custkey % 300 % 5 = 0 and c_custkey > 300 then 'CNAME' when c_custkey % 300 % 7 = 0 then 'TXT' else 'A' end as type, concat('h', cast(c_custkey % 11 as string)) as data, c_custkey as seq from {customer}"
+
+
+@query(f"select domain, host, fingerprint from (select host % 10 as domain, host, coalesce(arg_min(data, seq) filter (where type = 'CNAME'), array_to_string(list_sort(list(distinct data) filter (where type = 'A')), ',')) as fingerprint from ({plain(_NAMES)}) group by host) where fingerprint <> '' and fingerprint is distinct from case when domain = 5 then 'h3' end")
+def real_hosts(spark, folder):
+    seen = hosts.fingerprints(synthesised(spark, folder, _NAMES, ("customer",))).withColumn("domain", F.col("host") % 10)
+    probes = spark.sql("select 5L as domain, 'h3' as fingerprint")
+    return hosts.real_hosts(seen, probes).select("domain", "host", "fingerprint")
+
+
+@query("select s_suppkey as domain, 'Registrar ' || s_suppkey as registrar, timestamp '2020-01-02 03:04:05' as registered, case when s_suppkey % 2 = 0 then timestamp '2030-01-01 00:00:00' end as expires from supplier")
+def registration_dates(spark, folder):
+    k = F.col("s_suppkey")
+    ends = F.when(k % 2 == 0, ',{"eventAction":"expiration","eventDate":"2030-01-01T00:00:00Z"}').otherwise("")
+    body = F.concat(F.lit('{"events":[{"eventAction":"registration","eventDate":"2020-01-02T03:04:05Z"}'), ends, F.lit('],"entities":[{"roles":["abuse"],"fn":"x"},{"roles":["registrar"],"fn":"Registrar '), k.cast("string"), F.lit('"}]}'))
+    out = hosts.registration(table(spark, folder, "supplier").select(k.alias("domain"), body.alias("body")))
+    return out.select("domain", "registrar", F.col("registered").cast("timestamp_ntz").alias("registered"), F.col("expires").cast("timestamp_ntz").alias("expires"))
+
+
+_SNAPSHOTS = "select o_custkey as url, date_format(o_orderdate, 'yyyyMMdd000000') as stamp, case when o_orderkey % 4 = 0 then 404 else 200 end as status, 'body' as body from {orders}"
+
+
+@query("select c_custkey as url, max(strftime(o_orderdate, '%Y%m%d000000')) as stamp from customer left join orders on o_custkey = c_custkey and o_orderkey % 4 <> 0 and o_orderdate < timestamp '1996-01-02 00:00:00' group by 1")
+def archive_lookup(spark, folder):
+    wanted = table(spark, folder, "customer").select(F.col("c_custkey").alias("url"), F.expr("timestamp '1996-01-01 00:00:00'").alias("at"))
+    return hosts.archived_copy(wanted, synthesised(spark, folder, _SNAPSHOTS, ("orders",))).select("url", "stamp")
+
+
+@query("select s_suppkey as k, 'https://xn--e1afmkfd.example/' || case when s_suppkey % 2 = 0 then '%D0%B6' else 'a%20b' end || '?q=' || s_suppkey as url from supplier")
+def ascii_urls(spark, folder):
+    k = F.col("s_suppkey")
+    raw = F.concat(F.lit("https://пример.example/"), F.when(k % 2 == 0, "ж").otherwise("a b"), F.lit("?q="), k.cast("string"))
+    return table(spark, folder, "supplier").select(k.alias("k"), web.ascii_url(raw).alias("url"))
+
+
+@query("select s_suppkey as k, 'Alpha Trade OOD' as name, 'гр. София, ул. Дълга 5, Bulgaria' as address from supplier")
+def displayed(spark, folder):
+    k = F.col("s_suppkey")
+    name = F.when(k % 2 == 0, '"Alpha Trade" - OOD').otherwise("„Alpha  Trade“ OOD")
+    address = F.when(k % 2 == 0, "гр.СОФИЯ,ул.Дълга 5 ,BULGARIA").otherwise("гр. София, ул. Дълга 5, Bulgaria")
+    return table(spark, folder, "supplier").select(k.alias("k"), agreement.display_name(name).alias("name"), agreement.display_address(address).alias("address"))
