@@ -241,17 +241,16 @@ class Vocabulary:
         tails = [k + 1 + tail_class(w) for w in known[k:]]
         self.symbols = np.array([*range(k), *tails, *range(k + 1, k + 1 + TAILS), k], np.int32)
 
-    def rows(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Each text's rows, the end included."""
-        own, at, offsets = coded_words(texts)
-        n = len(self.known)
+    def rows(self, own: list[bytes], at: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """Each text's rows, the end included; of what coded_words() returns."""
+        n, texts = len(self.known), len(offsets) - 1
         of = np.array([i if (i := self.known.get(w)) is not None else n + tail_class(w) for w in own] or [0], np.int32)
-        ends = offsets[1:] + np.arange(len(texts))
-        out = np.empty(len(at) + len(texts), np.int32)
+        ends = offsets[1:] + np.arange(texts)
+        out = np.empty(len(at) + texts, np.int32)
         inner = np.ones(len(out), bool)
         inner[ends] = False
         out[inner], out[ends] = of[at], self.end
-        return np.split(out, ends[:-1] + 1) if len(texts) else []
+        return np.split(out, ends[:-1] + 1) if texts else []
 
 
 def train_on(model: Gru, docs: list[np.ndarray], rate: float) -> None:
@@ -327,7 +326,7 @@ def train(src: DataFrame, start: Gru, known: list[bytes], head: int, rate: float
 
         model, table, tokens, held, n = copy.deepcopy(start), Vocabulary(known, head), 0, [], 0
         for b in blocks(batches):
-            for r in table.rows(b.column(0).to_pylist()):
+            for r in table.rows(*coded_words(b.column(0).to_pylist())):
                 held.append(table.symbols[r])
                 n += len(r)
             if n > CHUNK:
@@ -388,25 +387,42 @@ def score(docs: DataFrame, head: int = 2048, known: int = 131_072, width: int =
     base_log = np.concatenate([np.log10(np.array([r.c for r in top], np.float64) + 0.1), np.zeros(TAILS), [np.log10(n_docs + 0.1)]])
     share = np.concatenate([base_log[:head] * 0, [base_log[i] - log_tail[tail_class(w)] for i, w in enumerate(names_known[head:], head)], -log_tail, [0.0]])
     is_known = np.concatenate([np.ones(len(top), np.int64), np.zeros(TAILS, np.int64), [int(n_docs > 0)]])
-    names = ["doc_id", "row", "n_tokens", "n_known", "base", "model"]
+    # One pass tells each document's row (w is null) and its rare words (the other columns are null).
+    kinds = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("w", pa.binary()), ("n", pa.int64()), ("first", pa.int64())])
+    ddl = "doc_id long, row long, n_tokens long, n_known long, base double, model double, w binary, n long, first long"
 
     def task(batches):
         table, ids, keys, rows, n = Vocabulary(names_known, head), [], [], [], 0
 
+        def batch(**got):
+            size = len(got["doc_id"])
+            return pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) if f.name in got else pa.nulls(size, f.type) for f in kinds], schema=kinds)
+
         def scored():
             size = np.array([len(r) for r in rows])
             every, starts = np.concatenate(rows), np.cumsum(size) - size
             total = score_docs(model, [table.symbols[r] for r in rows]) / np.log(10) + np.add.reduceat(share[every], starts)
-            got = [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(size), pa.array(np.add.reduceat(is_known[every], starts)), pa.array(np.add.reduceat(base_log[every], starts)), pa.array(total)]
+            got = batch(doc_id=ids, row=keys, n_tokens=size, n_known=np.add.reduceat(is_known[every], starts), base=np.add.reduceat(base_log[every], starts), model=total)
             for held in (ids, keys, rows):
                 held.clear()
-            return pa.RecordBatch.from_arrays(got, names=names)
+            return got
+
+        def rare(doc_ids, doc_keys, own, at, offsets):
+            is_rare = np.array([w not in table.known for w in own] or [False])
+            doc = np.repeat(np.arange(len(doc_ids)), np.diff(offsets))
+            some = is_rare[at]
+            key, times = np.unique(doc[some] * len(own) + at[some], return_counts=True)
+            doc, word = key // max(1, len(own)), key % max(1, len(own))
+            first = np.diff(doc, prepend=-1) > 0
+            return batch(doc_id=doc_ids[doc], row=np.array(doc_keys, np.int64)[doc], w=pa.array(own, pa.binary()).take(pa.array(word)), n=times, first=first.astype(np.int64))
 
         for b in blocks(batches):
             texts = b.column(1).to_pylist()
+            coded, own_keys = coded_words(texts), list(map(text_key, texts))
+            yield rare(b.column(0).to_numpy(), own_keys, *coded)
             ids += b.column(0).to_pylist()
-            keys += map(text_key, texts)
-            rows += table.rows(texts)
+            keys += own_keys
+            rows += table.rows(*coded)
             n += sum(map(len, rows[-len(texts) :]))
             if n > CHUNK:
                 yield scored()
@@ -414,22 +430,9 @@ def score(docs: DataFrame, head: int = 2048, known: int = 131_072, width: int =
         if rows:
             yield scored()
 
-    def rare(batches):
-        common = set(names_known)
-        for b in blocks(batches):
-            texts = b.column(1).to_pylist()
-            own, at, offsets = coded_words(texts)
-            is_rare = np.array([w not in common for w in own] or [False])
-            doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
-            some = is_rare[at]
-            key, n = np.unique(doc[some] * len(own) + at[some], return_counts=True)
-            doc, word = key // max(1, len(own)), key % max(1, len(own))
-            first = np.diff(doc, prepend=-1) > 0
-            ids, keys = b.column(0).to_numpy(), np.array([text_key(t) for t in texts], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(keys[doc]), pa.array(own, pa.binary()).take(pa.array(word)), pa.array(n), pa.array(first.astype(np.int64))], names=["doc_id", "row", "w", "n", "first"])
-
-    main = src.select("doc_id", "text").mapInArrow(task, "doc_id long, row long, n_tokens long, n_known long, base double, model double")
-    pairs = src.select("doc_id", "text").mapInArrow(rare, "doc_id long, row long, w binary, n long, first long")
+    told = saved(src.select("doc_id", "text").mapInArrow(task, ddl), "scored")
+    main = told.where("w is null").select("doc_id", "row", "n_tokens", "n_known", "base", "model")
+    pairs = told.where("w is not null").select("doc_id", "row", "w", "n", "first")
     one = F.col("n") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + F.lit(0.1))
     met = pairs.join(vocab, "w", "left").groupBy("doc_id", "row").agg(F.sum(one).alias("rare"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"), F.sum("first").alias("copies"))
     # Equal rows (same doc_id, same text) were summed together.
