@@ -211,6 +211,21 @@ def test_pii_terms_that_give_a_value_away(spark):
     assert "joe@" not in clean[0] and "Zorgwin" not in clean[0] and clean[10] == rows[6][1]
 
 
+def test_pii_terms_away_from_their_value(spark):
+    rows = [(i, f"tell Zorgwin case {i} that joe@example.com waits {i}\nplain line") for i in range(6)]
+    rows += [(10 + i, f"plain line {i} that waits and tells the case") for i in range(200)]
+    rows += [(300, "no value here, but (ZORGWIN) is\nand Zorgwin, again\u00a0é Zorgwins"), (300, "other text Zorgwin"), (None, "Zorgwin"), (301, f"line\n{'far ' * 40}Zorgwin a.Zorgwin@example.org")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.defaultdict(list)
+    for r in pii.pii_digest(df).collect():
+        got[r.doc_id].append(r.spans)
+    assert sorted(got[300]) == ["term:11:18", "term:20:27,term:36:43"] and got[None] == ["term:0:7"]
+    assert got[301][0] == "term:165:172,email:173:194" and got[10] == [""]
+    clean = [r.text for r in pii.sanitised(df).collect()]
+    assert len(clean) == len(rows) and sum("zorgwin" in t.lower() for t in clean) == 1  # Zorgwins is another word
+    assert sum("[TERM]" in t for t in clean) == 10
+
+
 def test_language_id(spark, documents):
     got = run(spark, "op6_language_id")
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}

@@ -7,7 +7,8 @@ the value, n(t) with the word and n(t, e) with both,
     IC(e) = log(T / n(e)),  PMI(t; e) = log(n(t, e) T / (n(t) n(e))),  disclosure = PMI / IC
 
 says which part of the value's information the word gives away. Words of at least `support` different contexts and a
-disclosure of `generalise_at` are spans of kind `term`; at `remove_at` they are removed, below it generalised.
+disclosure of `generalise_at` (for any value) are spans of kind `term` wherever they stand, also in lines and documents
+without the value; at `remove_at` they are removed, below it generalised.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, NO_ID, blocks, bounded_batches, id_or_none, saved, row_key, text_key
+from .common import _LOWER, NO_ID, blocks, bounded_batches, coded_words, id_or_none, saved, row_key, text_key
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -202,6 +203,48 @@ def disclosures(near: DataFrame, src: DataFrame, lines: int, support: int, least
     return scored.select("e", "t", (pmi / F.log(F.lit(float(lines)) / F.col("n_e"))).alias("disclosure")).where(F.col("disclosure") >= least)
 
 
+def occurrences(src: DataFrame, terms: DataFrame) -> DataFrame:
+    """doc_id, row, t, a, b of the words of whole texts that may be among the terms (a join tells), those that touch a pattern's value left out."""
+    import zlib
+
+    bits = _bits(terms)
+
+    def task(batches):
+        wanted: dict[bytes, str] = {}
+
+        def maybe(w: bytes) -> str:
+            t = wanted.get(w)
+            if t is None:
+                t = term_of(w.decode("utf-8", "surrogatepass"))[0]
+                if t:
+                    h = zlib.crc32(t.encode("utf-8", "surrogatepass")) % FILTER_BITS
+                    if not int(bits[h >> 6]) >> (h & 63) & 1:
+                        t = ""
+                if len(wanted) > 400_000:
+                    wanted.clear()
+                wanted[w] = t
+            return t
+
+        for batch in blocks(batches):
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            own, at, offsets = coded_words(texts)
+            told = [maybe(w) for w in own]
+            hits = np.array([t != "" for t in told] or [False])[at]
+            cols = [[] for _ in range(5)]
+            for i in np.unique(np.searchsorted(offsets, np.flatnonzero(hits), "right") - 1).tolist():
+                first, text = int(offsets[i]), texts[i]
+                spans, key = base_spans(text), text_key(text)
+                for k, m in enumerate(_WORD.finditer(text), first):
+                    if hits[k] and not any(x < m.end() and m.start() < y for x, _, y in spans):
+                        t, lead = told[at[k]], term_of(m[0])[1]
+                        for c, v in zip(cols, (ids[i], key, t, m.start() + lead, m.start() + lead + len(t)), strict=True):
+                            c.append(v)
+            types = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "row", "t", "a", "b"])
+
+    return src.mapInArrow(task, "doc_id long, row long, t string, a int, b int")
+
+
 def find_pii(docs: DataFrame, window: int = 20, support: int = 3, generalise_at: float = 0.8) -> DataFrame:
     """doc_id, row, counts, spans (array of a, k, b) and terms (array of a, b, disclosure) of every row of docs.
 
@@ -215,7 +258,10 @@ def find_pii(docs: DataFrame, window: int = 20, support: int = 3, generalise_at:
     near = base.where(F.size("near") > 0).select("doc_id", "row", F.explode("near").alias("x")).select("doc_id", "row", "x.*")
     lines = base.agg(F.sum("lines")).first()[0] or 1
     told = saved(disclosures(near, src, lines, support, generalise_at), "disclosures")
-    terms = near.join(told, ["e", "t"]).groupBy("doc_id", "row", "a", "b").agg(F.max("disclosure").alias("d"))
+    most = saved(told.groupBy("t").agg(F.max("disclosure").alias("disclosure")), "told-terms")
+    # The words around values are in again: where one is cut at the window's reach, its part is a term of its own.
+    places = occurrences(src, most.select("t")).unionByName(near.select("doc_id", "row", "t", "a", "b"))
+    terms = places.join(most, "t").groupBy("doc_id", "row", "a", "b").agg(F.max("disclosure").alias("d"))
     terms = terms.groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(F.struct("a", "b", "d"))).alias("terms"))
     out = base.select("doc_id", "row", "counts", "spans").join(saved(terms, "term-spans"), ["doc_id", "row"], "left")
     return out
@@ -257,7 +303,7 @@ def redact(text: str | None, spans: list[tuple[int, int, int]], terms: list[tupl
 def sanitised(docs: DataFrame, remove_at: float = 0.95, **options) -> DataFrame:
     """docs with personal data and revealing terms replaced in `text`; rows and other columns stay."""
 
-    plan = find_pii(docs, **options).where("size(spans) > 0").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "spans", "terms").dropDuplicates(["_id", "_row"])
+    plan = find_pii(docs, **options).where("size(spans) > 0 or terms is not null").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "spans", "terms").dropDuplicates(["_id", "_row"])
 
     @F.pandas_udf("string")
     def clean(text, spans, terms):
