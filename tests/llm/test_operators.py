@@ -283,6 +283,20 @@ def test_gru_is_a_distribution_and_its_gradient_is_right():
     assert gru_lm.score_docs(model, docs).sum() > before
 
 
+def test_lm_learns_weights_of_4096_words(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def stop(src, start, known, head, rate):
+        raise Seen(start.w["ib"].ravel()[: start.v].size, start.v, start.classes - start.inner - 1, len(known))
+
+    monkeypatch.setattr(gru_lm, "train", stop)
+    df = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(5000))) for i in range(3)], "doc_id long, text string")
+    with pytest.raises(Seen) as seen:
+        gru_lm.score(df)
+    assert seen.value.args == (4096, 4096, 32, 5000)
+
+
 def test_quality_rules(spark, documents):
     got = run(spark, "op9_quality")
     for d, t in documents.items():
