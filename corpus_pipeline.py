@@ -6,7 +6,7 @@ documents. Rows with null ids or texts and repeated rows are handled as the oper
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradelens.llm import language_id, line_dedup, near_dup, packing, pii
@@ -40,15 +40,20 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays, that of the smallest id."""
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays, that of the smallest id.
+
+    Null ids and ids that rows of other texts repeat don't make a group; only texts do.
+    """
     found = near_dup.near_duplicates(docs, width=5, percent=80)
-    keep = saved(found.where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("row").alias("_row"), F.coalesce("component_id", F.lit(NO_ID)).alias("_c")).distinct(), "kept")
+    least = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("row").alias("_row")))
+    keep = saved(found.where("component is not null").groupBy("component").agg(least.alias("s")).select("s.*"), "kept")
 
     keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_row", row_key())
-    joined = keyed.join(keep.drop("_c"), ["_id", "_row"])
-    # Rows may repeat the smallest id; of them the first by text stays.
-    first = Window.partitionBy("_id").orderBy("_row")
-    return joined.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*docs.columns)
+    # Equal ids with equal texts are one node of a group; of such rows one stays.
+    first = keyed.join(keep, ["_id", "_row"]).dropDuplicates(["_id", "_row"]).select(*docs.columns)
+    # Texts without a word are near-duplicates of nothing.
+    blank = docs.where(~F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    return first.unionByName(blank)
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -389,3 +389,14 @@ def test_pipeline_stages(spark):
     assert (False, 12) not in left[2] and (False, 11) in left[2] and left[2].count((False, 3)) == 1
     assert not docs.where("text like '%@example%'").count()
     assert corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).count() >= docs.count()
+
+
+def test_near_dedup_keeps_one_row_a_group_whatever_the_ids(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    near = text("a") + " more"
+    rows = [(None, text("a")), (None, near), (None, text("b")), (None, text("b")), (None, text("c")), (5, text("d")), (5, text("e")), (5, text("e")), (6, text("e")), (7, text("c")), (8, None), (None, " "), (None, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1, 7, "x") for d, t in rows], DDL)
+    got = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, FOLDER).collect())
+    ours = [(d, t) for d, t in got if d is None and t in (text("a"), near)]
+    assert len(ours) == 1 and set(got.values()) == {1}
+    assert set(got) - set(ours) == {(None, text("b")), (None, text("c")), (5, text("d")), (5, text("e")), (8, None), (None, " "), (None, None)}

@@ -235,11 +235,12 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, row of every row of docs.
+    """doc_id, n_shingles, component_id, kept, row, component of every row of docs.
 
     Null or blank texts have no shingles and are their own component; a null doc_id sorts below all ids and comes back
     null (its component is then null, and it is kept as that component's smallest); rows that repeat a doc_id are
-    nodes of their own by text (row is the text's key).
+    nodes of their own by text (row is the text's key). As null and repeated ids make component_id and kept ambiguous,
+    component tells components apart for sure (their smallest node; null without shingles).
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -270,7 +271,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             comp = components(links.unionAll(more))
     labelled = saved(classes.join(comp, "nid", "left").select("k1", "k2", "label", F.coalesce("c", "nid").alias("c")), "labelled")
     least = saved(labelled.groupBy("c").agg(F.min("label").alias("component_id")), "labels")
-    final = saved(labelled.join(least, "c").select("k1", "k2", "component_id"), "class-components")
+    final = saved(labelled.join(least, "c").select("k1", "k2", "component_id", F.col("c").alias("component")), "class-components")
     out = sketch.select("doc_id", "row", "n", "k1", "k2").join(final, ["k1", "k2"], "left")
     whole = F.coalesce("component_id", "doc_id")
-    return out.select(id_or_none().alias("doc_id"), F.col("n").alias("n_shingles"), F.when(whole != NO_ID, whole).alias("component_id"), (F.col("doc_id") == whole).alias("kept"), "row")
+    return out.select(id_or_none().alias("doc_id"), F.col("n").alias("n_shingles"), F.when(whole != NO_ID, whole).alias("component_id"), (F.col("doc_id") == whole).alias("kept"), "row", "component")

@@ -72,7 +72,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dup import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80).drop("row")
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80).drop("row", "component")
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
