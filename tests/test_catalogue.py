@@ -1,6 +1,7 @@
 """Every registered query of the library against its SQL on the small tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.compare import database, differences
 from tradelens.operators import state
@@ -40,3 +41,12 @@ def test_replace_people(spark):
     old = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "eik int, name string")
     new = spark.createDataFrame([(1, "d")], "eik int, name string")
     assert sorted(map(tuple, state.replace_people(old, new).collect())) == [(1, "d"), (2, "c")]
+
+
+def test_pages_of_a_whole_segment(spark, db):
+    rows = spark.read.parquet(f"{FOLDER}/customer.parquet").where("c_mktsegment = 'BUILDING'")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = state.paged(rows, [F.desc("c_acctbal"), F.asc("c_custkey")], 5).select("c_custkey", "page")
+    out = differences(got, db, "select c_custkey, cast(ceil(row_number() over (order by c_acctbal desc, c_custkey) / 5.0) as int) as page from customer where c_mktsegment = 'BUILDING'")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert out == ""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..llm.common import saved
+
 
 def upsert_domains(old: DataFrame, new: DataFrame) -> DataFrame:
     """domain, first_seen, last_checked: the first sight stays, the check is the newest."""
@@ -121,3 +123,12 @@ def daily_budget(calls: DataFrame, time: str, order: str, most: int) -> DataFram
 def job_state(events: DataFrame, job: str, stage: str, time: str, order: str) -> DataFrame:
     """The furthest stage, the last event's type and how many came, of each job."""
     return events.groupBy(job).agg(F.max(stage).alias("stage"), F.max_by("event_type", F.struct(time, order)).alias("last_type"), F.count(F.lit(1)).alias("n_events"))
+
+
+def paged(rows: DataFrame, order: list, size: int) -> DataFrame:
+    """rows with their page of `size` in a total order: numbered by range partitions, each from its offset."""
+    ranged = saved(rows.repartitionByRange(*order).select("*", F.spark_partition_id().alias("_p")), "ranges")
+    counts = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_size"))  # a row a partition
+    offsets = counts.select("_p", (F.sum("_size").over(Window.orderBy("_p")) - F.col("_size")).alias("_offset"))
+    number = F.col("_offset") + F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return ranged.join(F.broadcast(offsets), "_p").withColumn("page", F.ceil(number / size).cast("int")).drop("_p", "_offset")

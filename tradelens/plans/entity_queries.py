@@ -284,11 +284,8 @@ def job_state(spark, folder):
 
 @query("select c_custkey, cast(ceil(row_number() over (order by c_acctbal desc, c_custkey) / 5.0) as int) as page from customer where c_mktsegment = 'BUILDING' and c_custkey < 400")
 def worklist_page(spark, folder):
-    from pyspark.sql import Window
-
     rows = table(spark, folder, "customer").where("c_mktsegment = 'BUILDING' and c_custkey < 400")
-    n = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy(F.desc("c_acctbal"), "c_custkey"))
-    return rows.select("c_custkey", F.ceil(n / 5).cast("int").alias("page"))
+    return state.paged(rows, [F.desc("c_acctbal"), F.asc("c_custkey")], 5).select("c_custkey", "page")
 
 
 @query("select distinct concat(case when c_custkey % 2 = 0 then 'www' else 'shop' end, cast(c_nationkey as string), '.example.com') as host from customer")
