@@ -18,8 +18,10 @@ LEAST_SCORE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and those that no language claims, go."""
+    """Documents without a letter, and those that no language claims, go; with nothing to learn from, only the former."""
     model = language_id.train(docs)
+    if model is None:
+        return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
     own = [F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]  # so that no column can clash with the verdict's
     told = language_id.identify(docs.select(*own, F.col("text").alias("text")), model, tuple(f"c{i}" for i in range(len(own))))
     return told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -400,3 +400,10 @@ def test_near_dedup_keeps_one_row_a_group_whatever_the_ids(spark):
     ours = [(d, t) for d, t in got if d is None and t in (text("a"), near)]
     assert len(ours) == 1 and set(got.values()) == {1}
     assert set(got) - set(ours) == {(None, text("b")), (None, text("c")), (5, text("d")), (5, text("e")), (8, None), (None, " "), (None, None)}
+
+
+def test_language_stage_without_a_model_keeps_texts_with_letters(spark):
+    docs = spark.createDataFrame([(*r[:2], None, *r[3:]) for r in ODD], DDL)
+    got = corpus_pipeline.identify_language(spark, docs, FOLDER)
+    want = collections.Counter((r[0], r[1]) for r in ODD if r[1] and any(map(str.isalpha, r[1])))
+    assert collections.Counter((r.doc_id, r.text) for r in got.collect()) == want and got.dtypes == docs.dtypes
