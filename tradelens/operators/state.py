@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..llm.common import saved
+from ..sources.tables import written
 
 
 def upsert_domains(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -127,7 +127,7 @@ def job_state(events: DataFrame, job: str, stage: str, time: str, order: str) ->
 
 def paged(rows: DataFrame, order: list, size: int) -> DataFrame:
     """rows with their page of `size` in a total order: numbered by range partitions, each from its offset."""
-    ranged = saved(rows.repartitionByRange(*order).select("*", F.spark_partition_id().alias("_p")), "ranges")
+    ranged = written(rows.repartitionByRange(*order).select("*", F.spark_partition_id().alias("_p")), "ranges")
     counts = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_size"))  # a row a partition
     offsets = counts.select("_p", (F.sum("_size").over(Window.orderBy("_p")) - F.col("_size")).alias("_offset"))
     number = F.col("_offset") + F.row_number().over(Window.partitionBy("_p").orderBy(*order))

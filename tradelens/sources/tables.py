@@ -1,14 +1,36 @@
-"""Captured tables: Parquet by name; a table that isn't there is a source without rows, never an answer of none."""
+"""Captured tables: Parquet by name. A source that no table was captured for is unconfigured, which is not the same as empty."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The captured table; a missing one raises (see source() for sources that may be missing)."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def source(spark: SparkSession, folder: str, name: str, schema: str) -> tuple[DataFrame, str]:
+    """The table with its state: captured, or unconfigured with no rows where nothing was captured under this name."""
+    try:
+        return table(spark, folder, name), "captured"
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema), "unconfigured"
+
+
+def configured(spark: SparkSession, folder: str, names: list[str], schema: str) -> list[tuple[str, DataFrame]]:
+    """The sources that were captured, in the order given; the others are left out."""
+    found = [(n, *source(spark, folder, n, schema)) for n in names]
+    return [(n, df) for n, df, state in found if state == "captured"]
+
+
 def synthesised(spark: SparkSession, folder: str, sql: str, names: tuple[str, ...]) -> DataFrame:
     """A SELECT over tables named in braces."""
     return spark.sql(sql, **{n: table(spark, folder, n) for n in names})
@@ -18,3 +40,25 @@ def url_list(spark: SparkSession, path: str) -> DataFrame:
     """One URL a line; blank lines and comments (#) go."""
     lines = spark.read.text(path)
     return lines.selectExpr("trim(value) as url").where("url <> '' and not url like '#%'")
+
+
+def suffix_rules(spark: SparkSession, path: str) -> DataFrame:
+    """suffix, kind (rule, wildcard, exception) from a file of public suffixes: one rule a line, comments (//) go."""
+    rule = F.regexp_extract("value", r"^\s*(\S+)", 1)
+    lines = spark.read.text(path).select(F.lower(rule).alias("r")).where("r <> '' and not startswith(r, '//')")
+    kind = F.when(F.col("r").startswith("!"), "exception").when(F.col("r").startswith("*."), "wildcard").otherwise("rule")
+    return lines.select(F.regexp_replace("r", r"^(!|\*\.)", "").alias("suffix"), kind.alias("kind")).distinct()
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """Cuts lineage: df as a table in the folder that spark.checkpoint.dir names and all executors share."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='tradelens-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base if '://' in base else f'file://{base}'}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
