@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -25,30 +29,121 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder all executors share, from spark.checkpoint.dir; a temporary one where that is unset, in local mode alone."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='tradelens-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base if "://" in base else f"file://{base}"
 
 
-def work_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+#: Folders that the operator at work has written, and those that live until the process ends (results).
+_scope: ContextVar[list[str] | None] = ContextVar("written", default=None)
+_results: list[tuple[SparkSession, str]] = []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _remove_results() -> None:
+    for spark, path in _results:
+        try:
+            remove(spark, path)
+        except Exception:  # noqa: BLE001, PERF203 - the session may be gone by now
+            return
 
 
-def saved(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts lineage: writes df to the shared folder and reads it back, so lost executors cost no recomputation of it."""
+def work_path(spark: SparkSession, tag: str) -> str:
+    """A new folder's name; what is put there goes when the operator at work is done, or else when the process ends."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    scope = _scope.get()
+    if scope is not None:
+        scope.append(path)
+    else:
+        if not _results:
+            atexit.register(_remove_results)
+        _results.append((spark, path))
+    return path
+
+
+def saved(df: DataFrame, tag: str, rows: int = 2000) -> DataFrame:
+    """Cuts lineage: writes df to the shared folder and reads it back, so lost executors cost no recomputation of it.
+
+    rows: of an Arrow batch, see arrow_batches."""
     spark = df.sparkSession
     path = work_path(spark, tag)
-    df.write.parquet(path)
+    with arrow_batches(spark, rows):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 8 MB, so that very long texts don't multiply by the row limit."""
-    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))):
-        spark.conf.set(key, value)
+_BATCHES = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20):
+    """Arrow batches of at most so many rows and bytes, so that very long texts don't multiply by the row limit; the
+    session's own settings come back at the end."""
+    before = [spark.conf.get(k, None) for k in _BATCHES]
+    try:
+        for k, v in zip(_BATCHES, (rows, size), strict=True):
+            spark.conf.set(k, str(v))
+        yield
+    finally:
+        for k, v in zip(_BATCHES, before, strict=True):
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def operator(f):
+    """An operator over a DataFrame: its result is written as a table, what it wrote on the way is deleted, and the
+    session's settings are those from before."""
+
+    @wraps(f)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        spark, own = docs.sparkSession, []
+        mark = _scope.set(own)
+        try:
+            with arrow_batches(spark):
+                out = f(docs, *args, **options)
+                _scope.reset(mark)
+                mark = None
+                return saved(out, f.__name__)
+        finally:
+            if mark is not None:
+                _scope.reset(mark)
+            for path in own:
+                remove(spark, path)
+
+    return run
+
+
+def shielded(docs: DataFrame) -> DataFrame:
+    """docs with its columns named c0, c1, ... so that no name can clash with an operator's; docs.columns in
+    DataFrame.toDF brings them back."""
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+
+
+def place(docs: DataFrame, name: str) -> str:
+    """The name in shielded(docs) of the column of this very name, or else of the first one whose case alone differs."""
+    for same in (name.__eq__, lambda c: c.lower() == name.lower()):
+        for i, c in enumerate(docs.columns):
+            if same(c):
+                return f"c{i}"
+    raise ValueError(f"no column {name} among {docs.columns}")
+
+
+def pick(docs: DataFrame, *names: str) -> DataFrame:
+    """These columns of docs alone, whatever else it holds."""
+    return shielded(docs).select(*(F.col(place(docs, n)).alias(n) for n in names))
+
+
+def id_text(docs: DataFrame) -> DataFrame:
+    """doc_id (long, NO_ID for null) and text (string)."""
+    return pick(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def blocks(batches: Iterable[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:

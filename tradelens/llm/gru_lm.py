@@ -9,13 +9,17 @@ of a class together count as one), so that
 
 where for tail classes the second factor is (c + 0.1) / (N_class + 0.1 (V_class + 1)).
 
-Training: truncated backpropagation in numpy. Every training document is read once: each task trains a copy of the
-model from the same start (the class and word biases start at the logarithms of the counts) over its rows, many
-documents side by side with the state carried from window to window; the copies' mean, weighted by tokens, is the
-model. Scoring carries the state over the complete document.
+Training: truncated backpropagation in numpy. Every training document is read once. Documents are dealt by hash to
+shards of about `shard_tokens` tokens and to `rounds`: in a round each shard trains a copy of the model on its documents
+of the round, in the order of their hashes, many documents side by side with the state carried from window to window;
+the copies' mean by tokens (of the weights and of the learning rates' sums) is where the next round begins. So a copy
+never strays for longer than a round of one shard, however many shards there are, and neither shards nor rounds depend
+on how the input is partitioned. Class and word biases start at the logarithms of the counts. Scoring carries the state
+over the complete document.
 
 The counts of the `known` most frequent words travel with the tasks (a bound on what is broadcast); rarer words of each
-document meet their counts in a join, whatever their number.
+document meet their counts in a join, whatever their number. Texts are read twice: to count words, and to write each
+document's symbols (two bytes a token), which training and scoring read.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, blocks, bounded_batches, coded_words, held_out, id_or_none, saved, text_key
+from .common import blocks, coded_words, id_or_none, id_text, operator, release, saved, text_key
 
 TAILS = 32
 LANES, WINDOW = 384, 16
@@ -143,8 +147,8 @@ class Gru:
                 dh[order] += back
         return logp, grads, dh
 
-    def learn(self, x, y, fresh, mask, h, rate):
-        """A step of truncated backpropagation over one window; returns the state to carry on."""
+    def gradients(self, x, y, fresh, mask, h):
+        """Of minus the window's log-probability: by weight, those of the embeddings as (rows, gradient); and the state."""
         n, w = self.state, self.w
         states, cache, h = self.window(x, fresh, h)
         t_n, lanes, _ = states.shape
@@ -182,12 +186,29 @@ class Gru:
         order = np.argsort(x.reshape(-1), kind="stable")
         own = x.reshape(-1)[order]
         starts = np.flatnonzero(np.diff(own, prepend=-1))
-        rows, gemb = own[starts], np.add.reduceat(demb[order], starts, axis=0)
+        return grads, (own[starts], np.add.reduceat(demb[order], starts, axis=0)), h
+
+    def learn(self, x, y, fresh, mask, h, rate):
+        """A step of truncated backpropagation over one window; returns the state to carry on."""
+        grads, (rows, gemb), h = self.gradients(x, y, fresh, mask, h)
         for k, g in grads.items():
             self.step(k, slice(None), g, rate)
         self.step("emb", rows, gemb, rate)
         return h
 
+    def flat(self) -> np.ndarray:
+        """All weights, then the sums of squares that set their rates."""
+        names = sorted(self.w)
+        ones = {k: self.sq.get(k, np.ones(self.w[k].shape, np.float32)) for k in names}
+        return np.concatenate([x[k].reshape(-1) for x in (self.w, ones) for k in names]).astype(np.float32)
+
+    def load(self, flat: np.ndarray) -> None:
+        names = sorted(self.w)
+        cuts = np.cumsum([self.w[k].size for _ in range(2) for k in names])[:-1]
+        parts = np.split(flat, cuts)
+        self.w = {k: p.reshape(self.w[k].shape).copy() for k, p in zip(names, parts, strict=False)}
+        self.sq = {k: p.reshape(self.w[k].shape).copy() for k, p in zip(names, parts[len(names) :], strict=True)}
+
     def step(self, key, at, g, rate):
         """AdaGrad on sums over a window's tokens; the start of 1 keeps weights that few tokens touch near theirs."""
         if key not in self.sq:
@@ -316,57 +337,66 @@ def most_frequent(vocab: DataFrame, most: int) -> DataFrame:
     return vocab.where(F.lit(False) if least is None else step >= least).select("w", "c")
 
 
-def train(src: DataFrame, start: Gru, known: list[bytes], head: int, rate: float) -> Gru:
-    """One pass over src (text) by tasks, each from the same start; the mean of their weights by tokens."""
-    names = sorted(start.w)
-    sizes = [start.w[k].size for k in names]
+def train(coded: DataFrame, model: Gru, shards: int, rounds: int, rate: float) -> Gru:
+    """Rounds over coded (h, ids): each shard's copy from where the last round's mean left off (see the module)."""
+    at = F.shiftrightunsigned("h", 1)
+    dealt = coded.select((at % shards).cast("int").alias("shard"), F.floor(at / shards % rounds).cast("int").alias("round"), "h", "ids")
+
+    def one_round(part: DataFrame) -> list:
+        def task(batches):
+            import copy
+
+            def copies(shard, own, tokens):
+                flat = own.flat()
+                parts = [flat[i : i + PART].tobytes() for i in range(0, len(flat), PART)]
+                return pa.RecordBatch.from_pydict({"i": list(range(len(parts))), "n": [tokens] * len(parts), "v": parts}, schema=pa.schema([("i", pa.int64()), ("n", pa.int64()), ("v", pa.binary())]))
+
+            at, own, tokens, held, n = None, None, 0, [], 0
+            for b in batches:
+                for shard, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    if n and (shard != at or n > CHUNK):
+                        train_on(own, held, rate)
+                        tokens, held, n = tokens + n, [], 0
+                    if shard != at:
+                        if at is not None:
+                            yield copies(at, own, tokens)
+                        at, own, tokens = shard, copy.deepcopy(model), 0
+                    held.append(np.frombuffer(ids, "<u2").astype(np.int32))
+                    n += len(held[-1])
+            if at is not None:
+                train_on(own, held, rate)
+                yield copies(at, own, tokens + n)
+            release()
+
+        def mean(batches):
+            sums: dict[int, tuple[float, np.ndarray]] = {}
+            for b in batches:
+                for i, n, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    m, x = sums.get(i, (0.0, 0.0))
+                    sums[i] = (m + n, x + n * np.frombuffer(v, np.float32).astype(np.float64))
+            yield pa.RecordBatch.from_pydict({"i": list(sums), "v": [(x / m).astype(np.float32).tobytes() for m, x in sums.values()]}, schema=pa.schema([("i", pa.int64()), ("v", pa.binary())]))
+
+        ordered = part.repartition(shards, "shard").sortWithinPartitions("shard", "h").select("shard", "ids")
+        trained = saved(ordered.mapInArrow(task, "i long, n long, v binary"), "copies")
+        return trained.repartition("i").mapInArrow(mean, "i long, v binary").collect()  # as many bytes as the model has
+
+    for r in range(rounds):
+        rows = one_round(dealt.where(F.col("round") == r))
+        if rows:
+            model.load(np.frombuffer(b"".join(x.v for x in sorted(rows)), np.float32))
+    model.sq = {}
+    return model
 
-    def task(batches):
-        import copy
 
-        model, table, tokens, held, n = copy.deepcopy(start), Vocabulary(known, head), 0, [], 0
-        for b in blocks(batches):
-            for r in table.rows(*coded_words(b.column(0).to_pylist())):
-                held.append(table.symbols[r])
-                n += len(r)
-            if n > CHUNK:
-                train_on(model, held, rate)
-                tokens, held, n = tokens + n, [], 0
-        if held:
-            train_on(model, held, rate)
-            tokens += n
-        if tokens:
-            flat = np.concatenate([model.w[k].reshape(-1) for k in names]).astype(np.float32)
-            parts = [flat[i : i + PART].tobytes() for i in range(0, len(flat), PART)]
-            yield pa.RecordBatch.from_pydict({"i": list(range(len(parts))), "n": [tokens] * len(parts), "v": parts}, schema=pa.schema([("i", pa.int64()), ("n", pa.int64()), ("v", pa.binary())]))
-
-    def mean(batches):
-        sums: dict[int, tuple[float, np.ndarray]] = {}
-        for b in batches:
-            for i, n, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                m, s = sums.get(i, (0.0, 0.0))
-                sums[i] = (m + n, s + n * np.frombuffer(v, np.float32).astype(np.float64))
-        yield pa.RecordBatch.from_pydict({"i": list(sums), "v": [(s / m).astype(np.float32).tobytes() for m, s in sums.values()]}, schema=pa.schema([("i", pa.int64()), ("v", pa.binary())]))
-
-    copies = saved(src.mapInArrow(task, "i long, n long, v binary"), "copies")
-    rows = copies.repartition("i").mapInArrow(mean, "i long, v binary").collect()  # as many bytes as the model has
-    if rows:
-        flat = np.frombuffer(b"".join(r.v for r in sorted(rows)), np.float32)
-        for k, part in zip(names, np.split(flat, np.cumsum(sizes)[:-1]), strict=True):
-            start.w[k] = part.reshape(start.w[k].shape).copy()
-    start.sq = {}
-    return start
-
-
-def score(docs: DataFrame, head: int = 4096, known: int = 131_072, width: int = 64, state: int = 16, rate: float = 0.1, fold: int = 10) -> DataFrame:
+@operator
+def score(docs: DataFrame, head: int = 4096, known: int = 131_072, width: int = 64, state: int = 16, rate: float = 0.1, fold: int = 10, shard_tokens: int = 4_000_000, rounds: int = 4) -> DataFrame:
     """One row a document: held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Null texts are empty (the end token alone); a null doc_id counts as the empty text in the fold and comes back null;
-    rows that repeat a doc_id are scored each. Without training documents every word is unknown.
+    rows that repeat a doc_id are scored each; an empty table gives no rows; other columns play no part. Without training
+    documents every word is unknown.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"), held_out("doc_id", fold, 0).alias("held_out"))
+    src = id_text(docs).select("doc_id", "text", held_out_of(fold).alias("held_out"))
     training = src.where("not held_out").select("text")
     n_docs = training.select(F.lit(1).alias("x")).count()
     vocab = saved(count_words(training), "vocabulary")
@@ -381,32 +411,22 @@ def score(docs: DataFrame, head: int = 4096, known: int = 131_072, width: int =
     for w, r in zip(names_known[:head], top, strict=False):
         tail_n[tail_class(w)] -= r.c
         tail_v[tail_class(w)] -= 1
-    model = train(training, Gru([r.c for r in top[:head]], n_docs, tail_n, width, state), names_known, head, rate)
     # For each row of the vocabulary: log10(c + 0.1) (0 where a join tells), and what a tail word adds to its class.
     log_tail = np.log10(tail_n + 0.1 * (tail_v + 1))
     base_log = np.concatenate([np.log10(np.array([r.c for r in top], np.float64) + 0.1), np.zeros(TAILS), [np.log10(n_docs + 0.1)]])
     share = np.concatenate([base_log[:head] * 0, [base_log[i] - log_tail[tail_class(w)] for i, w in enumerate(names_known[head:], head)], -log_tail, [0.0]])
     is_known = np.concatenate([np.ones(len(top), np.int64), np.zeros(TAILS, np.int64), [int(n_docs > 0)]])
     # One pass tells each document's row (w is null) and its rare words (the other columns are null).
-    kinds = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("w", pa.binary()), ("n", pa.int64()), ("first", pa.int64())])
-    ddl = "doc_id long, row long, n_tokens long, n_known long, base double, model double, w binary, n long, first long"
+    kinds = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("share", pa.float64()), ("ids", pa.binary()), ("w", pa.binary()), ("n", pa.int64()), ("first", pa.int64())])
+    ddl = "doc_id long, row long, held_out boolean, n_tokens long, n_known long, base double, share double, ids binary, w binary, n long, first long"
 
-    def task(batches):
-        table, ids, keys, rows, n = Vocabulary(names_known, head), [], [], [], 0
+    def code(batches):
+        table = Vocabulary(names_known, head)
 
         def batch(**got):
             size = len(got["doc_id"])
             return pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) if f.name in got else pa.nulls(size, f.type) for f in kinds], schema=kinds)
 
-        def scored():
-            size = np.array([len(r) for r in rows])
-            every, starts = np.concatenate(rows), np.cumsum(size) - size
-            total = score_docs(model, [table.symbols[r] for r in rows]) / np.log(10) + np.add.reduceat(share[every], starts)
-            got = batch(doc_id=ids, row=keys, n_tokens=size, n_known=np.add.reduceat(is_known[every], starts), base=np.add.reduceat(base_log[every], starts), model=total)
-            for held in (ids, keys, rows):
-                held.clear()
-            return got
-
         def rare(doc_ids, doc_keys, own, at, offsets):
             is_rare = np.array([w not in table.known for w in own] or [False])
             doc = np.repeat(np.arange(len(doc_ids)), np.diff(offsets))
@@ -417,22 +437,46 @@ def score(docs: DataFrame, head: int = 4096, known: int = 131_072, width: int =
             return batch(doc_id=doc_ids[doc], row=np.array(doc_keys, np.int64)[doc], w=pa.array(own, pa.binary()).take(pa.array(word)), n=times, first=first.astype(np.int64))
 
         for b in blocks(batches):
-            texts = b.column(1).to_pylist()
-            coded, own_keys = coded_words(texts), list(map(text_key, texts))
-            yield rare(b.column(0).to_numpy(), own_keys, *coded)
-            ids += b.column(0).to_pylist()
-            keys += own_keys
-            rows += table.rows(*coded)
-            n += sum(map(len, rows[-len(texts) :]))
+            texts, ids = b.column(1).to_pylist(), b.column(0).to_numpy()
+            coded, keys = coded_words(texts), list(map(text_key, texts))
+            yield rare(ids, keys, *coded)
+            rows = table.rows(*coded)
+            size = np.array([len(r) for r in rows])
+            every, starts = np.concatenate(rows), np.cumsum(size) - size
+            total = lambda of: np.add.reduceat(of[every], starts)
+            symbols = [table.symbols[r].astype("<u2").tobytes() for r in rows]
+            yield batch(doc_id=ids, row=keys, held_out=b.column(2), n_tokens=size, n_known=total(is_known), base=total(base_log), share=total(share), ids=symbols)
+
+    coded = saved(src.mapInArrow(code, ddl), "coded")
+    rows = coded.where("w is null")
+    start = Gru([r.c for r in top[:head]], n_docs, tail_n, width, state)
+    shards = max(1, -(-n_all // shard_tokens))
+    model = train(rows.where("not held_out").select(F.xxhash64("doc_id", "row").alias("h"), "ids"), start, shards, rounds, rate)
+
+    def tell(batches):
+        held, docs, n = [], [], 0
+        names = ["doc_id", "row", "held_out", "n_tokens", "n_known", "base", "model"]
+
+        def told():
+            got = pa.Table.from_batches(held).combine_chunks()
+            total = score_docs(model, docs) / np.log(10) + got["share"].to_numpy()
+            out = pa.RecordBatch.from_arrays([*(got[c].combine_chunks() for c in names[:-1]), pa.array(total)], names=names)
+            held.clear()
+            docs.clear()
+            return out
+
+        for b in blocks(batches):
+            held.append(b.drop_columns(["ids"]))
+            docs += [np.frombuffer(x, "<u2").astype(np.int32) for x in b.column("ids").to_pylist()]
+            n += sum(map(len, docs[-b.num_rows :]))
             if n > CHUNK:
-                yield scored()
+                yield told()
                 n = 0
-        if rows:
-            yield scored()
+        if held:
+            yield told()
 
-    told = saved(src.select("doc_id", "text").mapInArrow(task, ddl), "scored")
-    main = told.where("w is null").select("doc_id", "row", "n_tokens", "n_known", "base", "model")
-    pairs = told.where("w is not null").select("doc_id", "row", "w", "n", "first")
+    main = saved(rows.select("doc_id", "row", "held_out", "n_tokens", "n_known", "base", "share", "ids").mapInArrow(tell, "doc_id long, row long, held_out boolean, n_tokens long, n_known long, base double, model double"), "told")
+    pairs = coded.where("w is not null").select("doc_id", "row", "w", "n", "first")
     one = F.col("n") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + F.lit(0.1))
     met = pairs.join(vocab, "w", "left").groupBy("doc_id", "row").agg(F.sum(one).alias("rare"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"), F.sum("first").alias("copies"))
     # Equal rows (same doc_id, same text) were summed together.
@@ -440,7 +484,7 @@ def score(docs: DataFrame, head: int = 4096, known: int = 131_072, width: int =
     z = float(np.log10(n_all + 0.1 * (v_all + 1)))
     out = main.join(met, ["doc_id", "row"], "left")
     rare_sum = F.coalesce("rare", F.lit(0.0))
-    return out.select(id_or_none().alias("doc_id"), held_out_of(fold).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), (F.col("base") + rare_sum - F.col("n_tokens") * F.lit(z)).alias("base_score"), (F.col("model") + rare_sum).alias("score"))
+    return out.select(id_or_none().alias("doc_id"), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), (F.col("base") + rare_sum - F.col("n_tokens") * F.lit(z)).alias("base_score"), (F.col("model") + rare_sum).alias("score"))
 
 
 def held_out_of(fold: int):

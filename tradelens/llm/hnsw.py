@@ -1,9 +1,11 @@
 """Approximate nearest neighbours by cosine: a hierarchical navigable small-world graph a shard, results merged.
 
-Rows are dealt evenly to shards of about `shard_rows`, however many there are; equal vectors of a shard are one node
-with its smallest ids (as many as an answer can use). A graph is flat arrays: for each layer its nodes and one row of
-neighbour numbers each. Insertion and search handle many vectors side by side in numpy. Queries meet every shard in
-blocks; candidates found are scored again in double precision on the original vectors.
+Rows are dealt evenly to shards of about `shard_rows`; equal vectors of a shard are one node with its smallest ids (as
+many as an answer can use). A graph is flat arrays: for each layer its nodes and one row of neighbour numbers each.
+Insertion and search handle many vectors side by side in numpy. Queries meet every shard: graphs and blocks of queries
+are dealt by shard and sorted so that a task reads a shard's graph once and streams the blocks past it. What travels is
+each graph once, and each query once a shard. Candidates found are scored again in double precision on the original
+vectors, and a task keeps the best of each query of each shard.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import operator, pick, saved
 
 M, EF_BUILD, EF_SEARCH, BATCH, EXPAND = 16, 96, 224, 512, 4
 
@@ -207,12 +209,15 @@ def build_shard(ids: np.ndarray, vectors: np.ndarray, keep: int) -> bytes:
     return pack_arrays(vectors=nodes, ids=own, held=held, depth=np.array(len(graph.layers)), **layers)
 
 
-def search_shard(blob: bytes, q_ids: np.ndarray, q: np.ndarray, k: int):
-    """(row of q, vec_id, score) of each query's k nearest of the shard, its own id left out."""
+def open_shard(blob: bytes) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
     a = np.load(io.BytesIO(blob))
-    vectors, depth = a["vectors"], int(a["depth"])
-    graph = Graph(unit(vectors), [(a[f"n{i}"], a[f"t{i}"]) for i in range(depth)])
-    ids, held = a["ids"], a["held"]
+    vectors = a["vectors"]
+    return Graph(unit(vectors), [(a[f"n{i}"], a[f"t{i}"]) for i in range(int(a["depth"]))]), vectors, a["ids"], a["held"]
+
+
+def search_shard(shard, q_ids: np.ndarray, q: np.ndarray, k: int):
+    """(row of q, vec_id, score) of each query's k nearest of the shard, its own id left out."""
+    graph, vectors, ids, held = shard
     out = []
     for i in range(0, len(q), BATCH):
         part = slice(i, i + BATCH)
@@ -229,7 +234,8 @@ def search_shard(blob: bytes, q_ids: np.ndarray, q: np.ndarray, k: int):
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def neighbours(vectors: DataFrame, is_query, k: int = 5, shard_rows: int = 8192, block: int = 1024) -> DataFrame:
+@operator
+def neighbours(vectors: DataFrame, is_query, k: int = 5, shard_rows: int = 16384, block: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of each row of vectors (vec_id, embedding) that is_query names.
 
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do vectors of another length
@@ -237,7 +243,7 @@ def neighbours(vectors: DataFrame, is_query, k: int = 5, shard_rows: int = 8192,
     that repeat a query's id and vector are asked once; with other vectors, the id is asked once for each.
     """
     spark = vectors.sparkSession
-    x = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where("vec_id is not null and v is not null")
+    x = pick(vectors, "vec_id", "embedding").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where("vec_id is not null and v is not null")
     x = x.where(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0.0))
     x = saved(x, "vectors")
     sizes = x.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("d")).limit(1).collect()
@@ -256,7 +262,7 @@ def neighbours(vectors: DataFrame, is_query, k: int = 5, shard_rows: int = 8192,
         blob = build_shard(t["vec_id"].to_numpy(), matrix(t["v"]), k + 1)
         return pa.table({"shard": pa.array([t["shard"][0].as_py()], pa.int32()), "graph": pa.array([blob], pa.binary())})
 
-    graphs = saved(dealt.select("shard", "vec_id", "v").groupBy("shard").applyInArrow(build, "shard int, graph binary"), "graphs")
+    graphs = saved(dealt.select("shard", "vec_id", "v").repartition(shards, "shard").groupBy("shard").applyInArrow(build, "shard int, graph binary"), "graphs")
     asked = saved(dealt.where(is_query).select("vec_id", "v").distinct().withColumn("block", F.monotonically_increasing_id()), "asked")
     blocks_n = max(1, -(-asked.count() // block))
     asked = asked.withColumn("block", F.pmod(F.hash("block"), F.lit(blocks_n)))
@@ -266,19 +272,26 @@ def neighbours(vectors: DataFrame, is_query, k: int = 5, shard_rows: int = 8192,
         return pa.table({"block": pa.array([t["block"][0].as_py()], pa.int32()), "asked": pa.array([blob], pa.binary())})
 
     gathered = saved(asked.select("block", "vec_id", "v").groupBy("block").applyInArrow(gather, "block int, asked binary"), "asked-blocks")
-    pairs = gathered.select("block", "asked", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")).join(graphs, "shard").select("block", "asked", "graph")
+    # A graph sorts before the blocks of its shard.
+    met = graphs.select("shard", F.lit(-1).alias("block"), F.col("graph").alias("data")).unionByName(gathered.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "block", F.col("asked").alias("data")))
 
     def search(batches):
         schema = pa.schema([("query_id", pa.int64()), ("q", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+        own, shard = None, None
         for b in batches:
             for i in range(b.num_rows):
-                a = np.load(io.BytesIO(b.column(1)[i].as_py()))
-                r, v, s = search_shard(b.column(2)[i].as_py(), a["ids"], a["q"], k)
-                yield pa.RecordBatch.from_arrays([pa.array(a["ids"][r]), pa.array((r + (b.column(0)[i].as_py() << 32)).astype(np.int64)), pa.array(v), pa.array(s)], schema=schema)
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    # One row is a shard's graph; a batch is to hold few of them.
-    found = saved(pairs.repartition(max(1, shards * blocks_n)).mapInArrow(search, "query_id long, q long, vec_id long, score double"), "found")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+                number, block, data = (b.column(c)[i].as_py() for c in range(3))
+                if block < 0:
+                    own, shard = number, open_shard(data)
+                    continue
+                if own != number:  # a shard that no row was dealt to
+                    continue
+                a = np.load(io.BytesIO(data))
+                r, v, s = search_shard(shard, a["ids"], a["q"], k)
+                yield pa.RecordBatch.from_arrays([pa.array(a["ids"][r]), pa.array((r + (block << 32)).astype(np.int64)), pa.array(v), pa.array(s)], schema=schema)
+
+    # One row is a shard's graph or a block of queries; a batch is to hold few of them.
+    dealt = met.repartition(shards, "shard").sortWithinPartitions("shard", "block")
+    found = saved(dealt.mapInArrow(search, "query_id long, q long, vec_id long, score double"), "found", 4)
     best = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, bounded_batches
+from .common import blocks, operator, pick
 
 BUCKETS = 1 << 17
 #: Words of a segment; segments of all a block's documents advance together.
@@ -230,13 +230,14 @@ class Predictor:
 def train(docs: DataFrame, train_docs: int = 2000, train_chars: int = 8000, fold: int = 3, skip: int = 1) -> Chain | None:
     """Fits on the bounded sample (see the module); fold and skip name the held-out documents, skip None holds out none."""
     ids = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")
-    some = docs.where("lang is not null and text is not null").where(F.length("text") <= train_chars)
+    some = pick(docs, "doc_id", "text", "lang").where("lang is not null and text is not null").where(F.length("text") <= train_chars)
     if skip is not None:
         some = some.where(F.crc32(ids) % fold != skip)
     some = some.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text").alias("h"))
     # Hashes first: eight bytes a row for train_docs rows a task reach the driver, then only the chosen texts.
     last = some.select("h").orderBy("h").limit(train_docs).agg(F.max("h")).first()[0]
-    rows = [] if last is None else some.where(F.col("h") <= last).limit(train_docs).collect()
+    # Rows that tie at the last hash (repeated rows, perhaps with another language) are taken in order of their values.
+    rows = [] if last is None else some.where(F.col("h") <= last).orderBy("h", "text", "lang").limit(train_docs).collect()
     rows.sort(key=lambda r: (r.h, r.text, r.lang))
     return fit([r.text for r in rows], [r.lang for r in rows])
 
@@ -245,13 +246,13 @@ def _has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
+@operator
 def identify(docs: DataFrame, model: Chain | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep` with lang_pred and score.
 
     A null text, and one without a letter, is `und` with score 0; so is every text where no labelled word was there to
     learn from. Rows stay as they are, null or repeated ids included.
     """
-    bounded_batches(docs.sparkSession)
     names = [*keep, "lang_pred", "score"]
 
     def task(batches):

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, NO_ID, blocks, bounded_batches, id_or_none, saved, row_key, text_key
+from .common import _LOWER, NO_ID, blocks, id_text, operator, place, row_key, saved, shielded, text_key
 
 _WHITE = " \t\n\x0b\x0c\r"
 _LINES = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("down", pa.int64()), ("row", pa.int64()), ("at", pa.binary())])
@@ -148,6 +148,7 @@ def dropped_lines(docs: DataFrame, least: int, least_docs: int) -> DataFrame:
     return streamed.where("kind = 'drop'").select("doc_id", "row", "at").unionAll(settled)
 
 
+@operator
 def keep_bitmaps(docs: DataFrame, least: int = 40, least_docs: int = 5) -> DataFrame:
     """doc_id, row, dropped, bitmap of every document that loses lines.
 
@@ -155,8 +156,6 @@ def keep_bitmaps(docs: DataFrame, least: int = 40, least_docs: int = 5) -> DataF
     A null doc_id counts as a document with an id below all others. Rows that repeat a doc_id count as one document
     (row tells them apart by their text).
     """
-    bounded_batches(docs.sparkSession)
-    src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def bitmap(batches):
         for b in batches:
@@ -169,7 +168,7 @@ def keep_bitmaps(docs: DataFrame, least: int = 40, least_docs: int = 5) -> DataF
                 maps.append(zlib.compress(np.packbits(bits).tobytes() + (-len(bits) % 8).to_bytes(1, "little")))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array(maps, pa.binary())], names=["doc_id", "row", "dropped", "bitmap"])
 
-    grouped = dropped_lines(src, least, least_docs).groupBy("doc_id", "row").agg(F.collect_list("at").alias("ats"))
+    grouped = dropped_lines(id_text(docs), least, least_docs).groupBy("doc_id", "row").agg(F.collect_list("at").alias("ats"))
     return grouped.mapInArrow(bitmap, "doc_id long, row long, dropped long, bitmap binary")
 
 
@@ -184,9 +183,13 @@ def kept_lines(text: str | None, bitmap: bytes | None) -> list[str]:
 
 
 def with_bitmaps(docs: DataFrame, least: int = 40, least_docs: int = 5) -> DataFrame:
-    """docs with the column `keep_bitmap` (null: all lines stay)."""
-    maps = keep_bitmaps(docs, least, least_docs).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("bitmap").alias("keep_bitmap"))
+    """docs with one more column, `keep_bitmap` (null: all lines stay), last; a column of this name that docs has stays.
+
+    Columns of docs may have any names, also twice.
+    """
+    maps = keep_bitmaps(docs, least, least_docs).select("doc_id", "row", "bitmap")
 
     # Documents that lose lines are few rows of (id, key, bitmap); texts meet them in one equi-join.
-    keyed = docs.withColumn("_id0", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_row0", row_key())
-    return keyed.join(maps, (F.col("_id0") == F.col("_id")) & (F.col("_row0") == F.col("_row")), "left").drop("_id", "_row", "_id0", "_row0")
+    own = shielded(docs)
+    ids = F.coalesce(F.col(place(docs, "doc_id")).cast("long"), F.lit(NO_ID)) == F.col("doc_id")
+    return own.join(maps, ids & (row_key(place(docs, "text")) == F.col("row")), "left").drop("doc_id", "row").toDF(*docs.columns, "keep_bitmap")

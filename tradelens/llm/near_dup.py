@@ -8,8 +8,9 @@
 4. A candidate passes a screen of set sizes and of one byte a bin (eight standard deviations wide; sets of up to 64
    shingles pass anyhow), then its full sets are compared.
 5. Where a bucket of more than two still holds several components, every pair across components is compared in blocks
-   of about 512 by 512 nodes, whatever the bucket's size (by whole sets of up to 512 shingles, else by the bytes), and
-   what passes is confirmed on full sets. No cap drops a candidate.
+   of about 512 by 512 nodes, whatever the bucket's size (by whole sets of up to 512 shingles, which is the confirming
+   comparison itself, so only confirmed pairs merge components there; else by the bytes), and what passes is confirmed
+   on full sets. No cap drops a candidate. This step's work grows with the square of a split bucket.
 6. Components: smallest label by joins with pointer jumping, a written table each round.
 """
 
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, WordHash, blocks, bounded_batches, id_or_none, mix64, saved, row_key, text_key, words
+from .common import NO_ID, WordHash, blocks, id_or_none, id_text, mix64, operator, row_key, saved, text_key, words
 
 BINS, BANDS, ROWS = 256, 42, 6
 _RNG = np.random.default_rng(20240607)
@@ -133,7 +134,7 @@ def confirmed(edges: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 
 
 def digests(texts: DataFrame, width: int) -> DataFrame:
-    """nid, n, few (up to FEW shingles: all of them, in four bytes each), bytes (else one byte a bin)."""
+    """nid, n, few (up to FEW shingles: all of them, in eight bytes each), bytes (else one byte a bin)."""
 
     def task(batches):
         for b in blocks(batches):
@@ -141,7 +142,7 @@ def digests(texts: DataFrame, width: int) -> DataFrame:
             for text in b.column(1).to_pylist():
                 s = shingles(text, width)
                 cols[0].append(len(s))
-                cols[1].append(np.unique(s.astype(np.uint32)).tobytes() if len(s) <= FEW else b"")
+                cols[1].append(s.tobytes() if len(s) <= FEW else b"")
                 cols[2].append((mix64(minima(s)) & np.uint64(255)).astype(np.uint8).tobytes() if 100 * len(s) > 50 * FEW else bytes(BINS))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["nid", "n", "few", "bytes"])
 
@@ -151,14 +152,14 @@ def digests(texts: DataFrame, width: int) -> DataFrame:
 def block_pairs(rows: list[tuple], same: bool, percent: int) -> list[tuple[int, int]]:
     """Pairs of rows (n, c, nid, i, few, bytes) of different components that may be similar.
 
-    For sets of up to FEW shingles the comparison is that of the sets, so a pair that connects two components makes
-    further pairs between these superfluous.
+    For sets of up to FEW shingles the comparison is that of the full sets, so a pair that connects two components makes
+    further pairs between these superfluous; pairs that only pass the screen merge nothing.
     """
     n, c, nid, i = (np.array([r[k] for r in rows]) for k in range(4))
     byte = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(-1, BINS)
-    sets = [np.frombuffer(r[4], np.uint32) for r in rows]
+    sets = [np.frombuffer(r[4], np.uint64) for r in rows]
     size = np.array([len(s) for s in sets])
-    flat = np.unique(np.concatenate([*sets, [0]]), return_inverse=True)[1][:-1]
+    flat = np.unique(np.concatenate([*sets, np.zeros(1, np.uint64)]), return_inverse=True)[1][:-1]
     ends = np.cumsum(size)
     mark = np.zeros(len(flat) + 1, np.int32)
     comp = np.unique(c, return_inverse=True)[1]
@@ -234,6 +235,7 @@ def components(links: DataFrame) -> DataFrame:
             return comp
 
 
+@operator
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, row, component of every row of docs.
 
@@ -242,9 +244,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     nodes of their own by text (row is the text's key). As null and repeated ids make component_id and kept ambiguous,
     component tells components apart for sure (their smallest node; null without shingles).
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    src = id_text(docs)
     sketch = saved(sketches(src, width), "sketches")
     some = sketch.where("n > 0")
     classes = saved(some.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "row")).alias("s")).select("k1", "k2", F.col("s.doc_id").alias("label"), F.col("s.row").alias("lrow"), F.monotonically_increasing_id().alias("nid")), "classes")

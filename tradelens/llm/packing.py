@@ -4,17 +4,23 @@ Lengths are whole numbers from 1 to the capacity, so a histogram of at most `cap
 needs, whatever the corpus: the driver searches over it, and what it decides is a list of fillings with how many
 sequences take each. Pieces then find their places by their rank among pieces of their length.
 
-Search: take the largest length left, enumerate fillings of the room beside it that no other filling dominates
-(larger pieces first, pruned when even the best completion wastes more than the incumbent filling), and use the best
-one as often as its pieces last. The best-fit filling is the first incumbent of each step, the best-fit packing that
-of the whole; a run whose waste passes the incumbent's is given up, and other branch orders are tried while the
-incumbent is above the bound of total length over capacity.
+Search: take the largest length left and enumerate fillings of the room beside it, as counts of lengths from the
+largest down: whole ones only (no piece left fits into what remains), none that wastes more than the incumbent packing
+leaves, none that another one dominates (its pieces, grouped, fit into the other's pieces one group each: what the
+other leaves over is then never harder to pack). The least wasteful is taken first, as often as its pieces last, then
+once; where the waste passes the bound the search goes back and takes the next, bin after bin. The best-fit packing is
+the first incumbent, each better packing the next, and a packing that meets the lower bound (of total length, and of
+pieces that can't share a sequence) ends the search.
+
+The search is cut off after `steps` fillings tried (each from at most `width` enumerated ones, within `effort` steps);
+beyond that the result is the incumbent, which may be more sequences than the fewest possible.
 """
 
 from __future__ import annotations
 
 import zlib
 from bisect import bisect_right
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, blocks, bounded_batches, id_or_none, saved
+from .common import blocks, id_or_none, id_text, operator, saved
 from .word_bpe import encoder
 
 Filling = dict[int, int]
@@ -43,77 +49,150 @@ def best_fit(lengths: list[int], left: dict[int, int], room: int) -> list[int]:
     return got
 
 
-def completion(lengths: list[int], left: dict[int, int], room: int, nodes: int, items: int, skip: int = 0) -> list[int]:
-    """The filling of the room with the least waste; of equals the one of fewest, largest pieces (it dominates).
-
-    skip passes over so many equally good fillings. Best fit is the incumbent; at most `nodes` steps.
-    """
-    best = best_fit(lengths, left, room)
-    waste = room - sum(best)
-    budget = [nodes, skip]
-
-    def walk(i: int, room: int, got: list[int]) -> None:
-        nonlocal best, waste
-        if room < waste or room == 0 and waste == 0 and budget[1] > 0:
-            if room == 0 and budget[1] > 0:
-                budget[1] -= 1
-            best, waste = list(got), room
-        if room == 0 or len(got) == items:
-            return
-        i = min(i, bisect_right(lengths, room) - 1)
-        while i >= 0 and budget[0] > 0 and not (waste == 0 and budget[1] <= 0):
-            n = lengths[i]
-            if room - n * (items - len(got)) >= waste:  # even this largest piece in every free place wastes as much
-                return
-            if left.get(n, 0) > got.count(n):
-                budget[0] -= 1
-                got.append(n)
-                walk(i, room - n, got)
-                got.pop()
-            i -= 1
-
-    if waste or skip:
-        walk(len(lengths) - 1, room, [])
+def lower_bound(histogram: dict[int, int], capacity: int) -> int:
+    """Sequences that any packing takes: by total length, and for each length k by the pieces above capacity - k (which
+    share with none from k up), those above half (which share with no other such) and what of the others finds no room
+    beside these."""
+    n = np.array(sorted(histogram), np.int64)
+    c = np.array([histogram[x] for x in n.tolist()], np.int64)
+    count, total = np.append(0, np.cumsum(c)), np.append(0, np.cumsum(n * c))
+    best, half = -(-int(total[-1]) // capacity), int(np.searchsorted(n, capacity // 2, "right"))
+    for k in [0, *n[:half].tolist()]:
+        lo, hi = int(np.searchsorted(n, k)), int(np.searchsorted(n, capacity - k, "right"))
+        pairless, middle = int(count[-1] - count[hi]), int(count[hi] - count[half])
+        rest = int(total[half] - total[lo]) - (middle * capacity - int(total[hi] - total[half]))
+        best = max(best, pairless + middle + max(0, -(-rest // capacity)))
     return best
 
 
-def _run(histogram: dict[int, int], capacity: int, choose, most: int | None) -> list[tuple[Filling, int]] | None:
-    """Fillings with multiplicities; None once more than `most` sequences are sure to be needed."""
-    left, out, bins, free = dict(histogram), [], 0, None if most is None else most * capacity - sum(n * k for n, k in histogram.items())
+def fits_into(pieces: list[int], bins: list[int]) -> bool:
+    """Whether pieces (largest first) can be grouped into the bins, a sum of at most its size in each."""
+    if not pieces:
+        return True
+    seen = set()
+    for i, room in enumerate(bins):
+        if room >= pieces[0] and room not in seen:
+            seen.add(room)
+            if fits_into(pieces[1:], [*bins[:i], room - pieces[0], *bins[i + 1 :]]):
+                return True
+    return False
+
+
+def fillings(lengths: list[int], left: dict[int, int], room: int, waste: int, width: int, effort: int) -> list[tuple[int, ...]]:
+    """Undominated whole fillings of the room that leave at most `waste`, least waste and fewest pieces first.
+
+    lengths ascend. The best-fit filling is among them if it leaves no more; at most `width`, within `effort` steps.
+    """
+    own = [n for n in lengths if left[n] and n <= room]
+    if not own:
+        return [()] if room <= waste else []
+    # reach[i]: what the lengths up to the i-th sum up to in all, so that branches that can't fill the room end early.
+    reach, sum_ = [], 0
+    for n in own:
+        sum_ += n * left[n]
+        reach.append(sum_)
+    least, found, spent = own[0], {}, 0
+    first = best_fit(lengths, left, room)
+    if room - sum(first) <= waste:
+        found[tuple(first)] = room - sum(first)
+    # Each entry: the next length's number, the room, the pieces so far, and the smallest length passed over with pieces left.
+    stack = [(len(own) - 1, room, (), room + 1)]
+    while stack and spent < effort and len(found) < width:
+        i, free, got, passed = stack.pop()
+        spent += 1
+        if i < 0 or free < least:
+            if free <= waste and free < passed and not (i >= 0 and own[0] <= free):
+                found.setdefault(got, free)
+            continue
+        if free - min(reach[i], free) > waste:
+            continue
+        n = own[i]
+        if n > free:
+            j = bisect_right(own, free, 0, i) - 1
+            stack.append((j, free, got, passed))
+            continue
+        most = min(left[n], free // n)
+        for k in range(most + 1):  # the most of a length is tried first
+            stack.append((i - 1, free - k * n, got + (n,) * k, min(passed, n) if k < left[n] else passed))
+    out: list[tuple[int, ...]] = []
+    for got in sorted(found, key=lambda g: (found[g], len(g))):
+        if not any(len(got) <= 12 and len(other) <= 12 and fits_into(list(got), list(other)) for other in out):
+            out.append(got)
+    return out
+
+
+def _greedy(histogram: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
+    """The best-fit packing: the largest piece left, then the largest that fits, again and again."""
+    left, out = dict(histogram), []
     lengths = sorted(left)
     while lengths:
         top = lengths[-1]
         left[top] -= 1
-        filling: Filling = {top: 1}
-        for n in choose(lengths, left, capacity - top):
-            filling[n] = filling.get(n, 0) + 1
+        filling = Counter([top, *best_fit(lengths, left, capacity - top)])
         left[top] += 1
         times = min(left[n] // k for n, k in filling.items())
         for n, k in filling.items():
             left[n] -= k * times
-        out.append((filling, times))
-        bins += times
-        if free is not None:
-            free -= times * (capacity - sum(n * k for n, k in filling.items()))
-            if free < 0 and left and any(left.values()):
-                return None
+        out.append((dict(filling), times))
         lengths = [n for n in lengths if left[n]]
-    return out if most is None or bins <= most else None
+    return out
 
 
-def plan(histogram: dict[int, int], capacity: int, nodes: int = 2000, items: int = 6, orders: int = 3) -> list[tuple[Filling, int]]:
-    """Fillings that use every piece of the histogram once."""
+def plan(histogram: dict[int, int], capacity: int, steps: int = 5_000, width: int = 64, effort: int = 3000) -> list[tuple[Filling, int]]:
+    """Fillings with multiplicities that use every piece of the histogram once; see the module for the search."""
     histogram = {n: k for n, k in histogram.items() if k}
     assert all(1 <= n <= capacity for n in histogram)
-    best = _run(histogram, capacity, best_fit, None)
-    bound = -(-sum(n * k for n, k in histogram.items()) // capacity)
-    for order in range(orders):
-        bins = sum(t for _, t in best)
-        if bins <= bound:
-            break
-        found = _run(histogram, capacity, lambda a, b, room, skip=order: completion(a, b, room, nodes, items, skip), bins)
-        if found and sum(t for _, t in found) < bins:
-            best = found
+    best, bound, total = _greedy(histogram, capacity), lower_bound(histogram, capacity) if histogram else 0, sum(n * k for n, k in histogram.items())
+    bins = sum(t for _, t in best)
+    left, taken, used = dict(histogram), [], 0
+
+    def choices(spare: int):
+        """The ways to fill the next sequence, none if no piece is left."""
+        lengths = [n for n in sorted(left) if left[n]]
+        top = lengths[-1]
+        left[top] -= 1
+        got = fillings(lengths, left, capacity - top, min(spare, capacity), width, effort)
+        left[top] += 1
+        for one in got:
+            filling = Counter((top, *one))
+            most = min(left[n] // k for n, k in filling.items())
+            for times in (most, 1) if most > 1 else (1,):
+                yield dict(filling), times, times * (capacity - top - sum(one))
+
+    def spare() -> int:
+        """What may still be wasted by a packing of fewer sequences than the incumbent's."""
+        return (bins - 1) * capacity - total - sum(w for _, _, w in taken)
+
+    stack, spent = [choices(spare())] if bins > bound else [], 0
+    while stack and spent < steps:
+        step = next(stack[-1], None)
+        if step is None:
+            stack.pop()
+            if taken:
+                filling, times, _ = taken.pop()
+                used -= times
+                for n, k in filling.items():
+                    left[n] += k * times
+            continue
+        filling, times, waste = step
+        spent += 1
+        if waste > spare():
+            continue
+        for n, k in filling.items():
+            left[n] -= k * times
+        taken.append((filling, times, waste))
+        used += times
+        if any(left.values()):
+            stack.append(choices(spare()))
+            continue
+        if used < bins:
+            best, bins = [(f, t) for f, t, _ in taken], used
+            if bins <= bound:
+                break
+        filling, times, _ = taken.pop()
+        used -= times
+        for n, k in filling.items():
+            left[n] += k * times
     return best
 
 
@@ -146,7 +225,6 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int) -> DataFrame:
     """The documents' pieces with `nth`, each one's number among pieces of its length in its chunk (a task's rows)."""
-    bounded_batches(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
     def task(batches):
@@ -162,10 +240,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int) ->
                     seen[n] = seen.get(n, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECES, strict=True)], schema=_PIECES)
 
-    src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return saved(src.mapInArrow(task, "doc_id long, piece int, start long, length long, ids_crc32 long, chunk long, nth long"), "pieces")
+    return saved(id_text(docs).mapInArrow(task, "doc_id long, piece int, start long, length long, ids_crc32 long, chunk long, nth long"), "pieces")
 
 
+@operator
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """Every piece with its sequence and offset.
 

@@ -1,20 +1,25 @@
 """Personal data by patterns, and words that give protected values away, by corpus co-occurrence.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers. For every value found, the words around it
-(`window` words on either side in its line) are its context. Over the whole corpus, with T lines, n(e) of them with
-the value, n(t) with the word and n(t, e) with both,
+(`window` words on either side in its line, whole ones within 40 characters a word) are its context. Over the whole
+corpus, with T lines, n(e) of them with the value, n(t) with the word and n(t, e) with the word in the value's context,
 
     IC(e) = log(T / n(e)),  PMI(t; e) = log(n(t, e) T / (n(t) n(e))),  disclosure = PMI / IC
 
-says which part of the value's information the word gives away. Words of at least `support` different contexts and a
-disclosure of `generalise_at` (for any value) are spans of kind `term` wherever they stand, also in lines and documents
-without the value; at `remove_at` they are removed, below it generalised.
+says which part of the value's information the word gives away; a value that stands in every line has none to give
+(disclosure 0). Words of at least `support` different contexts and a disclosure of `generalise_at` (for any value) are
+spans of kind `term` wherever they stand, also in lines and documents without the value; at `remove_at` they are
+removed, below it generalised.
+
+All searches take time in proportion to the text, whatever it holds: an e-mail address is looked for once an @, an
+address of numbers once a run of digits, and words meet spans by bisection.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +27,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, NO_ID, blocks, bounded_batches, coded_words, id_or_none, saved, row_key, text_key
+from .common import _LOWER, NO_ID, blocks, coded_words, id_or_none, id_text, operator, place, row_key, saved, shielded, text_key
 
 KINDS = ("email", "ip", "card", "phone", "term")
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_RUN_R = re.compile(r"[A-Za-z0-9._%+@-]*")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+# A run of digits that doesn't begin a match holds none, so runs are tried from their first digit alone.
+_IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_WHITE = " \t\n\x0b\x0c\r"
+_GAP = re.compile(r"[\x20\x09-\x0D]")
 _EDGES = ".,;:!?()[]{}\"'|#*$%&<>="
 #: Bits of the filter that tells the counting pass which words matter; fixed, so it never grows with the corpus.
 FILTER_BITS = 1 << 23
@@ -47,27 +55,22 @@ def luhn(digits: str) -> bool:
 
 
 def emails(text: str) -> list[tuple[int, int]]:
-    """Matches lie within runs of the pattern's characters, so only runs around an @ are searched."""
-    out, at, done = [], text.find("@"), 0
-    allowed = _ALLOWED
+    """Each @ with the characters that may stand before it, from the match before on, and the domain after it."""
+    out, done, at = [], 0, text.find("@")
     while at >= 0:
-        a = at
-        while a > done and text[a - 1] in allowed:
-            a -= 1
-        b = _RUN_R.match(text, at).end()
-        out += [m.span() for m in _EMAIL.finditer(text, a, b)]
-        done = b
-        at = text.find("@", b)
+        first = done + len(text[done:at].rstrip(_LOCAL))
+        m = _DOMAIN.match(text, at + 1) if first < at else None
+        if m:
+            out.append((first, m.end()))
+        done = m.end() if m else at + 1
+        at = text.find("@", done)
     return out
 
 
-_ALLOWED = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+@-")
-
-
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's number, end) of pattern matches that pass, by start and kind."""
     out = [(a, 0, b) for a, b in emails(text)]
-    for m in _IP.finditer(text):
+    for m in _IP.finditer(text) if "." in text else ():
         if all(len(p.lstrip("0")) <= 3 and int(p[-4:]) <= 255 for p in m[0].split(".")):
             out.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
@@ -91,50 +94,85 @@ def term_of(word: str) -> tuple[str, int]:
     return w.encode("utf-8", "surrogatepass").translate(_LOWER).decode("utf-8", "surrogatepass"), lead
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]], window: int) -> list[tuple[str, int, str, int, int]]:
-    """(value, context's hash, term, start, end) of the words around each span, within its line."""
-    out = []
+class Cover:
+    """What the spans cover, as intervals apart from each other: whether one of them meets a stretch, by bisection."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.first, self.end = [], []
+        for a, _, b in sorted(spans):
+            if self.end and a <= self.end[-1]:
+                self.end[-1] = max(self.end[-1], b)
+            else:
+                self.first.append(a)
+                self.end.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        i = bisect_right(self.end, a)
+        return i < len(self.first) and self.first[i] < b
+
+
+def whole_words(text: str, lo: int, hi: int, line: tuple[int, int]) -> tuple[int, int]:
+    """lo and hi moved inwards to the borders of words where they cut one of the line's words."""
+    if line[0] < lo < hi and text[lo - 1] not in _WHITE:
+        m = _GAP.search(text, lo, hi)
+        lo = m.start() if m else hi
+    if lo < hi < line[1] and text[hi] not in _WHITE:
+        hi = max(lo, *(text.rfind(c, lo, hi) for c in _WHITE))
+    return lo, hi
+
+
+def contexts(text: str, spans: list[tuple[int, int, int]], window: int) -> tuple[list[tuple], dict[str, int]]:
+    """(value, context's hash, term, start, end, 1 where it is the term's first in a context of the value in its line) of
+    the words around each span, within its line; and in how many lines each value is."""
+    out, lines, told, cover = [], {}, set(), Cover(spans)
+    ends = [m.start() for m in re.finditer("\n", text)]
     for a, kind, b in spans:
         entity = f"{KINDS[kind]}:{text[a:b].lower()}"
-        lo, hi = text.rfind("\n", 0, a) + 1, text.find("\n", b)
-        hi = len(text) if hi < 0 else hi
-        reach = window * 40  # words beyond so many characters are too far
-        lo, hi = max(lo, a - reach), min(hi, b + reach)
+        at, after = bisect_left(ends, a), bisect_left(ends, b)
+        lo = ends[at - 1] + 1 if at else 0
+        line = (lo, ends[after] if after < len(ends) else len(text))
+        lines.setdefault(entity, set()).add(lo)
+        lo, _ = whole_words(text, max(lo, a - 40 * window), a, line)
+        _, hi = whole_words(text, b, min(line[1], b + 40 * window), line)
         near = [m for m in _WORD.finditer(text, lo, a)][-window:] + [m for m in _WORD.finditer(text, b, hi)][:window]
         if not near:
             continue
         where = xxhash.xxh3_64_intdigest(text[near[0].start() : near[-1].end()].encode("utf-8", "surrogatepass")) - 2**63
         for m in near:
-            if any(x < m.end() and m.start() < y for x, _, y in spans):
+            if cover.meets(m.start(), m.end()):
                 continue
             t, lead = term_of(m[0])
             if t:
-                out.append((entity, where, t, m.start() + lead, m.start() + lead + len(t)))
-    return out
+                key = (entity, t, line[0])
+                out.append((entity, where, t, m.start() + lead, m.start() + lead + len(t), int(key not in told)))
+                told.add(key)
+    return out, {e: len(x) for e, x in lines.items()}
 
 
-_FOUND_DDL = "doc_id long, row long, lines long, counts array<long>, spans array<struct<a:int,k:int,b:int>>, near array<struct<e:string,w:long,t:string,a:int,b:int>>"
+_FOUND_DDL = "doc_id long, row long, lines long, counts array<long>, spans array<struct<a:int,k:int,b:int>>, near array<struct<e:string,w:long,t:string,a:int,b:int,f:int>>, held array<struct<e:string,n:long>>"
 
 
 def found(src: DataFrame, window: int) -> DataFrame:
     spans_t = pa.list_(pa.struct([("a", pa.int32()), ("k", pa.int32()), ("b", pa.int32())]))
-    near_t = pa.list_(pa.struct([("e", pa.string()), ("w", pa.int64()), ("t", pa.string()), ("a", pa.int32()), ("b", pa.int32())]))
+    near_t = pa.list_(pa.struct([("e", pa.string()), ("w", pa.int64()), ("t", pa.string()), ("a", pa.int32()), ("b", pa.int32()), ("f", pa.int32())]))
+    held_t = pa.list_(pa.struct([("e", pa.string()), ("n", pa.int64())]))
+    names = ["doc_id", "row", "lines", "counts", "spans", "near", "held"]
 
     def task(batches):
         for batch in blocks(batches):
-            cols = [[] for _ in range(6)]
+            cols = [[] for _ in names]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 t = text or ""
                 spans = base_spans(t)
                 counts = [0] * 4
                 for _, k, _ in spans:
                     counts[k] += 1
-                near = contexts(t, spans, window) if spans else []
-                row = (doc_id, text_key(text), t.count("\n") + 1, counts, [{"a": a, "k": k, "b": b} for a, k, b in spans], [dict(zip("ewtab", x, strict=True)) for x in near])
+                near, held = contexts(t, spans, window) if spans else ([], {})
+                row = (doc_id, text_key(text), t.count("\n") + 1, counts, [{"a": a, "k": k, "b": b} for a, k, b in spans], [dict(zip("ewtabf", x, strict=True)) for x in near], [{"e": e, "n": n} for e, n in held.items()])
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), spans_t, near_t)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "row", "lines", "counts", "spans", "near"])
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), spans_t, near_t, held_t)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
     return src.mapInArrow(task, _FOUND_DDL)
 
@@ -156,7 +194,7 @@ def line_counts(src: DataFrame, terms: DataFrame) -> DataFrame:
     bits = _bits(terms)
 
     def task(batches):
-        wanted: dict[str, str] = {}
+        wanted: dict[bytes, str] = {}
         total: dict[str, int] = {}
 
         def rows():
@@ -166,12 +204,12 @@ def line_counts(src: DataFrame, terms: DataFrame) -> DataFrame:
 
         for batch in blocks(batches):
             for text in batch.column(0).to_pylist():
-                for line in (text or "").split("\n"):
+                for line in (text or "").encode("utf-8", "surrogatepass").split(b"\n"):
                     terms_here = set()
-                    for w in line.split():
+                    for w in line.split():  # of bytes: the white space of _WORD
                         t = wanted.get(w)
                         if t is None:
-                            t = term_of(w)[0]
+                            t = term_of(w.decode("utf-8", "surrogatepass"))[0]
                             if t:
                                 h = zlib.crc32(t.encode("utf-8", "surrogatepass")) % FILTER_BITS
                                 if not int(bits[h >> 6]) >> (h & 63) & 1:
@@ -188,19 +226,21 @@ def line_counts(src: DataFrame, terms: DataFrame) -> DataFrame:
         yield rows()
 
     counted = src.select("text").mapInArrow(task, "t string, n_t long").groupBy("t").agg(F.sum("n_t").alias("n_t"))
-    return counted.join(terms, "t")
+    return terms.join(counted, "t", "left").select("t", F.coalesce("n_t", F.lit(0)).alias("n_t"))
 
 
-def disclosures(near: DataFrame, src: DataFrame, lines: int, support: int, least: float) -> DataFrame:
-    """e, t, disclosure of the pairs at or above the threshold; near: e, w, t, doc_id, row."""
-    seen = near.groupBy("e", "t", "w").agg(F.count(F.lit(1)).alias("n"))
+def disclosures(near: DataFrame, held: DataFrame, src: DataFrame, lines: int, support: int, least: float) -> DataFrame:
+    """e, t, disclosure of the pairs at or above the threshold; near: e, w, t, f; held: e, n (see contexts)."""
+    seen = near.groupBy("e", "t", "w").agg(F.sum("f").alias("n"))
     pairs = saved(seen.groupBy("e", "t").agg(F.count(F.lit(1)).alias("support"), F.sum("n").alias("n_te")).where(F.col("support") >= support), "pairs")
-    values = near.select("e", "doc_id", "row", "w").distinct().groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
+    values = held.groupBy("e").agg(F.sum("n").alias("n_e"))
     terms = saved(pairs.select("t").distinct(), "terms")
     n_t = saved(line_counts(src, terms), "term-lines")
     scored = pairs.join(n_t, "t").join(saved(values, "values"), "e")
+    # A part of a word that a value cuts may be in no line as a word; it is in n_te at least.
     pmi = F.log(F.col("n_te") * F.lit(float(lines)) / (F.greatest("n_t", "n_te") * F.col("n_e")))
-    return scored.select("e", "t", (pmi / F.log(F.lit(float(lines)) / F.col("n_e"))).alias("disclosure")).where(F.col("disclosure") >= least)
+    content = F.log(F.lit(float(lines)) / F.col("n_e"))
+    return scored.select("e", "t", F.when(content > 0, pmi / content).otherwise(0.0).alias("disclosure")).where(F.col("disclosure") >= least)
 
 
 def occurrences(src: DataFrame, terms: DataFrame) -> DataFrame:
@@ -233,9 +273,9 @@ def occurrences(src: DataFrame, terms: DataFrame) -> DataFrame:
             cols = [[] for _ in range(5)]
             for i in np.unique(np.searchsorted(offsets, np.flatnonzero(hits), "right") - 1).tolist():
                 first, text = int(offsets[i]), texts[i]
-                spans, key = base_spans(text), text_key(text)
+                cover, key = Cover(base_spans(text)), text_key(text)
                 for k, m in enumerate(_WORD.finditer(text), first):
-                    if hits[k] and not any(x < m.end() and m.start() < y for x, _, y in spans):
+                    if hits[k] and not cover.meets(m.start(), m.end()):
                         t, lead = told[at[k]], term_of(m[0])[1]
                         for c, v in zip(cols, (ids[i], key, t, m.start() + lead, m.start() + lead + len(t)), strict=True):
                             c.append(v)
@@ -245,26 +285,25 @@ def occurrences(src: DataFrame, terms: DataFrame) -> DataFrame:
     return src.mapInArrow(task, "doc_id long, row long, t string, a int, b int")
 
 
+@operator
 def find_pii(docs: DataFrame, window: int = 20, support: int = 3, generalise_at: float = 0.8) -> DataFrame:
     """doc_id, row, counts, spans (array of a, k, b) and terms (array of a, b, disclosure) of every row of docs.
 
-    Null texts are empty; a null doc_id stays null; rows that repeat a doc_id are told apart by text (row), and equal
-    rows each come back. An empty table gives no rows.
+    Null texts are empty; a null doc_id is NO_ID; rows that repeat a doc_id are told apart by text (row), and equal
+    rows each come back. An empty table gives no rows. Other columns of docs, whatever their names, play no part.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    src = id_text(docs)
     base = saved(found(src, window), "pii")
     near = base.where(F.size("near") > 0).select("doc_id", "row", F.explode("near").alias("x")).select("doc_id", "row", "x.*")
+    held = base.where(F.size("held") > 0).select(F.explode("held").alias("x")).select("x.*")
     lines = base.agg(F.sum("lines")).first()[0] or 1
-    told = saved(disclosures(near, src, lines, support, generalise_at), "disclosures")
+    told = saved(disclosures(near, held, src, lines, support, generalise_at), "disclosures")
     most = saved(told.groupBy("t").agg(F.max("disclosure").alias("disclosure")), "told-terms")
-    # The words around values are in again: where one is cut at the window's reach, its part is a term of its own.
+    # The words around values are in again: one that a value cuts is a term of its own.
     places = occurrences(src, most.select("t")).unionByName(near.select("doc_id", "row", "t", "a", "b"))
     terms = places.join(most, "t").groupBy("doc_id", "row", "a", "b").agg(F.max("disclosure").alias("d"))
     terms = terms.groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(F.struct("a", "b", "d"))).alias("terms"))
-    out = base.select("doc_id", "row", "counts", "spans").join(saved(terms, "term-spans"), ["doc_id", "row"], "left")
-    return out
+    return base.select("doc_id", "row", "counts", "spans").join(saved(terms, "term-spans"), ["doc_id", "row"], "left")
 
 
 def span_text(spans: list[tuple[int, int, int]]) -> str:
@@ -301,22 +340,22 @@ def redact(text: str | None, spans: list[tuple[int, int, int]], terms: list[tupl
 
 
 def sanitised(docs: DataFrame, remove_at: float = 0.95, **options) -> DataFrame:
-    """docs with personal data and revealing terms replaced in `text`; rows and other columns stay."""
-
-    plan = find_pii(docs, **options).where("size(spans) > 0 or terms is not null").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "spans", "terms").dropDuplicates(["_id", "_row"])
+    """docs with personal data and revealing terms replaced in `text`; rows and other columns stay, whatever their names."""
+    plan = find_pii(docs, **options).where("size(spans) > 0 or terms is not null").select("doc_id", "row", "spans", "terms").dropDuplicates(["doc_id", "row"])
 
     @F.pandas_udf("string")
     def clean(text, spans, terms):
+        import pandas as pd
+
         out = []
         for t, s, m in zip(text, spans, terms, strict=True):
             if s is None:
                 out.append(t)
             else:
                 out.append(redact(t, [(x["a"], x["k"], x["b"]) for x in s], [(x["a"], x["b"], x["d"]) for x in m] if m is not None else [], remove_at))
-        import pandas as pd
-
         return pd.Series(out, dtype=object)
 
-    keyed = docs.withColumn("_id0", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_row0", row_key())
-    joined = keyed.join(saved(plan, "pii-plan").withColumnsRenamed({"spans": "_spans", "terms": "_terms"}), (F.col("_id0") == F.col("_id")) & (F.col("_row0") == F.col("_row")), "left")
-    return joined.withColumn("text", clean(F.col("text").cast("string"), "_spans", "_terms")).select(*docs.columns)
+    text = place(docs, "text")
+    ids = F.coalesce(F.col(place(docs, "doc_id")).cast("long"), F.lit(NO_ID)) == F.col("doc_id")
+    joined = shielded(docs).join(plan, ids & (row_key(text) == F.col("row")), "left")
+    return joined.withColumn(text, clean(F.col(text).cast("string"), "spans", "terms")).drop("doc_id", "row", "spans", "terms").toDF(*docs.columns)

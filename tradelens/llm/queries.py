@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, held_out, table
+from .common import blocks, held_out, operator, table
 
 
 def tokenizer_path() -> str:
@@ -46,6 +46,10 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import kept_lines, with_bitmaps
 
+    @operator
+    def line_dedup(docs: DataFrame) -> DataFrame:
+        return with_bitmaps(docs).mapInArrow(digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+
     schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string())])
 
     def digest(batches):
@@ -58,8 +62,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                 sha.append(hashlib.sha256("\n".join(lines).encode("utf-8", "surrogatepass")).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n), pa.array(gone), pa.array(sha)], schema=schema)
 
-    out = with_bitmaps(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "text", "keep_bitmap").mapInArrow(digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,16 @@
 """SentencePiece encoding and decoding in batched numpy.
 
 Different chunks (a run of spaces with what follows) of one length advance together; prefix hashes give the hash of
-any substring, which probes the sorted hashes of the pieces. For a unigram model, Viterbi takes vectorised maxima over
-the piece that ends at each character and stores backpointers. The public model at hand is a BPE model, whose right
-result is not the best-scoring path but that of merging the best adjacent pair first; its chunks go through the same
-probes, one vectorised maximum over all pairs a step, so all chunks of one length lose one symbol a step. Characters
-that no piece covers become byte pieces.
+every substring of up to the longest piece's length, and one probe of the sorted hashes of the pieces tells its score.
+Two segmentations read these scores:
+
+* Viterbi: vectorised maxima over the piece that ends at each character store backpointers; of equal paths the one with
+  the longest last piece counts. Its result is that of a unigram model with these pieces and scores.
+* Pair merging: the public model at hand is a BPE model, whose own result is not the best-scoring path but that of merging
+  the best adjacent pair first; one vectorised maximum over all pairs a step, so all chunks of one length lose one symbol
+  a step.
+
+Characters that no piece covers become byte pieces.
 """
 
 from __future__ import annotations
@@ -20,13 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, bounded_batches, mix64
+from .common import blocks, mix64, operator, pick
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = re.compile(r"\n| +[^ \n]*|[^ \n]+")
 _SPACE = "▁"
 #: Chunks of more characters are merged one by one with a heap.
 LONG = 64
+#: Substrings probed at a time: bounds a task's memory.
+CELLS = 1_000_000
 
 
 def _powers(n: int) -> np.ndarray:
@@ -37,11 +44,11 @@ def _powers(n: int) -> np.ndarray:
 class Pieces:
     """A model's pieces: hashes sorted for probing, and the bytes that each id decodes to."""
 
-    def __init__(self, path: str, kind: str = "bpe"):
+    def __init__(self, path: str):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.kind, n = kind, sp.piece_size()
+        n = sp.piece_size()
         names = [sp.id_to_piece(i) for i in range(n)]
         plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         hashes = np.array([int(self.prefix(self.points([names[i]]))[0, -1]) for i in plain], np.uint64)
@@ -57,7 +64,7 @@ class Pieces:
         text = [names[i].encode() if i in own else back.get(i, b"") for i in range(n)]
         self.size = np.array([len(t) for t in text], np.int64)
         self.flat, self.first = np.frombuffer(b"".join(text), np.uint8), np.cumsum(self.size) - self.size
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, tuple[bytes, bytes]] = {}
 
     @staticmethod
     def points(chunks: list[str]) -> np.ndarray:
@@ -75,10 +82,22 @@ class Pieces:
         at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
         return at, self.keys[at] == hashes
 
-    def merged(self, h: np.ndarray) -> list[np.ndarray]:
+    def substrings(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By chunk, start and length less 1: the piece's id and its score (-1 and minus infinity where there is none)."""
+        n, width = h.shape
+        most = min(self.longest, width - 1)
+        ids, scores = np.full((n, width, most), -1, np.int32), np.full((n, width, most), -np.inf)
+        power = _powers(most)
+        for k in range(1, most + 1):
+            at, hit = self.probe(mix64(h[:, k:] - h[:, : width - k] * power[k]))
+            ids[:, : width - k, k - 1] = np.where(hit, self.ids[at], -1)
+            scores[:, : width - k, k - 1] = np.where(hit, self.scores[at], -np.inf)
+        return ids, scores
+
+    @staticmethod
+    def merged(scores: np.ndarray) -> list[np.ndarray]:
         """Symbol borders of each chunk after merging the best pair (the leftmost of equals) until none is a piece."""
-        n, width = len(h), h.shape[1]
-        power = _powers(width)
+        n, width, most = scores.shape
         out: list[np.ndarray] = [np.empty(0, np.int64)] * n
         row, b = np.arange(n), np.tile(np.arange(width), (n, 1))
         while len(row):
@@ -86,10 +105,8 @@ class Pieces:
                 for r, x in zip(row.tolist(), b, strict=True):
                     out[r] = x
                 break
-            lo, hi = b[:, :-2], b[:, 2:]
-            sub = np.take_along_axis(h[row], hi, 1) - np.take_along_axis(h[row], lo, 1) * power[hi - lo]
-            at, hit = self.probe(mix64(sub))
-            score = np.where(hit, self.scores[at], -np.inf)
+            lo, size = b[:, :-2], b[:, 2:] - b[:, :-2]
+            score = np.where(size <= most, scores[row[:, None], lo, np.minimum(size, most) - 1], -np.inf)
             best = score.argmax(1)
             live = score[np.arange(len(row)), best] > -np.inf
             for r, x in zip(row[~live].tolist(), b[~live], strict=True):
@@ -100,25 +117,28 @@ class Pieces:
             b = b[keep].reshape(len(b), b.shape[1] - 1)
         return out
 
-    def viterbi(self, h: np.ndarray, missing: float = -1e4) -> list[np.ndarray]:
-        """Symbol borders of each chunk's best-scoring path; a character without a piece scores `missing`."""
-        n, width = len(h), h.shape[1]
-        best, back = np.full((n, width), -np.inf), np.zeros((n, width), np.int64)
-        best[:, 0] = 0
-        power = _powers(self.longest)
+    def viterbi(self, scores: np.ndarray) -> list[np.ndarray]:
+        """Symbol borders of each chunk's best-scoring path; a character without a piece scores ten less than any piece."""
+        n, width, most = scores.shape
+        one = scores[:, :, 0]
+        one[one == -np.inf] = self.scores.min() - 10
+        best, back = np.zeros((n, width)), np.zeros((n, width), np.int32)
+        rows = np.arange(n)
         for j in range(1, width):
-            for i in range(j - 1, max(-1, j - 1 - self.longest), -1):
-                at, hit = self.probe(mix64(h[:, j] - h[:, i] * power[j - i]))
-                s = best[:, i] + np.where(hit, self.scores[at], missing if j - i == 1 else -np.inf)
-                better = s > best[:, j]
-                best[better, j], back[better, j] = s[better], i
-        out = []
-        for r in range(n):
-            cut = [width - 1]
-            while cut[-1]:
-                cut.append(int(back[r, cut[-1]]))
-            out.append(np.array(cut[::-1]))
-        return out
+            k = np.arange(min(j, most), 0, -1)  # of equals the first, which is the longest
+            s = best[:, j - k] + scores[:, j - k, k - 1]
+            at = s.argmax(1)
+            best[:, j], back[:, j] = s[rows, at], j - k[at]
+        # All chunks walk back together, a piece a step; each ends at its start.
+        at, row, cuts = np.full(n, width - 1), rows, []
+        while len(row):
+            cuts.append((row, at))
+            more = at > 0
+            row, at = row[more], at[more]
+            at = back[row, at]
+        who, where = np.concatenate([r for r, _ in cuts]), np.concatenate([a for _, a in cuts])
+        order = np.lexsort((where, who))
+        return np.split(where[order].astype(np.int64), np.cumsum(np.bincount(who, minlength=n))[:-1])
 
     def merged_long(self, chunk: str) -> list[int]:
         """As merged(), for one long chunk: a heap of pairs over a linked list."""
@@ -159,42 +179,41 @@ class Pieces:
                 push(prv[i])
         return [i for i in range(n) if alive[i]] + [n]
 
+    def coded(self, ids: np.ndarray, cuts: list[np.ndarray], part: list[str]) -> list[bytes]:
+        """The chunks' ids as little-endian unsigned 32-bit integers, from their symbols' borders."""
+        flat = np.concatenate(cuts)
+        own = np.repeat(np.arange(len(part)), [len(c) for c in cuts])
+        same = own[1:] == own[:-1]
+        lo, hi, own = flat[:-1][same], flat[1:][same], own[1:][same]
+        size = hi - lo
+        got = np.where(size <= ids.shape[2], ids[own, lo, np.minimum(size, ids.shape[2]) - 1], -1)
+        bounds = np.searchsorted(own, np.arange(len(part) + 1)).tolist()
+        raw, bare = got.astype("<u4").tobytes(), np.add.reduceat(got < 0, bounds[:-1]) > 0
+        out = [raw[4 * i : 4 * j] for i, j in zip(bounds, bounds[1:], strict=False)]
+        for r in np.flatnonzero(bare).tolist():
+            one: list[int] = []
+            for k in range(bounds[r], bounds[r + 1]):
+                one += [int(got[k])] if got[k] >= 0 else [self.byte[x] for x in part[r][lo[k] : hi[k]].encode("utf-8", "surrogatepass")]
+            out[r] = np.array(one, "<u4").tobytes()
+        return out
+
     def learn(self, chunks: list[str]) -> None:
+        """Keeps the new chunks' ids, by pair merging and by Viterbi."""
         by_length: dict[int, list[str]] = {}
         for c in chunks:
             by_length.setdefault(len(c), []).append(c)
         for length, group in by_length.items():
-            for i in range(0, len(group), 20_000):
-                part = group[i : i + 20_000]
-                shown = [c.replace(" ", _SPACE) for c in part]
-                h = self.prefix(self.points(shown))
-                if self.kind == "unigram":
-                    cuts = self.viterbi(h)
-                elif length <= LONG:
-                    cuts = self.merged(h)
-                else:
-                    cuts = [np.array(self.merged_long(c)) for c in shown]
-                flat = np.concatenate(cuts)
-                own = np.repeat(np.arange(len(part)), [len(c) for c in cuts])
-                same = own[1:] == own[:-1]
-                lo, hi, own = flat[:-1][same], flat[1:][same], own[1:][same]
-                power = _powers(int((hi - lo).max()))
-                at, hit = self.probe(mix64(h[own, hi] - h[own, lo] * power[hi - lo]))
-                ids = self.ids[at]
-                bounds = np.searchsorted(own, np.arange(len(part) + 1))
-                plain = np.add.reduceat(~hit, bounds[:-1]) == 0
-                for r, c in enumerate(part):
-                    a, b = bounds[r], bounds[r + 1]
-                    if plain[r]:
-                        got = ids[a:b]
-                    else:
-                        got = []
-                        for k in range(a, b):
-                            got += [ids[k]] if hit[k] else [self.byte[x] for x in shown[r][lo[k] : hi[k]].encode("utf-8", "surrogatepass")]
-                    self.known[c] = np.asarray(got, "<u4").tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers; a null or empty text has none."""
+            step = max(1, CELLS // ((length + 1) * min(length, self.longest)))
+            for i in range(0, len(group), step):
+                part = [c.replace(" ", _SPACE) for c in group[i : i + step]]
+                ids, scores = self.substrings(self.prefix(self.points(part)))
+                pairs = self.merged(scores) if length <= LONG else [np.array(self.merged_long(c)) for c in part]
+                merged = self.coded(ids, pairs, part)
+                self.known.update(zip(group[i : i + step], zip(merged, self.coded(ids, self.viterbi(scores), part), strict=True), strict=True))
+
+    def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[bytes]]:
+        """Ids of each text as little-endian unsigned 32-bit integers, by pair merging and by Viterbi; a null or empty text
+        has none."""
         lists = [_CHUNK.findall(f" {t}") if t else [] for t in texts]
         every = set().union(*lists)
         if len(self.known) > 400_000:
@@ -202,7 +221,8 @@ class Pieces:
         if new := every - self.known.keys():
             self.learn(list(new))
         get = self.known.__getitem__
-        return [b"".join(map(get, x)) for x in lists]
+        both = [list(map(get, x)) for x in lists]
+        return [b"".join([m for m, _ in x]) for x in both], [b"".join([v for _, v in x]) for x in both]
 
     def decode(self, encoded: list[bytes]) -> list[bytes]:
         """The texts' bytes: pieces gathered from one array, their space marks made spaces, the first one dropped."""
@@ -214,30 +234,39 @@ class Pieces:
         return [raw[i:j].replace(_SPACE.encode(), b" ")[1:] for i, j in zip(at, at[1:], strict=False)]
 
 
-_models: dict[tuple[str, str], Pieces] = {}
+_models: dict[str, Pieces] = {}
 
 
-def pieces(path: str, kind: str) -> Pieces:
-    if (path, kind) not in _models:
-        _models[path, kind] = Pieces(path, kind)
-    return _models[path, kind]
+def pieces(path: str) -> Pieces:
+    if path not in _models:
+        _models[path] = Pieces(path)
+    return _models[path]
 
 
-def encode_decode(docs: DataFrame, path: str, kind: str = "bpe") -> DataFrame:
-    """doc_id, n_pieces, ids_crc32, decoded_xxh64 and round_trip of every row.
+@operator
+def encode_decode(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_pieces, ids_crc32, decoded_xxh64 and round_trip of every row by the model's own pair merging, and
+    viterbi_pieces, viterbi_crc32, viterbi_round_trip by the best-scoring path.
 
-    A null text counts as empty; ids stay as they are; an empty table gives no rows. A text that holds the space mark
-    itself decodes to spaces there, so round_trip is false for it.
+    A null text counts as empty; ids stay as they are, null and repeated ones too; an empty table gives no rows; other
+    columns play no part. A text that holds the space mark itself decodes to spaces there, so its round trips are false.
+    A very long text is handled whole; a word of more than LONG characters is merged by a heap, in time n log n, and by
+    Viterbi in time n.
     """
-    bounded_batches(docs.sparkSession)
+    names = ["doc_id", "n_pieces", "ids_crc32", "decoded_xxh64", "round_trip", "viterbi_pieces", "viterbi_crc32", "viterbi_round_trip"]
 
     def task(batches):
-        model = pieces(path, kind)
+        model = pieces(path)
         for b in blocks(batches):
             texts = b.column(1).to_pylist()
-            ids = model.encode(texts)
-            back = model.decode(ids)
-            same = [d == (t or "").encode("utf-8", "surrogatepass") for d, t in zip(back, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([xxhash.xxh64_hexdigest(x) for x in back], pa.string()), pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids_crc32", "decoded_xxh64", "round_trip"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(task, "doc_id long, n_pieces long, ids_crc32 long, decoded_xxh64 string, round_trip boolean")
+            raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+            cols = []
+            for ids in model.encode(texts):
+                back = model.decode(ids)
+                n, crc = pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())
+                cols.append([n, crc, pa.array([xxhash.xxh64_hexdigest(x) for x in back], pa.string()), pa.array([x == y for x, y in zip(back, raw, strict=True)], pa.bool_())])
+            merged, best = cols
+            yield pa.RecordBatch.from_arrays([b.column(0), *merged, best[0], best[1], best[3]], names=names)
+
+    src = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return src.mapInArrow(task, "doc_id long, n_pieces long, ids_crc32 long, decoded_xxh64 string, round_trip boolean, viterbi_pieces long, viterbi_crc32 long, viterbi_round_trip boolean")

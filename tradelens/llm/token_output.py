@@ -19,9 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import NO_ID, blocks, bounded_batches, id_or_none, work_path
+from .common import arrow_batches, blocks, id_or_none, id_text, operator, work_path
 from .word_bpe import encoder
 
 MAGIC = b"RVBF0001"
@@ -132,7 +131,6 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     Null texts are empty documents, null doc_ids come first, rows that repeat a doc_id all stay (ordered by text).
     The driver gets one row a file.
     """
-    bounded_batches(docs.sparkSession)
     end = struct.pack("<I", end_id)
 
     def task(batches):
@@ -154,9 +152,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
             store.move(trial, name)
             yield pa.RecordBatch.from_pydict({"part": [part], "file": [f"part-{part:06d}.rvb"], "docs": [len(writer.docs)], "ids": [writer.total]}, schema=pa.schema([("part", pa.int64()), ("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
-    dealt = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = dealt.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows = dealt.mapInArrow(task, "part long, file string, docs long, ids long").collect()
+    dealt = id_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    with arrow_batches(docs.sparkSession):
+        rows = dealt.mapInArrow(task, "part long, file string, docs long, ids long").collect()
     return [(r.file, r.docs, r.ids) for r in sorted(rows)]
 
 
@@ -186,6 +184,7 @@ def read_tokens(spark, folder: str, files: list[tuple[str, int, int]], digest: C
     return listed.mapInArrow(task, "doc_id long, start long, n_tokens long, ids_crc32 long").withColumn("doc_id", id_or_none())
 
 
+@operator
 def token_output(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:
     """Writes the documents' ids and reads them back (see write_tokens, read_tokens). An empty table gives no rows."""
     spark = docs.sparkSession
