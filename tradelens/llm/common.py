@@ -70,34 +70,36 @@ def work_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def saved(df: DataFrame, tag: str, rows: int = 2000) -> DataFrame:
-    """Cuts lineage: writes df to the shared folder and reads it back, so lost executors cost no recomputation of it.
-
-    rows: of an Arrow batch, see arrow_batches."""
-    spark = df.sparkSession
-    path = work_path(spark, tag)
-    with arrow_batches(spark, rows):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-_BATCHES = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
-
-
 @contextmanager
-def arrow_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20):
-    """Arrow batches of at most so many rows and bytes, so that very long texts don't multiply by the row limit; the
-    session's own settings come back at the end."""
-    before = [spark.conf.get(k, None) for k in _BATCHES]
+def settings(spark: SparkSession, **values):
+    """The session's settings with these ones (two underscores for a dot); its own come back at the end."""
+    keys = {k.replace("__", "."): str(v) for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in keys}
     try:
-        for k, v in zip(_BATCHES, (rows, size), strict=True):
-            spark.conf.set(k, str(v))
+        for k, v in keys.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        for k, v in zip(_BATCHES, before, strict=True):
+        for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def arrow_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20):
+    """Arrow batches of at most so many rows and bytes, so that very long texts don't multiply by the row limit."""
+    return settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=rows, spark__sql__execution__arrow__maxBytesPerBatch=size)
+
+
+def saved(df: DataFrame, tag: str, rows: int = 2000, by: str | None = None) -> DataFrame:
+    """Cuts lineage: writes df to the shared folder and reads it back, so lost executors cost no recomputation of it.
+
+    rows: of an Arrow batch, see arrow_batches. by: a column of a few values, each a part that is read by itself."""
+    spark = df.sparkSession
+    path = work_path(spark, tag)
+    with arrow_batches(spark, rows), settings(spark, spark__sql__maxConcurrentOutputFileWriters=8):
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def operator(f):
     """An operator over a DataFrame: its result is written as a table, what it wrote on the way is deleted, and the
     session's settings are those from before."""

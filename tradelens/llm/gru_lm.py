@@ -35,6 +35,8 @@ from .common import blocks, coded_words, id_or_none, id_text, operator, release,
 
 TAILS = 32
 LANES, WINDOW = 384, 16
+#: Lanes of training, and tokens of a document that it carries the state through.
+TRAIN_LANES, SEGMENT = 384, 1024
 #: Tokens read side by side: bounds a task's memory, and lets short documents fill the lanes beside long ones.
 CHUNK = 3_000_000
 PART = 4096
@@ -218,11 +220,11 @@ class Gru:
         self.w[key][at] -= rate * g / np.sqrt(sq[at])
 
 
-def lanes(docs: list[np.ndarray]) -> list[list[int]]:
+def lanes(docs: list[np.ndarray], most: int) -> list[list[int]]:
     """Documents dealt to lanes so that lanes are about as long: longest first, to the shortest lane."""
     import heapq
 
-    out: list[list[int]] = [[] for _ in range(min(LANES, len(docs)))]
+    out: list[list[int]] = [[] for _ in range(min(most, len(docs)))]
     heap = [(0, i) for i in range(len(out))]
     for d in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
         n, i = heap[0]
@@ -231,9 +233,9 @@ def lanes(docs: list[np.ndarray]) -> list[list[int]]:
     return out
 
 
-def streams(docs: list[np.ndarray], end: int):
+def streams(docs: list[np.ndarray], end: int, most: int):
     """Arrays (steps, lanes): symbol read, symbol to tell, whether a document begins, the document (-1: nothing)."""
-    dealt = lanes(docs)
+    dealt = lanes(docs, most)
     seqs = [np.concatenate([docs[d] for d in lane]) for lane in dealt]
     dealt = [dealt[i] for i in np.argsort([-len(s) for s in seqs], kind="stable")]
     seqs.sort(key=lambda s: -len(s))
@@ -274,8 +276,14 @@ class Vocabulary:
         return np.split(out, ends[:-1] + 1) if texts else []
 
 
+def segments(docs: list[np.ndarray]) -> list[np.ndarray]:
+    """Documents cut to at most SEGMENT tokens: training carries the state through each, so that a long document doesn't
+    hold up the lanes beside it."""
+    return [d[i : i + SEGMENT] for d in docs for i in range(0, len(d), SEGMENT)]
+
+
 def train_on(model: Gru, docs: list[np.ndarray], rate: float) -> None:
-    x, y, fresh, doc = streams(docs, model.v)
+    x, y, fresh, doc = streams(segments(docs), model.v, TRAIN_LANES)
     h = np.zeros((model.state, x.shape[1]), np.float32)
     for t in range(0, len(x), WINDOW):
         part = slice(t, t + WINDOW)
@@ -285,11 +293,13 @@ def train_on(model: Gru, docs: list[np.ndarray], rate: float) -> None:
 
 def score_docs(model: Gru, docs: list[np.ndarray]) -> np.ndarray:
     """Natural log-probability of each document's symbols, the state carried from its start to its end."""
-    x, y, fresh, doc = streams(docs, model.v)
+    x, y, fresh, doc = streams(docs, model.v, LANES)
     h, out = np.zeros((model.state, x.shape[1]), np.float32), np.zeros(len(docs))
-    for t in range(0, len(x), WINDOW):
-        part = slice(t, t + WINDOW)
+    t = 0
+    while t < len(x):
         live = int((doc[t] >= 0).sum())
+        part = slice(t, t + max(WINDOW, LANES * WINDOW // live))  # the fewer documents go on, the longer the window
+        t = part.stop
         states, _, h = model.window(x[part, :live], fresh[part, :live], h[:, :live])
         flat = np.flatnonzero(doc[part, :live].reshape(-1) >= 0)
         logp, _, _ = model.outputs(states.reshape(-1, model.state)[flat], y[part, :live].reshape(-1)[flat], False)
@@ -340,7 +350,7 @@ def most_frequent(vocab: DataFrame, most: int) -> DataFrame:
 def train(coded: DataFrame, model: Gru, shards: int, rounds: int, rate: float) -> Gru:
     """Rounds over coded (h, ids): each shard's copy from where the last round's mean left off (see the module)."""
     at = F.shiftrightunsigned("h", 1)
-    dealt = coded.select((at % shards).cast("int").alias("shard"), F.floor(at / shards % rounds).cast("int").alias("round"), "h", "ids")
+    dealt = coded.select((at % shards).cast("int").alias("shard"), F.expr(f"int(shiftrightunsigned(h, 1) div {shards} % {rounds})").alias("round"), "h", "ids")
 
     def one_round(part: DataFrame) -> list:
         def task(batches):
@@ -376,7 +386,7 @@ def train(coded: DataFrame, model: Gru, shards: int, rounds: int, rate: float) -
                     sums[i] = (m + n, x + n * np.frombuffer(v, np.float32).astype(np.float64))
             yield pa.RecordBatch.from_pydict({"i": list(sums), "v": [(x / m).astype(np.float32).tobytes() for m, x in sums.values()]}, schema=pa.schema([("i", pa.int64()), ("v", pa.binary())]))
 
-        ordered = part.repartition(shards, "shard").sortWithinPartitions("shard", "h").select("shard", "ids")
+        ordered = part.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "h").select("shard", "ids")
         trained = saved(ordered.mapInArrow(task, "i long, n long, v binary"), "copies")
         return trained.repartition("i").mapInArrow(mean, "i long, v binary").collect()  # as many bytes as the model has
 
@@ -389,7 +399,7 @@ def train(coded: DataFrame, model: Gru, shards: int, rounds: int, rate: float) -
 
 
 @operator
-def score(docs: DataFrame, head: int = 4096, known: int = 131_072, width: int = 64, state: int = 16, rate: float = 0.1, fold: int = 10, shard_tokens: int = 4_000_000, rounds: int = 4) -> DataFrame:
+def score(docs: DataFrame, head: int = 4096, known: int = 131_072, width: int = 64, state: int = 16, rate: float = 0.2, fold: int = 10, shard_tokens: int = 2_000_000, rounds: int = 4) -> DataFrame:
     """One row a document: held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Null texts are empty (the end token alone); a null doc_id counts as the empty text in the fold and comes back null;
@@ -416,9 +426,9 @@ def score(docs: DataFrame, head: int = 4096, known: int = 131_072, width: int =
     base_log = np.concatenate([np.log10(np.array([r.c for r in top], np.float64) + 0.1), np.zeros(TAILS), [np.log10(n_docs + 0.1)]])
     share = np.concatenate([base_log[:head] * 0, [base_log[i] - log_tail[tail_class(w)] for i, w in enumerate(names_known[head:], head)], -log_tail, [0.0]])
     is_known = np.concatenate([np.ones(len(top), np.int64), np.zeros(TAILS, np.int64), [int(n_docs > 0)]])
-    # One pass tells each document's row (w is null) and its rare words (the other columns are null).
-    kinds = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("share", pa.float64()), ("ids", pa.binary()), ("w", pa.binary()), ("n", pa.int64()), ("first", pa.int64())])
-    ddl = "doc_id long, row long, held_out boolean, n_tokens long, n_known long, base double, share double, ids binary, w binary, n long, first long"
+    # One pass tells each document's row and its rare words (columns of the other are null).
+    kinds = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("row", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("share", pa.float64()), ("ids", pa.binary()), ("w", pa.binary()), ("n", pa.int64()), ("first", pa.int64())])
+    ddl = "kind string, doc_id long, row long, held_out boolean, n_tokens long, n_known long, base double, share double, ids binary, w binary, n long, first long"
 
     def code(batches):
         table = Vocabulary(names_known, head)
@@ -434,7 +444,7 @@ def score(docs: DataFrame, head: int = 4096, known: int = 131_072, width: int =
             key, times = np.unique(doc[some] * len(own) + at[some], return_counts=True)
             doc, word = key // max(1, len(own)), key % max(1, len(own))
             first = np.diff(doc, prepend=-1) > 0
-            return batch(doc_id=doc_ids[doc], row=np.array(doc_keys, np.int64)[doc], w=pa.array(own, pa.binary()).take(pa.array(word)), n=times, first=first.astype(np.int64))
+            return batch(kind=["rare"] * len(doc), doc_id=doc_ids[doc], row=np.array(doc_keys, np.int64)[doc], w=pa.array(own, pa.binary()).take(pa.array(word)), n=times, first=first.astype(np.int64))
 
         for b in blocks(batches):
             texts, ids = b.column(1).to_pylist(), b.column(0).to_numpy()
@@ -445,10 +455,10 @@ def score(docs: DataFrame, head: int = 4096, known: int = 131_072, width: int =
             every, starts = np.concatenate(rows), np.cumsum(size) - size
             total = lambda of: np.add.reduceat(of[every], starts)
             symbols = [table.symbols[r].astype("<u2").tobytes() for r in rows]
-            yield batch(doc_id=ids, row=keys, held_out=b.column(2), n_tokens=size, n_known=total(is_known), base=total(base_log), share=total(share), ids=symbols)
+            yield batch(kind=["document"] * len(rows), doc_id=ids, row=keys, held_out=b.column(2), n_tokens=size, n_known=total(is_known), base=total(base_log), share=total(share), ids=symbols)
 
-    coded = saved(src.mapInArrow(code, ddl), "coded")
-    rows = coded.where("w is null")
+    coded = saved(src.mapInArrow(code, ddl), "coded", by="kind")
+    rows = coded.where("kind = 'document'")
     start = Gru([r.c for r in top[:head]], n_docs, tail_n, width, state)
     shards = max(1, -(-n_all // shard_tokens))
     model = train(rows.where("not held_out").select(F.xxhash64("doc_id", "row").alias("h"), "ids"), start, shards, rounds, rate)
@@ -476,7 +486,7 @@ def score(docs: DataFrame, head: int = 4096, known: int = 131_072, width: int =
             yield told()
 
     main = saved(rows.select("doc_id", "row", "held_out", "n_tokens", "n_known", "base", "share", "ids").mapInArrow(tell, "doc_id long, row long, held_out boolean, n_tokens long, n_known long, base double, model double"), "told")
-    pairs = coded.where("w is not null").select("doc_id", "row", "w", "n", "first")
+    pairs = coded.where("kind = 'rare'").select("doc_id", "row", "w", "n", "first")
     one = F.col("n") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + F.lit(0.1))
     met = pairs.join(vocab, "w", "left").groupBy("doc_id", "row").agg(F.sum(one).alias("rare"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"), F.sum("first").alias("copies"))
     # Equal rows (same doc_id, same text) were summed together.
