@@ -35,8 +35,8 @@ from .common import blocks, coded_words, id_or_none, id_text, operator, release,
 
 TAILS = 32
 LANES, WINDOW = 384, 16
-#: Lanes of training, and tokens of a document that it carries the state through.
-TRAIN_LANES, SEGMENT = 384, 1024
+#: Lanes and window of training, and tokens of a document that it carries the state through.
+TRAIN_LANES, TRAIN_WINDOW, SEGMENT = 384, 32, 1024
 #: Tokens read side by side: bounds a task's memory, and lets short documents fill the lanes beside long ones.
 CHUNK = 3_000_000
 PART = 4096
@@ -285,8 +285,8 @@ def segments(docs: list[np.ndarray]) -> list[np.ndarray]:
 def train_on(model: Gru, docs: list[np.ndarray], rate: float) -> None:
     x, y, fresh, doc = streams(segments(docs), model.v, TRAIN_LANES)
     h = np.zeros((model.state, x.shape[1]), np.float32)
-    for t in range(0, len(x), WINDOW):
-        part = slice(t, t + WINDOW)
+    for t in range(0, len(x), TRAIN_WINDOW):
+        part = slice(t, t + TRAIN_WINDOW)
         live = int((doc[t] >= 0).sum())
         h = model.learn(x[part, :live], y[part, :live], fresh[part, :live], doc[part, :live] >= 0, h[:, :live], rate)
 
