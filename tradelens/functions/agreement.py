@@ -80,3 +80,36 @@ def display_address(address: Column) -> Column:
     spaced = F.regexp_replace(F.regexp_replace(address, r"(?u)(\p{L})\.(?=[\p{L}0-9])", "$1. "), r"\s*,\s*", ", ")
     parts = F.split(F.trim(F.regexp_replace(spaced, r"\s+", " ")), " ")
     return F.array_join(F.transform(parts, lambda w: F.when(w.rlike(r"^\p{Lu}{4,},?$"), F.initcap(w)).otherwise(w)), " ")
+
+
+def clean_name(name: Column) -> Column:
+    """What follows the last colon: labels that stayed before a name go."""
+    return F.when(F.contains(name, F.lit(":")), F.trim(F.substring_index(name, ":", -1))).otherwise(name)
+
+
+def clean_address(address: Column) -> Column:
+    """The address without a label before it; the whole of it where nothing else would stay."""
+    bare = F.trim(F.regexp_replace(address, r"(?isu)^.*?адрес(?:\s+на\s+управление)?\s*[:–-]\s*", ""), F.lit(" ,;"))
+    return F.coalesce(F.nullif(bare, F.lit("")), address)
+
+
+def plausible_name(name: Column) -> Column:
+    """A name of at most 90 characters with a legal form; not one that holds digits and ends in the sole trader's form
+    (a line about goods). False for null."""
+    goods = F.upper(name).rlike(r"(?u)(?<!\p{L})ЕТ[^\p{L}0-9]*$") & name.rlike("[0-9]")
+    return F.coalesce((name != "") & (F.length(name) <= 90) & legal_form(name).isNotNull() & ~goods, F.lit(False))
+
+
+#: Words and abbreviations of places.
+PLACE = r"гр\.|град|ул\.|бул\.|ж\.?к\.?|кв\.|с\.|обл|област|шосе|път|площад|пл\.|зона"
+
+
+def plausible_address(address: Column) -> Column:
+    """10 to 300 characters with a digit and a word of places; false for null."""
+    return F.coalesce(F.length(address).between(10, 300) & address.rlike("[0-9]") & address.rlike(f"(?iu)({PLACE})"), F.lit(False))
+
+
+def core_name(name: Column) -> Column:
+    """The words in capitals without quotes, dashes and legal forms: what a register is searched by."""
+    parts = F.split(F.trim(F.regexp_replace(F.replace(F.upper(name), F.lit('"'), F.lit(" ")), r"\s+", " ")), " ")
+    return F.array_join(F.filter(parts, lambda w: ~w.isin("ЕООД", "ООД", "ЕАД", "АД", "ЕТ", "-")), " ")

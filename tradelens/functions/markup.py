@@ -38,54 +38,100 @@ def unescaped(text: Column) -> Column:
 
 def chunks(html: Column) -> Column:
     """Visible pieces of text in order: cut at block tags and line ends, white space collapsed, empty ones left out."""
-    cut = F.regexp_replace(stripped(html), rf"(?i)</?(?:{BLOCKS})(?:\s[^>]*)?/?>", "\n")
+    bare = F.regexp_replace(stripped(html), r"(?is)<script[^>]*>.*?</script>", "")
+    cut = F.regexp_replace(bare, rf"(?i)</?(?:{BLOCKS})(?:\s[^>]*)?/?>", "\n")
     flat = unescaped(F.regexp_replace(cut, r"<[^>]*>", ""))
     pieces = F.transform(F.split(flat, r"\n"), lambda c: F.trim(F.regexp_replace(c, r"[\s\x{a0}]+", " ")))
     return F.filter(pieces, lambda c: c != "")
 
 
 def labelled(pieces: Column, field: str) -> Column:
-    """What follows the field's label, in the same piece or, where the label ends its piece, in the next; the first."""
-    label = rf"(?iu)^(?:.*[^\p{{L}}])?(?:{LABELS[field]})(?![\p{{L}}])\s*[.:№#-]*\s*"
+    """What follows the field's earliest label (the longest at one place), in the same piece or, where the label ends its
+    piece, in the next; the first such piece counts."""
+    names = "|".join(sorted(LABELS[field].split("|"), key=len, reverse=True))
+    label = rf"(?iu)^(?:.*?[^\p{{L}}])??(?:{names})(?![\p{{L}}])\s*[.:№#-]*\s*"
     padded = F.concat(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), F.array(F.lit("")))
     pairs = F.arrays_zip(pieces.alias("own"), padded.alias("after"))
     found = F.transform(F.filter(pairs, lambda p: p["own"].rlike(label)), lambda p: F.when(F.regexp_replace(p["own"], label, "") == "", p["after"]).otherwise(F.regexp_replace(p["own"], label, "")))
     return F.get(F.filter(found, lambda v: v != ""), F.lit(0))
 
 
+def once(value: Column, f):
+    """f of a value that is computed once, however often f names it: lambda variables are bound, columns are repeated."""
+    return F.transform(F.array(value), f)[0]
+
+
 def six_fields(html: Column) -> Column:
     """struct(company, eik, vat, address, phone, email) of a page; each null where the page doesn't tell it.
 
-    Identifiers are taken from labelled text alone; e-mails and +359 phones anywhere.
+    Identifiers are taken from labelled text alone; e-mails and +359 phones anywhere. The page is cut into pieces once.
     """
-    pieces = chunks(html)
+    return once(chunks(html), lambda pieces: _fields(html, pieces))
+
+
+def _fields(html: Column, pieces: Column) -> Column:
     digits = F.regexp_extract(F.regexp_replace(F.coalesce(labelled(pieces, "eik"), F.lit("")), r"(?<=[0-9])[ .-](?=[0-9])", ""), r"^(?:BG)?([0-9]{13}|[0-9]{9})(?![0-9])", 1)
-    vat = F.regexp_extract(F.upper(F.regexp_replace(F.coalesce(labelled(pieces, "vat"), F.lit("")), r"(?<=[0-9G])[ .-](?=[0-9])", "")), r"^(?:BG)?([0-9]{9}|[0-9]{13})(?![0-9])", 1)
-    address = labelled(pieces, "address")
-    phone = F.coalesce(phone_key(F.regexp_extract(F.coalesce(labelled(pieces, "phone"), F.lit("")), r"^([+0-9][0-9 ()/.-]{5,20})", 1)), F.get(phones(html), F.lit(0)))
-    company = F.regexp_extract(F.array_join(F.array_compact(F.array(labelled(pieces, "company"))), ""), rf"(?u)^(.{{1,120}}?[ \"”](?:{FORM}))(?![\p{{L}}])", 1)
+    vat = F.regexp_extract(F.upper(F.regexp_replace(F.coalesce(labelled(pieces, "vat"), F.lit("")), r"(?<=[0-9G])[ .-](?=[0-9])", "")), r"^([A-Z]{2})?([0-9]{9,13})(?![0-9])", 0)
+    address, text = labelled(pieces, "address"), F.array_join(pieces, "\n")
+    phone = F.coalesce(phone_key(F.regexp_extract(F.coalesce(labelled(pieces, "phone"), F.lit("")), r"^([+0-9][0-9 ()/.-]{5,20})", 1)), F.get(_phones(html, text), F.lit(0)))
+    company = F.coalesce(F.nullif(F.regexp_extract(F.coalesce(labelled(pieces, "company"), F.lit("")), rf"(?u)^(.{{1,120}}?[ \"”](?:{FORM}))(?![\p{{L}}])", 1), F.lit("")), company_line(pieces))
     good = F.length(address).between(8, 200) & address.rlike("[0-9]")
     return F.struct(
-        F.nullif(company, F.lit("")).alias("company"),
+        company.alias("company"),
         F.nullif(digits, F.lit("")).alias("eik"),
-        F.when(vat != "", F.concat(F.lit("BG"), vat)).alias("vat"),
-        F.when(good, address).alias("address"),
+        F.when(vat.rlike("^[0-9]"), F.concat(F.lit("BG"), vat)).when(vat != "", vat).alias("vat"),
+        F.coalesce(F.when(good, address), address_line(pieces)).alias("address"),
         phone.alias("phone"),
-        F.get(emails(html), F.lit(0)).alias("email"),
+        F.get(_emails(html, text), F.lit(0)).alias("email"),
     )
 
 
-def phones(html: Column) -> Column:
-    """Keys of phones in tel: links and of +359 numbers in the text, in this order, each once."""
+#: Abbreviations and words that begin a settlement, and those that begin a thoroughfare.
+SETTLEMENT, THOROUGHFARE = r"гр\.|град|с\.|село", r"ул\.|бул\.|ж\.?к\.?|кв\.|пл\.|площад|шосе"
+
+
+def address_line(pieces: Column) -> Column:
+    """An address without a label: a piece that opens with a settlement, of three words at most, before a thoroughfare."""
+    shape = rf"(?iu)^(?:[0-9]{{4}},?\s*)?(?:{SETTLEMENT})\s*\p{{L}}+(?:\s\p{{L}}+){{0,2}}\s*,\s*(?:{THOROUGHFARE}).*$"
+    return F.get(F.filter(pieces, lambda c: F.length(c).between(8, 300) & c.rlike(shape) & c.rlike("[0-9]")), F.lit(0))
+
+
+def company_line(pieces: Column) -> Column:
+    """A company without a label: a piece of 2 to 10 words and at most 150 characters whose last word is a legal form."""
+    form = rf"^(?:{FORM})$"
+    last = lambda c: F.element_at(F.split(c, " "), -1)
+    return F.get(F.filter(pieces, lambda c: (F.length(c) <= 150) & F.size(F.split(c, " ")).between(2, 10) & last(c).rlike(form) & ~c.rlike("[0-9]")), F.lit(0))
+
+
+def _phones(html: Column, text: Column) -> Column:
     links = F.regexp_extract_all(html, F.lit(r'(?i)href="tel:([^"]+)"'), 1)
-    prose = F.regexp_extract_all(F.array_join(chunks(html), "\n"), F.lit(r"(\+359[0-9 ()/.-]{7,16})"), 1)
+    prose = F.regexp_extract_all(text, F.lit(r"(\+359[0-9 ()/.-]{7,16})"), 1)
     return F.array_distinct(F.filter(F.transform(F.concat(links, prose), phone_key), lambda p: p.isNotNull()))
 
 
+def phones(html: Column) -> Column:
+    """Keys of phones in tel: links and of +359 numbers in the text, in this order, each once."""
+    return _phones(html, F.array_join(chunks(html), "\n"))
+
+
+def _emails(html: Column, text: Column) -> Column:
+    links = F.regexp_extract_all(html, F.lit(r'(?i)href="mailto:([^"?]+)'), 1)
+    return F.array_distinct(F.filter(F.transform(F.concat(links, emails_in(text)), email_key), lambda e: e.isNotNull()))
+
+
 def emails(html: Column) -> Column:
     """Keys of addresses in mailto: links and in the text, in this order, each once."""
-    links = F.regexp_extract_all(html, F.lit(r'(?i)href="mailto:([^"?]+)'), 1)
-    return F.array_distinct(F.filter(F.transform(F.concat(links, emails_in(F.array_join(chunks(html), "\n"))), email_key), lambda e: e.isNotNull()))
+    return _emails(html, F.array_join(chunks(html), "\n"))
+
+
+#: Words of pages that hold a trader's legal text.
+LEGAL = ("terms", "conditions", "privacy", "legal", "imprint", "impressum", "contact", "about", "условия", "поверителност", "контакти", "за нас", "лични данни")
+
+
+def is_legal(url: Column, text: Column) -> Column:
+    """Whether the address or the text's first 600 characters hold a word of legal or contact pages."""
+    head = F.lower(F.concat_ws(" ", url, F.substring(text, 1, 600)))
+    return F.exists(F.array(*map(F.lit, LEGAL)), lambda w: F.contains(head, w))
 
 
 def mentions(text: Column) -> Column:

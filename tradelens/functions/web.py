@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Second-level labels under which shops register names.
-SECOND_LEVEL = ("co.uk", "com.au", "com.br", "com.tr", "co.jp", "com.bg", "org.uk")
+SECOND_LEVEL = ("com.bg", "org.bg", "net.bg", "edu.bg", "gov.bg", "co.uk", "com.tr")
 
 
 def host_of(url: Column) -> Column:
@@ -15,8 +15,8 @@ def host_of(url: Column) -> Column:
 
 
 def registrable(host: Column) -> Column:
-    """The last two labels, or three below a two-level suffix."""
-    p = F.split(host, r"\.")
+    """The last two labels, or three below a two-level suffix; a www before and dots around don't count."""
+    p = F.split(F.regexp_replace(F.lower(host), r"^\.+|\.+$|^\.*www\.", ""), r"\.")
     last = F.concat_ws(".", F.slice(p, F.greatest(F.size(p) - 1, F.lit(1)), 2))
     three = F.concat_ws(".", F.slice(p, F.greatest(F.size(p) - 2, F.lit(1)), 3))
     return F.when(last.isin(*SECOND_LEVEL), three).otherwise(last)
@@ -48,13 +48,45 @@ def canonical(url: Column) -> Column:
 
 
 def stripped(html: Column) -> Column:
-    """Markup without scripts, styles and comments."""
-    return F.regexp_replace(html, r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->", "")
+    """Markup without scripts (but those of structured data), styles, drawings, templates, noscript parts and comments."""
+    heavy = r"<script(?![^>]*ld\+json)[^>]*>.*?</script>|<style[^>]*>.*?</style>|<svg[^>]*>.*?</svg>|<noscript[^>]*>.*?</noscript>|<template[^>]*>.*?</template>|<!--.*?-->"
+    return F.regexp_replace(html, f"(?is){heavy}", "")
 
 
 def links(html: Column) -> Column:
-    """Values of href attributes in order, each once."""
-    return F.array_distinct(F.regexp_extract_all(html, F.lit(r'(?i)href="([^"#][^"]*)"'), 1))
+    """Values of href attributes in any quotes, in order, each once; not those within the page."""
+    found = F.regexp_extract_all(html, F.lit(r"(?i)\shref\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"), 1)
+    bare = F.transform(found, lambda x: F.trim(F.regexp_replace(x, "^[\"']|[\"']$", "")))
+    return F.array_distinct(F.filter(bare, lambda x: (x != "") & ~x.startswith("#")))
+
+
+def anchors(html: Column) -> Column:
+    """array<struct(href, text)> of links with their text, tags inside left out and white space collapsed."""
+    whole = lambda n: F.regexp_extract_all(html, F.lit(r"(?is)<a\s[^>]*?href\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"), n)
+    rows = F.arrays_zip(whole(1).alias("href"), whole(2).alias("text"))
+    return F.transform(rows, lambda r: F.struct(F.trim(r["href"]).alias("href"), F.trim(F.regexp_replace(F.regexp_replace(r["text"], "<[^>]*>", " "), r"\s+", " ")).alias("text")))
+
+
+def same_site(page: Column, link: Column) -> Column:
+    """Whether an absolute link is another page, by http, of the page's registrable domain."""
+    return link.rlike("(?i)^https?://") & (registrable(host_of(link)) == registrable(host_of(page))) & (canonical(link) != canonical(page))
+
+
+def abroad(asked: Column, landed: Column) -> Column:
+    """Whether a visit ended at another registrable domain under another top level."""
+    a, b = host_of(asked), host_of(landed)
+    return (registrable(a) != registrable(b)) & (F.substring_index(a, ".", -1) != F.substring_index(b, ".", -1))
+
+
+def excerpt(text: Column, most: int = 200) -> Column:
+    """White space collapsed, cut to so many characters."""
+    return F.substring(F.trim(F.regexp_replace(text, r"\s+", " ")), 1, most)
+
+
+def window(text: Column, pattern: str, reach: int = 40) -> Column:
+    """What stands around the pattern's first match, `reach` characters on either side; null without a match."""
+    at = F.regexp_instr(text, F.lit(pattern))
+    return F.when(at > 0, excerpt(F.substring(text, F.greatest(at - reach, F.lit(1)), F.least(at, F.lit(reach + 1)) + F.length(F.regexp_substr(text, F.lit(pattern))) + reach - 1), 10_000))
 
 
 def emails_in(text: Column) -> Column:

@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 #: How many links of each tier (0 best) come before all others.
 QUOTA = (2, 2, 1)
-#: Marks of pages that challenge the visitor, and of pages that scripts fill.
-CHALLENGE = ("just a moment", "cf-challenge", "captcha", "attention required", "checking your browser", "ddos protection", "access denied")
-APP_SHELL = ('id="root"', 'id="app"', 'id="__next"', "ng-app", "data-reactroot", "__nuxt", "window.__initial_state__")
+#: Marks of pages that challenge the visitor, and of pages that scripts fill; narrow, so that pages that only
+#: mention a challenge, or use such a library beside their text, don't count.
+CHALLENGE = ("cf_chl_opt", "<title>just a moment...</title>", "attention required! | cloudflare", "_incapsula_resource", "px-captcha", "ddos-guard.net/", "checking your browser before")
+APP_SHELL = ("auraconfig", "data-aura-rendered-by", "__next_data__", "window.__nuxt__", "ng-app", "data-reactroot", "__remix_context__")
+#: Labels of hosts that hold legal texts, best first, and what else in a label speaks for such a host.
+LEGAL_LABELS = ("legal", "help", "support", "about", "company", "corporate", "developer", "developers", "business", "info")
+HOST_HINTS = ("developer", "help", "support", "legal", "about", "corporate", "company", "business", "info", "terms", "policies", "privacy", "pomosht", "za-nas")
 #: Path parts of areas that belong to one visitor.
 PRIVATE = ("account", "cart", "checkout", "login", "logout", "order", "password", "profile", "register", "wishlist")
 
@@ -38,12 +42,18 @@ def frontier(seeds: DataFrame, edges: DataFrame, refused: DataFrame, depth: int
 
 
 def host_rank(hosts: DataFrame, most: int = 12) -> DataFrame:
-    """hosts: domain, host, pages. Adds place in the domain: most pages first, then shorter, then by name.
+    """hosts: domain, host. Adds place among the domain's hosts with a hint in their labels: by the place in LEGAL_LABELS of the
+    label next to the domain, then by fewer labels, then by name.
 
     Rows are one a host, so the window holds hosts, not pages.
     """
-    order = Window.partitionBy("domain").orderBy(F.desc("pages"), F.length("host"), "host")
-    return hosts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    label = F.expr("substring(host, 1, length(host) - length(domain) - 1)")
+    near = F.substring_index("label", ".", -1)
+    known = F.array(*map(F.lit, LEGAL_LABELS))
+    rank = F.when(F.array_position(known, near) > 0, F.array_position(known, near)).otherwise(99)
+    pool = hosts.where("endswith(host, '.' || domain)").withColumn("label", label).where(F.exists(F.array(*map(F.lit, HOST_HINTS)), lambda k: F.contains(F.col("label"), k)))
+    order = Window.partitionBy("domain").orderBy(rank, F.size(F.split("label", r"\.")), "label")
+    return pool.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("label")
 
 
 def status_class(status: Column) -> Column:
@@ -57,8 +67,10 @@ def has_mark(html: Column, marks: tuple[str, ...], most: int) -> Column:
     return F.coalesce(F.exists(F.array(*map(F.lit, marks)), lambda m: F.contains(head, m)), F.lit(False))
 
 
-def is_challenge(html: Column) -> Column:
-    return has_mark(html, CHALLENGE, 60_000)
+def is_challenge(html: Column, mitigated: Column | None = None) -> Column:
+    """mitigated: the response header by which a host says that it challenged the visitor."""
+    said = F.lit(False) if mitigated is None else F.coalesce(F.lower(mitigated) == "challenge", F.lit(False))
+    return said | has_mark(html, CHALLENGE, 60_000)
 
 
 def is_app_shell(html: Column) -> Column:
@@ -69,13 +81,21 @@ def is_private(url: Column) -> Column:
     return F.lower(url).rlike(rf"/({'|'.join(PRIVATE)})([/?.#-]|$)")
 
 
-def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """urls: host, path; rules: host, prefix, allow. Adds allowed: the longest prefix decides, allow wins a tie, and
-    without a rule a path is allowed.
+def robots_allowed(urls: DataFrame, rules: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+    """urls: host, path; rules: host, prefix, allow; answers: host, status of its rules file. Adds allowed: the longest
+    prefix decides, allow wins a tie, and without a rule a path is allowed. A host that answered 401 or 403 allows nothing,
+    one with any other error everything.
 
-    Each path meets the rules by its own prefixes as keys, an equality join that stays apart for a host with many rows.
+    A path meets rules by its prefixes of the lengths that the host's rules have (an equality join, as many rows a path as
+    there are lengths), so it stays apart for a host with many rows.
     """
-    cut = F.transform(F.sequence(F.lit(0), F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
-    each = urls.select("host", "path").distinct().withColumn("prefix", F.explode(cut))
-    told = each.join(rules, ["host", "prefix"]).groupBy("host", "path").agg(F.max_by("allow", F.struct(F.length("prefix"), "allow")).alias("allow"))
-    return urls.join(told, ["host", "path"], "left").withColumn("allowed", F.coalesce("allow", F.lit(True))).drop("allow")
+    lengths = rules.groupBy("host").agg(F.collect_set(F.length("prefix")).alias("_n"))
+    each = urls.select("host", "path").distinct().join(lengths, "host").withColumn("n", F.explode("_n")).where(F.length("path") >= F.col("n"))
+    cut = each.select("host", "path", F.substring(F.col("path"), F.lit(1), F.col("n")).alias("prefix"))
+    told = cut.join(rules, ["host", "prefix"]).groupBy("host", "path").agg(F.max_by("allow", F.struct(F.length("prefix"), "allow")).alias("allow"))
+    out = urls.join(told, ["host", "path"], "left")
+    if answers is None:
+        return out.withColumn("allowed", F.coalesce("allow", F.lit(True))).drop("allow")
+    state = answers.select("host", F.col("status").alias("_s"))
+    allowed = F.when(F.col("_s").isin(401, 403), False).when(~F.coalesce(F.col("_s").between(200, 299), F.lit(True)), True).otherwise(F.coalesce("allow", F.lit(True)))
+    return out.join(state, "host", "left").withColumn("allowed", allowed).drop("allow", "_s")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.agreement import plausible_name
+
 #: Authority of sources, strongest first, and confidence, weakest first.
 TIERS = ("registry", "official", "company", "public", "search")
 LEVELS = ("insufficient", "low", "medium", "high")
@@ -18,30 +20,36 @@ def union_claims(branches: list[DataFrame]) -> DataFrame:
 
 
 def score_candidates(claims: DataFrame) -> DataFrame:
-    """One row a (domain, eik): claims has tier (1 strongest), operator, archived, declared, own, host, page, name_ok.
+    """One row a (domain, eik). claims: tier (1 strongest, of TIERS), own (shown on the domain's own pages), operator (a text
+    says who runs the domain), archived, declared, confirmed (by an official answer), host, page, name_ok.
 
+    Claims of the operator's own documents are those of tier 3; a search claim (tier 5) may show own pages; operator texts
+    count on own documents and own pages alone; hosts count where a public or search claim is not the domain's own.
     The aggregate is a plain partial one, so a domain with a third of all claims costs a row a task.
     """
-    own_or_operator = F.col("own") | (F.col("operator") & ~F.col("declared"))
+    document, shown = F.col("tier") == 3, (F.col("tier") == 5) & F.col("own")
+    operator = F.col("operator") & ~F.col("declared") & (document | F.col("own"))
     out = claims.groupBy("domain", "eik").agg(
         F.min("tier").alias("best_tier"),
-        F.max(own_or_operator).alias("own_any"),
-        F.max(F.col("own") & ~F.col("archived")).alias("own_live"),
-        F.max(F.col("operator") & ~F.col("declared")).alias("operator"),
-        F.min(F.when(own_or_operator, F.col("archived"))).alias("all_archived"),
+        F.max(document).alias("own_any"),
+        F.max(document & ~F.col("archived")).alias("own_live"),
+        F.max(operator).alias("operator"),
+        F.max(operator & ~F.col("archived")).alias("operator_live"),
         F.max("declared").alias("declared"),
         F.max("confirmed").alias("confirmed"),
-        F.count_distinct(F.when(~F.col("own"), F.col("host"))).alias("public_hosts"),
-        F.count_distinct(F.when(F.col("own"), F.col("page"))).alias("pages"),
+        F.max(shown).alias("shown"),
+        F.count_distinct(F.when(F.col("tier").isin(4, 5) & ~F.col("own"), F.col("host"))).alias("public_hosts"),
+        F.count_distinct(F.when(document, F.col("page"))).alias("pages"),
         F.max(F.when(F.col("name_ok"), True)).alias("any_ok"),
         F.max(F.when(~F.col("name_ok"), True)).alias("any_bad"),
     )
     name_ok = F.when(F.col("any_ok"), True).when(F.col("any_bad"), False)
+    known = F.col("own_any") | F.col("operator")
     level = (
-        F.when(F.col("declared") & ~F.col("own_any"), "high")
-        .when(F.col("own_any") & F.col("all_archived") & ~F.col("operator") & ~F.col("confirmed"), "medium")
-        .when(F.col("own_any") & ~F.col("own_live") & F.col("all_archived") & ~F.col("confirmed"), "medium")
-        .when(F.col("own_any"), "high")
+        F.when(F.col("declared") & ~known, "high")
+        .when(known & ~F.col("own_live") & ~F.col("operator_live") & ~F.col("confirmed"), "medium")
+        .when(known, "high")
+        .when(F.col("shown") & F.col("confirmed"), "medium")
         .when(F.col("public_hosts") >= 2, "medium")
         .otherwise("low")
     )
@@ -51,27 +59,41 @@ def score_candidates(claims: DataFrame) -> DataFrame:
 
 
 def ranked(scored: DataFrame) -> DataFrame:
-    """rank and n_first: how many candidates share the first rank in all six parts of the key."""
+    """rank, n_first (how many candidates share the first rank in all six parts of the key), and place: rank's order, of
+    equals by identifier."""
     level = F.array_position(F.array(*map(F.lit, LEVELS)), F.col("level"))
     key = [level.desc(), F.asc("best_tier"), F.desc("operator"), F.desc("confirmed"), F.coalesce("name_ok", F.lit(False)).desc(), F.desc("pages")]
     w = Window.partitionBy("domain")
-    out = scored.withColumn("rank", F.rank().over(w.orderBy(*key)))
+    out = scored.withColumn("rank", F.rank().over(w.orderBy(*key))).withColumn("place", F.row_number().over(w.orderBy(*key, "eik")))
     return out.withColumn("n_first", F.sum((F.col("rank") == 1).cast("int")).over(w))
 
 
-def resolve(scored: DataFrame) -> DataFrame:
-    """One row a domain: the entity, unless first candidates tie or the best is low."""
-    best = ranked(scored).where("rank = 1").groupBy("domain").agg(F.min("eik").alias("first"), F.max("n_first").alias("n_first"), F.min("level").alias("level"))
-    basis = F.when(F.col("n_first") > 1, "ambiguous").when(F.col("level").isin("high", "medium"), "identified").otherwise("candidate")
-    return best.select("domain", F.when(basis == "identified", F.col("first")).alias("eik"), F.when(basis == "ambiguous", "insufficient").otherwise(F.col("level")).alias("level"), basis.alias("basis"))
+def resolve(scored: DataFrame, foreign: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
+    """One row a domain: the entity, unless first candidates tie (which ends it) or the best is low.
+
+    foreign: domain, vat, seq; names: domain, name, seq, operator, stated (labelled, structured or on a legal page).
+    Where no candidate is identified, the first foreign number identifies without an id (high), else the first plausible
+    name that was stated or said to run the domain, those first (medium); else the best is shown as a candidate.
+    """
+    best = ranked(scored).where("place = 1").select("domain", F.col("eik").alias("first"), "n_first", F.col("level").alias("best"))
+    basis = F.when(F.col("n_first") > 1, "ambiguous").when(F.col("best").isin("high", "medium"), "identified")
+    if foreign is None and names is None:
+        basis = basis.otherwise("candidate")
+        return best.select("domain", F.when(basis == "identified", F.col("first")).alias("eik"), F.when(basis == "ambiguous", "insufficient").otherwise(F.col("best")).alias("level"), basis.alias("basis"))
+    vats = foreign.groupBy("domain").agg(F.min_by("vat", "seq").alias("vat"))
+    told = names.where(plausible_name(F.col("name")) & (F.col("operator") | F.col("stated")))
+    told = told.groupBy("domain").agg(F.min_by("name", F.struct(~F.col("operator"), "seq")).alias("name"))
+    out = best.join(vats, "domain", "full_outer").join(told, "domain", "full_outer")
+    basis = basis.when(F.col("vat").isNotNull(), "foreign_vat").when(F.col("name").isNotNull(), "name_only").when(F.col("first").isNotNull(), "candidate").otherwise("none")
+    level = F.when(basis == "identified", F.col("best")).when(basis == "foreign_vat", "high").when(basis == "name_only", "medium").when(basis == "candidate", "low").otherwise("insufficient")
+    only = lambda kind, c: F.when(basis == kind, F.col(c))
+    return out.select("domain", only("identified", "first").alias("eik"), level.alias("level"), basis.alias("basis"), only("foreign_vat", "vat").alias("vat"), only("name_only", "name").alias("name"), only("candidate", "first").alias("candidate"))
 
 
 def alternatives(scored: DataFrame, most: int = 5) -> DataFrame:
-    """Candidates after the first, or from it where first candidates tie, in order, `most` at the most."""
-    level = F.array_position(F.array(*map(F.lit, LEVELS)), F.col("level"))
-    order = Window.partitionBy("domain").orderBy(level.desc(), "best_tier", "eik")
-    out = ranked(scored).withColumn("rn", F.row_number().over(order))
-    return out.where((F.col("rn") <= most) & ((F.col("rn") > 1) | (F.col("n_first") > 1))).select("domain", "eik", "rn")
+    """Candidates after the first, or from it where first candidates tie, in ranked()'s order up to place `most`."""
+    out = ranked(scored).where((F.col("place") <= most) & ((F.col("place") > 1) | (F.col("n_first") > 1)))
+    return out.select("domain", "eik", F.col("place").alias("rn"))
 
 
 def conflicts(scored: DataFrame, most: int = 5) -> DataFrame:

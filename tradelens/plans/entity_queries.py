@@ -15,44 +15,55 @@ from ..sources.tables import synthesised, table
 from .registry import plain as _sql
 from .registry import query
 
-#: S: identifiers of customers: eight digits and a check digit that a third of them get right by chance or rule.
-IDS = "select c_custkey, concat(lpad(cast(c_custkey * 7919 % 100000000 as string), 8, '0'), cast(c_custkey % 10 as string)) as raw from {customer}"
-PHONES = """select s_suppkey, case s_suppkey % 5 when 0 then concat('+359 2 ', cast(9000000 + s_suppkey as string)) when 1 then concat('00359', cast(88000000 + s_suppkey as string))
- when 2 then concat('0', cast(88000000 + s_suppkey as string)) when 3 then concat('(02) ', cast(s_suppkey as string)) else concat('+359 (0) ', cast(8700000 + s_suppkey as string)) end as raw from {supplier}"""
-MAILS = """select s_suppkey, case s_suppkey % 5 when 0 then concat('mailto:Office', cast(s_suppkey as string), '@Shop.example.com?subject=x') when 1 then concat(' info', cast(s_suppkey as string), '@example.org. ')
- when 2 then concat('logo', cast(s_suppkey as string), '@2x.example.png') when 3 then concat('no at ', cast(s_suppkey as string)) else concat('a.b+', cast(s_suppkey as string), '@mail.example.net') end as raw from {supplier}"""
-VATS = "select c_custkey, concat(case c_custkey % 4 when 0 then 'BG' when 1 then 'bg ' when 2 then 'DE' else '' end, cast(100000000 + c_custkey as string), case when c_custkey % 7 = 0 then '1' else '' end) as raw from {customer}"
+def _sum11(raw: str, weights) -> str:
+    return "((" + " + ".join(f"cast(substr({raw}, {i + 1}, 1) as int) * {w}" for i, w in enumerate(weights)) + ") % 11)"
+
+
+def _digit_sql(raw: str) -> str:
+    """SQL of the check digit after eight digits."""
+    once, twice = _sum11(raw, ids.NINE), _sum11(raw, ids.NINE_AGAIN)
+    return f"(case when {once} < 10 then {once} else {twice} % 10 end)"
+
+
+#: S: identifiers of customers: eight digits and their check digit; it is one too many for every seventh key, and there is no
+#: identifier for every eleventh.
+_EIGHT = "select c_custkey, lpad(cast(c_custkey * 7919 % 100000000 as string), 8, '0') as b from {customer}"
+IDS = f"select c_custkey, case when c_custkey % 11 = 0 then null else concat(b, cast(({_digit_sql('b')} + case when c_custkey % 7 = 0 then 1 else 0 end) % 10 as string)) end as raw from ({_EIGHT})"
+PHONES = """select s_suppkey, case s_suppkey % 10 when 0 then concat('+359 2 ', cast(9000000 + s_suppkey as string)) when 1 then concat('00359', cast(88000000 + s_suppkey as string))
+ when 2 then concat('0', cast(88000000 + s_suppkey as string)) when 3 then concat('(02) ', cast(s_suppkey as string)) when 4 then concat('+359 (0) ', cast(8700000 + s_suppkey as string)) when 5 then concat('359 88 ', cast(8123456 + s_suppkey as string))
+ when 6 then concat('+359 0700 ', cast(10000 + s_suppkey % 80000 as string)) when 7 then concat('*', cast(9000 + s_suppkey as string)) when 8 then null else concat('32 ', cast(640000 + s_suppkey as string)) end as raw from {supplier}"""
+MAILS = """select s_suppkey, case s_suppkey % 10 when 0 then concat('mailto:Office', cast(s_suppkey as string), '@Shop.example.com?subject=x') when 1 then concat(' <john', cast(s_suppkey as string), '@example.org>. ')
+ when 2 then concat('logo', cast(s_suppkey as string), '@2x.example.png') when 3 then concat('no at ', cast(s_suppkey as string)) when 4 then concat('(a.b+', cast(s_suppkey as string), '@mail.example.net)') when 5 then 'INFO-2@abv.example'
+ when 6 then concat('my.onlineshop', cast(s_suppkey as string), '@mail.example') when 7 then 'delo@unit.cpdp.bg' when 8 then concat('x', cast(s_suppkey as string), '@10.0.0.12') else null end as raw from {supplier}"""
+VATS = "select c_custkey, concat(case c_custkey % 4 when 0 then 'BG' when 1 then 'bg ' when 2 then 'DE' else '' end, cast(100000000 + c_custkey as string), case when c_custkey % 13 = 0 then '1' when c_custkey % 7 = 0 then '0001' else '' end) as raw from {customer}"
 URLS = """select page_id, case page_id % 8 when 0 then url when 1 then replace(url, 'http', 'ftp') when 2 then concat(url, ' x') when 3 then 'https://user:pw@shop.example.com/' when 4 then 'http://10.1.2.3/'
  when 5 then 'https://shop.example.com:8443/a' when 6 then 'https://localhost/' else '' end as url from {pages}"""
 #: S: a customer is a domain, its orders' first lines are claims, suppliers are candidates.
-CLAIMS = """select o_custkey as domain, l_suppkey % 50 as eik, 1 + l_linenumber % 5 as tier, l_returnflag = 'R' as operator, l_shipdate < timestamp '1995-01-01 00:00:00' as archived, l_linenumber = 4 and l_suppkey % 5 = 0 as declared,
+CLAIMS = """select o_custkey as domain, l_suppkey % 50 as eik, 1 + l_linenumber % 5 as tier, l_returnflag = 'R' as operator, l_shipdate < timestamp '1995-01-01 00:00:00' as archived, l_linenumber = 1 and l_suppkey % 5 = 0 as declared,
  l_linenumber % 3 = 0 as own, l_partkey % 7 as host, l_orderkey as page, case when l_suppkey % 3 = 0 then null else l_partkey % 2 = 0 end as name_ok, l_suppkey % 3 = 1 as confirmed
- from {lineitem} join {orders} on l_orderkey = o_orderkey where l_linenumber <= 4"""
+ from {lineitem} join {orders} on l_orderkey = o_orderkey"""
 MERCHANTS = """select c_custkey as shop, case when c_custkey % 11 = 0 then null else c_custkey end as eik, c_custkey % 7 <> 0 as eik_ok, case when c_custkey % 5 = 0 then null else 'a' end as address, case when c_custkey % 3 = 0 then null else 'e' end as email,
  case when c_custkey % 2 = 0 then null else 'p' end as phone, case when c_custkey % 13 = 0 then null else c_name end as company, 1 + c_nationkey % 2 as n_names, case when c_custkey % 4 = 0 then 'v' else null end as vat from {customer}"""
 VALUES = """select o_custkey as domain, case l_linenumber % 2 when 0 then 'phone' else 'name' end as field, l_suppkey % 4 as key, 1 + l_linenumber as authority, l_linenumber = 1 and l_suppkey % 4 = 0 as authoritative, l_suppkey % 9 = 0 as official,
- l_partkey % 3 as voice, l_linenumber % 3 as origin from {lineitem} join {orders} on l_orderkey = o_orderkey where l_linenumber <= 3"""
+ l_partkey % 3 as voice, l_linenumber % 3 as origin from {lineitem} join {orders} on l_orderkey = o_orderkey"""
 OLD_DOMAINS = "select c_custkey as domain, timestamp '2024-01-01 00:00:00' as first_seen, timestamp '2024-02-01 00:00:00' as last_checked from {customer} where c_custkey % 3 <> 0"
 NEW_DOMAINS = "select c_custkey as domain, timestamp '2024-03-01 00:00:00' as first_seen, timestamp '2024-03-05 00:00:00' as last_checked from {customer} where c_custkey % 2 = 0"
 OLD_ENTITIES = "select c_custkey as eik, c_name as name, c_mktsegment as seat, case when c_custkey % 4 = 0 then null else 'active' end as status from {customer} where c_custkey % 5 <> 0"
 NEW_ENTITIES = "select c_custkey as eik, case when c_custkey % 6 = 0 then concat(c_name, ' x') when c_custkey % 7 = 0 then null else c_name end as name, c_mktsegment as seat, case when c_custkey % 9 = 0 then 'closed' else 'active' end as status from {customer} where c_custkey % 3 <> 0"
 
 
-def _nine(raw: str) -> str:
-    """SQL of the check digit of nine digits."""
-    part = lambda w: " + ".join(f"cast(substr({raw}, {i + 1}, 1) as int) * {x}" for i, x in enumerate(w))
-    once, twice = f"(({part(ids.NINE)}) % 11)", f"(({part(ids.NINE_AGAIN)}) % 11)"
-    return f"(case when {once} < 10 then {once} else {twice} % 10 end)"
+_VALID = f"coalesce({_digit_sql('raw')} = cast(substr(raw, 9, 1) as int), false)"
 
 
-@query(f"select c_custkey, raw, {_nine('raw')} = cast(substr(raw, 9, 1) as int) as valid from ({_sql(IDS)})")
+@query(f"select c_custkey, raw, {_VALID} as valid from ({_sql(IDS)})")
 def eik9_validate(spark, folder):
     return synthesised(spark, folder, IDS, ("customer",)).select("c_custkey", "raw", ids.identifier_valid(F.col("raw")).alias("valid"))
 
 
-@query(f"select c_custkey, case when {_nine('raw')} = cast(substr(raw, 9, 1) as int) then raw end as eik from ({_sql(IDS)})")
+@query(f"select c_custkey, case when {_VALID} and c_custkey % 5 <> 0 then raw end as eik from ({_sql(IDS)})")
 def eik_normalise(spark, folder):
-    spaced = F.concat(F.lit(" "), F.substring("raw", 1, 3), F.lit("-"), F.substring("raw", 4, 3), F.lit("."), F.substring("raw", 7, 3))
+    mark = F.when(F.col("c_custkey") % 5 == 0, "_").otherwise("-")  # an underscore is no separator
+    spaced = F.concat(F.lit(" ["), F.substring("raw", 1, 3), mark, F.substring("raw", 4, 3), F.lit("."), F.substring("raw", 7, 3), F.lit("]"))
     return synthesised(spark, folder, IDS, ("customer",)).select("c_custkey", ids.identifier_or_null(spaced).alias("eik"))
 
 
@@ -62,24 +73,42 @@ def vat_parse(spark, folder):
     return synthesised(spark, folder, VATS, ("customer",)).select("c_custkey", parts["country"].alias("country"), parts["number"].alias("number"))
 
 
-@query(f"""select s_suppkey, case when length(n) between 7 and 9 then concat('+359', n) end as phone from (select s_suppkey, regexp_replace(case when d like '+359%' then substr(d, 5) when d like '00359%' then substr(d, 6) when regexp_matches(d, '^0[1-9]') then substr(d, 2) end, '^0+', '') as n from (select s_suppkey, regexp_replace(raw, '[^0-9+]', '', 'g') as d from ({_sql(PHONES)})))""")
+@query(f"select c_custkey, case when regexp_full_match(v, '(BG)?([0-9]{{9}}|[0-9]{{13}})') then 'BG' || ltrim(v, 'BG') end as vat from (select c_custkey, regexp_replace(upper(raw), '[ .-]', '', 'g') as v from ({_sql(VATS)}))")
+def vat_keys(spark, folder):
+    return synthesised(spark, folder, VATS, ("customer",)).select("c_custkey", ids.vat_key(F.col("raw")).alias("vat"))
+
+
+_NATIONAL = f"""select s_suppkey, case when regexp_full_match(n, '[0-9]{{7,9}}') then n end as n from (select s_suppkey, regexp_replace(case when d like '+359%' then substr(d, 5) when d like '00359%' then substr(d, 6) when d like '359%' and length(d) >= 11 then substr(d, 4) when d like '0%' and length(d) between 8 and 10 then substr(d, 2) end, '^0', '') as n
+ from (select s_suppkey, regexp_replace(raw, '[^0-9+]', '', 'g') as d from ({_sql(PHONES)})))"""
+
+
+@query(f"select s_suppkey, '+359' || n as phone from ({_NATIONAL})")
 def phone_key(spark, folder):
     return synthesised(spark, folder, PHONES, ("supplier",)).select("s_suppkey", ids.phone_key(F.col("raw")).alias("phone"))
 
 
-@query(f"""select s_suppkey, case s_suppkey % 5 when 0 then concat('office', s_suppkey, '@shop.example.com') when 1 then concat('info', s_suppkey, '@example.org') when 4 then concat('a.b+', s_suppkey, '@mail.example.net') end as email from ({_sql(MAILS)})""")
+@query(f"select s_suppkey, '+359 ' || rtrim(case when n like '2%' then '2 ' || substr(n, 2, 3) || ' ' || substr(n, 5) when substr(n, 1, 3) in ('700', '800', '900') then substr(n, 1, 3) || ' ' || substr(n, 4, 2) || ' ' || substr(n, 6) else substr(n, 1, 2) || ' ' || substr(n, 3, 3) || ' ' || substr(n, 6) end) as phone from ({_NATIONAL})")
+def phone_shown(spark, folder):
+    return synthesised(spark, folder, PHONES, ("supplier",)).select("s_suppkey", ids.phone_display(F.col("raw")).alias("phone"))
+
+
+_MAIL_KEYS = f"""select s_suppkey, raw, case when regexp_full_match(v, '[a-z0-9._%+-]{{1,64}}@[a-z0-9.-]{{1,253}}\\.[a-z]{{2,10}}') and split_part(v, '.', -1) not in ('png', 'jpg', 'jpeg', 'gif', 'svg', 'webp', 'css', 'js') then v end as email
+ from (select s_suppkey, raw, trim(split_part(replace(trim(lower(raw)), 'mailto:', ''), '?', 1), ' .,;:<>()[]') as v from ({_sql(MAILS)}))"""
+
+
+@query(f"select s_suppkey, email from ({_MAIL_KEYS})")
 def email_key(spark, folder):
     return synthesised(spark, folder, MAILS, ("supplier",)).select("s_suppkey", ids.email_key(F.col("raw")).alias("email"))
 
 
-@query(f"""select s_suppkey, case s_suppkey % 5 when 0 then 'corporate' when 1 then 'published_contact' when 4 then 'published_contact' end as kind, substr(sha256(lower(trim(raw))), 1, 16) as hash from ({_sql(MAILS)})""")
-def email_classify(spark, folder):
-    return synthesised(spark, folder, MAILS, ("supplier",)).select("s_suppkey", ids.email_kind(F.col("raw"), F.lit("shop.example.com")).alias("kind"), ids.email_hash(F.col("raw")).alias("hash"))
+_SITE = "onlineshop.example.com"
 
 
-@query(f"""select s_suppkey, case s_suppkey % 5 when 0 then '+359 2 ' || substr(n, 1, 3) || ' ' || substr(n, 4) else '+359 ' || substr(m, 1, 2) || ' ' || substr(m, 3, 3) || ' ' || substr(m, 6) end as phone from (select s_suppkey, cast(9000000 + s_suppkey as varchar) as n, cast(case when s_suppkey % 5 = 4 then 8700000 + s_suppkey else 88000000 + s_suppkey end as varchar) as m from supplier) where s_suppkey % 5 <> 3""")
-def phone_shown(spark, folder):
-    return synthesised(spark, folder, PHONES, ("supplier",)).where("s_suppkey % 5 <> 3").select("s_suppkey", ids.phone_display(F.col("raw")).alias("phone"))
+@query(f"""select s_suppkey, case when email is null then null when host = 'shop.example.com' then 'published_contact' when host = '{_SITE}' or host like '%.{_SITE}' then 'corporate' when host = 'cpdp.bg' or host like '%.cpdp.bg' then 'institution'
+ when regexp_matches(local, '^(info|office)([._-]?[a-z0-9_]*)$') then 'corporate' when regexp_replace(local, '[^a-z0-9]', '', 'g') like '%onlineshop%' then 'corporate' else 'published_contact' end as kind, substr(sha256(lower(trim(raw))), 1, 16) as hash
+ from (select s_suppkey, raw, email, split_part(email, '@', 2) as host, split_part(email, '@', 1) as local from ({_MAIL_KEYS}))""".replace("when host = 'shop.example.com' then 'published_contact' ", ""))
+def email_classify(spark, folder):
+    return synthesised(spark, folder, MAILS, ("supplier",)).select("s_suppkey", ids.email_kind(F.col("raw"), F.lit(_SITE)).alias("kind"), ids.email_hash(F.col("raw")).alias("hash"))
 
 
 @query("""select doc_id, email from (select distinct doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+'))) as email from documents)""")
@@ -107,12 +136,15 @@ def page_hash(spark, folder):
     return table(spark, folder, "pages").select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("sha256"), F.length("html").cast("bigint").alias("n"))
 
 
-@query("""select page_id, length(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g')) as n from pages""")
+_HEAVY = "<style[^>]*>.*?</style>|<svg[^>]*>.*?</svg>|<noscript[^>]*>.*?</noscript>|<template[^>]*>.*?</template>|<!--.*?-->"
+
+
+@query(f"""select page_id, length(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|{_HEAVY}', '', 'g')) + coalesce(list_sum(list_transform(regexp_extract_all(html, '(?is)<script[^>]*ld\\+json[^>]*>.*?</script>'), lambda x: length(x))), 0)::bigint as n from pages""")
 def page_strip_len(spark, folder):
     return table(spark, folder, "pages").select("page_id", F.length(web.stripped(F.col("html"))).cast("bigint").alias("n"))
 
 
-@query("""select distinct page_id, unnest(regexp_extract_all(html, '(?i)href="([^"#][^"]*)"', 1)) as link from pages""")
+@query("""select distinct page_id, link from (select page_id, trim(regexp_replace(unnest(regexp_extract_all(html, '(?i)\\shref\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s"''>]+)', 1)), '^["'']|["'']$', '', 'g')) as link from pages) where link <> '' and link[1] <> '#'""")
 def page_links(spark, folder):
     return table(spark, folder, "pages").select("page_id", F.explode(web.links(F.col("html"))).alias("link"))
 
@@ -121,16 +153,17 @@ _CLAIM_SOURCE = ("lineitem", "orders")
 
 
 def _scored_sql() -> str:
-    """The scoring and its levels in SQL."""
-    oo = "(own or (operator and not declared))"
-    return f"""select domain, eik, case when level = 'high' and not coalesce(name_ok, true) then 'medium' else level end as level, best_tier, operator, confirmed, name_ok, pages, public_hosts from (
-    select *, case when declared and not own_any then 'high' when own_any and all_archived and not operator and not confirmed then 'medium' when own_any and not own_live and all_archived and not confirmed then 'medium' when own_any then 'high' when public_hosts >= 2 then 'medium' else 'low' end as level from (
-    select domain, eik, min(tier) as best_tier, bool_or({oo}) as own_any, bool_or(own and not archived) as own_live, bool_or(operator and not declared) as operator, bool_and(case when {oo} then archived end) as all_archived, bool_or(declared) as declared, bool_or(confirmed) as confirmed,
-    count(distinct case when not own then host end) as public_hosts, count(distinct case when own then page end) as pages, case when bool_or(name_ok) then true when bool_or(not name_ok) then false end as name_ok from ({_sql(CLAIMS)}) group by domain, eik))"""
+    """The scoring and its levels in SQL, by evidence of each kind."""
+    return f"""with c as (select *, operator and not declared and (tier = 3 or own) as op from ({_sql(CLAIMS)})),
+    e as (select domain, eik, min(tier) as best_tier, count_if(tier = 3) as documents, count_if(tier = 3 and not archived) as live, count_if(op) as ops, count_if(op and not archived) as live_ops, bool_or(declared) as declared, bool_or(confirmed) as confirmed,
+     count_if(tier = 5 and own) as shown, count(distinct host) filter (where tier >= 4 and not own) as public_hosts, count(distinct page) filter (where tier = 3) as pages, count_if(name_ok) as good, count_if(not name_ok) as bad from c group by domain, eik),
+    l as (select *, case when documents + ops = 0 and declared then 'high' when documents + ops > 0 and (live + live_ops > 0 or confirmed) then 'high' when documents + ops > 0 then 'medium' when shown > 0 and confirmed then 'medium' when public_hosts >= 2 then 'medium' else 'low' end as plain from e)
+    select domain, eik, case when plain = 'high' and good = 0 and bad > 0 then 'medium' else plain end as level, best_tier, ops > 0 as operator, confirmed, case when good > 0 then true when bad > 0 then false end as name_ok, pages, public_hosts from l"""
 
 
 def _ranked_sql() -> str:
-    return f"""select *, count(case when rk = 1 then 1 end) over (partition by domain) as n_first from (select *, rank() over (partition by domain order by case level when 'high' then 4 when 'medium' then 3 when 'low' then 2 else 1 end desc, best_tier, operator desc, confirmed desc, coalesce(name_ok, false) desc, pages desc) as rk from ({_scored_sql()}))"""
+    order = "case level when 'high' then 1 when 'medium' then 2 else 3 end, best_tier, case when operator then 0 else 1 end, case when confirmed then 0 else 1 end, case when name_ok then 0 else 1 end, -pages"
+    return f"select *, row_number() over (partition by domain order by {order}, eik) as rn, first_value(eik) over (partition by domain order by {order}, eik) as lead, count(*) over (partition by domain, {order}) as alike from ({_scored_sql()})"
 
 
 def _scored(spark, folder):
@@ -142,12 +175,26 @@ def candidate_scores(spark, folder):
     return _scored(spark, folder)
 
 
-@query(f"select domain, case when n_first > 1 then null when level in ('high', 'medium') then eik end as eik, case when n_first > 1 then 'insufficient' else level end as level, case when n_first > 1 then 'ambiguous' when level in ('high', 'medium') then 'identified' else 'candidate' end as basis from (select domain, min(eik) as eik, min(level) as level, max(n_first) as n_first from ({_ranked_sql()}) where rk = 1 group by domain)")
+_FIRST = f"select domain, eik, level, case when alike > 1 then 'ambiguous' when level in ('high', 'medium') then 'identified' end as basis from ({_ranked_sql()}) where rn = 1"
+
+
+@query(f"select domain, case when basis = 'identified' then eik end as eik, case when basis = 'ambiguous' then 'insufficient' else level end as level, coalesce(basis, 'candidate') as basis from ({_FIRST})")
 def resolve_domains(spark, folder):
     return resolution.resolve(_scored(spark, folder))
 
 
-@query(f"select domain, eik, cast(rn as int) as rn from (select domain, eik, n_first, row_number() over (partition by domain order by case level when 'high' then 4 when 'medium' then 3 when 'low' then 2 else 1 end desc, best_tier, eik) as rn from ({_ranked_sql()})) where rn <= 5 and (rn > 1 or n_first > 1)")
+FOREIGN = "select c_custkey as domain, concat('DE', cast(100000000 + c_custkey as string)) as vat, c_custkey as seq from {customer} where c_custkey % 4 = 0"
+NAMED = "select o_custkey as domain, concat(case o_orderkey % 3 when 0 then 'Alpha' when 1 then 'Beta 5' else 'Gamma' end, case o_orderkey % 4 when 0 then ' ООД' when 1 then ' ET' when 2 then '' else ' КАПАЦИТ 7 ЕТ' end) as name, o_orderkey as seq, o_orderkey % 5 = 0 as operator, o_orderkey % 2 = 0 as stated from {orders}"
+
+
+@query(f"""with f as ({_FIRST}), v as (select domain, vat from ({_sql(FOREIGN)})), n as (select domain, name from (select *, row_number() over (partition by domain order by case when operator then 0 else 1 end, seq) as i from ({_sql(NAMED)}) where (operator or stated) and (name like '% ООД' or name like '% ET')) where i = 1),
+ b as (select domain, f.eik, f.level as best, v.vat, n.name, case when f.basis is not null then f.basis when v.vat is not null then 'foreign_vat' when n.name is not null then 'name_only' when f.eik is not null then 'candidate' else 'none' end as basis from f full join v using (domain) full join n using (domain))
+ select domain, case when basis = 'identified' then eik end as eik, case basis when 'identified' then best when 'foreign_vat' then 'high' when 'name_only' then 'medium' when 'candidate' then 'low' else 'insufficient' end as level, basis, case when basis = 'foreign_vat' then vat end as vat, case when basis = 'name_only' then name end as name, case when basis = 'candidate' then eik end as candidate from b""")
+def resolve_fall_through(spark, folder):
+    return resolution.resolve(_scored(spark, folder), synthesised(spark, folder, FOREIGN, ("customer",)), synthesised(spark, folder, NAMED, ("orders",)))
+
+
+@query(f"select r.domain, r.eik, cast(r.rn as int) as rn from ({_ranked_sql()}) r join ({_FIRST}) f using (domain) where rn <= 5 and (rn > 1 or coalesce(f.basis, '') = 'ambiguous')")
 def resolve_alternatives(spark, folder):
     return resolution.alternatives(_scored(spark, folder))
 
@@ -272,9 +319,9 @@ def day_log(spark, folder):
     return state.latest(today, "event_type", ["ts", "event_id"]).select("event_type", "event_id", "value")
 
 
-@query("select event_id, row_number() over (partition by cast(ts as date) order by ts, event_id) <= 100 as allowed from events where event_type = 'view'")
+@query("select event_id, row_number() over (partition by cast(ts as date) order by ts, event_id) <= 100 as allowed from events")
 def daily_budget(spark, folder):
-    return state.daily_budget(table(spark, folder, "events").where("event_type = 'view'"), "ts", "event_id", 100).select("event_id", "allowed")
+    return state.daily_budget(table(spark, folder, "events"), "ts", "event_id", 100).select("event_id", "allowed")
 
 
 @query("select user_id, max(value) as stage, arg_max(event_type, event_id) as last_type, count(*) as n_events from events group by user_id")
@@ -282,9 +329,9 @@ def job_state(spark, folder):
     return state.job_state(table(spark, folder, "events"), "user_id", "value", "event_id", "event_id")
 
 
-@query("select c_custkey, cast(ceil(row_number() over (order by c_acctbal desc, c_custkey) / 5.0) as int) as page from customer where c_mktsegment = 'BUILDING' and c_custkey < 400")
+@query("select c_custkey, cast(ceil(row_number() over (order by c_acctbal desc, c_custkey) / 5.0) as int) as page from customer where c_mktsegment = 'BUILDING'")
 def worklist_page(spark, folder):
-    rows = table(spark, folder, "customer").where("c_mktsegment = 'BUILDING' and c_custkey < 400")
+    rows = table(spark, folder, "customer").where("c_mktsegment = 'BUILDING'")
     return state.paged(rows, [F.desc("c_acctbal"), F.asc("c_custkey")], 5).select("c_custkey", "page")
 
 

@@ -69,26 +69,31 @@ def frontier_depth2(spark, folder):
 _HOST = "regexp_replace(regexp_extract(lower(url), '^https?://([^/:?#]+)', 1), '^www\\.', '')"
 
 
-@query(f"select domain, host, pages, cast(place as int) as place from (select *, row_number() over (partition by domain order by pages desc, length(host), host) as place from (select concat_ws('.', split_part(h, '.', -2), split_part(h, '.', -1)) as domain, h as host, count(*) as pages from (select {_HOST} as h from pages) group by all)) where place <= 12")
+HOSTS = "select distinct concat('shop', cast(c_nationkey as string), '.example') as domain, concat(case c_custkey % 9 when 0 then 'legal' when 1 then 'old.help' when 2 then 'help' when 3 then 'cdn' when 4 then 'terms' when 5 then 'za-nas' when 6 then 'x.info' when 7 then 'myprivacy' else 'developers' end, '.shop', cast(c_nationkey as string), '.example') as host from {customer}"
+
+
+@query(f"""select domain, host, cast(place as int) as place from (select domain, host, row_number() over (partition by domain order by coalesce(list_position(['legal', 'help', 'support', 'about', 'company', 'corporate', 'developer', 'developers', 'business', 'info'], split_part(label, '.', -1)), 99), length(label) - length(replace(label, '.', '')), label) as place
+ from (select domain, host, replace(host, '.' || domain, '') as label from ({plain(HOSTS)})) where label <> 'cdn') where place <= 12""")
 def host_rank(spark, folder):
-    seen = table(spark, folder, "pages").select(web.host_of(F.col("url")).alias("host")).groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    return crawl.host_rank(seen.withColumn("domain", web.registrable(F.col("host"))))
+    return crawl.host_rank(synthesised(spark, folder, HOSTS, ("customer",)))
 
 
-@query("select page_id, case when page_id % 5 = 0 then 'refused' when page_id % 3 = 0 then 'error' else 'ok' end as state, page_id % 4 = 0 as challenge, page_id % 6 = 0 as shell, page_id % 7 = 0 as private from pages")
+@query("select page_id, case when page_id % 5 = 0 then 'refused' when page_id % 3 = 0 then 'error' else 'ok' end as state, page_id % 4 = 0 or page_id % 11 = 0 as challenge, page_id % 6 = 0 as shell, page_id % 7 = 0 as private from pages")
 def page_state(spark, folder):
     p = table(spark, folder, "pages")
     status = F.when(F.col("page_id") % 5 == 0, 403).when(F.col("page_id") % 3 == 0, 500).otherwise(204)
-    html = F.concat(F.when(F.col("page_id") % 4 == 0, "<title>Just a MOMENT...</title>").otherwise("<p>plain</p>"), F.when(F.col("page_id") % 6 == 0, '<div id="root"></div>').otherwise(""))
+    ordinary = F.lit('<p>we use a captcha; access denied to bots</p><div id="app"></div><div id="root"></div>')
+    html = F.concat(ordinary, F.when(F.col("page_id") % 4 == 0, "<title>Just a MOMENT...</title>").otherwise(""), F.when(F.col("page_id") % 6 == 0, '<script id="__NEXT_DATA__"></script>').otherwise(""), F.col("html"))
     url = F.concat(F.lit("https://shop.example.com/"), F.when(F.col("page_id") % 7 == 0, "Cart?x").otherwise("cartoons"))
-    return p.select("page_id", crawl.status_class(status).alias("state"), crawl.is_challenge(html).alias("challenge"), crawl.is_app_shell(html).alias("shell"), crawl.is_private(url).alias("private"))
+    return p.select("page_id", crawl.status_class(status).alias("state"), crawl.is_challenge(html, F.when(F.col("page_id") % 11 == 0, "Challenge")).alias("challenge"), crawl.is_app_shell(html).alias("shell"), crawl.is_private(url).alias("private"))
 
 
-@query("select page_id, case when page_id % 3 = 0 then true when page_id % 3 = 1 then false else page_id % 2 = 0 end as allowed from pages")
+@query("select page_id, case when page_id % 10 = 0 then false when page_id % 3 = 0 then true when page_id % 3 = 1 then false else page_id % 2 = 0 end as allowed from pages")
 def robots_rules(spark, folder):
-    urls = table(spark, folder, "pages").selectExpr("page_id", "case when page_id % 3 = 2 and page_id % 2 = 0 then 'b.example' else 'a.example' end as host", "concat(case page_id % 3 when 0 then '/x/open/' when 1 then '/x/' else '/x' end, case when page_id % 3 = 2 then '/shut' else '' end, cast(page_id as string)) as path")
+    urls = table(spark, folder, "pages").selectExpr("page_id", "case when page_id % 10 = 0 then 'shut.example' when page_id % 3 = 2 and page_id % 2 = 0 then 'b.example' else 'a.example' end as host", "concat(case page_id % 3 when 0 then '/x/open/' when 1 then '/x/' else '/x' end, case when page_id % 3 = 2 then '/shut' else '' end, cast(page_id as string)) as path")
     rules = spark.createDataFrame([("a.example", "/x/", False), ("a.example", "/x/open", True), ("a.example", "/x/open/", True), ("a.example", "/", True)], "host string, prefix string, allow boolean")
-    return crawl.robots_allowed(urls, rules).select("page_id", "allowed")
+    answers = spark.createDataFrame([("shut.example", 403), ("a.example", 200), ("b.example", 404)], "host string, status int")
+    return crawl.robots_allowed(urls, rules, answers).select("page_id", "allowed")
 
 
 _PAGE = "<html><head><script>var x = 'ЕИК: 1';</script></head><body><h1>Shop</h1><p>Търговец: {company}</p><div>ЕИК</div><div>{eik}</div><p>ИН по ЗДДС: BG{eik}</p><p>Адрес: {address}</p><p>Тел.: {phone}<br>write to <a href=\"mailto:{email}?subject=x\">us</a>&nbsp;</p></body></html>"
