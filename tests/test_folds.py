@@ -49,24 +49,97 @@ def test_admit_with_idle_gaps(spark):
     assert got == want
 
 
-def _pdf(content: bytes, packed: bool = True, cmap: bytes = b"") -> bytes:
-    data = zlib.compress(content) if packed else content
-    extra = b"2 0 obj <</Length %d>>\nstream\n%s\nendstream endobj\n" % (len(cmap), cmap) if cmap else b""
-    return b"%PDF-1.4\n1 0 obj <</Length " + str(len(data)).encode() + (b" /Filter /FlateDecode" if packed else b"") + b">>\nstream\n" + data + b"\nendstream endobj\n" + extra + b"%%EOF"
+def _pdf(contents: list[bytes], cmaps: dict[str, bytes] | None = None, packed: bool = True) -> bytes:
+    """A file of a page a content, whose fonts have these maps; its page objects lie in an object stream."""
+    import zlib
+
+    out, n = [b"%PDF-1.5"], 10
+    squeeze = lambda x: zlib.compress(x) if packed else x
+    how = b"/Filter /FlateDecode" if packed else b""
+
+    def stream(number, data, head=b""):
+        raw = squeeze(data)
+        out.append(b"%d 0 obj << %s %s /Length %d >> stream\n%s\nendstream endobj" % (number, how, head, len(raw), raw))
+
+    fonts = b""
+    for name, cmap in (cmaps or {}).items():
+        stream(n, cmap)
+        out.append(b"%d 0 obj << /Type /Font /ToUnicode %d 0 R >> endobj" % (n + 1, n))
+        fonts += b"/%s %d 0 R " % (name.encode(), n + 1)
+        n += 2
+    kids, packs = [], []
+    for c in contents:
+        stream(n, c)
+        packs.append((n + 1, b"<< /Type /Page /Contents %d 0 R >>" % n))
+        kids.append(b"%d 0 R" % (n + 1))
+        n += 2
+    packs.append((2, b"<< /Type /Pages /Kids [%s] /Resources << /Font << %s >> >> >>" % (b" ".join(kids), fonts)))
+    body, marks = b"", b""
+    for number, data in packs:
+        marks += b"%d %d " % (number, len(body))
+        body += data + b" "
+    stream(3, marks + body, b"/Type /ObjStm /N %d /First %d" % (len(packs), len(marks)))
+    out.append(b"1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj")
+    return b"\n".join(out)
 
 
 def test_pdf_text():
-    assert captured.pdf_text(_pdf(b"BT /F1 12 Tf 50 700 Td (Company \\(one\\)) Tj 0 -20 Td [(EIK ) -250 (123)] TJ ET")) == "Company (one)\nEIK 123"
-    assert captured.pdf_text(_pdf(b"BT (plain) Tj ET", packed=False)) == "plain"
-    cmap = b"begincmap 1 beginbfchar <0001> <0428> endbfchar 1 beginbfrange <0002> <0004> <0061> endbfrange endcmap"
-    assert captured.pdf_text(_pdf(b"BT <0001000200030004> Tj ET", cmap=cmap)) == "Шabc"
-    assert captured.pdf_text(b"no pdf") is None and captured.pdf_text(None) is None and captured.pdf_text(b"%PDF-1.4 junk") == ""
+    from tradelens.sources import pdf
+
+    read = pdf.pdf_text
+    assert read(_pdf([b"BT /F1 12 Tf 50 700 Td (Company \\(one\\) (two (three)) \\101) Tj 0 -20 Td [(EIK ) -250 (123)] TJ ET", b"BT (page two) Tj ET"])) == ("Company (one) (two (three)) A\nEIK  123\npage two", None)
+    assert read(_pdf([b"BT (pla\\\nin) Tj ET"], packed=False)) == ("plain", None)
+    one = b"begincmap 1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfchar <0001> <0428> endbfchar 2 beginbfrange <0002> <0004> <0061> <0005> <0006> [<0416> <0078 0079>] endbfrange endcmap"
+    two = b"begincmap 1 begincodespacerange <00> <FF> endcodespacerange 1 beginbfchar <01> <005A> endbfchar endcmap"
+    text = b"BT /F1 9 Tf <00010002000300040006> Tj /F2 9 Tf <01> Tj /F1 9 Tf <0005> Tj ET"
+    assert read(_pdf([text], {"F1": one, "F2": two})) == ("\u0428abcxyZ\u0416", None)
+    assert read(b"no pdf") == (None, "not_pdf") and read(b"%PDF-1.4 junk") == ("", None)
+    assert read(b"%PDF-1.4 trailer << /Encrypt 5 0 R >>") == (None, "encrypted")
+    assert read(_pdf([b"BT (x) Tj ET BI /W 1 ID (((( EI BT (y) Tj ET"])) == ("x\ny", None)
+
+
+def test_pdf_bound(monkeypatch):
+    from tradelens.sources import pdf
+
+    monkeypatch.setattr(pdf, "MOST_INFLATED", 3000)
+    assert pdf.pdf_text(_pdf([b"BT (first) Tj ET", b"BT (" + b"x" * 9000 + b") Tj ET"])) == ("first", "inflates_too_far")
+    monkeypatch.setattr(pdf, "MOST_BYTES", 10)
+    assert pdf.pdf_text(_pdf([b""])) == (None, "too_large")
 
 
 def test_bodies(spark):
     bodies = [("Шоп".encode("cp1251"), None), ("Шоп".encode(), "text/html"), ("é".encode("latin-1"), "text/html; charset=latin-1"), (None, None), (b"<meta charset='cp1251'>" + "Ж".encode("cp1251"), ""), (b"x", "text/html; charset=no-such")]
     rows = spark.createDataFrame([(i, b, c) for i, (b, c) in enumerate(bodies)], "i int, body binary, content_type string")
-    assert [r.text for r in captured.with_text(rows).orderBy("i").collect()] == ["Шоп", "Шоп", "é", None, "<meta charset='cp1251'>Ж", "x"]
+    got = captured.with_text(rows).orderBy("i").collect()
+    assert [r.text for r in got] == ["Шоп", "Шоп", "é", None, "<meta charset='cp1251'>Ж", "x"]
+    assert [r.text_error for r in got] == [None, None, None, "no_body", None, None]
+
+
+def test_sources_that_were_not_captured(spark, tmp_path):
+    from tradelens.sources import tables
+
+    df, state_ = tables.source(spark, FOLDER, "no_such_table", "a int")
+    assert state_ == "unconfigured" and df.collect() == [] and tables.source(spark, FOLDER, "region", "a int")[1] == "captured"
+    assert [n for n, _ in tables.configured(spark, FOLDER, ["nothing", "nation", "region"], "a int")] == ["nation", "region"]
+    (tmp_path / "rules").write_text("// rules\ncom\n*.ck\n!www.ck trailing\n\nco.uk\n")
+    assert {tuple(r) for r in tables.suffix_rules(spark, str(tmp_path / "rules")).collect()} == {("com", "rule"), ("ck", "wildcard"), ("www.ck", "exception"), ("co.uk", "rule")}
+
+
+def test_json_answers_and_sitemaps(spark):
+    rows = spark.createDataFrame([(1, 200, '{"r": [{"a": 1}]}'), (2, 200, '{"r": []}'), (3, 200, "oops"), (4, 503, '{"r": [{"a": 1}]}'), (5, None, None)], "i int, status int, body string")
+    assert [r.state for r in captured.json_answers(rows, "struct<a:int>", "$.r").orderBy("i").collect()] == ["found", "not_found", "unavailable", "unavailable", "unavailable"]
+    xml = spark.createDataFrame([("<loc>https://a/x</loc><loc> https://a/Terms </loc><loc>https://a/x</loc>",)], "x string")
+    assert xml.select(captured.sitemap(F.col("x")).alias("a"), captured.sitemap(F.col("x"), ("terms",), 5).alias("b")).first() == (["https://a/x", "https://a/Terms"], ["https://a/Terms"])
+
+
+def test_triage_verdicts(spark):
+    from tradelens.operators import verbs
+
+    page = "<p>ЕИК: 131371780</p><p>Адрес: гр. София, ул. Дълга 5</p><p>office@a.bg +359 2 9000001</p>"
+    fetches = [("https://a.bg/", "https://a.bg/", 1, 200, page), ("https://a.bg/", "https://a.bg/t", 2, 200, "<p>фирма: Алфа ООД</p>"), ("https://b.bg/", "https://b.bg/", 1, 403, None), ("https://c.bg/", "https://c.bg/", 1, 500, None), ("https://d.bg/", "https://d.ro/", 1, 200, page), ("https://e.bg/", "https://e.bg/", 1, 200, "<script id='__NEXT_DATA__'></script>")]
+    got = {r.domain: r for r in verbs.triage(spark.createDataFrame(fetches, "url string, final_url string, seq int, status int, html string")).collect()}
+    assert {d: r.verdict for d, r in got.items()} == {"a.bg": "ok", "b.bg": "blocked", "c.bg": "unreachable", "d.bg": "out_of_scope", "e.bg": "undetermined"}
+    assert got["a.bg"].company == "Алфа ООД" and got["a.bg"].pages == 2 and got["b.bg"].score is None
 
 
 def test_pages_without_anything(spark):

@@ -34,13 +34,20 @@ def identifier_kind(value: Column) -> Column:
 
 
 def identifier_valid(value: Column) -> Column:
-    """Whether the check digits hold; false for null and for any other shape."""
-    d = strip_separators(value)
-    part = lambda first, n: F.substring(d, first, n).try_cast("bigint")
-    nine = _check(part(1, 8), 8, NINE, NINE_AGAIN) == part(9, 1)
-    last = _check(part(9, 4), 4, THIRTEEN, THIRTEEN_AGAIN) == part(13, 1)
-    kind = identifier_kind(value)
-    return F.coalesce(F.when(kind == 9, nine).when(kind == 13, nine & last), F.lit(False))
+    """Whether the check digits hold; false for null and for any other shape.
+
+    The digits are bound to a lambda's variable, since each weight names them: written out, the expression would hold the
+    value dozens of times, and whatever the value is made of as often.
+    """
+
+    def holds(d: Column) -> Column:
+        part = lambda first, n: F.substring(d, first, n).try_cast("bigint")
+        nine = lambda x: _check(x, 8, NINE, NINE_AGAIN)
+        last = lambda x: _check(x, 4, THIRTEEN, THIRTEEN_AGAIN)
+        right = F.transform(F.array(part(1, 8)), nine)[0] == part(9, 1)
+        return F.when(d.rlike("^[0-9]{9}$"), right).when(d.rlike("^[0-9]{13}$"), right & (F.transform(F.array(part(9, 4)), last)[0] == part(13, 1)))
+
+    return F.coalesce(F.transform(F.array(strip_separators(value)), holds)[0], F.lit(False))
 
 
 def identifier_or_null(value: Column) -> Column:

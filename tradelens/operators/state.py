@@ -27,10 +27,84 @@ def replace_people(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("eik").distinct(), "eik", "left_anti").unionByName(new)
 
 
-def purge(domains: DataFrame, links: DataFrame, as_of: str, days: int = 180) -> tuple[DataFrame, DataFrame]:
-    """Domains checked within the period, and links of them."""
-    kept = domains.where(F.col("last_checked") >= F.to_timestamp(F.lit(as_of)) - F.expr(f"interval {days} days"))
-    return kept, links.join(kept.select("domain"), "domain", "left_semi")
+def merge(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """old with new's rows by key: a new value that isn't null replaces the old one, but for the columns `keep`, whose first
+    value stays."""
+    rest = [c for c in old.columns if c not in keys]
+    o, n = old.alias("o"), new.alias("n")
+    pick = lambda c: F.coalesce(*((f"o.{c}", f"n.{c}") if c in keep else (f"n.{c}", f"o.{c}"))).alias(c)
+    return o.join(n, keys, "full_outer").select(*keys, *map(pick, rest))
+
+
+def link(old: DataFrame, new: DataFrame) -> DataFrame:
+    """domain, eik, confidence, basis, linked_at: the newest statement of each link; the first time stays."""
+    return merge(old, new, ["domain", "eik"], ("linked_at",))
+
+
+def subscribe(old: DataFrame, new: DataFrame) -> DataFrame:
+    """eik, provider, subscribed_at, last_event."""
+    return merge(old, new, ["eik", "provider"], ("subscribed_at",))
+
+
+def append_evidence(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Evidence is only ever added to; rows that are there already (by all their columns) aren't added again."""
+    return old.unionByName(new.join(old, [c for c in old.columns if c != "seen_at"], "left_anti"))
+
+
+def put_records(records: DataFrame, entities: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """new: eik, name, seat, status, record. The register's records with the new ones, and the entities they change."""
+    return merge(records, new.select(*records.columns), ["eik"]), upsert_entities(entities, new, ["name", "seat", "status"])
+
+
+def use_budget(usage: DataFrame, calls: DataFrame) -> DataFrame:
+    """usage: day, n; calls: day. The count of each day with the calls added."""
+    more = calls.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+    return usage.unionByName(more).groupBy("day").agg(F.sum("n").alias("n"))
+
+
+def stale(entities: DataFrame, before: str, most: int) -> DataFrame:
+    """entities: eik, checked. Those checked before a time (or never), oldest first."""
+    return entities.where(F.col("checked").isNull() | (F.col("checked") < F.to_timestamp(F.lit(before)))).orderBy(F.asc_nulls_first("checked"), "eik").limit(most)
+
+
+def reverified(entities: DataFrame, answers: DataFrame) -> DataFrame:
+    """entities: eik, name, seat, status; answers: eik, state (confirmed, not_found, unavailable), name, seat. Confirmed
+    answers give name, seat and the status of a registered number, others the status of none; outages change nothing."""
+    told = answers.where("state <> 'unavailable'")
+    good = F.col("state") == "confirmed"
+    new = told.select("eik", F.when(good, F.col("name")).alias("name"), F.when(good, F.col("seat")).alias("seat"), F.when(good, "vat_registered").otherwise("not_in_vies").alias("status"))
+    known = new.join(entities.select("eik"), "eik", "left_semi")
+    return upsert_entities(entities, known, ["name", "seat", "status"])
+
+
+def purge(tables: dict[str, DataFrame], as_of: str, days: int = 180, results: int = 600, cached: int = 7 * 86400) -> dict[str, DataFrame]:
+    """What stays of domains (domain, last_checked), links (domain, eik), evidence (domain, eik), entities (eik),
+    subscriptions (eik), roles (eik, person), people (person) and cache (kind, stored_at).
+
+    Domains not checked for `days` go with their evidence and links; then entities that no link names go with all that
+    hangs on them; then people without a role. Results live for `results` seconds, whatever else is cached for `cached`.
+    """
+    now = F.to_timestamp(F.lit(as_of))
+    out = dict(tables)
+    out["domains"] = tables["domains"].where(F.col("last_checked") >= now - F.expr(f"interval {days} days"))
+    for t in ("links", "evidence"):
+        out[t] = tables[t].join(out["domains"].select("domain"), "domain", "left_semi")
+    held = out["links"].select("eik").distinct()
+    for t in ("entities", "subscriptions", "roles", "evidence"):
+        out[t] = out[t].join(held, "eik", "left_semi")
+    out["people"] = tables["people"].join(out["roles"].select("person").distinct(), "person", "left_semi")
+    age = F.unix_timestamp(now) - F.unix_timestamp("stored_at")
+    out["cache"] = tables["cache"].where(~((F.col("kind") == "result") & (age > results)) & (age <= cached))
+    return out
+
+
+def evicted(jobs: DataFrame, most: int) -> DataFrame:
+    """jobs: job, finished, updated. Finished jobs beyond the `most` newest jobs, oldest first to go; running ones stay.
+
+    The newest are found by range partitions, not in one task."""
+    placed = paged(jobs.where("finished"), [F.desc("updated"), F.asc("job")], 1)
+    running = jobs.where("not finished").agg(F.count(F.lit(1)).alias("n")).first().n  # one row
+    return placed.where(F.col("page") > max(0, most - running)).select("job")
 
 
 def orphans(entities: DataFrame, links: DataFrame) -> DataFrame:

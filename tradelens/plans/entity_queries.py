@@ -270,15 +270,6 @@ def upsert_entity_changes(spark, folder):
     return state.upsert_entities(synthesised(spark, folder, OLD_ENTITIES, ("customer",)), synthesised(spark, folder, NEW_ENTITIES, ("customer",)), ["name", "seat", "status"])
 
 
-@query("select o_custkey as domain, count(*) as links from orders where o_custkey in (select o_custkey from orders group by 1 having max(o_orderdate) >= (select max(o_orderdate) from orders) - interval 180 days) group by 1")
-def retention_purge(spark, folder):
-    orders = table(spark, folder, "orders")
-    last = orders.agg(F.max("o_orderdate").cast("string").alias("m")).first().m
-    domains = orders.groupBy(F.col("o_custkey").alias("domain")).agg(F.max("o_orderdate").alias("last_checked"))
-    _, links = state.purge(domains, orders.select(F.col("o_custkey").alias("domain"), "o_orderkey"), last)
-    return links.groupBy("domain").agg(F.count(F.lit(1)).alias("links"))
-
-
 @query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
 def orphan_entities(spark, folder):
     return state.orphans(table(spark, folder, "customer").select(F.col("c_custkey").alias("eik")), table(spark, folder, "orders").select(F.col("o_custkey").alias("eik"))).select(F.col("eik").alias("c_custkey"))

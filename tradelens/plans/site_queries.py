@@ -143,12 +143,18 @@ def jsonld_roundtrip(spark, folder):
     return rows.select("k", F.explode(markup.structured(html)).alias("o")).select("k", "o.name", "o.tax_id")
 
 
-@query(f"select eik, 'Firm ' || k as name, 'OOD' as legal_form, 'Bulgaria, Sofia, Long ' || k as address, 'Anna Petrova,Ivan Ivanov' as managers from ({plain(TRADERS)}) where k % 5 <> 0")
+_DEED = """<m:Message xmlns:m="urn:m" xmlns:d="urn:d" xmlns:f="urn:f"><m:Body><d:Deed UIC="{eik}" CompanyName="Firm {n}" LegalForm="OOD" DeedStatus="{status}"><d:SubDeed><f:Seat FieldOperation="{op}"><f:Address><f:Country>Bulgaria</f:Country>
+<f:Settlement>Sofia</f:Settlement><f:PostCode></f:PostCode><f:Street>Long</f:Street><f:StreetNumber>{n}</f:StreetNumber><f:Floor>3</f:Floor></f:Address><f:Contacts><f:URL>https://firm{n}.example</f:URL></f:Contacts></f:Seat><f:Funds currency="BGN"> 5000 </f:Funds>
+<f:Managers><f:Manager><f:Person Position="manager"><f:Indent>0000000000</f:Indent><f:Name> Anna Petrova </f:Name></f:Person></f:Manager><f:Manager FieldOperation="Erase"><f:Person><f:Name>Gone Person</f:Name></f:Person></f:Manager><f:Procurator><f:Person><f:Name>Ivan Ivanov</f:Name></f:Person></f:Procurator></f:Managers></d:SubDeed></d:Deed></m:Body></m:Message>"""
+
+
+@query(f"select eik, 'Firm ' || k as name, 'OOD' as legal_form, case k % 4 when 0 then 'closed' when 1 then 'registered' when 2 then 'unknown' else 'registered' end as status, case when k % 5 <> 0 then 'Sofia, Long, ' || k || ', 3' end as address, case when k % 5 <> 0 then 'https://firm' || k || '.example' end as website, '5000 BGN' as capital, 'Anna Petrova:manager,Ivan Ivanov:Procurator' as people from ({plain(TRADERS)})")
 def deed_roundtrip(spark, folder):
-    rows = synthesised(spark, folder, TRADERS, ("supplier",)).withColumn("n", F.col("k").cast("string")).withColumn("op", F.when(F.col("k") % 5 == 0, "Erase").otherwise("Add"))
-    xml = "<deed><eik>{eik}</eik><name>Firm {n}</name><legalForm>OOD</legalForm><seat><country>Bulgaria</country><settlement>Sofia</settlement><postCode></postCode><street>Long {n}</street></seat><managers><manager>Anna Petrova</manager><manager>Ivan Ivanov</manager></managers><operation>{op}</operation></deed>"
-    out = captured.deeds(rows.select(_filled(xml, "eik", "n", "op").alias("body")))
-    return out.select("eik", "name", "legal_form", "address", F.array_join("managers", ",").alias("managers"))
+    rows = synthesised(spark, folder, TRADERS, ("supplier",)).withColumn("n", F.col("k").cast("string")).withColumn("op", F.when(F.col("k") % 5 == 0, "Erase").otherwise("Current"))
+    rows = rows.withColumn("status", F.element_at(F.array(*map(F.lit, ("C", "N", "X", "E"))), (F.col("k") % 4 + 1).cast("int")))
+    out = captured.deeds(rows.select(_filled(_DEED, "eik", "n", "op", "status").alias("body")))
+    people = F.array_join(F.transform("people", lambda p: F.concat_ws(":", p["name"], p["role"])), ",")
+    return out.select("eik", "name", "legal_form", "status", "address", "website", "capital", people.alias("people"))
 
 
 NAMES = "select s_suppkey as k, s_nationkey as n, concat(case s_suppkey % 4 when 0 then 'Alpha' when 1 then 'ALPHA Star' when 2 then 'Beta' else 'Gamma Delta' end, case s_suppkey % 3 when 0 then ' OOD' when 1 then ' EOOD' else '' end) as name from {supplier}"

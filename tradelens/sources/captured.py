@@ -2,137 +2,151 @@
 
 from __future__ import annotations
 
+import codecs
 import re
-import zlib
+from collections.abc import Iterator
+from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Bounds of what is read of one file; beyond them the text is null.
-MOST_BYTES, MOST_INFLATED = 8 << 20, 32 << 20
-
-DEED = "eik string, name string, legalForm string, status string, seat struct<country:string,settlement:string,postCode:string,street:string,number:string>, managers struct<manager:array<string>>, operation string"
+from .pdf import pdf_text
+
+#: The parts of a seat's address in a deed, in the order they are written.
+SEAT = ("Settlement", "PostCode", "HousingEstate", "Street", "StreetNumber", "Block", "Entrance", "Floor", "Apartment")
+#: Fields of a deed that name a person.
+PEOPLE = ("Manager", "Representative", "Representative101", "Representative102", "Representative103", "Procurator")
+#: States of a deed.
+STATES = {"N": "registered", "E": "registered", "C": "closed", "L": "closed"}
+
+_DEED = "eik string, name string, legal_form string, status string, address string, capital string, registered string, website string, phone string, email string, people array<struct<name:string,role:string>>"
+
+
+def _local(tag: str) -> str:
+    return tag.rpartition("}")[2]
+
+
+def _below(field: ElementTree.Element, *names: str) -> str | None:
+    """The text of the first element that this path of local names leads to; null for blank."""
+    at: list[ElementTree.Element] = [field]
+    for n in names:
+        at = [c for e in at for c in e if _local(c.tag) == n]
+    text = (at[0].text or "").strip() if at else ""
+    return text or None
+
+
+def _live(element: ElementTree.Element) -> Iterator[ElementTree.Element]:
+    """Elements below, without fields that the message erases and what is in them."""
+    for child in element:
+        if child.get("FieldOperation") != "Erase":
+            yield child
+            yield from _live(child)
+
+
+def deed(element: ElementTree.Element) -> dict:
+    """What one deed says. Only the fields named here are read; a person's number never is."""
+    status = element.get("DeedStatus", "")
+    out: dict = {"eik": element.get("UIC"), "name": element.get("CompanyName"), "legal_form": element.get("LegalForm"), "status": STATES.get(status, "unknown"), "people": []}
+    for f in _live(element):
+        kind = _local(f.tag)
+        if kind == "Seat":
+            parts = [_below(f, "Address", p) for p in SEAT]
+            out["address"] = ", ".join(p for p in parts if p) or out.get("address")
+            for key, tag in (("website", "URL"), ("phone", "Phone"), ("email", "EMail")):
+                out[key] = _below(f, "Contacts", tag) or out.get(key)
+        elif kind == "Funds" and (f.text or "").strip():
+            out["capital"] = f"{f.text.strip()} {f.get('currency') or ''}".strip()
+        elif kind == "EntryDate":
+            out.setdefault("registered", (f.text or "").strip() or None)
+        elif kind in PEOPLE and (name := _below(f, "Person", "Name")):
+            person = next(c for c in f if _local(c.tag) == "Person")
+            out["people"].append({"name": name, "role": (person.get("Position") or kind).strip()})
+    return out
 
 
 def deeds(messages: DataFrame) -> DataFrame:
-    """messages: body, the XML of one deed. One row a deed whose operation isn't an erasure, its address one line."""
-    d = messages.select("*", F.from_xml("body", f"struct<{DEED.replace(' struct', ':struct').replace(' string', ':string').replace(', ', ',')}>").alias("d"))
-    parts = [F.nullif(F.trim(F.col(f"d.seat.{c}")), F.lit("")) for c in ("country", "settlement", "postCode", "street", "number")]
-    kept = d.where("d.eik is not null and coalesce(lower(d.operation), '') <> 'erase'")
-    return kept.select("d.eik", "d.name", F.col("d.legalForm").alias("legal_form"), "d.status", F.concat_ws(", ", *parts).alias("address"), F.coalesce("d.managers.manager", F.array().cast("array<string>")).alias("managers"))
-
-
-def _charset(body: bytes, content_type: str | None) -> str:
-    said = re.search(r"charset=[\"']?([\w-]+)", content_type or "", re.I) or re.search(rb"charset=[\"']?([\w-]+)", body[:4096], re.I)
-    name = said.group(1) if said else ""
-    return name.decode("ascii", "replace") if isinstance(name, bytes) else name
+    """messages: body, the XML of a register's message. One row a deed, by Arrow; what isn't XML has none, and an erased
+    field is as if it weren't there."""
+    import pyarrow as pa
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kinds = to_arrow_schema(StructType.fromDDL(_DEED))
+
+    def task(batches):
+        for b in batches:
+            rows = []
+            for body in b.column(0).to_pylist():
+                try:
+                    root = ElementTree.fromstring(body) if body else None
+                except ElementTree.ParseError:
+                    continue
+                if root is not None:
+                    rows += [deed(e) for e in root.iter() if _local(e.tag) == "Deed"]
+            yield pa.RecordBatch.from_pylist(rows, kinds)
+
+    return messages.select(F.col("body").cast("string")).mapInArrow(task, _DEED)
+
+
+#: How far into a body its own charset is looked for, and what bodies without one are in.
+PRESCAN, USUAL = 4096, "windows-1251"
+_BOMS = ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be"))
+_META = re.compile(rb"<meta[^>]{0,500}?charset\s*=\s*[\"']?\s*([A-Za-z0-9._:-]+)", re.IGNORECASE)
+_HEADER = re.compile(r"charset\s*=\s*[\"']?\s*([A-Za-z0-9._:-]+)", re.IGNORECASE)
+
+
+def encodings(body: bytes, content_type: str | None) -> Iterator[str]:
+    """The encodings to try, surest first: a byte order mark, what the transport says, what the markup says, UTF-8, the
+    usual one of the language."""
+    for mark, name in _BOMS:
+        if body.startswith(mark):
+            yield name
+    if m := _HEADER.search(content_type or ""):
+        yield m[1]
+    if m := _META.search(body[:PRESCAN]):
+        yield m[1].decode("ascii")
+    yield "utf-8"
+    yield USUAL
 
 
 def decode_body(body: bytes | None, content_type: str | None) -> str | None:
-    """The declared charset, else UTF-8, else windows-1251 where that tells every byte, else UTF-8 with replacements."""
+    """The text in the first encoding that tells every byte, else in UTF-8 with replacements."""
     if body is None:
         return None
-    for name in (_charset(body, content_type), "utf-8", "cp1251"):
+    for name in encodings(body, content_type):
         try:
-            return body.decode(name)
-        except (LookupError, UnicodeDecodeError):
-            continue
+            return codecs.decode(body, name, "strict").removeprefix("﻿")
+        except (LookupError, UnicodeDecodeError, TypeError):
+            pass
     return body.decode("utf-8", "replace")
 
 
-def _hex(value: bytes) -> str:
-    return bytes.fromhex(value.decode("ascii") + "0" * (len(value) % 2)).decode("utf-16-be", "replace")
-
-
-def _unicode_map(cmap: bytes) -> dict[int, str]:
-    """Codes to text by a ToUnicode map's bfchar and bfrange sections."""
-    out: dict[int, str] = {}
-    for part in re.findall(rb"beginbfchar(.*?)endbfchar", cmap, re.S):
-        out |= {int(a, 16): _hex(b) for a, b in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", part)}
-    for part in re.findall(rb"beginbfrange(.*?)endbfrange", cmap, re.S):
-        for a, b, c in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", part):
-            first, text = int(a, 16), _hex(c)
-            for k in range(min(int(b, 16) - first, 65535) + 1):
-                out[first + k] = text[:-1] + chr(ord(text[-1]) + k)
-    return out
-
-
-_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
-
-
-def _literal(raw: bytes) -> bytes:
-    def one(m):
-        x = m.group(1)
-        return bytes([int(x, 8) & 255]) if x[:1].isdigit() else _ESCAPES.get(x, b"" if x in b"\r\n" else x)
-
-    return re.sub(rb"\\([0-7]{1,3}|.|\n)", one, raw, flags=re.S)
-
-
-def _shown(content: bytes, codes: dict[int, str]) -> list[str]:
-    """Strings that a content stream shows, cut into lines where the position moves."""
-    lines, now = [], []
-    for m in re.finditer(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|\[|\]|-?[0-9]+(?:\.[0-9]+)?|[A-Za-z'\"*]+", content, re.S):
-        x = m.group()
-        if x[:1] == b"(":
-            now.append(("s", _literal(x[1:-1])))
-        elif x[:1] == b"<":
-            now.append(("h", re.sub(rb"\s", b"", x[1:-1])))
-        elif x in (b"Td", b"TD", b"T*", b"Tm", b"'", b'"', b"ET"):
-            lines.append("".join(v for k, v in now if k == "t"))
-            now = [y for y in now if y[0] != "t"] if x in (b"'", b'"') else []
-        if x in (b"Tj", b"TJ", b"'", b'"'):
-            text = []
-            for kind, v in now:
-                if kind == "h":
-                    text.append("".join(codes.get(int(v[i : i + 4], 16), "") for i in range(0, len(v), 4)) if codes else bytes.fromhex(v.decode() + "0" * (len(v) % 2)).decode("latin-1"))
-                elif kind == "s":
-                    text.append("".join(codes.get(c, chr(c)) for c in v))
-                else:
-                    text.append(v)
-            now = [("t", "".join(text))]
-    lines.append("".join(v for k, v in now if k == "t"))
-    return [x.strip() for x in lines if x.strip()]
-
-
-def pdf_text(body: bytes | None) -> str | None:
-    """The text that a PDF's streams show, a line where the position moves; null for anything that isn't one, is too
-    large, or inflates beyond the bound. Encrypted files and fonts without a ToUnicode map give what their codes say."""
-    if body is None or not body.startswith(b"%PDF-") or len(body) > MOST_BYTES:
-        return None
-    streams, total = [], 0
-    for m in re.finditer(rb"(<<(?:[^>]|>(?!>))*>>)\s*stream\r?\n(.*?)\r?\nendstream", body, re.S):
-        data = m.group(2)
-        if b"FlateDecode" in m.group(1):
-            try:
-                data = zlib.decompressobj().decompress(data, MOST_INFLATED - total + 1)
-            except zlib.error:
-                continue
-        total += len(data)
-        if total > MOST_INFLATED:
-            return None
-        streams.append(data)
-    codes: dict[int, str] = {}
-    for s in streams:
-        if b"begincmap" in s:
-            codes |= _unicode_map(s)
-    return "\n".join(line for s in streams if b"begincmap" not in s and re.search(rb"\bBT\b", s) for line in _shown(s, codes))
-
-
 def with_text(fetches: DataFrame) -> DataFrame:
-    """fetches: body, content_type, ... Adds text: that of a PDF, or the decoded body. By Arrow, a file at a time."""
+    """fetches: body, content_type, ... Adds text (of a PDF, or the decoded body) and text_error (why there is none, or that
+    a PDF's text is cut short). By Arrow, a file at a time."""
 
-    @F.pandas_udf("string")
-    def text(body, kind):
+    @F.pandas_udf("text string, error string")
+    def read(body, kind):
         import pandas as pd
 
-        return pd.Series([pdf_text(bytes(b)) if b is not None and bytes(b[:5]) == b"%PDF-" else decode_body(None if b is None else bytes(b), k) for b, k in zip(body, kind, strict=True)], dtype=object)
+        def one(b, k):
+            if b is None:
+                return None, "no_body"
+            b = bytes(b)
+            return pdf_text(b) if b.startswith(b"%PDF-") else (decode_body(b, k), None)
 
-    return fetches.withColumn("text", text("body", "content_type"))
+        return pd.DataFrame([one(b, k) for b, k in zip(body, kind, strict=True)], columns=["text", "error"], dtype=object)
 
+    return fetches.withColumn("_read", read("body", "content_type")).select("*", "_read.text", F.col("_read.error").alias("text_error")).drop("_read")
 
-def sitemap(xml: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(xml, F.lit(r"<loc>\s*([^<\s]+)\s*</loc>"), 1))
+
+def sitemap(xml: Column, words: tuple[str, ...] = (), most: int | None = None) -> Column:
+    """The addresses of a sitemap in order, each once; those that hold one of the words, `most` of them, where given."""
+    found = F.array_distinct(F.regexp_extract_all(xml, F.lit(r"<loc>\s*([^<\s]+)\s*</loc>"), 1))
+    if words:
+        found = F.filter(found, lambda u: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(u), w)))
+    return found if most is None else F.slice(found, 1, most)
 
 
 def json_file(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -140,6 +154,16 @@ def json_file(spark: SparkSession, path: str, schema: StructType | str) -> DataF
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
+def json_answers(answers: DataFrame, schema: str, path: str = "$") -> DataFrame:
+    """answers: status, body, ... Adds rows (an array of the schema at the path of the body's JSON) and state: found or
+    not_found, and unavailable where the answer is no success or no JSON."""
+    raw = F.get_json_object("body", path)
+    rows = F.from_json(raw, f"array<{schema}>")
+    good = F.coalesce(F.col("status").between(200, 299), F.lit(False)) & F.col("body").isNotNull() & F.try_parse_json("body").isNotNull()
+    state = F.when(~good, "unavailable").when(F.coalesce(F.size(rows), F.lit(0)) > 0, "found").otherwise("not_found")
+    return answers.withColumn("rows", F.when(good, rows)).withColumn("state", state)
+
+
 def inbox(spark: SparkSession, path: str, most: int = 500) -> DataFrame:
     """A stream over files put in a folder, `most` a trigger, each deleted once it is taken."""
     return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", most).option("cleanSource", "delete").load(path)
