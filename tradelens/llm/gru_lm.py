@@ -40,6 +40,8 @@ TRAIN_LANES, TRAIN_WINDOW, SEGMENT = 384, 32, 1024
 #: Tokens read side by side: bounds a task's memory, and lets short documents fill the lanes beside long ones.
 CHUNK = 3_000_000
 PART = 4096
+#: Tokens whose class probabilities are told at once, so that they stay in a core's cache.
+SLAB = 2048
 #: No logit is above it.
 TOP = np.float32(60)
 
@@ -109,43 +111,60 @@ class Gru:
     def outputs(self, states: np.ndarray, sym: np.ndarray, learn: bool):
         """Log-probability of each symbol (tail symbols: of their class); gradients if asked for."""
         w = self.w
-        logits = states @ w["out"] + w["ob"]
-        np.minimum(logits, TOP, out=logits)  # keeps exp finite without the maxima
-        p = np.exp(logits)
-        z = (p @ np.ones(p.shape[1], np.float32))[:, None]
         cls = self.classes_of(sym)
-        rows = np.arange(len(sym))
-        logp = (logits[rows, cls] - np.log(z[:, 0])).astype(np.float64)
-        grads, dh = {}, None
+        logp, grads, dh = np.empty(len(sym)), {}, None
         if learn:
-            p /= z
-            p[rows, cls] -= 1
-            grads["out"], grads["ob"] = states.T @ p, np.ones(len(p), np.float32) @ p
-            dh = p @ w["out"].T
-            grads["in"], grads["ib"] = np.zeros_like(w["in"]), np.zeros_like(w["ib"])
+            dh = np.empty_like(states)
+            grads = {k: np.zeros_like(w[k]) for k in ("out", "ob", "in", "ib")}
+        for a in range(0, len(sym), SLAB):
+            at = slice(a, a + SLAB)
+            p = states[at] @ w["out"]
+            p += w["ob"]
+            np.minimum(p, TOP, out=p)  # keeps exp finite without the maxima
+            rows = np.arange(len(p))
+            own = p[rows, cls[at]]
+            np.exp(p, out=p)
+            z = p @ np.ones(p.shape[1], np.float32)
+            logp[at] = own - np.log(z)
+            if learn:
+                p /= z[:, None]
+                p[rows, cls[at]] -= 1
+                grads["out"] += states[at].T @ p
+                grads["ob"] += np.ones(len(p), np.float32) @ p
+                np.matmul(p, w["out"].T, out=dh[at])
         head = np.flatnonzero(sym < self.v)
         if len(head):
-            order = head[np.argsort(cls[head], kind="stable")]
+            order = head[np.argsort(cls[head].astype(np.uint16), kind="stable")]  # 16 bits: a radix sort
             own, s = cls[order], states[order]
             cuts = np.flatnonzero(np.diff(own, prepend=-1)).tolist() + [len(own)]
             parts = [(int(own[a]), a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
-            q = np.empty((len(order), self.width), np.float32)
-            for k, a, b in parts:
-                np.matmul(s[a:b], w["in"][k], out=q[a:b])
-            q += w["ib"][own]
-            np.minimum(q, TOP, out=q)
-            pick, r = sym[order] - own * self.width, np.arange(len(order))
-            top = q[r, pick]
-            np.exp(q, out=q)
-            ez = (q @ np.ones(self.width, np.float32))[:, None]
-            logp[order] += top - np.log(ez[:, 0])
+            told = np.empty(len(order), np.float32)
+            back = np.empty_like(s) if learn else None
+            pick = sym[order] - own * self.width
+            while parts:
+                first = parts[0][1]
+                some = [x for x in parts if x[1] - first < SLAB]  # whole classes
+                parts = parts[len(some) :]
+                at = slice(first, some[-1][2])
+                q = np.empty((at.stop - first, self.width), np.float32)
+                for k, a, b in some:
+                    np.matmul(s[a:b], w["in"][k], out=q[a - first : b - first])
+                q += w["ib"][own[at]]
+                np.minimum(q, TOP, out=q)
+                r = np.arange(len(q))
+                top = q[r, pick[at]]
+                np.exp(q, out=q)
+                ez = q @ np.ones(self.width, np.float32)
+                told[at] = top - np.log(ez)
+                if learn:
+                    q /= ez[:, None]
+                    q[r, pick[at]] -= 1
+                    for k, a, b in some:
+                        mine = q[a - first : b - first]
+                        grads["in"][k], grads["ib"][k] = s[a:b].T @ mine, np.ones(b - a, np.float32) @ mine
+                        np.matmul(mine, w["in"][k].T, out=back[a:b])
+            logp[order] += told
             if learn:
-                q /= ez
-                q[r, pick] -= 1
-                back = np.empty_like(s)
-                for k, a, b in parts:
-                    grads["in"][k], grads["ib"][k] = s[a:b].T @ q[a:b], np.ones(b - a, np.float32) @ q[a:b]
-                    np.matmul(q[a:b], w["in"][k].T, out=back[a:b])
                 dh[order] += back
         return logp, grads, dh
 
@@ -185,7 +204,7 @@ class Gru:
         grads["wh"], grads["b"] = gwh.T, np.ones(len(flat_ax), np.float32) @ flat_ax
         grads["wx"] = w["emb"][x.reshape(-1)].T @ flat_ax
         demb = flat_ax @ w["wx"].T
-        order = np.argsort(x.reshape(-1), kind="stable")
+        order = np.argsort(x.reshape(-1).astype(np.uint16), kind="stable")  # symbols have 16 bits
         own = x.reshape(-1)[order]
         starts = np.flatnonzero(np.diff(own, prepend=-1))
         return grads, (own[starts], np.add.reduceat(demb[order], starts, axis=0)), h
@@ -264,10 +283,14 @@ class Vocabulary:
         tails = [k + 1 + tail_class(w) for w in known[k:]]
         self.symbols = np.array([*range(k), *tails, *range(k + 1, k + 1 + TAILS), k], np.int32)
 
-    def rows(self, own: list[bytes], at: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-        """Each text's rows, the end included; of what coded_words() returns."""
-        n, texts = len(self.known), len(offsets) - 1
-        of = np.array([i if (i := self.known.get(w)) is not None else n + tail_class(w) for w in own] or [0], np.int32)
+    def own_rows(self, own: list[bytes]) -> np.ndarray:
+        """Each word's row (one 0 where there is none)."""
+        n = len(self.known)
+        return np.array([i if (i := self.known.get(w)) is not None else n + tail_class(w) for w in own] or [0], np.int32)
+
+    def rows(self, of: np.ndarray, at: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """Each text's rows, the end included; of what own_rows() and coded_words() return."""
+        texts = len(offsets) - 1
         ends = offsets[1:] + np.arange(texts)
         out = np.empty(len(at) + texts, np.int32)
         inner = np.ones(len(out), bool)
@@ -437,8 +460,8 @@ def score(docs: DataFrame, head: int = 4096, known: int = 131_072, width: int =
             size = len(got["doc_id"])
             return pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) if f.name in got else pa.nulls(size, f.type) for f in kinds], schema=kinds)
 
-        def rare(doc_ids, doc_keys, own, at, offsets):
-            is_rare = np.array([w not in table.known for w in own] or [False])
+        def rare(doc_ids, doc_keys, own, of, at, offsets):
+            is_rare = of >= len(table.known) if own else np.zeros(1, bool)
             doc = np.repeat(np.arange(len(doc_ids)), np.diff(offsets))
             some = is_rare[at]
             key, times = np.unique(doc[some] * len(own) + at[some], return_counts=True)
@@ -448,9 +471,10 @@ def score(docs: DataFrame, head: int = 4096, known: int = 131_072, width: int =
 
         for b in blocks(batches):
             texts, ids = b.column(1).to_pylist(), b.column(0).to_numpy()
-            coded, keys = coded_words(texts), list(map(text_key, texts))
-            yield rare(ids, keys, *coded)
-            rows = table.rows(*coded)
+            (own, at, offsets), keys = coded_words(texts), list(map(text_key, texts))
+            of = table.own_rows(own)
+            yield rare(ids, keys, own, of, at, offsets)
+            rows = table.rows(of, at, offsets)
             size = np.array([len(r) for r in rows])
             every, starts = np.concatenate(rows), np.cumsum(size) - size
             total = lambda of: np.add.reduceat(of[every], starts)
