@@ -499,6 +499,14 @@ def test_log_perplexity_by_brute_force(spark, least):
         assert got[i] == pytest.approx(want, rel=1e-5)
 
 
+@pytest.mark.parametrize("most", [25, 3, 0])
+def test_log_perplexity_counts_every_ngram_whatever_travels(spark, most):
+    rows = [(i, lang, t) for i, (lang, t) in enumerate([*QUALITY_TEXTS, *QUALITY_TEXTS])]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    every, few = ({r.doc_id: r.log_ppl for r in quality.quality(df, most=m).collect()} for m in (400_000, most))
+    assert len(every) == len(rows) and few == every
+
+
 @pytest.mark.parametrize("most", [400_000, 25])
 def test_kneser_ney_sums_to_one(spark, most):
     df = spark.createDataFrame(QUALITY_TEXTS, "lang string, text string")

@@ -4,11 +4,14 @@ A model of characters with modified Kneser-Ney smoothing for each language: Spar
 characters (as they are, of any script, case and marks included) of all texts, from there the different characters
 before each shorter n-gram, the discounts and the contexts' totals, so no step holds a language's n-grams in one place.
 
-What the scoring tasks carry are two sorted hash arrays an order: of n-grams, with (count - discount) / total, and of
-contexts, with the weight of the shorter n-gram, which is 1 less the context's sum of these. From three characters up,
-n-grams counted less than `least` times are left out: a text is among those that were counted, and what it alone holds
-must not speak for it. Of the others the `most` frequent of an order travel (a bound on what is broadcast). What is left
-out falls to the context's weight, which grows by its share, so that probabilities still sum to one.
+An n-gram has (count - discount) / total, and the shorter n-gram's probability by its context's weight, which is 1 less
+the context's sum of these. From three characters up, n-grams counted less than `least` times are left out: a text is
+among those that were counted, and what it alone holds must not speak for it. What is left out falls to the context's
+weight, which grows by its share, so that probabilities still sum to one.
+
+Every text scored was counted, so joins from order to order tell the log-probability of each n-gram there is. Those of the
+`most` frequent travel with the scoring tasks, as a sorted hash array (a bound on what is broadcast); a document's other
+n-grams meet theirs in a join, whatever their number, so scores do not depend on `most`.
 
 A document's log-perplexity is held against its language's band: quartiles of all its documents that pass the rules,
 widened by `reach` times their distance, more for texts shorter than `usual` characters, whose mean varies more. Both
@@ -21,7 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHash, blocks, mix64, operator, pick, saved
@@ -34,6 +37,8 @@ _ODD = np.random.default_rng(77).integers(0, 2**63, ORDER, np.uint64) * np.uint6
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: No discount is below it, so that what was never seen keeps a share.
 LEAST = 0.05
+#: Log-probabilities are whole multiples of it, so that they add up to the same in any order, and as 32-bit floats.
+GRAIN = 2.0**-19
 #: Bits of the slots by which equal values of a block find each other.
 SLOTS = 20
 #: Different n-grams that a counting task holds before it passes them on.
@@ -175,22 +180,47 @@ def frequent(every: DataFrame, most: int) -> DataFrame:
     return every.where(keep)
 
 
+def weighted(every: DataFrame, least: int) -> DataFrame:
+    """every with its n-grams' contexts and values (0 of what `least` leaves out) and the contexts' weights (rest)."""
+    context = Window.partitionBy("lang", "k", "context")
+    d = F.get("d", F.least("n", F.lit(3)).cast("int") - 1)
+    alpha = F.when(F.expr(f"k <= 2 or n >= {least}"), (F.col("n") - d) / F.sum("n").over(context)).otherwise(0.0)
+    out = every.join(F.broadcast(discounts(every)), ["lang", "k"]).withColumn("context", F.expr("substring(g, 1, k - 1)")).withColumn("value", alpha)
+    return out.withColumn("rest", 1 - F.sum("value").over(context)).select("lang", "k", "context", "g", "n", "value", "rest")
+
+
+def uniform(every: DataFrame) -> DataFrame:
+    """lang, p: the share of each of a language's characters, and of one more that was never seen."""
+    return every.where("k = 1").groupBy("lang").agg((1 / (F.count(F.lit(1)) + 1)).alias("p"))
+
+
+def probabilities(src: DataFrame, least: int) -> DataFrame:
+    """lang, k, g, n, log_p of every n-gram of ORDER characters of src: the last one's natural log-probability."""
+    every = saved(levels(saved(count_ngrams(src), "grams")), "levels")
+    orders = saved(weighted(every, least), "weighted", by="k")
+    p = F.col("value") + F.col("rest") * F.col("p")
+    told = orders.where("k = 1").join(F.broadcast(uniform(every)), "lang").select("lang", "g", p.alias("p"))
+    for k in range(2, ORDER + 1):
+        shorter = told.select("lang", F.col("g").alias("shorter"), "p")
+        told = orders.where(f"k = {k}").withColumn("shorter", F.expr("substring(g, 2)")).join(shorter, ["lang", "shorter"]).select("lang", "g", "n", p.alias("p"))
+    # What was left of a context's sum by rounding may be a hair below nothing.
+    log_p = F.rint(F.log(F.greatest("p", F.lit(1e-12))) / GRAIN) * GRAIN
+    return saved(told.select("lang", F.lit(ORDER).alias("k"), "g", "n", log_p.alias("log_p")), "log_p")
+
+
 def entries(src: DataFrame, most: int, least: int) -> DataFrame:
-    """lang, kind, g, value: the model's n-grams (kind: order), contexts (minus the order) and the uniform share (0)."""
-    context = F.expr("substring(g, 1, k - 1)").alias("context")
+    """lang, kind, g, value: n-grams (kind: order), contexts (minus the order) and the uniform share (0) of a model that
+    scores texts which src doesn't hold. Of each order it has the `most` frequent; quality() has no use for it."""
     every = saved(levels(saved(count_ngrams(src), "grams")), "levels")
-    total = every.groupBy("lang", "k", context).agg(F.sum("n").alias("total"))
-    kept = frequent(every.where(f"k <= 2 or n >= {least}"), most).withColumn("context", context).join(discounts(every), ["lang", "k"]).join(total, ["lang", "k", "context"])
-    alpha = (F.col("n") - F.get("d", F.least("n", F.lit(3)).cast("int") - 1)) / F.col("total")
-    kept = saved(kept.select("lang", "k", "context", "g", alpha.alias("value")), "alpha")
+    kept = saved(frequent(weighted(every, least).where("value > 0"), most), "alpha")
     own = kept.select("lang", F.col("k").alias("kind"), "g", "value")
     rest = kept.groupBy("lang", "k", "context").agg((1 - F.sum("value")).alias("value")).select("lang", (-F.col("k")).alias("kind"), F.col("context").alias("g"), "value")
-    uniform = every.where("k = 1").groupBy("lang").agg((1 / (F.count(F.lit(1)) + 1)).alias("value")).select("lang", F.lit(0).alias("kind"), F.lit("").alias("g"), "value")
-    return own.unionByName(rest).unionByName(uniform)
+    return own.unionByName(rest).unionByName(uniform(every).select("lang", F.lit(0).alias("kind"), F.lit("").alias("g"), F.col("p").alias("value")))
 
 
 class KneserNey:
-    """Sorted hash arrays by kind (see entries), of all languages."""
+    """Sorted hash arrays by kind (see entries), of all languages; with log-probabilities of n-grams of ORDER characters
+    alone (see probabilities), what the scoring tasks carry."""
 
     def __init__(self, kinds: np.ndarray, hashes: np.ndarray, values: np.ndarray):
         self.arrays = {}
@@ -276,19 +306,43 @@ _hashes = WordHash()
 _STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
-def measured(src: DataFrame, model: KneserNey) -> DataFrame:
-    """src (doc_id, lang, text) without text, with the rules' counts and the log-perplexity."""
-    names = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl"]
+def split(known: KneserNey, lang: str, texts: list[str]):
+    """Each text's sum of the log-probabilities that are known, its characters (the end included), and of the n-grams that
+    are not known: text, n-gram, times."""
+    text, real, starts = joined(texts)
+    total = sums(code_points(text), ORDER)[real]
+    first, _, inverse = distinct(total)
+    log_p = known.look(ORDER, hashed(total[first], lang_key(lang), ORDER), np.nan)
+    rare = np.isnan(log_p)
+    log_p[rare] = 0
+    place = np.flatnonzero(rare[inverse])
+    key, times = np.unique((np.searchsorted(starts, place, "right") - 1) * len(first) + inverse[place], return_counts=True)
+    grams = [text[i - ORDER : i] for i in (real[first[key % len(first)]] + 1).tolist()]
+    return np.add.reduceat(log_p[inverse], starts), np.diff(np.append(starts, len(real))), key // len(first), grams, times
+
+
+def measured(src: DataFrame, known: KneserNey) -> DataFrame:
+    """Of src (row, doc_id, lang, text) the documents, with the rules' counts, the characters (size) and the sum of their
+    known log-probabilities, and the rare n-grams of each (kind tells; columns of the other are null)."""
+    ddl = f"kind string, row long, doc_id long, lang string, {_STATS}, size long, known double, g string, times long"
+    types = {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}
+    schema = pa.schema([(name, types[kind]) for name, kind in (x.split() for x in ddl.split(", "))])
+
+    def batch(rows, **got):
+        return pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) if f.name in got else pa.nulls(rows, f.type) for f in schema], schema=schema)
 
     def task(batches):
         for b in blocks(batches):
-            ppl = np.zeros(b.num_rows)
-            for lang, at, texts in by_language(b, 1, 2):
-                ppl[at] = -model.log_prob(lang, texts)
-            stats = zip(*(rules(t, _hashes) for t in b.column(2).to_pylist()), strict=True)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in stats), pa.array(ppl)], names=names)
+            total, size = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64)
+            ids = b.column(0).to_numpy()
+            for lang, at, texts in by_language(b, 2, 3):
+                total[at], size[at], doc, grams, times = split(known, lang, texts)
+                yield batch(len(grams), kind=["rare"] * len(grams), row=ids[at][doc], lang=[lang] * len(grams), g=grams, times=times)
+            stats = zip(*(rules(t, _hashes) for t in b.column(3).to_pylist()), strict=True)
+            counts = dict(zip((x.split()[0] for x in _STATS.split(", ")), stats, strict=True))
+            yield batch(b.num_rows, kind=["document"] * b.num_rows, row=ids, doc_id=b.column(1), lang=b.column(2), size=size, known=total, **counts)
 
-    return src.mapInArrow(task, f"doc_id long, lang string, {_STATS}, log_ppl double")
+    return src.mapInArrow(task, ddl)
 
 
 @operator
@@ -299,10 +353,17 @@ def quality(docs: DataFrame, reach: float = 3.0, usual: int = 1000, most: int =
     they are, an empty table gives no rows, other columns play no part. Documents that fail the rules don't shape the
     bands, but their n-grams count.
     """
-    src = pick(docs, "doc_id", "lang", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
-    model = KneserNey.of(entries(src, most, least))
+    src = pick(docs, "doc_id", "lang", "text").select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
+    log_p = probabilities(src, least)
+    known = KneserNey.of(frequent(log_p, most).select("lang", F.col("k").alias("kind"), "g", F.col("log_p").alias("value")))
     base = F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words")
-    seen = saved(measured(src, model).withColumn("base_failed", base), "quality")
+    parts = saved(measured(src, known), "measured", by="kind")
+    pairs = parts.where("kind = 'rare'").select("row", "lang", "g", "times").join(log_p, ["lang", "g"])
+    rare = pairs.groupBy("row").agg(F.sum(F.col("times") * F.col("log_p")).alias("rare"))
+    ppl = -(F.col("known") + F.coalesce("rare", F.lit(0.0))) / F.col("size")
+    names = ["doc_id", "lang", *(x.split()[0] for x in _STATS.split(", "))]
+    scored = parts.where("kind = 'document'").join(rare, "row", "left").select(*names, ppl.alias("log_ppl"))
+    seen = saved(scored.withColumn("base_failed", base), "quality")
     q = F.percentile_approx("log_ppl", F.array(F.lit(0.25), F.lit(0.75)), F.lit(10_000))
     bands = saved(seen.where("not base_failed").groupBy("lang").agg(q.alias("q")), "bands")
     wide = (F.col("q")[1] - F.col("q")[0]) * reach * F.sqrt(F.greatest(F.lit(1.0), F.lit(float(usual)) / (F.col("word_chars") + F.col("n_words") + 1)))
