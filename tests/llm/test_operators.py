@@ -611,6 +611,23 @@ def test_sentencepiece(documents):
         assert np.frombuffer(ids, "<u4").tolist() == unigram.encode(chunk.replace(" ", "\u2581"), add_special_tokens=False).ids
 
 
+def test_sentencepiece_keeps_frequent_chunks_beyond_its_bound(monkeypatch):
+    own, learned = sentencepieces.Pieces(piece_path()), []
+    learn = own.learn
+    monkeypatch.setattr(sentencepieces, "KNOWN", 2)
+    monkeypatch.setattr(own, "learn", lambda chunks: (learned.append(sorted(chunks)), learn(chunks)))
+    first = own.encode(["one two three"])
+    assert own.encode(["three four"]) == sentencepieces.Pieces(piece_path()).encode(["three four"])
+    assert own.encode(["one two three"]) == first
+    assert learned == [[" one", " three", " two"], [" four"], [" one", " two"]]
+
+
+def test_sentencepiece_probe_finds_each_piece_and_no_other():
+    own = sentencepieces.Pieces(piece_path())
+    assert (own.probe(own.keys[:-1]) == np.arange(own.none)).all() and (np.diff(own.slots) > 1).any()
+    assert (own.probe(np.setdiff1d(own.keys[:-1] + np.uint64(1), own.keys)) == own.none).all()
+
+
 def test_sentencepiece_query(spark, documents):
     import sentencepiece
     import xxhash

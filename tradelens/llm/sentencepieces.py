@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding in batched numpy.
 
 Different chunks (a run of spaces with what follows) of one length advance together; prefix hashes give the hash of
-every substring of up to the longest piece's length, and one probe of the sorted hashes of the pieces tells its score.
+every substring of up to the longest piece's length, and one probe of the pieces' hashes, sorted and in slots by their first bits, tells its score.
 Two segmentations read these scores:
 
 * Viterbi: vectorised maxima over the piece that ends at each character store backpointers; of equal paths the one with
@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,11 @@ _SPACE = "▁"
 LONG = 64
 #: Substrings probed at a time: bounds a task's memory.
 CELLS = 1_000_000
+#: Bits of the slots by which substrings find pieces.
+SLOTS = 18
+#: Different chunks whose ids are kept; beyond, those that the texts at hand hold again stay.
+KNOWN = 400_000
+_FIRST, _SECOND = itemgetter(0), itemgetter(1)
 
 
 def _powers(n: int) -> np.ndarray:
@@ -54,16 +60,17 @@ class Pieces:
         hashes = np.array([int(self.prefix(self.points([names[i]]))[0, -1]) for i in plain], np.uint64)
         hashes = mix64(hashes)
         order = np.argsort(hashes)
-        self.keys, self.ids = hashes[order], np.array(plain, np.int64)[order]
-        self.scores = np.array([sp.get_score(i) for i in plain], np.float64)[order]
+        # The last row, of no substring, stands for those that are no piece.
+        self.keys, self.ids = np.append(hashes[order], ~np.uint64(0)), np.append(np.array(plain, np.int32)[order], np.int32(-1))
+        self.scores = np.append(np.array([sp.get_score(i) for i in plain], np.float64)[order], -np.inf)
+        self.none, self.lowest = len(plain), self.scores[:-1].min()
+        self.slots = np.searchsorted(self.keys, np.arange(1 << SLOTS, dtype=np.uint64) << np.uint64(64 - SLOTS)).astype(np.int32)
         assert (self.keys[1:] != self.keys[:-1]).all() and not any(_SPACE in names[i].lstrip(_SPACE) for i in plain)
         self.longest = max(len(names[i]) for i in plain)
         self.byte = {int(names[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         own = set(plain)
         back = {i: bytes([b]) for b, i in self.byte.items()}
-        text = [names[i].encode() if i in own else back.get(i, b"") for i in range(n)]
-        self.size = np.array([len(t) for t in text], np.int64)
-        self.flat, self.first = np.frombuffer(b"".join(text), np.uint8), np.cumsum(self.size) - self.size
+        self.text = [names[i].replace(_SPACE, " ").encode() if i in own else back.get(i, b"") for i in range(n)]
         self.known: dict[str, tuple[bytes, bytes]] = {}
 
     @staticmethod
@@ -77,51 +84,55 @@ class Pieces:
             h[:, j + 1] = h[:, j] * _BASE + mix64(points[:, j] + np.uint64(1))
         return h
 
-    def probe(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row of each substring's piece, and whether there is one."""
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return at, self.keys[at] == hashes
-
-    def substrings(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """By chunk, start and length less 1: the piece's id and its score (-1 and minus infinity where there is none)."""
+    def probe(self, hashes: np.ndarray) -> np.ndarray:
+        """Row of each substring's piece, or none: from the first row of the hash's slot on."""
+        at = self.slots[hashes >> np.uint64(64 - SLOTS)]
+        key = self.keys[at]
+        low = np.nonzero(key < hashes)
+        while len(low[0]):
+            at[low] += 1
+            key[low] = self.keys[at[low]]
+            less = key[low] < hashes[low]
+            low = tuple(x[less] for x in low)
+        at[key != hashes] = self.none
+        return at
+
+    def substrings(self, h: np.ndarray) -> np.ndarray:
+        """By chunk, start and length less 1: the piece's row."""
         n, width = h.shape
         most = min(self.longest, width - 1)
-        ids, scores = np.full((n, width, most), -1, np.int32), np.full((n, width, most), -np.inf)
+        rows = np.full((n, width, most), self.none, np.int32)
         power = _powers(most)
         for k in range(1, most + 1):
-            at, hit = self.probe(mix64(h[:, k:] - h[:, : width - k] * power[k]))
-            ids[:, : width - k, k - 1] = np.where(hit, self.ids[at], -1)
-            scores[:, : width - k, k - 1] = np.where(hit, self.scores[at], -np.inf)
-        return ids, scores
+            rows[:, : width - k, k - 1] = self.probe(mix64(h[:, k:] - h[:, : width - k] * power[k]))
+        return rows
 
     @staticmethod
-    def merged(scores: np.ndarray) -> list[np.ndarray]:
-        """Symbol borders of each chunk after merging the best pair (the leftmost of equals) until none is a piece."""
+    def merged(scores: np.ndarray) -> np.ndarray:
+        """Whether each place is a symbol's border in each chunk, after merging the best pair (the leftmost of equals) until none is a piece."""
         n, width, most = scores.shape
-        out: list[np.ndarray] = [np.empty(0, np.int64)] * n
+        out = np.zeros((n, width), bool)
         row, b = np.arange(n), np.tile(np.arange(width), (n, 1))
         while len(row):
             if b.shape[1] < 3:
-                for r, x in zip(row.tolist(), b, strict=True):
-                    out[r] = x
+                out[row[:, None], b] = True
                 break
             lo, size = b[:, :-2], b[:, 2:] - b[:, :-2]
             score = np.where(size <= most, scores[row[:, None], lo, np.minimum(size, most) - 1], -np.inf)
             best = score.argmax(1)
             live = score[np.arange(len(row)), best] > -np.inf
-            for r, x in zip(row[~live].tolist(), b[~live], strict=True):
-                out[r] = x
+            out[row[~live, None], b[~live]] = True
             row, b, best = row[live], b[live], best[live]
             keep = np.ones(b.shape, bool)
             keep[np.arange(len(b)), best + 1] = False
             b = b[keep].reshape(len(b), b.shape[1] - 1)
         return out
 
-    def viterbi(self, scores: np.ndarray) -> list[np.ndarray]:
-        """Symbol borders of each chunk's best-scoring path; a character without a piece scores ten less than any piece."""
+    def viterbi(self, scores: np.ndarray) -> np.ndarray:
+        """Whether each place is a symbol's border on each chunk's best-scoring path; a character without a piece scores ten less than any piece."""
         n, width, most = scores.shape
         one = scores[:, :, 0]
-        one[one == -np.inf] = self.scores.min() - 10
+        one[one == -np.inf] = self.lowest - 10
         best, back = np.zeros((n, width)), np.zeros((n, width), np.int32)
         rows = np.arange(n)
         for j in range(1, width):
@@ -130,15 +141,14 @@ class Pieces:
             at = s.argmax(1)
             best[:, j], back[:, j] = s[rows, at], j - k[at]
         # All chunks walk back together, a piece a step; each ends at its start.
-        at, row, cuts = np.full(n, width - 1), rows, []
+        out = np.zeros((n, width), bool)
+        at, row = np.full(n, width - 1), rows
         while len(row):
-            cuts.append((row, at))
+            out[row, at] = True
             more = at > 0
             row, at = row[more], at[more]
             at = back[row, at]
-        who, where = np.concatenate([r for r, _ in cuts]), np.concatenate([a for _, a in cuts])
-        order = np.lexsort((where, who))
-        return np.split(where[order].astype(np.int64), np.cumsum(np.bincount(who, minlength=n))[:-1])
+        return out
 
     def merged_long(self, chunk: str) -> list[int]:
         """As merged(), for one long chunk: a heap of pairs over a linked list."""
@@ -153,8 +163,8 @@ class Pieces:
                 return None
             s = chunk[i:j]
             if s not in cache:
-                at, hit = self.probe(mix64(h[j : j + 1] - h[i : i + 1] * power[j - i]))
-                cache[s] = float(self.scores[at[0]]) if hit[0] else None
+                at = int(self.probe(mix64(h[j : j + 1] - h[i : i + 1] * power[j - i]))[0])
+                cache[s] = float(self.scores[at]) if at != self.none else None
             return cache[s]
 
         heap = []
@@ -179,14 +189,13 @@ class Pieces:
                 push(prv[i])
         return [i for i in range(n) if alive[i]] + [n]
 
-    def coded(self, ids: np.ndarray, cuts: list[np.ndarray], part: list[str]) -> list[bytes]:
+    def coded(self, rows: np.ndarray, cuts: np.ndarray, part: list[str]) -> list[bytes]:
         """The chunks' ids as little-endian unsigned 32-bit integers, from their symbols' borders."""
-        flat = np.concatenate(cuts)
-        own = np.repeat(np.arange(len(part)), [len(c) for c in cuts])
+        own, flat = np.nonzero(cuts)
         same = own[1:] == own[:-1]
         lo, hi, own = flat[:-1][same], flat[1:][same], own[1:][same]
         size = hi - lo
-        got = np.where(size <= ids.shape[2], ids[own, lo, np.minimum(size, ids.shape[2]) - 1], -1)
+        got = np.where(size <= rows.shape[2], self.ids[rows[own, lo, np.minimum(size, rows.shape[2]) - 1]], -1)
         bounds = np.searchsorted(own, np.arange(len(part) + 1)).tolist()
         raw, bare = got.astype("<u4").tobytes(), np.add.reduceat(got < 0, bounds[:-1]) > 0
         out = [raw[4 * i : 4 * j] for i, j in zip(bounds, bounds[1:], strict=False)]
@@ -206,32 +215,34 @@ class Pieces:
             step = max(1, CELLS // ((length + 1) * min(length, self.longest)))
             for i in range(0, len(group), step):
                 part = [c.replace(" ", _SPACE) for c in group[i : i + step]]
-                ids, scores = self.substrings(self.prefix(self.points(part)))
-                pairs = self.merged(scores) if length <= LONG else [np.array(self.merged_long(c)) for c in part]
-                merged = self.coded(ids, pairs, part)
-                self.known.update(zip(group[i : i + step], zip(merged, self.coded(ids, self.viterbi(scores), part), strict=True), strict=True))
+                rows = self.substrings(self.prefix(self.points(part)))
+                scores = self.scores[rows]
+                if length <= LONG:
+                    pairs = self.merged(scores)
+                else:
+                    pairs = np.zeros((len(part), length + 1), bool)
+                    for j, c in enumerate(part):
+                        pairs[j, self.merged_long(c)] = True
+                merged = self.coded(rows, pairs, part)
+                self.known.update(zip(group[i : i + step], zip(merged, self.coded(rows, self.viterbi(scores), part), strict=True), strict=True))
 
     def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[bytes]]:
         """Ids of each text as little-endian unsigned 32-bit integers, by pair merging and by Viterbi; a null or empty text
         has none."""
         lists = [_CHUNK.findall(f" {t}") if t else [] for t in texts]
         every = set().union(*lists)
-        if len(self.known) > 400_000:
-            self.known.clear()
+        if len(self.known) > KNOWN:
+            self.known = {c: self.known[c] for c in every & self.known.keys()}
         if new := every - self.known.keys():
             self.learn(list(new))
         get = self.known.__getitem__
         both = [list(map(get, x)) for x in lists]
-        return [b"".join([m for m, _ in x]) for x in both], [b"".join([v for _, v in x]) for x in both]
+        return [b"".join(map(_FIRST, x)) for x in both], [b"".join(map(_SECOND, x)) for x in both]
 
     def decode(self, encoded: list[bytes]) -> list[bytes]:
-        """The texts' bytes: pieces gathered from one array, their space marks made spaces, the first one dropped."""
-        ids = np.frombuffer(b"".join(encoded), "<u4").astype(np.int64)
-        n = self.size[ids]
-        ends = np.cumsum(n)
-        raw = self.flat[np.repeat(self.first[ids] - ends + n, n) + np.arange(int(n.sum()))].tobytes()
-        at = np.append(0, ends)[np.cumsum([0, *(len(e) // 4 for e in encoded)])].tolist()
-        return [raw[i:j].replace(_SPACE.encode(), b" ")[1:] for i, j in zip(at, at[1:], strict=False)]
+        """The texts' bytes: their pieces joined, space marks made spaces, the first one dropped."""
+        get = self.text.__getitem__
+        return [b"".join(map(get, np.frombuffer(e, "<u4").tolist()))[1:] for e in encoded]
 
 
 _models: dict[str, Pieces] = {}
