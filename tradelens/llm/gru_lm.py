@@ -41,7 +41,7 @@ TRAIN_LANES, TRAIN_WINDOW, SEGMENT = 384, 32, 1024
 CHUNK = 3_000_000
 PART = 4096
 #: Tokens whose class probabilities are told at once, so that they stay in a core's cache.
-SLAB = 2048
+SLAB = 1024
 #: No logit is above it.
 TOP = np.float32(60)
 
@@ -127,7 +127,7 @@ class Gru:
             z = p @ np.ones(p.shape[1], np.float32)
             logp[at] = own - np.log(z)
             if learn:
-                p /= z[:, None]
+                p *= (1 / z)[:, None]
                 p[rows, cls[at]] -= 1
                 grads["out"] += states[at].T @ p
                 grads["ob"] += np.ones(len(p), np.float32) @ p
@@ -157,7 +157,7 @@ class Gru:
                 ez = q @ np.ones(self.width, np.float32)
                 told[at] = top - np.log(ez)
                 if learn:
-                    q /= ez[:, None]
+                    q *= (1 / ez)[:, None]
                     q[r, pick[at]] -= 1
                     for k, a, b in some:
                         mine = q[a - first : b - first]
@@ -429,7 +429,7 @@ def score(docs: DataFrame, head: int = 4096, known: int = 131_072, width: int =
     rows that repeat a doc_id are scored each; an empty table gives no rows; other columns play no part. Without training
     documents every word is unknown.
     """
-    src = id_text(docs).select("doc_id", "text", held_out_of(fold).alias("held_out"))
+    src = id_text(docs).select(F.monotonically_increasing_id().alias("number"), "doc_id", "text", held_out_of(fold).alias("held_out"))
     training = src.where("not held_out").select("text")
     n_docs = training.select(F.lit(1).alias("x")).count()
     vocab = saved(count_words(training), "vocabulary")
@@ -450,36 +450,36 @@ def score(docs: DataFrame, head: int = 4096, known: int = 131_072, width: int =
     share = np.concatenate([base_log[:head] * 0, [base_log[i] - log_tail[tail_class(w)] for i, w in enumerate(names_known[head:], head)], -log_tail, [0.0]])
     is_known = np.concatenate([np.ones(len(top), np.int64), np.zeros(TAILS, np.int64), [int(n_docs > 0)]])
     # One pass tells each document's row and its rare words (columns of the other are null).
-    kinds = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("row", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("share", pa.float64()), ("ids", pa.binary()), ("w", pa.binary()), ("n", pa.int64()), ("first", pa.int64())])
-    ddl = "kind string, doc_id long, row long, held_out boolean, n_tokens long, n_known long, base double, share double, ids binary, w binary, n long, first long"
+    kinds = pa.schema([("kind", pa.string()), ("number", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("share", pa.float64()), ("ids", pa.binary()), ("w", pa.binary()), ("n", pa.int64())])
+    ddl = "kind string, number long, doc_id long, row long, held_out boolean, n_tokens long, n_known long, base double, share double, ids binary, w binary, n long"
 
     def code(batches):
         table = Vocabulary(names_known, head)
 
-        def batch(**got):
-            size = len(got["doc_id"])
+        def batch(kind, **got):
+            size = len(got["number"])
+            got["kind"] = pa.repeat(kind, size)
             return pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) if f.name in got else pa.nulls(size, f.type) for f in kinds], schema=kinds)
 
-        def rare(doc_ids, doc_keys, own, of, at, offsets):
+        def rare(numbers, own, of, at, offsets):
             is_rare = of >= len(table.known) if own else np.zeros(1, bool)
-            doc = np.repeat(np.arange(len(doc_ids)), np.diff(offsets))
+            doc = np.repeat(np.arange(len(numbers)), np.diff(offsets))
             some = is_rare[at]
             key, times = np.unique(doc[some] * len(own) + at[some], return_counts=True)
             doc, word = key // max(1, len(own)), key % max(1, len(own))
-            first = np.diff(doc, prepend=-1) > 0
-            return batch(kind=["rare"] * len(doc), doc_id=doc_ids[doc], row=np.array(doc_keys, np.int64)[doc], w=pa.array(own, pa.binary()).take(pa.array(word)), n=times, first=first.astype(np.int64))
+            return batch("rare", number=numbers[doc], w=pa.array(own, pa.binary()).take(pa.array(word)), n=times)
 
         for b in blocks(batches):
-            texts, ids = b.column(1).to_pylist(), b.column(0).to_numpy()
-            (own, at, offsets), keys = coded_words(texts), list(map(text_key, texts))
+            texts, numbers = b.column(2).to_pylist(), b.column(0).to_numpy()
+            own, at, offsets = coded_words(texts)
             of = table.own_rows(own)
-            yield rare(ids, keys, own, of, at, offsets)
+            yield rare(numbers, own, of, at, offsets)
             rows = table.rows(of, at, offsets)
             size = np.array([len(r) for r in rows])
             every, starts = np.concatenate(rows), np.cumsum(size) - size
             total = lambda of: np.add.reduceat(of[every], starts)
             symbols = [table.symbols[r].astype("<u2").tobytes() for r in rows]
-            yield batch(kind=["document"] * len(rows), doc_id=ids, row=keys, held_out=b.column(2), n_tokens=size, n_known=total(is_known), base=total(base_log), share=total(share), ids=symbols)
+            yield batch("document", number=numbers, doc_id=b.column(1), row=list(map(text_key, texts)), held_out=b.column(3), n_tokens=size, n_known=total(is_known), base=total(base_log), share=total(share), ids=symbols)
 
     coded = saved(src.mapInArrow(code, ddl), "coded", by="kind")
     rows = coded.where("kind = 'document'")
@@ -489,7 +489,7 @@ def score(docs: DataFrame, head: int = 4096, known: int = 131_072, width: int =
 
     def tell(batches):
         held, docs, n = [], [], 0
-        names = ["doc_id", "row", "held_out", "n_tokens", "n_known", "base", "model"]
+        names = ["number", "doc_id", "held_out", "n_tokens", "n_known", "base", "model"]
 
         def told():
             got = pa.Table.from_batches(held).combine_chunks()
@@ -509,14 +509,13 @@ def score(docs: DataFrame, head: int = 4096, known: int = 131_072, width: int =
         if held:
             yield told()
 
-    main = saved(rows.select("doc_id", "row", "held_out", "n_tokens", "n_known", "base", "share", "ids").mapInArrow(tell, "doc_id long, row long, held_out boolean, n_tokens long, n_known long, base double, model double"), "told")
-    pairs = coded.where("kind = 'rare'").select("doc_id", "row", "w", "n", "first")
+    main = saved(rows.select("number", "doc_id", "held_out", "n_tokens", "n_known", "base", "share", "ids").mapInArrow(tell, "number long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double"), "told")
+    pairs = coded.where("kind = 'rare'").select("number", "w", "n")
     one = F.col("n") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + F.lit(0.1))
-    met = pairs.join(vocab, "w", "left").groupBy("doc_id", "row").agg(F.sum(one).alias("rare"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"), F.sum("first").alias("copies"))
-    # Equal rows (same doc_id, same text) were summed together.
-    met = met.select("doc_id", "row", (F.col("rare") / F.col("copies")).alias("rare"), (F.col("rare_known") / F.col("copies")).cast("long").alias("rare_known"))
+    # A word has one row in vocab: a task hashes its share of them, and the pairs need no sorting.
+    met = pairs.join(vocab.hint("shuffle_hash"), "w", "left").groupBy("number").agg(F.sum(one).alias("rare"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"))
     z = float(np.log10(n_all + 0.1 * (v_all + 1)))
-    out = main.join(met, ["doc_id", "row"], "left")
+    out = main.join(met, "number", "left")
     rare_sum = F.coalesce("rare", F.lit(0.0))
     return out.select(id_or_none().alias("doc_id"), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), (F.col("base") + rare_sum - F.col("n_tokens") * F.lit(z)).alias("base_score"), (F.col("model") + rare_sum).alias("score"))
 
