@@ -392,6 +392,23 @@ def test_gru_is_a_distribution():
     assert gru_lm.score_docs(model, docs).sum() > before
 
 
+@pytest.mark.parametrize("scale", [1, 1000])
+def test_gru_outputs_by_plain_softmax_and_gates_told_once(scale):
+    model = gru_lm.Gru([9, 7, 5, 3, 2, 1], 4, np.ones(gru_lm.TAILS), 4, 8)
+    rng = np.random.default_rng(3)
+    for k in ("out", "in"):
+        model.w[k] = (rng.normal(size=model.w[k].shape) * scale).astype(np.float32)
+    sym = rng.integers(0, model.v + 1 + gru_lm.TAILS, (6, 5))
+    fresh, h = np.zeros(sym.shape, bool), np.zeros((8, 5), np.float32)
+    states = model.window(sym, fresh, h, model.gates())[0]
+    assert np.array_equal(states, model.window(sym, fresh, h)[0])
+    s, y = states.reshape(-1, 8), sym.reshape(-1)
+    told = lambda z, at: np.minimum(z, gru_lm.TOP)[at] - np.log(np.exp(np.minimum(z, gru_lm.TOP).astype(float)).sum())
+    cls = model.classes_of(y)
+    want = [told(v @ model.w["out"] + model.w["ob"], c) + (told(v @ model.w["in"][c] + model.w["ib"][c], i - c * 4) if i < model.v else 0) for v, c, i in zip(s, cls.tolist(), y.tolist(), strict=True)]
+    assert model.outputs(s, y, False)[0] == pytest.approx(want, rel=1e-4, abs=1e-2 if scale > 1 else 1e-4)
+
+
 def test_gru_gradient_by_finite_differences():
     model, rng = small_gru()
     x, y = rng.integers(0, 22, (7, 3)).astype(np.int32), rng.integers(0, 22, (7, 3)).astype(np.int32)

@@ -82,12 +82,16 @@ class Gru:
     def classes_of(self, sym: np.ndarray) -> np.ndarray:
         return np.where(sym < self.v, sym // self.width, sym - self.v + self.inner).astype(np.int32)
 
-    def window(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray):
-        """States (T, lanes, state) after each symbol of x (T, lanes); fresh resets a lane. h and what is kept for
+    def gates(self) -> np.ndarray:
+        """What each symbol adds to the gates."""
+        return self.w["emb"] @ self.w["wx"] + self.w["b"]
+
+    def window(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, gates: np.ndarray | None = None):
+        """States (T, lanes, state) after each symbol of x (T, lanes); fresh resets a lane. gates: as gates() has them. h and what is kept for
         learning lie as (state, lanes), so that gates are contiguous."""
         n, w = self.state, self.w
         wh = np.ascontiguousarray(w["wh"].T)
-        ax = np.ascontiguousarray((w["emb"][x] @ w["wx"] + w["b"]).transpose(0, 2, 1))
+        ax = np.ascontiguousarray((self.gates() if gates is None else gates)[x].transpose(0, 2, 1))
         out, cache = np.empty((len(x), n, x.shape[1]), np.float32), []
         for t in range(len(x)):
             if fresh[t].any():
@@ -110,17 +114,24 @@ class Gru:
 
     def outputs(self, states: np.ndarray, sym: np.ndarray, learn: bool):
         """Log-probability of each symbol (tail symbols: of their class); gradients if asked for."""
-        w = self.w
+        n, w = self.state, self.w
         cls = self.classes_of(sym)
+        # Biases are the weights of a state that is always 1. No logit passes its weights' sum times the largest state.
+        ones = np.ones((len(states), n + 1), np.float32)
+        ones[:, :n] = states
+        outer, inner = np.concatenate([w["out"], w["ob"][None]]), np.concatenate([w["in"], w["ib"][:, None]], 1)
+        high = max(states.max(initial=0), -states.min(initial=0))
+        cut_outer, cut_inner = ((np.abs(a[..., :n, :]).sum(-2) * high + a[..., n, :]).max(initial=0) > TOP - 1 for a in (outer, inner))
         logp, grads, dh = np.empty(len(sym)), {}, None
         if learn:
             dh = np.empty_like(states)
-            grads = {k: np.zeros_like(w[k]) for k in ("out", "ob", "in", "ib")}
+            outer_grad, inner_grad = np.zeros_like(outer), np.zeros_like(inner)
+            grads = {"out": outer_grad[:n], "ob": outer_grad[n], "in": inner_grad[:, :n], "ib": inner_grad[:, n]}
         for a in range(0, len(sym), SLAB):
             at = slice(a, a + SLAB)
-            p = states[at] @ w["out"]
-            p += w["ob"]
-            np.minimum(p, TOP, out=p)  # keeps exp finite without the maxima
+            p = ones[at] @ outer
+            if cut_outer:
+                np.minimum(p, TOP, out=p)  # keeps exp finite without the maxima
             rows = np.arange(len(p))
             own = p[rows, cls[at]]
             np.exp(p, out=p)
@@ -129,17 +140,16 @@ class Gru:
             if learn:
                 p *= (1 / z)[:, None]
                 p[rows, cls[at]] -= 1
-                grads["out"] += states[at].T @ p
-                grads["ob"] += np.ones(len(p), np.float32) @ p
+                outer_grad += ones[at].T @ p
                 np.matmul(p, w["out"].T, out=dh[at])
         head = np.flatnonzero(sym < self.v)
         if len(head):
             order = head[np.argsort(cls[head].astype(np.uint16), kind="stable")]  # 16 bits: a radix sort
-            own, s = cls[order], states[order]
+            own, s = cls[order], ones[order]
             cuts = np.flatnonzero(np.diff(own, prepend=-1)).tolist() + [len(own)]
             parts = [(int(own[a]), a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
             told = np.empty(len(order), np.float32)
-            back = np.empty_like(s) if learn else None
+            back = np.empty((len(s), n), np.float32) if learn else None
             pick = sym[order] - own * self.width
             while parts:
                 first = parts[0][1]
@@ -148,9 +158,9 @@ class Gru:
                 at = slice(first, some[-1][2])
                 q = np.empty((at.stop - first, self.width), np.float32)
                 for k, a, b in some:
-                    np.matmul(s[a:b], w["in"][k], out=q[a - first : b - first])
-                q += w["ib"][own[at]]
-                np.minimum(q, TOP, out=q)
+                    np.matmul(s[a:b], inner[k], out=q[a - first : b - first])
+                if cut_inner:
+                    np.minimum(q, TOP, out=q)
                 r = np.arange(len(q))
                 top = q[r, pick[at]]
                 np.exp(q, out=q)
@@ -161,7 +171,7 @@ class Gru:
                     q[r, pick[at]] -= 1
                     for k, a, b in some:
                         mine = q[a - first : b - first]
-                        grads["in"][k], grads["ib"][k] = s[a:b].T @ mine, np.ones(b - a, np.float32) @ mine
+                        np.matmul(s[a:b].T, mine, out=inner_grad[k])
                         np.matmul(mine, w["in"][k].T, out=back[a:b])
             logp[order] += told
             if learn:
@@ -175,35 +185,40 @@ class Gru:
         t_n, lanes, _ = states.shape
         flat = np.flatnonzero(mask.reshape(-1))
         _, grads, dflat = self.outputs(states.reshape(-1, n)[flat], y.reshape(-1)[flat], True)
-        dh_all = np.zeros((t_n * lanes, n), np.float32)
-        dh_all[flat] = dflat
+        dh_all = dflat
+        if len(flat) < t_n * lanes:
+            dh_all = np.zeros((t_n * lanes, n), np.float32)
+            dh_all[flat] = dflat
         dh_all = np.ascontiguousarray(dh_all.reshape(t_n, lanes, n).transpose(0, 2, 1))
-        dh, dax = np.zeros((n, lanes), np.float32), np.empty((t_n, 3 * n, lanes), np.float32)
-        gwh, wh = np.zeros((3 * n, n), np.float32), w["wh"]
+        dh, dax = np.zeros((n, lanes), np.float32), np.empty((3 * n, lanes), np.float32)
+        gwh, gwx, gb = np.zeros((3 * n, n), np.float32), np.zeros((3 * n, n), np.float32), np.zeros(3 * n, np.float32)
+        wh, wx, emb, one = w["wh"], w["wx"].T, w["emb"][x], np.ones(lanes, np.float32)
+        demb = np.empty((t_n, lanes, n), np.float32)
         for t in range(t_n - 1, -1, -1):
             prev, z, r, c, gc = cache[t]
             d = dh + dh_all[t]
             dz = d * z
             dc = dz * (1 - c * c)
-            dax[t, 2 * n :] = dc
+            dax[2 * n :] = dc
             dh = d - dz
             dz *= c - prev
             dz *= 1 - z
-            dax[t, :n] = dz
+            dax[:n] = dz
             dg = np.empty((3 * n, lanes), np.float32)
             dg[:n] = dz
             np.multiply(dc, r, out=dg[2 * n :])
             gc = gc * dg[2 * n :]
             gc *= 1 - r
-            dax[t, n : 2 * n] = dg[n : 2 * n] = gc
+            dax[n : 2 * n] = dg[n : 2 * n] = gc
             gwh += dg @ prev.T
+            gwx += dax @ emb[t]
+            gb += dax @ one
+            np.matmul(dax.T, wx, out=demb[t])
             dh += wh @ dg
             if fresh[t].any():
                 dh[:, fresh[t]] = 0
-        flat_ax = dax.transpose(0, 2, 1).reshape(-1, 3 * n)
-        grads["wh"], grads["b"] = gwh.T, np.ones(len(flat_ax), np.float32) @ flat_ax
-        grads["wx"] = w["emb"][x.reshape(-1)].T @ flat_ax
-        demb = flat_ax @ w["wx"].T
+        grads["wh"], grads["wx"], grads["b"] = gwh.T, gwx.T, gb
+        demb = demb.reshape(-1, n)
         order = np.argsort(x.reshape(-1).astype(np.uint16), kind="stable")  # symbols have 16 bits
         own = x.reshape(-1)[order]
         starts = np.flatnonzero(np.diff(own, prepend=-1))
@@ -317,13 +332,13 @@ def train_on(model: Gru, docs: list[np.ndarray], rate: float) -> None:
 def score_docs(model: Gru, docs: list[np.ndarray]) -> np.ndarray:
     """Natural log-probability of each document's symbols, the state carried from its start to its end."""
     x, y, fresh, doc = streams(docs, model.v, LANES)
-    h, out = np.zeros((model.state, x.shape[1]), np.float32), np.zeros(len(docs))
+    h, out, gates = np.zeros((model.state, x.shape[1]), np.float32), np.zeros(len(docs)), model.gates()
     t = 0
     while t < len(x):
         live = int((doc[t] >= 0).sum())
         part = slice(t, t + max(WINDOW, LANES * WINDOW // live))  # the fewer documents go on, the longer the window
         t = part.stop
-        states, _, h = model.window(x[part, :live], fresh[part, :live], h[:, :live])
+        states, _, h = model.window(x[part, :live], fresh[part, :live], h[:, :live], gates)
         flat = np.flatnonzero(doc[part, :live].reshape(-1) >= 0)
         logp, _, _ = model.outputs(states.reshape(-1, model.state)[flat], y[part, :live].reshape(-1)[flat], False)
         out += np.bincount(doc[part, :live].reshape(-1)[flat], logp, len(docs))
