@@ -443,6 +443,13 @@ def test_lm_scores_do_not_depend_on_partitions(spark):
     assert one == pytest.approx(eight, rel=1e-5)
 
 
+def test_lm_counts_of_rare_words_meet_in_a_join(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    docs = docs.unionByName(docs.limit(5))
+    every, few = (sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in gru_lm.score(docs, head=64, known=k).collect()) for k in (131_072, 100))
+    assert [x[:4] for x in few] == [x[:4] for x in every] and [x[4] for x in few] == pytest.approx([x[4] for x in every], rel=1e-9)
+
+
 def test_lm_learns_weights_of_4096_words(spark, monkeypatch):
     class Seen(Exception):
         pass
