@@ -268,7 +268,7 @@ def _counted(strings: DataFrame, length: int) -> DataFrame:
 
     windows = saved(strings.mapInArrow(hashed, "m long, s long, i int, a long, b long").distinct(), "windows")
     twice = windows.groupBy("a", "b").agg(F.count("*").alias("k")).where("k > 1").drop("k")
-    return windows.join(twice, ["a", "b"]).groupBy("m", "s").agg(F.collect_list("i")).mapInArrow(bits, FOUND)
+    return windows.join(saved(twice, "windows-twice"), ["a", "b"]).groupBy("m", "s").agg(F.collect_list("i")).mapInArrow(bits, FOUND)
 
 
 def _spans(length: int):
@@ -312,7 +312,8 @@ def repeated_spans(docs: DataFrame, length: int = 200, most: int = 2048, shard:
     texts = id_text(docs)
     all_ = saved(anchors(texts, length), "anchors")
     grams = all_.groupBy("m").agg(F.count("*").alias("k"), F.min("s").alias("s0"), F.max("s").alias("s1")).where("k > 1").select("m", (F.col("s0") != F.col("s1")).alias("mixed"))
-    again = saved(all_.join(grams, "m"), "anchors-again")
+    # Grams as a table of their own: a plain exchange on both sides lets a gram that many documents hold be split.
+    again = saved(all_.join(saved(grams, "grams"), "m"), "anchors-again")
     first = F.min(F.struct("doc_id", "row", "lo", "n")).alias("at")
     kinds = saved(again.groupBy("m", "s", "mixed").agg(F.count("*").alias("k"), first), "anchor-kinds")
     whole = kinds.where("k > 1").select("m", "s", F.lit(None).cast("binary").alias("bits"))
