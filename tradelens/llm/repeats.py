@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, blocks, mix64, operator, place, row_key, saved, shielded, id_text, text_key
+from .common import NO_ID, blocks, id_text, mix64, operator, place, row_key, saved, shielded
 
 #: Bytes of a gram, at most; shorter windows have shorter ones.
 GRAM = 64
