@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -50,8 +53,27 @@ def suffix_rules(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.regexp_replace("r", r"^(!|\*\.)", "").alias("suffix"), kind.alias("kind")).distinct()
 
 
+#: Folders that the verb at work has written; those outside of any verb are results and go when the process ends.
+_scope: ContextVar[list[str] | None] = ContextVar("tables", default=None)
+_results: list[tuple[SparkSession, str]] = []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _remove_results() -> None:
+    for spark, path in _results:
+        try:
+            remove(spark, path)
+        except Exception:  # noqa: BLE001, PERF203 - the session may be gone by now
+            return
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts lineage: df as a table in the folder that spark.checkpoint.dir names and all executors share."""
+    """Cuts lineage: df as a table in the folder that spark.checkpoint.dir names and all executors share. A path without a
+    scheme is one of Hadoop's default filesystem. What a verb (see scoped) writes on its way goes when it is done."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -59,6 +81,34 @@ def written(df: DataFrame, tag: str) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='tradelens-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base if '://' in base else f'file://{base}'}/{tag}-{uuid.uuid4().hex}"
+    path = f"{base}/{tag}-{uuid.uuid4().hex}"
+    if (own := _scope.get()) is not None:
+        own.append(path)
+    else:
+        if not _results:
+            atexit.register(_remove_results)
+        _results.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def scoped(verb):
+    """A verb over DataFrames whose result is a table; the tables it wrote on its way are deleted."""
+
+    @wraps(verb)
+    def run(*args, **options) -> DataFrame:
+        own: list[str] = []
+        mark = _scope.set(own)
+        spark = next(a for a in (*args, *options.values()) if isinstance(a, DataFrame)).sparkSession
+        try:
+            out = verb(*args, **options)
+            _scope.reset(mark)
+            mark = None
+            return written(out, verb.__name__)
+        finally:
+            if mark is not None:
+                _scope.reset(mark)
+            for path in own:
+                remove(spark, path)
+
+    return run
