@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import admission
-from ..sources.tables import table
+from ..sources.tables import table, work_path
+from ..streaming import limits
 from .registry import query
 
 #: Requests and seconds: of a rolling day, a client, a target.
@@ -26,3 +27,20 @@ select event_id, decision from s where i > 0"""
 @query(ADMITTED)
 def coupled_limits(spark, folder):
     return admission.admit(table(spark, folder, "events"), "user_id", "event_type", "ts", "event_id", DAY, CLIENT, TARGET)
+
+
+#: One log a type of event; the newest events still wait for the watermark.
+STREAMED = """with recursive e as materialized (select row_number() over (partition by event_type order by ts, event_id) as i, event_id, epoch_us(ts) as t, event_type as g from events),
+s as (select 0::bigint as i, g, null::bigint as event_id, null::bigint as t, null::boolean as accepted, cast([] as bigint[]) as log from (select distinct g from e)
+union all
+select e.i, e.g, e.event_id, e.t, len(kept) < 8, case when len(kept) < 8 then list_append(kept, e.t) else kept end
+ from (select s.i, s.g, e.event_id, e.t, list_filter(s.log, lambda x: e.t - x <= 7200000000) as kept from s join e on e.i = s.i + 1 and e.g = s.g) k join e on e.event_id = k.event_id)
+select g as event_type, event_id, accepted from s where i > 0 and t // 1000 <= (select max(t) // 1000 - 600000 from e)"""
+
+
+@query(STREAMED)
+def rate_limit_stream(spark, folder):
+    path = f"{folder}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(f"{path[:-1]}[t]")
+    keyed = events.select("event_type", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    return limits.run_to_table(limits.admit_stream(keyed, "event_type", 8, 7200), work_path(spark, "limits"))

@@ -71,10 +71,9 @@ def _remove_results() -> None:
             return
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts lineage: df as a table in the folder that spark.checkpoint.dir names and all executors share. A path without a
-    scheme is one of Hadoop's default filesystem. What a verb (see scoped) writes on its way goes when it is done."""
-    spark = df.sparkSession
+def work_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names and all executors share. One without a scheme is of Hadoop's
+    default filesystem. What a verb (see scoped) puts there goes when it is done."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -88,6 +87,13 @@ def written(df: DataFrame, tag: str) -> DataFrame:
         if not _results:
             atexit.register(_remove_results)
         _results.append((spark, path))
+    return path
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """Cuts lineage: df as a table below the shared folder."""
+    spark = df.sparkSession
+    path = work_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

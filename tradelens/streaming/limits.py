@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def fold(log: list[int], times: list[int], most: int, window: int) -> tuple[list[int], list[bool]]:
@@ -43,20 +44,72 @@ def admitter(most: int, window: int):
     return task
 
 
-def admit_stream(requests: DataFrame, key: str, most: int, seconds: int) -> DataFrame:
-    """requests: key, ts, event_id. One row a request: key, event_id, accepted. State expires after a window's idleness."""
-    window = seconds * 1_000_000
+class SlidingLog(StatefulProcessor):
+    """The sliding log of one key. Requests wait until the watermark has passed them, so that decisions follow event time,
+    whatever order they came in; then the log of accepted ones decides. A timer a window after the last accepted request
+    lets the state go."""
 
-    def step(own: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
-        log = list(state.get[0]) if state.exists else []
-        log, ok = fold(log, (rows["ts"].astype("datetime64[us]").astype("int64")).tolist(), most, window)
-        state.update((log,))
-        state.setTimeoutDuration(seconds * 1000)
-        yield pd.DataFrame({key: [own[0]] * len(rows), "event_id": rows["event_id"].to_numpy(), "accepted": ok})
+    def __init__(self, most: int, window: int):
+        self.most, self.window = most, window
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.log = handle.getListState("log", "at long")
+        self.waiting = handle.getListState("waiting", "at long, event_id long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            at = part["ts"].astype("datetime64[us]").astype("int64").tolist()
+            if at:
+                self.waiting.appendList(list(zip(at, part["event_id"].tolist(), strict=True)))
+                self.handle.registerTimer(-(-min(at) // 1000))  # one timer: when it fires, all that the watermark has passed is told
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
+        ready, late = [r for r in rows if r[0] <= passed], [r for r in rows if r[0] > passed]
+        log = [x[0] for x in self.log.get()] if self.log.exists() else []
+        if ready:
+            log, ok = fold(log, [r[0] for r in ready], self.most, self.window)
+            self.waiting.clear()
+            if late:
+                self.waiting.put(late)
+                self.handle.registerTimer(-(-late[0][0] // 1000))
+            self.log.put([(t,) for t in log])
+            self.handle.registerTimer((log[-1] + self.window) // 1000 + 1)
+            yield pd.DataFrame({"key": [key[0]] * len(ready), "event_id": [r[1] for r in ready], "accepted": ok})
+        elif log and not late and passed - log[-1] > self.window:
+            self.log.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def admit_stream(requests: DataFrame, key: str, most: int, seconds: int, late: str = "10 minutes") -> DataFrame:
+    """requests: key, ts, event_id. One row a request: key, event_id, accepted, once the watermark, `late` behind the
+    newest request, has passed it; requests that come later than that are left out.
+
+    Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass). Restarted from its checkpoint, the
+    stream goes on with the log and the waiting requests that it had.
+    """
+    timed = requests.select(F.col(key).alias("key"), "ts", "event_id").withWatermark("ts", late)
     kind = requests.schema[key].dataType.simpleString()
-    return requests.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, event_id long, accepted boolean", "log array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    out = timed.groupBy("key").transformWithStateInPandas(SlidingLog(most, seconds * 1_000_000), f"key {kind}, event_id long, accepted boolean", "Append", "EventTime")
+    return out.withColumnRenamed("key", key)
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
+    """What the stream gives for all that its source holds now, as a table below `folder`, where its checkpoint is too: a
+    second call goes on where the first one ended."""
+    spark = stream.sparkSession
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    try:
+        stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
