@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.web import suffixes
@@ -46,12 +46,35 @@ def real_hosts(hosts: DataFrame, probes: DataFrame) -> DataFrame:
 
 
 def registration(answers: DataFrame) -> DataFrame:
-    """answers: domain, body (JSON of a registration answer). registrar and the dates of its three events."""
-    kind = "struct<events:array<struct<eventAction:string,eventDate:string>>,entities:array<struct<roles:array<string>,fn:string>>>"
-    d = answers.select("domain", F.from_json("body", kind).alias("d"))
-    when = lambda action: F.to_timestamp(F.get(F.filter("d.events", lambda e: e["eventAction"] == action), F.lit(0))["eventDate"])
-    registrar = F.get(F.filter("d.entities", lambda e: F.array_contains(e["roles"], "registrar")), F.lit(0))["fn"]
-    return d.select("domain", registrar.alias("registrar"), when("registration").alias("registered"), when("expiration").alias("expires"), when("last changed").alias("changed"))
+    """answers: domain, status (of the answer), body (its JSON). state (ok, not_found, unavailable), registrar, the dates of
+    three events, the domain's states and its first eight name servers; who registered it isn't read.
+
+    A registrar is an entity of that role; its name is the value of the last "fn" in its card, an array of properties whose
+    fourth member is the value. Of several registrars the last one with a name counts. Bodies that aren't JSON objects are
+    unavailable."""
+    entity = "array<struct<roles:array<string>,vcardArray:string>>"
+    kind = f"struct<events:array<struct<eventAction:string,eventDate:string>>,entities:{entity},status:array<string>,nameservers:array<struct<ldhName:string>>>"
+    d = answers.select("domain", F.col("status").alias("code"), F.try_parse_json("body").isNotNull().alias("json"), F.from_json("body", kind).alias("d"))
+    good = (F.coalesce("code", F.lit(0)) == 200) & F.coalesce("json", F.lit(False)) & F.col("d").isNotNull()
+    last = lambda rows: F.when(F.size(rows) > 0, F.element_at(rows, -1))
+    when = lambda action: F.try_to_timestamp(last(F.filter("d.events", lambda e: e["eventAction"] == action))["eventDate"])
+
+    def card(e: Column) -> Column:
+        properties = F.from_json(F.get(F.from_json(e["vcardArray"], "array<string>"), F.lit(1)), "array<array<string>>")
+        return last(F.transform(F.filter(properties, lambda x: F.get(x, F.lit(0)) == "fn"), lambda x: F.get(x, F.lit(3))))
+
+    names = F.transform(F.filter("d.entities", lambda e: F.coalesce(F.array_contains(e["roles"], "registrar"), F.lit(False))), card)
+    own = lambda c: F.when(good, c)
+    return d.select(
+        "domain",
+        F.when(good, "ok").when(F.col("code") == 404, "not_found").otherwise("unavailable").alias("state"),
+        own(last(F.filter(names, lambda x: x.isNotNull()))).alias("registrar"),
+        own(when("registration")).alias("registered"),
+        own(when("expiration")).alias("expires"),
+        own(when("last changed")).alias("changed"),
+        own(F.coalesce("d.status", F.array().cast("array<string>"))).alias("states"),
+        own(F.slice(F.coalesce(F.col("d.nameservers.ldhName"), F.array().cast("array<string>")), 1, 8)).alias("name_servers"),
+    )
 
 
 def archived_copy(wanted: DataFrame, snapshots: DataFrame) -> DataFrame:

@@ -49,13 +49,18 @@ def field_status(values: DataFrame) -> DataFrame:
 
 
 def shared_value_status(values: DataFrame) -> DataFrame:
-    """Multi-valued fields: conflicting where more than one origin shares no key; a shared key is the value."""
+    """Multi-valued fields; values as in field_status, with origin. A key that all origins have is the value, else the best
+    one is: the strongest authority, then the most sources, then the smallest key. Conflicting where more than one origin
+    shares no key; else verified, corroborated or published as the value's own sources make it."""
     origins = values.groupBy("domain", "field").agg(F.count_distinct("origin").alias("origins"))
-    keys = values.groupBy("domain", "field", "key").agg(F.count_distinct("origin").alias("in_origins"))
-    all_ = keys.join(origins, ["domain", "field"])
-    shared = F.min(F.when(F.col("in_origins") == F.col("origins"), F.col("key")))
-    out = all_.groupBy("domain", "field").agg(shared.alias("shared"), F.min("key").alias("any"), F.max("origins").alias("origins"))
-    return out.select("domain", "field", F.coalesce("shared", "any").alias("value"), F.when((F.col("origins") > 1) & F.col("shared").isNull(), "conflicting").otherwise("published").alias("status"))
+    keys = values.groupBy("domain", "field", "key").agg(
+        F.count_distinct("origin").alias("in_origins"), F.min("authority").alias("authority"), F.count(F.lit(1)).alias("sources"), F.max("authoritative").alias("verified"), F.max("official").alias("official"), F.count_distinct("voice").alias("voices")
+    )
+    all_ = keys.join(origins, ["domain", "field"]).withColumn("shared", (F.col("origins") > 1) & (F.col("in_origins") == F.col("origins")))
+    best = F.min(F.struct((~F.col("shared")).alias("late"), "authority", (-F.col("sources")).alias("s"), "key", "verified", "official", "voices"))
+    out = all_.groupBy("domain", "field").agg(best.alias("b"), F.max("origins").alias("origins"), F.bool_or("shared").alias("any_shared"), F.count(F.lit(1)).alias("n_values"))
+    status = F.when((F.col("origins") > 1) & ~F.col("any_shared"), "conflicting").when(F.col("b.verified"), "verified").when(F.col("b.official") | (F.col("b.voices") > 1), "corroborated").otherwise("published")
+    return out.select("domain", "field", F.col("b.key").alias("value"), "n_values", status.alias("status"))
 
 
 def profile_summary(status: DataFrame) -> DataFrame:

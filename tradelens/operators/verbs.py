@@ -141,16 +141,29 @@ def coverage_of(status: Column, value: Column) -> Column:
     return F.when(status == "conflicting", "conflicting").when(value.isNotNull(), found).when(status == "unavailable", "unavailable").otherwise("not_found")
 
 
+def _grams(text: Column, n: int) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))
+
+
 def register_search(wanted: DataFrame, records: DataFrame, most: int = 5) -> DataFrame:
-    """wanted: name; records: eik, name. The first `most` records by eik whose name holds the wanted one's core words.
+    """wanted: name; records: eik, name. The first `most` records by eik whose name, in capitals, holds the wanted one's core
+    anywhere, also within words and forms. A name without a core finds nothing.
 
-    A record holds the core where it holds its words one after another, so records are met by each run of words they hold
-    (an equality join), whatever the size of the register."""
+    Records are indexed by their runs of three characters (of fewer for cores that short). A core meets them by the run that
+    fewest records hold, and only those it met are searched for the whole core."""
     from pyspark.sql import Window
 
-    words = F.split(agreement.core_name(F.col("name")), " ")
-    size = F.size(words)
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.array_join(F.slice(words, i, n), " "))))
-    held = records.select("eik", F.col("name").alias("record"), F.explode(F.array_distinct(spans)).alias("core"))
-    met = wanted.select("name", agreement.core_name(F.col("name")).alias("core")).where("core <> ''").distinct().join(held, "core")
-    return met.withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy("eik"))).where(F.col("place") <= most).select("name", "eik", "record", "place")
+    core = agreement.core_name(F.col("name"))
+    cores = written(wanted.where("name is not null").select("name", core.alias("core")).where("core <> ''").distinct().withColumn("n", F.least(F.lit(3), F.length("core"))), "cores")
+    held = records.select("eik", F.col("name").alias("record"), F.upper("name").alias("held")).where("held is not null")
+    out = None
+    for n in sorted(r.n for r in cores.select("n").distinct().collect()):  # 1, 2, 3
+        asked = cores.where(F.col("n") == n).select("name", "core", F.explode(_grams(F.col("core"), n)).alias("gram"))
+        index = held.where(F.length("held") >= n).select("eik", "record", "held", F.explode(_grams(F.col("held"), n)).alias("gram"))
+        sizes = index.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("size"))
+        probes = asked.join(sizes, "gram", "left").groupBy("name", "core").agg(F.min(F.struct(F.coalesce("size", F.lit(0)).alias("size"), "gram")).alias("p")).select("name", "core", F.col("p.gram").alias("gram"))
+        met = index.join(probes, "gram").where(F.contains("held", F.col("core"))).select("name", "eik", "record")
+        out = met if out is None else out.unionByName(met)
+    if out is None:
+        out = cores.select("name").join(held.select("eik", "record"), F.lit(False))
+    return out.withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy("eik", "record"))).where(F.col("place") <= most).select("name", "eik", "record", "place")

@@ -237,7 +237,12 @@ def field_profile_exact(spark, folder):
     return profiles.field_status(synthesised(spark, folder, VALUES, _CLAIM_SOURCE))
 
 
-@query(f"""select domain, field, coalesce(min(case when i = origins then key end), min(key)) as value, case when max(origins) > 1 and min(case when i = origins then key end) is null then 'conflicting' else 'published' end as status from (select domain, field, key, count(distinct origin) as i from ({_sql(VALUES)}) group by domain, field, key) join (select domain, field, count(distinct origin) as origins from ({_sql(VALUES)}) group by domain, field) using (domain, field) group by domain, field""")
+_KEYS = f"select domain, field, key, count(distinct origin) as i, min(authority) as a, count(*) as n, bool_or(authoritative) as v, bool_or(official) as o, count(distinct voice) as w from ({_sql(VALUES)}) group by domain, field, key"
+_SHARED = f"select *, origins > 1 and i = origins as shared from ({_KEYS}) join (select domain, field, count(distinct origin) as origins from ({_sql(VALUES)}) group by domain, field) using (domain, field)"
+
+
+@query(f"""select domain, field, key as value, cast(n_values as bigint) as n_values, case when origins > 1 and not any_shared then 'conflicting' when v then 'verified' when o or w > 1 then 'corroborated' else 'published' end as status
+ from (select *, row_number() over (partition by domain, field order by case when shared then 0 else 1 end, a, n desc, key) as place, bool_or(shared) over (partition by domain, field) as any_shared, count(*) over (partition by domain, field) as n_values from ({_SHARED})) where place = 1""")
 def field_profile_multi(spark, folder):
     return profiles.shared_value_status(synthesised(spark, folder, VALUES, _CLAIM_SOURCE))
 

@@ -216,13 +216,21 @@ def real_hosts(spark, folder):
     return hosts.real_hosts(seen, probes).select("domain", "host", "fingerprint")
 
 
-@query("select s_suppkey as domain, 'Registrar ' || s_suppkey as registrar, timestamp '2020-01-02 03:04:05' as registered, case when s_suppkey % 2 = 0 then timestamp '2030-01-01 00:00:00' end as expires from supplier")
+_RDAP = """{"events":[{"eventAction":"registration","eventDate":"2020-01-02T03:04:05Z"}{ends}],"status":["active"],"nameservers":[{"ldhName":"ns{k}.example"},{"ldhName":"ns.example"}],
+"entities":[{"roles":["abuse"],"vcardArray":["vcard",[["fn",{},"text","Abuse Desk"]]]},{"roles":["technical","registrar"],"vcardArray":["vcard",[["version",{},"text","4.0"]{name},["adr",{"label":"x"},"text",["","","Long street","Sofia"]]]]},{"roles":["registrant"]}]}"""
+
+
+@query("""select s_suppkey as domain, case when s_suppkey % 5 = 0 then 'not_found' when s_suppkey % 5 = 1 then 'unavailable' else 'ok' end as state, case when s_suppkey % 5 > 1 and s_suppkey % 3 > 0 then 'Registrar ' || s_suppkey end as registrar,
+ case when s_suppkey % 5 > 1 then timestamp '2020-01-02 03:04:05' end as registered, case when s_suppkey % 5 > 1 and s_suppkey % 2 = 0 then timestamp '2030-01-01 00:00:00' end as expires, case when s_suppkey % 5 > 1 then 'ns' || s_suppkey || '.example,ns.example' end as name_servers from supplier""")
 def registration_dates(spark, folder):
     k = F.col("s_suppkey")
-    ends = F.when(k % 2 == 0, ',{"eventAction":"expiration","eventDate":"2030-01-01T00:00:00Z"}').otherwise("")
-    body = F.concat(F.lit('{"events":[{"eventAction":"registration","eventDate":"2020-01-02T03:04:05Z"}'), ends, F.lit('],"entities":[{"roles":["abuse"],"fn":"x"},{"roles":["registrar"],"fn":"Registrar '), k.cast("string"), F.lit('"}]}'))
-    out = hosts.registration(table(spark, folder, "supplier").select(k.alias("domain"), body.alias("body")))
-    return out.select("domain", "registrar", F.col("registered").cast("timestamp_ntz").alias("registered"), F.col("expires").cast("timestamp_ntz").alias("expires"))
+    body = F.replace(F.lit(_RDAP), F.lit("{k}"), k.cast("string"))
+    body = F.replace(body, F.lit("{ends}"), F.when(k % 2 == 0, ',{"eventAction":"expiration","eventDate":"2030-01-01T00:00:00Z"}').otherwise(""))
+    body = F.replace(body, F.lit("{name}"), F.when(k % 3 > 0, F.concat(F.lit(',["fn",{},"text","Registrar '), k.cast("string"), F.lit('"]'))).otherwise(""))
+    status = F.when(k % 5 == 0, 404).when(k % 5 == 1, F.when(k % 2 == 0, 200).otherwise(503)).otherwise(200)
+    answers = table(spark, folder, "supplier").select(k.alias("domain"), status.alias("status"), F.when((k % 5 == 1) & (k % 2 == 0), "<html>").otherwise(body).alias("body"))
+    out = hosts.registration(answers)
+    return out.select("domain", "state", "registrar", F.col("registered").cast("timestamp_ntz").alias("registered"), F.col("expires").cast("timestamp_ntz").alias("expires"), F.array_join("name_servers", ",").alias("name_servers"))
 
 
 _SNAPSHOTS = "select o_custkey as url, date_format(o_orderdate, 'yyyyMMdd000000') as stamp, case when o_orderkey % 4 = 0 then 404 else 200 end as status, 'body' as body from {orders}"

@@ -86,11 +86,11 @@ def search_plan(spark, folder):
 
 
 _RECORDS = "select c_custkey as eik, concat(case c_custkey % 3 when 0 then 'ALPHA' when 1 then 'Beta Trade' else 'Gamma' end, ' ', cast(c_custkey % 40 as string), case c_custkey % 2 when 0 then ' \"X\" ООД' else ' - АД' end) as name from {customer}"
-_WANTED = "select distinct concat('\"', case s_suppkey % 3 when 0 then 'alpha' when 1 then 'Trade' else 'gam' end, ' ', cast(s_suppkey % 40 as string), '\" ЕООД') as name from {supplier}"
+_WANTED = "select distinct concat('\"', case s_suppkey % 3 when 0 then 'alpha' when 1 then 'rade' else 'amma' end, ' ', cast(s_suppkey % 40 as string), '\" ЕООД') as name from {supplier} union all select 'ha' union all select '7' union all select 'no such name'"
 _CORE = "trim(regexp_replace(regexp_replace(regexp_replace(upper(replace({0}, '\"', ' ')), ' (ЕООД|ООД|ЕАД|АД|ЕТ|-)( (ЕООД|ООД|ЕАД|АД|ЕТ|-))*$', ''), ' - ', ' '), ' +', ' ', 'g'))"
 
 
-@query(f"select name, eik, record, cast(place as int) as place from (select w.name, r.eik, r.name as record, row_number() over (partition by w.name order by r.eik) as place from ({plain(_WANTED)}) w join ({plain(_RECORDS)}) r on contains(' ' || {_CORE.format('r.name')} || ' ', ' ' || {_CORE.format('w.name')} || ' ')) where place <= 5")
+@query(f"select name, eik, record, cast(place as int) as place from (select w.name, r.eik, r.name as record, row_number() over (partition by w.name order by r.eik) as place from ({plain(_WANTED)}) w join ({plain(_RECORDS)}) r on contains(upper(r.name), {_CORE.format('w.name')})) where place <= 5")
 def register_names(spark, folder):
     return verbs.register_search(synthesised(spark, folder, _WANTED, ("supplier",)), synthesised(spark, folder, _RECORDS, ("customer",)))
 
