@@ -71,12 +71,13 @@ def foreign_numbers(pages: DataFrame) -> DataFrame:
     return pages.where(parts["country"] != "BG").select("domain", F.concat(parts["country"], parts["number"]).alias("vat"), "seq")
 
 
-def evidence(pages: DataFrame, mentions: DataFrame, declared: DataFrame, found: DataFrame) -> DataFrame:
+def evidence(pages: DataFrame, mentions: DataFrame, declared: DataFrame, found: DataFrame, stated: DataFrame | None = None) -> DataFrame:
     """Claims (domain, eik, branch, tier, operator, own, declared, host, page, name) of all branches; only identifiers whose
     digits hold, and of tier by the source's authority.
 
     pages: domain, host, page, eik, vat, company; mentions: domain, host, page, name, eik, operator; declared: domain, eik,
-    name; found (search): domain, host, page, eik, text. A result of another host counts if its text names the domain.
+    name; found (search): domain, host, page, eik, text; stated (structured data, see structured.numbers): domain, host, page,
+    eik, name. A result of another host counts if its text names the domain.
     """
     parts = identifiers.vat_parts(F.col("vat"))
     pages = pages.withColumn("number", F.when(parts["country"] == "BG", parts["number"]))  # named many times below
@@ -99,6 +100,8 @@ def evidence(pages: DataFrame, mentions: DataFrame, declared: DataFrame, found:
         declared.select("domain", F.lit(None).cast("string").alias("host"), F.lit(None).cast("long").alias("page"), *claim(F.col("eik"), "declaration", 2, yes, no, True, F.col("name"))),
         found.where(here | F.contains(F.lower("text"), F.col("domain"))).select("domain", "host", "page", *claim(F.col("eik"), "search", 5, no, here, False, F.lit(None).cast("string"))),
     ]
+    if stated is not None:
+        branches.append(stated.select("domain", "host", "page", *claim(F.col("eik"), "structured", 3, no, yes, False, F.col("name"))))
     out = branches[0]
     for b in branches[1:]:
         out = out.unionByName(b)

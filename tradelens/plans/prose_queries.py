@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import NINE, NINE_AGAIN
-from ..operators import lines, parties
+from ..operators import lines, parties, structured, verbs
 from ..sources.tables import synthesised
 from .registry import plain, query
 
@@ -123,3 +123,44 @@ def numbers_after_labels(spark, folder):
     spread = F.concat(part(1, 3), F.lit("</p><p>"), part(4, 3), F.lit("</p><p>"), part(7, 3))
     pages = _shops(spark, folder, F.lit("Фирма"), F.when(k % 2 == 0, "ЕИК:").otherwise("БУЛСТАТ №"), F.coalesce(value, spread), F.lit("край"))
     return lines.numbers_after_labels(lines.piece_rows(pages), "eik")
+
+
+#: An organisation each: in a graph within a list within a graph; of two kinds; within another one; the last of a list and a
+#: foreign number; one whose number is not a text, and a block that isn't JSON; six of them, of which five count.
+GRAPHS = (
+    '{"@graph":[{"@type":"WebSite","name":"no"},[{"@graph":[{"@type":"Organization","legalName":"Firm {k}","taxID":"{x}"}]}]]}',
+    '{"@type":["Thing","Store"],"name":"Firm {k}","vatID":"BG{x}","sameAs":["https://a.example","https://b.example"]}',
+    '{"@type":"WebPage","publisher":{"@type":"CORPORATION","name":"Outer {k}","department":{"@type":"LocalBusiness","name":"Inner {k}","identifier":"{x}"}}}',
+    '[{"@type":"Store","name":"First {k}","vatID":"DE{x}"},{"@type":"Store","name":"Last {k}"}]',
+    '{broken</script><script type="application/ld+json">{"@type":"OnlineStore","taxID":7{x},"name":"Firm {k}"}',
+    '[{"@type":"Store","name":"n1"},{"@type":"Store","name":"n2"},{"@type":"Store","name":"n3"},{"@type":"Store","name":"n4"},{"@type":"Store","name":"n5"},{"@type":"Store","taxID":"{x}","name":"n6"}]',
+)
+
+
+def _organisations(spark, folder):
+    rows = synthesised(spark, folder, TWO, ("supplier",)).withColumn("g", F.col("k") % 6)
+    block = F.element_at(F.array(*map(F.lit, GRAPHS)), F.col("g").cast("int") + 1)
+    html = F.concat(F.lit('<p>{"@type":"Store"}</p><script type="application/ld+json">'), block, F.lit("</script>"))
+    for c in ("k", "x"):
+        html = F.replace(html, F.lit("{" + c + "}"), F.col(c).cast("string"))
+    return structured.organisations(rows.select(F.col("k").alias("page"), html.alias("html")))
+
+
+_FIRM = "case when g in (0, 1, 4) then 'Firm ' || k when g = 2 then 'Outer ' || k when g = 3 then 'Last ' || k else 'n6' end"
+
+
+@query(f"""with t as (select *, k % 6 as g from ({plain(TWO)})) select k as page, 1 as nth, case when g = 0 then {_FIRM} end as legal_name, case when g <> 0 then {_FIRM} end as name, case when g in (0, 5) then x end as tax_id, case when g = 1 then 'BG' || x end as vat_id, null as identifier, case when g = 1 then '["https://a.example","https://b.example"]' end as same_as from t
+union all select k, 2, null, case g when 2 then 'Inner ' || k when 3 then 'First ' || k else 'n5' end, null, case when g = 3 then 'DE' || x end, case when g = 2 then x end, null from t where g in (2, 3, 5) union all select k, n, null, 'n' || (7 - n), null, null, null, null from t, unnest([3, 4, 5]) as u(n) where g = 5""")
+def structured_organisations(spark, folder):
+    return _organisations(spark, folder).select("page", "nth", "legal_name", "name", "tax_id", "vat_id", "identifier", "same_as")
+
+
+@query(f"with t as (select *, k % 6 as g from ({plain(TWO)})) select 'shop' || k as domain, x as eik, 'structured' as branch, 3 as tier, case g when 0 then 'Firm ' || k when 1 then 'Firm ' || k when 2 then 'Inner ' || k else 'n6' end as name from t where g in (0, 1, 2, 5)")
+def structured_claims(spark, folder):
+    orgs = _organisations(spark, folder)
+    told = structured.numbers(orgs).where("eik is not null").join(orgs.select("page", "nth", F.coalesce("legal_name", "name").alias("name")), ["page", "nth"])
+    domain = F.concat(F.lit("shop"), F.col("page").cast("string"))
+    stated = told.select(domain.alias("domain"), domain.alias("host"), "page", "eik", "name")
+    none = lambda ddl: spark.createDataFrame([], ddl)
+    claims = verbs.evidence(none("domain string, host string, page long, eik string, vat string, company string"), none("domain string, host string, page long, name string, eik string, operator boolean"), none("domain string, eik string, name string"), none("domain string, host string, page long, eik string, text string"), stated)
+    return claims.select("domain", "eik", "branch", "tier", "name")
