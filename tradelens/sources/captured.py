@@ -20,73 +20,90 @@ PEOPLE = ("Manager", "Representative", "Representative101", "Representative102",
 #: States of a deed.
 STATES = {"N": "registered", "E": "registered", "C": "closed", "L": "closed"}
 
-_DEED = "eik string, name string, legal_form string, status string, address string, capital string, registered string, website string, phone string, email string, people array<struct<name:string,role:string>>"
+#: An element of a message: its number, those of the elements around it, its path of local names, text and attributes.
+_FACT = "struct<seq: int, up: array<int>, path: string, text: string, attributes: map<string, string>>"
 
 
 def _local(tag: str) -> str:
     return tag.rpartition("}")[2]
 
 
-def _below(field: ElementTree.Element, *names: str) -> str | None:
-    """The text of the first element that this path of local names leads to; null for blank."""
-    at: list[ElementTree.Element] = [field]
-    for n in names:
-        at = [c for e in at for c in e if _local(c.tag) == n]
-    text = (at[0].text or "").strip() if at else ""
-    return text or None
-
-
-def _live(element: ElementTree.Element) -> Iterator[ElementTree.Element]:
-    """Elements below, without fields that the message erases and what is in them."""
-    for child in element:
-        if child.get("FieldOperation") != "Erase":
-            yield child
-            yield from _live(child)
-
-
-def deed(element: ElementTree.Element) -> dict:
-    """What one deed says. Only the fields named here are read; a person's number never is."""
-    status = element.get("DeedStatus", "")
-    out: dict = {"eik": element.get("UIC"), "name": element.get("CompanyName"), "legal_form": element.get("LegalForm"), "status": STATES.get(status, "unknown"), "people": []}
-    for f in _live(element):
-        kind = _local(f.tag)
-        if kind == "Seat":
-            parts = [_below(f, "Address", p) for p in SEAT]
-            out["address"] = ", ".join(p for p in parts if p) or out.get("address")
-            for key, tag in (("website", "URL"), ("phone", "Phone"), ("email", "EMail")):
-                out[key] = _below(f, "Contacts", tag) or out.get(key)
-        elif kind == "Funds" and (f.text or "").strip():
-            out["capital"] = f"{f.text.strip()} {f.get('currency') or ''}".strip()
-        elif kind == "EntryDate":
-            out.setdefault("registered", (f.text or "").strip() or None)
-        elif kind in PEOPLE and (name := _below(f, "Person", "Name")):
-            person = next(c for c in f if _local(c.tag) == "Person")
-            out["people"].append({"name": name, "role": (person.get("Position") or kind).strip()})
-    return out
-
-
-def deeds(messages: DataFrame) -> DataFrame:
-    """messages: body, the XML of a register's message. One row a deed, by Arrow; what isn't XML has none, and an erased
-    field is as if it weren't there."""
+def xml_facts(messages: DataFrame, root: str) -> DataFrame:
+    """messages: body (XML). One row an element named `root`: its attributes, and the elements below in document order as
+    facts (_FACT), by Arrow. Elements that the message erases are left out with all they hold; what isn't XML has no rows.
+    Names count without their namespaces; blank texts are null."""
     import pyarrow as pa
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    kinds = to_arrow_schema(StructType.fromDDL(_DEED))
+    ddl = f"attributes map<string, string>, facts array<{_FACT}>"
+    kinds = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def below(top: ElementTree.Element) -> list[dict]:
+        out, todo = [], [(e, "", ()) for e in reversed(top)]
+        while todo:
+            e, path, up = todo.pop()
+            if e.get("FieldOperation") == "Erase":
+                continue
+            here = f"{path}/{_local(e.tag)}"
+            out.append({"seq": len(out), "up": list(up), "path": here, "text": (e.text or "").strip() or None, "attributes": list(e.attrib.items())})
+            todo += [(x, here, (*up, len(out) - 1)) for x in reversed(e)]
+        return out
 
     def task(batches):
         for b in batches:
             rows = []
             for body in b.column(0).to_pylist():
                 try:
-                    root = ElementTree.fromstring(body) if body else None
+                    whole = ElementTree.fromstring(body) if body else None
                 except ElementTree.ParseError:
                     continue
-                if root is not None:
-                    rows += [deed(e) for e in root.iter() if _local(e.tag) == "Deed"]
+                if whole is not None:
+                    rows += [{"attributes": list(e.attrib.items()), "facts": below(e)} for e in whole.iter() if _local(e.tag) == root]
             yield pa.RecordBatch.from_pylist(rows, kinds)
 
-    return messages.select(F.col("body").cast("string")).mapInArrow(task, _DEED)
+    return messages.select(F.col("body").cast("string")).mapInArrow(task, ddl)
+
+
+def _at(path: str, within: Column | None = None) -> Column:
+    """The facts whose path ends so, of those within an element of this number where one is given."""
+    return F.filter("facts", lambda f: f["path"].endswith(f"/{path}") & (F.lit(True) if within is None else F.array_contains(f["up"], within)))
+
+
+def _last(values: Column) -> Column:
+    told = F.filter(values, lambda v: v.isNotNull())
+    return F.when(F.size(told) > 0, F.element_at(told, -1))
+
+
+def _texts(path: str, within: Column | None = None) -> Column:
+    return F.filter(F.transform(_at(path, within), lambda f: f["text"]), lambda t: t.isNotNull())
+
+
+def deeds(messages: DataFrame) -> DataFrame:
+    """messages: body, the XML of a register's message. One row a deed: eik, name, legal_form, status, address, capital,
+    registered, website, phone, email, people (name, role). Of a field that stands more than once the last one that says
+    something counts, of dates the first one. Only the fields named here are read; a person's number never is."""
+    attribute = lambda name: F.element_at("attributes", F.lit(name))
+    status = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in STATES.items() for x in pair)), F.coalesce(attribute("DeedStatus"), F.lit(""))), F.lit("unknown"))
+    seat = F.transform(_at("Seat"), lambda s: F.nullif(F.concat_ws(", ", *(F.get(_texts(f"Seat/Address/{part}", s["seq"]), F.lit(0)) for part in SEAT)), F.lit("")))
+    funds = F.transform(_at("Funds"), lambda f: F.when(f["text"].isNotNull(), F.trim(F.concat_ws(" ", f["text"], F.element_at(f["attributes"], F.lit("currency"))))))
+
+    def person(f: Column) -> Column:
+        role = F.get(F.transform(_at("Person", f["seq"]), lambda p: F.nullif(F.trim(F.element_at(p["attributes"], F.lit("Position"))), F.lit(""))), F.lit(0))
+        return F.struct(F.get(_texts("Person/Name", f["seq"]), F.lit(0)).alias("name"), F.coalesce(role, F.substring_index(f["path"], "/", -1)).alias("role"))
+
+    people = F.transform(F.filter("facts", lambda f: F.substring_index(f["path"], "/", -1).isin(*PEOPLE)), person)
+    return xml_facts(messages, "Deed").select(
+        attribute("UIC").alias("eik"),
+        attribute("CompanyName").alias("name"),
+        attribute("LegalForm").alias("legal_form"),
+        status.alias("status"),
+        _last(seat).alias("address"),
+        _last(funds).alias("capital"),
+        F.get(_texts("EntryDate"), F.lit(0)).alias("registered"),
+        *(_last(_texts(f"Seat/Contacts/{tag}")).alias(column) for column, tag in (("website", "URL"), ("phone", "Phone"), ("email", "EMail"))),
+        F.filter(people, lambda p: p["name"].isNotNull()).alias("people"),
+    )
 
 
 #: How far into a body its own charset is looked for, and what bodies without one are in.
