@@ -257,9 +257,9 @@ def coverage_rollup(spark, folder):
     return table(spark, folder, "labels").rollup("quality", "toxic").agg(F.count(F.lit(1)).alias("n"), (F.grouping("quality") + F.grouping("toxic")).cast("bigint").alias("level"))
 
 
-@query("select o_orderkey as key, case when o_orderkey % 5 = 0 then 'explained' else 'unexplained' end as reason from orders where o_orderstatus = 'F' and not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R')")
+@query("select o_orderkey as key, case when o_orderkey % 5 = 0 then 'explained' else 'unexplained' end as reason from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R')")
 def gap_log(spark, folder):
-    orders = table(spark, folder, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("key"))
+    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("key"))
     gaps = orders.join(table(spark, folder, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("key")), "key", "left_anti")
     told = table(spark, folder, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("key"), F.lit("explained").alias("reason"))
     return gaps.join(told, "key", "left").select("key", F.coalesce("reason", F.lit("unexplained")).alias("reason"))
@@ -325,10 +325,10 @@ def job_state(spark, folder):
     return state.job_state(table(spark, folder, "events"), "user_id", "value", "event_id", "event_id")
 
 
-@query("select c_custkey, cast(ceil(row_number() over (order by c_acctbal desc, c_custkey) / 5.0) as int) as page from customer where c_mktsegment = 'BUILDING'")
+@query("select c_custkey, cast(ceil(row_number() over (order by c_mktsegment, c_acctbal desc, c_custkey) / 5.0) as int) as page from customer")
 def worklist_page(spark, folder):
-    rows = table(spark, folder, "customer").where("c_mktsegment = 'BUILDING'")
-    return state.paged(rows, [F.desc("c_acctbal"), F.asc("c_custkey")], 5).select("c_custkey", "page")
+    order = [F.asc("c_mktsegment"), F.desc("c_acctbal"), F.asc("c_custkey")]
+    return state.paged(table(spark, folder, "customer"), order, 5).select("c_custkey", "page")
 
 
 @query("select distinct concat(case when c_custkey % 2 = 0 then 'www' else 'shop' end, cast(c_nationkey as string), '.example.com') as host from customer")

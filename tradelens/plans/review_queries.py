@@ -86,12 +86,12 @@ def inflight_dedupe(spark, folder):
     return requests.in_flight(jobs, "event_type", "ts", "end", "event_id")
 
 
-DECLARED = "select concat('Shop', cast(c_custkey % 300 as string), '.example.com') as domain, concat('shop', cast(c_custkey % 500 as string), '.example.com') as platform, c_custkey as seq, concat('Owner, ', cast(100000000 + c_custkey as string)) as owner from {customer}"
+DECLARED = "select concat('Shop', cast(cast(floor(c_custkey / 3) as int) as string), '.example.com') as domain, concat('shop', cast(cast(floor(c_custkey / 2) as int) as string), '.example.com') as platform, c_custkey as seq, concat('Owner, ', cast(100000000 + c_custkey as string)) as owner from {customer}"
 
 
-@query(f"select domain, seq, cast(p as int) as priority, cast(100000000 + seq as varchar) as eik from (select *, row_number() over (partition by domain order by seq) as n from (select *, min(p) over (partition by domain) as best from (select 'shop' || i || '.example.com' as domain, seq, p from range(600) r(i) join (select lower(domain) as d, seq, 1 as p from ({plain(DECLARED)}) union all select platform, seq, 2 from ({plain(DECLARED)})) on d = 'shop' || i || '.example.com')) where p = best) where n <= 5")
+@query(f"select domain, seq, cast(p as int) as priority, cast(100000000 + seq as varchar) as eik from (select *, row_number() over (partition by domain order by seq) as n from (select *, min(p) over (partition by domain) as best from (select 'shop' || c_custkey || '.example.com' as domain, seq, p from customer join (select lower(domain) as d, seq, 1 as p from ({plain(DECLARED)}) union all select platform, seq, 2 from ({plain(DECLARED)})) on d = 'shop' || c_custkey || '.example.com')) where p = best) where n <= 5")
 def declaration_match(spark, folder):
-    domains = spark.range(600).select(F.concat(F.lit("shop"), F.col("id").cast("string"), F.lit(".example.com")).alias("domain"))
+    domains = table(spark, folder, "customer").select(F.concat(F.lit("shop"), F.col("c_custkey").cast("string"), F.lit(".example.com")).alias("domain"))
     return requests.declarations(domains, synthesised(spark, folder, DECLARED, ("customer",)))
 
 

@@ -56,14 +56,15 @@ def link_plan(spark, folder):
     return crawl.link_plan(synthesised(spark, folder, LINKS, ("lineitem",)), 4)
 
 
-EDGES = "select c_custkey as src, c_custkey * 3 % 1000 as dst from {customer} union all select c_custkey, c_custkey * 7 % 1000 + 1 from {customer}"
+#: Every customer links to two others; those short of money are seeds, those of every tenth nation refuse.
+_TO = "(c_custkey * {0} + {1}) % (select max(c_custkey) from {{customer}}) + 1"
+EDGES = f"select c_custkey as src, {_TO.format(3, 0)} as dst from {{customer}} union all select c_custkey, {_TO.format(7, 1)} from {{customer}}"
 
 
-@query(f"with e as (select distinct src, dst from ({plain(EDGES)}) where dst % 10 <> 3), s as (select c_custkey as node from customer where c_custkey % 50 = 1), a as (select dst as node from s join e on node = src), b as (select dst as node from a join e on node = src) select node, cast(min(depth) as int) as depth from (select node, 0 as depth from s union all select node, 1 from a union all select node, 2 from b) group by node")
+@query(f"with g as (select c_custkey as node, c_nationkey % 10 = 3 as refused, c_acctbal < 0 as seed from customer), e as (select distinct src, dst from ({plain(EDGES)}) join g on dst = node where not refused), s as (select node from g where seed and not refused), a as (select dst as node from s join e on node = src), b as (select dst as node from a join e on node = src) select node, cast(min(depth) as int) as depth from (select node, 0 as depth from s union all select node, 1 from a union all select node, 2 from b) group by node")
 def frontier_depth2(spark, folder):
-    nodes = table(spark, folder, "customer").select(F.col("c_custkey").alias("node"))
-    refused = spark.range(1000).where("id % 10 = 3").select(F.col("id").alias("node"))
-    return crawl.frontier(nodes.where("node % 50 = 1"), synthesised(spark, folder, EDGES, ("customer",)), refused, 2)
+    nodes = table(spark, folder, "customer").withColumn("node", F.col("c_custkey"))
+    return crawl.frontier(nodes.where("c_acctbal < 0"), synthesised(spark, folder, EDGES, ("customer",)), nodes.where("c_nationkey % 10 = 3"), 2)
 
 
 _HOST = "regexp_replace(regexp_extract(lower(url), '^https?://([^/:?#]+)', 1), '^www\\.', '')"
@@ -206,7 +207,7 @@ def dns_records(spark, folder):
     return hosts.dns_table(synthesised(spark, folder, _ANSWERS, ("customer",)))
 
 
-_NAMES = "select c_custkey % 300 as host, case when c_custkey % 300 % 5 = 0 and c_custkey > 300 then 'CNAME' when c_custkey % 300 % 7 = 0 then 'TXT' else 'A' end as type, concat('h', cast(c_custkey % 11 as string)) as data, c_custkey as seq from {customer}"
+_NAMES = "select cast(floor(c_custkey / 4) as int) as host, case when cast(floor(c_custkey / 4) as int) % 5 = 0 and c_custkey % 4 > 1 then 'CNAME' when cast(floor(c_custkey / 4) as int) % 7 = 0 then 'TXT' else 'A' end as type, concat('h', cast(c_custkey % 11 as string)) as data, c_custkey as seq from {customer}"
 
 
 @query(f"select domain, host, fingerprint from (select host % 10 as domain, host, coalesce(arg_min(data, seq) filter (where type = 'CNAME'), array_to_string(list_sort(list(distinct data) filter (where type = 'A')), ',')) as fingerprint from ({plain(_NAMES)}) group by host) where fingerprint <> '' and fingerprint is distinct from case when domain = 5 then 'h3' end")
