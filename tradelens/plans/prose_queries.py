@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import pages as reader
 from ..functions.identifiers import NINE, NINE_AGAIN
 from ..operators import lines, parties, structured, verbs
 from ..sources.tables import synthesised
@@ -164,3 +165,16 @@ def structured_claims(spark, folder):
     none = lambda ddl: spark.createDataFrame([], ddl)
     claims = verbs.evidence(none("domain string, host string, page long, eik string, vat string, company string"), none("domain string, host string, page long, name string, eik string, operator boolean"), none("domain string, eik string, name string"), none("domain string, host string, page long, eik string, text string"), stated)
     return claims.select("domain", "eik", "branch", "tier", "name")
+
+
+#: Nested and open tags, a script within a comment's marks, entities, a mark in quotes, a link around a block, a phone.
+BROKEN = "<div><div><div>Shop {k} <b>is <i>open</i></b><p>Fish &amp; chips<br>1 &lt; 2<script>if (a < b) x = '</p><p>no'; // {k}</script> and more<!-- <p>no {k}</p> --><td>cell<a title='a > b' href=\"/terms?k={k}\">Terms <div>of {k}</div></a><A HREF=tel:+359{k}>call</a><a name=x>none</a><a href='mailto:a{k}@shop.example?subject=x'>mail"
+
+
+@query("""select c_custkey as page, 'Shop ' || c_custkey || ' is open|Fish & chips|1 < 2 and more|cellTerms|of ' || c_custkey || '|callnonemail' as pieces, '/terms?k=' || c_custkey || '=Terms of ' || c_custkey || '|tel:+359' || c_custkey || '=call' as links, 'a' || c_custkey || '@shop.example' as mails, '+359' || c_custkey as phones from customer""")
+def page_reader(spark, folder):
+    rows = synthesised(spark, folder, "select c_custkey as page from {customer}", ("customer",))
+    html = F.replace(F.lit(BROKEN), F.lit("{k}"), F.col("page").cast("string"))
+    out = rows.select("page", reader.page_parts(html).alias("p")).select("page", "p.*")
+    links = F.transform("links", lambda x: F.concat_ws("=", x["href"], x["text"]))
+    return out.select("page", F.array_join("pieces", "|").alias("pieces"), F.array_join(links, "|").alias("links"), F.array_join("mails", "|").alias("mails"), F.array_join("phones", "|").alias("phones"))
