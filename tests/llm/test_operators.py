@@ -612,6 +612,22 @@ def test_nearest_ties_and_repeats_across_shards(spark):
     assert got[50] == [1, 2, 4, 5, 7] and got[0] == [3, 6, 9, 12, 15] and len(got) == 6
 
 
+def test_nearest_has_a_task_a_shard(spark, monkeypatch):
+    kept = {}
+    own = hnsw.saved
+    monkeypatch.setattr(hnsw, "saved", lambda df, tag, *a: tasks(df, tag) if tag == "graphs" else own(df, tag, *a))
+
+    def tasks(df, tag):
+        out = own(df.withColumn("task", F.spark_partition_id()), tag)
+        kept["tasks"] = sorted((r.shard, r.task) for r in out.select("shard", "task").collect())
+        return out.drop("task")
+
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(400, 8)))], "vec_id long, embedding array<double>")
+    hnsw.neighbours(rows, F.col("vec_id") % 50 == 0, shard_rows=50).count()
+    assert kept["tasks"] == [(i, i) for i in range(8)]
+
+
 def test_nearest_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [1.0, None]), (8, [1.0, 1.0, 1.0]), (None, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

@@ -258,11 +258,15 @@ def neighbours(vectors: DataFrame, is_query, k: int = 5, shard_rows: int = 16384
         column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
         return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
-    def build(t: pa.Table) -> pa.Table:
-        blob = build_shard(t["vec_id"].to_numpy(), matrix(t["v"]), k + 1)
-        return pa.table({"shard": pa.array([t["shard"][0].as_py()], pa.int32()), "graph": pa.array([blob], pa.binary())})
-
-    graphs = saved(dealt.select("shard", "vec_id", "v").repartition(shards, "shard").groupBy("shard").applyInArrow(build, "shard int, graph binary"), "graphs")
+    def build(batches):
+        # A task has one shard: its rows are a matrix of `shard_rows` vectors, about.
+        rows = [b for b in batches if b.num_rows]
+        if rows:
+            t = pa.Table.from_batches(rows)
+            blob = build_shard(t["vec_id"].to_numpy(), matrix(t["v"]), k + 1)
+            yield pa.RecordBatch.from_arrays([pa.array([t["shard"][0].as_py()], pa.int32()), pa.array([blob], pa.binary())], names=["shard", "graph"])
+
+    graphs = saved(dealt.select("shard", "vec_id", "v").repartitionById(shards, F.col("shard")).mapInArrow(build, "shard int, graph binary"), "graphs")
     asked = saved(dealt.where(is_query).select("vec_id", "v").distinct().withColumn("block", F.monotonically_increasing_id()), "asked")
     blocks_n = max(1, -(-asked.count() // block))
     asked = asked.withColumn("block", F.pmod(F.hash("block"), F.lit(blocks_n)))
@@ -291,7 +295,7 @@ def neighbours(vectors: DataFrame, is_query, k: int = 5, shard_rows: int = 16384
                 yield pa.RecordBatch.from_arrays([pa.array(a["ids"][r]), pa.array((r + (block << 32)).astype(np.int64)), pa.array(v), pa.array(s)], schema=schema)
 
     # One row is a shard's graph or a block of queries; a batch is to hold few of them.
-    dealt = met.repartition(shards, "shard").sortWithinPartitions("shard", "block")
+    dealt = met.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "block")
     found = saved(dealt.mapInArrow(search, "query_id long, q long, vec_id long, score double"), "found", 4)
     best = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
