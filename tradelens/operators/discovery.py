@@ -131,8 +131,9 @@ def archive_fallback(starts: DataFrame, pages: DataFrame, copies: DataFrame, ref
     not refuse, else from the archive, twin included. A lookup costs one of `lookups`, a copy one of `documents`; the walk
     ends with either, or once a page names the company. Domains without a start have no rows.
     """
-    live = pages.select(F.col("url").alias("p_url"), F.col("state").alias("p_state"), F.col("named").alias("p_named"), _links().alias("p_links"))
-    held = copies.select(F.col("url").alias("tried"), "stamp", F.col("named").alias("c_named"), _links().alias("c_links"))
+    # What every round meets is computed once.
+    live = written(pages.select(F.col("url").alias("p_url"), F.col("state").alias("p_state"), F.col("named").alias("p_named"), _links().alias("p_links")), "live")
+    held = written(copies.select(F.col("url").alias("tried"), "stamp", F.col("named").alias("c_named"), _links().alias("c_links")), "copies")
     reads = "array<struct<url: string, via: string, stamp: string, depth: int>>"
     begun = _begun(starts, refused, visited).withColumns({"docs": F.lit(0), "lookups": F.lit(0), "named": F.lit(False), "reads": F.array().cast(reads), "done": F.lit(False)})
     none = F.array().cast(_LINK)
