@@ -54,3 +54,15 @@ def test_a_root_that_was_never_archived_and_a_page_that_is_live(spark):
     got = fallback(spark, [f"{host}/"], [(f"https://{D}/live", "refused", None, None)], copies[:1], [f"developer.{D}"])
     assert got == [(1, 5, False, [(f"{host}/", "archive", 0)])]
     assert fallback(spark, [], [], copies, [D]) == []
+
+
+def test_contact_pages_by_host_and_length_within_both_budgets(spark):
+    domains = spark.createDataFrame([(D, f"www.{D}", False), ("b.bg", "b.bg", True), ("c.bg", "c.bg", True)], "domain string, host string, blocked boolean")
+    links = spark.createDataFrame([(D, f"https://help.{D}/c"), (D, f"https://{D}/contacts-long"), (D, f"https://{D}/seen"), (D, None), *(("b.bg", f"https://b.bg/{'x' * i}") for i in range(4)), ("b.bg", "https://help.b.bg/")], "domain string, url string")
+    refused = spark.createDataFrame([("b.bg", "b.bg")] * 2, "domain string, host string")
+    seen = spark.createDataFrame([(D, f"https://{D}/seen")], "domain string, url string")
+    got = [tuple(r) for r in discovery.contact_plan(domains, links.where("url is not null"), refused, seen).orderBy("domain", "nth").collect()]
+    assert got == [
+        ("b.bg", 1, "https://b.bg/", "archive"), ("b.bg", 2, "https://b.bg/x", "archive"), ("b.bg", 3, "https://help.b.bg/", "live"),
+        (D, 1, f"https://www.{D}/contact", "live"), (D, 2, f"https://www.{D}/kontakti", "live"), (D, 3, f"https://{D}/contacts-long", "live"),
+    ]

@@ -7,7 +7,7 @@ as they finish, and a round's rows are a table, so that a lost executor costs on
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import scoped, written
@@ -113,6 +113,32 @@ def legal_crawl(seeds: DataFrame, pages: DataFrame, refused: DataFrame | None =
     return out.select("domain", F.posexplode("log").alias("nth", "f")).select("domain", (F.col("nth") + 1).alias("nth"), "f.*")
 
 
+#: Contact pages of a domain that are read live, and from the archive; paths that are tried on a main host that answers.
+LIVE, ARCHIVED = 3, 2
+#: Where contact pages often are.
+CONTACT_PATHS = ("/contact", "/kontakti")
+
+
+def contact_plan(domains: DataFrame, links: DataFrame, refused: DataFrame, visited: DataFrame, live: int = LIVE, archived: int = ARCHIVED) -> DataFrame:
+    """domain, nth, url, via (live, archive) of the contact pages to read for each domain, in order.
+
+    domains: domain, host (its main one), blocked; links: domain, url, the contact links of its pages; refused: domain, host;
+    visited: domain, url. A main host that doesn't block is tried at CONTACT_PATHS too. Pages of the main host (with and
+    without www) come first, then the shorter addresses, then by address; each once and none that was read. A host that
+    refused is read from the archive alone, up to `archived` pages, any other one live, up to `live`.
+    """
+    guessed = domains.where("not blocked").select("domain", F.explode(F.array(*(F.concat(F.lit("https://"), "host", F.lit(p)) for p in CONTACT_PATHS))).alias("url"))
+    known = links.select("domain", "url").unionByName(guessed).distinct().join(visited.select("domain", "url"), ["domain", "url"], "left_anti")
+    rows = known.withColumn("at", _host(F.col("url"))).join(domains.select("domain", F.col("host").alias("main")), "domain")
+    rows = rows.join(refused.select("domain", F.col("host").alias("at"), F.lit(True).alias("barred")).distinct(), ["domain", "at"], "left").withColumn("barred", F.coalesce("barred", F.lit(False)))
+    away = ~F.col("at").isin(F.col("main"), F.col("domain"), F.concat(F.lit("www."), "domain"))
+    order = [away, F.length("url"), F.col("url")]
+    nth = F.row_number().over(Window.partitionBy("domain", "barred").orderBy(*order))
+    kept = rows.withColumn("own", nth).where(F.when(F.col("barred"), F.col("own") <= archived).otherwise(F.col("own") <= live))
+    place = F.row_number().over(Window.partitionBy("domain").orderBy(*order))
+    return kept.select("domain", place.alias("nth"), "url", F.when(F.col("barred"), "archive").otherwise("live").alias("via"))
+
+
 def twin(url: Column, domain: Column) -> Column:
     """The address with www before the domain, or without it; null on other hosts."""
     host, rest = _host(url), F.regexp_replace(url, r"(?i)^https?://[^/?#]+", "")

@@ -33,6 +33,7 @@ READ, BEFORE, AFTER, NUMBER_WITHIN, SEAT_WITHIN, ROLE_WITHIN = 400_000, 250, 500
 #: Connecting words at most, and parties of a page.
 CONNECTORS, PARTIES = 6, 20
 
+#: Marks around names, and the shapes of a form and of capitalised words before it.
 _OPEN, _CLOSE = "„“\"«", "”“\"»"
 _MARK = re.compile(rf"(?:{'|'.join((*FORMS, *QUOTED_ONLY))})(?![A-Za-zА-Яа-я])")
 _CAPITALISED = re.compile(r"(?<!\w)(?:[A-ZА-Я][\w.&'-]+\s+){0,5}[A-ZА-Я][\w.&'-]+$")
@@ -121,6 +122,7 @@ def runs_shop(before: Column, after: Column, domain: Column) -> Column:
 
 def stated_number(after: Column) -> Column:
     """The identifier that a label gives within 300 characters; null unless it holds."""
+    # What may stand between the label and the number.
     label = rf"(?iu){NUMBER}(?:\s*/\s*БУЛСТАТ)?\s*(?:по\s+БУЛСТАТ)?[\s:№-]*(?:BG)?\s*([0-9]{{9}}(?:[0-9]{{4}})?)(?![\p{{L}}\p{{N}}_])"
     return identifier_or_null(F.nullif(F.regexp_extract(F.substring(after, 1, NUMBER_WITHIN), label, 1), F.lit("")))
 

@@ -131,6 +131,7 @@ def search_queries(domains: DataFrame) -> DataFrame:
     d, h = F.col("domain"), F.col("host")
     quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     at = lambda c: F.concat(F.lit("site:"), c)
+    # The five queries of a domain, in their order.
     own = [F.concat_ws(" ", *x) for x in ((quoted(d), F.lit("ЕИК")), (at(d), F.lit('"ЕИК"')), (quoted(d), F.lit('"Общи условия"')), (at(d), F.lit('"Общи условия"')), (quoted(d), F.lit("EIK")))]
     other = F.when(h != d, F.concat_ws(" ", quoted(h), F.lit("ЕИК")))
     named = F.transform(F.slice(F.coalesce("names", F.array().cast("array<string>")), 1, 2), lambda n: F.concat_ws(" ", quoted(d), quoted(n)))

@@ -87,3 +87,20 @@ def archive_fallback(spark, folder):
     out = discovery.archive_fallback(synthesised(spark, folder, STARTS, ("customer",)), pages, copies, synthesised(spark, folder, REFUSED, ("customer",)))
     told = F.transform("reads", lambda r: F.concat_ws(" ", r["via"], r["depth"].cast("string"), r["url"], r["stamp"]))
     return out.select("domain", "docs", "lookups", "named", F.size("reads").alias("n_reads"), F.array_join(told, ",").alias("reads"))
+
+
+_CONTACTS = _VALUES(LINKS)
+
+
+@query(f"""with d as (select 'shop' || c_custkey || '.example' as domain, c_custkey % 3 = 0 as blocked from customer), v as (select 'shop' || k || '.example' as domain, url from ({_VALUES(PAGES)}) where j < 4),
+l as (select distinct domain, url from (select 'shop' || k || '.example' as domain, url from ({_CONTACTS}) where tier = 1 union all select domain, 'https://' || domain || p from d, unnest(['/contact', '/kontakti']) as u(p) where not blocked)) ,
+r as (select l.domain, l.url, regexp_extract(l.url, '^https://([^/]+)', 1) as host from l where not exists (select 1 from v where v.domain = l.domain and v.url = l.url)),
+b as (select r.*, exists (select 1 from ({_VALUES(REFUSED)}) x where x.domain = r.domain and x.host = r.host) as barred, host not in (domain, 'www.' || domain) as away from r),
+n as (select *, row_number() over (partition by domain, barred order by away, length(url), url) as own from b)
+select domain, cast(row_number() over (partition by domain order by away, length(url), url) as int) as nth, url, case when barred then 'archive' else 'live' end as via from n where own <= case when barred then 2 else 3 end""")
+def contact_plan(spark, folder):
+    domain = F.concat(F.lit("shop"), F.col("k").cast("string"), F.lit(".example"))
+    links = synthesised(spark, folder, LINKS, ("customer",)).where("tier = 1").select(domain.alias("domain"), "url")
+    visited = synthesised(spark, folder, PAGES, ("customer",)).where("j < 4").select(domain.alias("domain"), "url")
+    domains = synthesised(spark, folder, "select concat('shop', cast(c_custkey as string), '.example') as domain, c_custkey % 3 = 0 as blocked from {customer}", ("customer",)).withColumn("host", F.col("domain"))
+    return discovery.contact_plan(domains, links, synthesised(spark, folder, REFUSED, ("customer",)), visited)
