@@ -66,3 +66,34 @@ def test_contact_pages_by_host_and_length_within_both_budgets(spark):
         ("b.bg", 1, "https://b.bg/", "archive"), ("b.bg", 2, "https://b.bg/x", "archive"), ("b.bg", 3, "https://help.b.bg/", "live"),
         (D, 1, f"https://www.{D}/contact", "live"), (D, 2, f"https://www.{D}/kontakti", "live"), (D, 3, f"https://{D}/contacts-long", "live"),
     ]
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_that_follow_from_few_keys_are_not_broadcast(spark):
+    # Spark takes rows of an explode for as many as its input has.
+    pages = spark.range(50).selectExpr("explode(sequence(1, 40)) as j", "id").selectExpr("concat(id, '/', j) as url", "'ok' as state", "false as named")
+    links = pages.selectExpr("url as page", "url", "0 as tier", "1 as seq")
+    assert "Broadcast" not in _plan(discovery.with_links(pages, links))
+    seeds = pages.selectExpr("split_part(url, '/', 1) as domain", "url", "1 as seq")
+    assert "Broadcast" not in _plan(discovery._begun(seeds, seeds.selectExpr("domain", "url as host"), seeds))
+
+
+def test_a_walk_writes_as_many_tables_whatever_it_fetches(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(discovery, "written", lambda df, tag, own=discovery.written: made.append(tag) or own(df, tag))
+    urls = [f"https://{D}/{i}" for i in range(9)]
+    assert len(crawl(spark, urls, [(u, "ok", False, []) for u in urls])) == 9
+    assert len(made) == 3
+    assert fallback(spark, urls, [], [(u, "2025", False, []) for u in urls], [D], documents=9)[0][0] == 9
+    assert len(made) == 7
+
+
+def test_rows_that_much_follows_from_are_dealt_to_tasks(spark):
+    from tradelens.sources.tables import spread
+
+    few, many = spread(spark.range(100)), spread(spark.range(100), rows=2)
+    assert few.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and many.rdd.getNumPartitions() == 50
+    assert many.distinct().count() == 100

@@ -1,8 +1,9 @@
 """Bounded walks over captured pages: the legal crawl of a domain's hosts, and the archive's copies where hosts refuse.
 
-Each domain is one row that holds its queue, what it has seen and its budgets; a round takes the next address of every
-domain that is still at work and meets the captured page by equality. Rounds are few, since budgets are, domains leave
-as they finish, and a round's rows are a table, so that a lost executor costs one round.
+What a domain's walk can meet is found first, a join a depth; then each domain is one row that holds these pages, its
+queue, what it has seen and its budgets, and its walk is one fold over that row. So pages are shuffled as often as there are
+depths, not once a fetch, and no join of theirs goes through the driver: rows that follow from keys are many more than Spark
+takes them for, which is why these joins are told to merge.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ def with_links(pages: DataFrame, links: DataFrame, most: int = LINKS) -> DataFra
     """pages (url, ...) with links: array<struct<tier, url>>, the first `most` by seq. links: page, url, tier, seq."""
     per = links.groupBy(F.col("page").alias("url")).agg(F.slice(F.sort_array(F.collect_list(F.struct("seq", F.col("tier").cast("int").alias("tier"), F.col("url").alias("link")))), 1, most).alias("l"))
     found = F.transform("l", lambda x: F.struct(x["tier"].alias("tier"), x["link"].alias("url")))
-    return pages.join(per, "url", "left").withColumn("links", F.coalesce(found, F.array().cast(_LINK))).drop("l")
+    return pages.join(per.hint("merge"), "url", "left").withColumn("links", F.coalesce(found, F.array().cast(_LINK))).drop("l")
 
 
 def _links() -> Column:
@@ -52,29 +53,36 @@ def _begun(seeds: DataFrame, refused: DataFrame | None, visited: DataFrame | Non
             out = out.withColumn(name, F.array().cast("array<string>"))
         else:
             per = rows.groupBy("domain").agg(F.collect_set(column).alias(name))
-            out = out.join(per, "domain", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+            out = out.join(per.hint("merge"), "domain", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
     return out
 
 
-def _rounds(state: DataFrame, step) -> DataFrame:
-    """step's rows until `done` holds for each domain; those that are done leave."""
-    finished, active = None, state
-    while True:
-        new = written(step(active), "round")
-        over = new.where("done")
-        finished = over if finished is None else finished.unionByName(over)
-        active = new.where("not done")
-        if active.isEmpty():
-            return finished
+def _met(level: DataFrame, pages: DataFrame, depth: int, last: bool) -> DataFrame:
+    """The level's (domain, url) that are held under `url`, at which depth; at the last one links lead nowhere."""
+    out = level.join(pages.hint("merge"), "url").withColumn("depth", F.lit(depth))
+    return out.withColumn("links", F.array().cast(_LINK)) if last else out
 
 
-def _within(seeds: DataFrame, pages: DataFrame, depth: int) -> DataFrame:
-    """The pages that `depth` steps from the seeds can reach: rounds meet these alone."""
-    near = level = seeds.select("url").distinct()
-    for _ in range(depth):
-        level = level.join(pages, "url").select(F.explode("links.url").alias("url")).distinct()
-        near = near.unionByName(level)
-    return written(pages.join(near.distinct(), "url", "left_semi"), "reach")
+def _next(met: DataFrame) -> DataFrame:
+    return met.select("domain", F.explode("links.url").alias("url")).distinct()
+
+
+def _with_near(begun: DataFrame, near: DataFrame) -> DataFrame:
+    """begun with near: the rows of its domain as an array, the least depth first."""
+    per = near.groupBy("domain").agg(F.collect_list(F.struct("depth", *(c for c in near.columns if c not in ("domain", "depth")))).alias("near"))
+    none = F.array().cast(per.schema["near"].dataType)
+    return begun.join(per.hint("merge"), "domain", "left").withColumn("near", F.coalesce("near", none))
+
+
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _walked(rows: DataFrame, start: list[Column], kind: str, step, most: Column) -> DataFrame:
+    """rows with walk: the state (of the type `kind`, with a field `done`) after up to `most` steps of each domain."""
+    fold = F.aggregate(F.sequence(F.lit(1), most), F.struct(*start).cast(kind), lambda s, _: F.when(s["done"], s).otherwise(step(s)))
+    return rows.select("domain", fold.alias("walk"))
 
 
 @scoped
@@ -86,31 +94,42 @@ def legal_crawl(seeds: DataFrame, pages: DataFrame, refused: DataFrame | None =
     order found; pages at full depth give no links. An address that was seen, or whose host has refused, costs nothing;
     any other one costs a fetch, also where nothing was captured (error). Domains without a seed have no rows.
     """
-    near = _within(seeds, pages.select("url", "state", F.coalesce(stop, F.lit(False)).alias("p_stop"), "links"), depth)
-    met = near.select(F.col("url").alias("p_url"), F.col("state").alias("p_state"), "p_stop", _links().alias("p_links"))
-    begun = _begun(seeds, refused, visited).withColumns({"n": F.lit(0), "log": F.array().cast("array<struct<url: string, depth: int, state: string>>"), "done": F.lit(False)})
-
-    def step(state: DataFrame) -> DataFrame:
-        open_ = F.filter("queue", lambda q: ~F.array_contains("seen", q["url"]) & ~F.array_contains("refused", q["host"]))
-        rows = state.withColumn("queue", open_).withColumn("next", F.array_min("queue"))
-        rows = rows.join(met, F.col("next.url") == F.col("p_url"), "left")
-        took, got = F.col("next").isNotNull(), F.coalesce("p_state", F.lit("error"))
+    known = written(pages.where("url is not null").select("url", "state", F.coalesce(stop, F.lit(False)).alias("stop"), _links().alias("links")), "pages")
+    level, near = seeds.select("domain", "url").distinct(), None
+    for d in range(depth + 1):
+        met = _met(level, known, d, d == depth)
+        if d < depth:
+            met = written(met, "reach")
+            level = _next(met.where("state = 'ok' and not stop"))
+        near = met if near is None else near.unionByName(met)
+    rows = _with_near(_begun(seeds, refused, visited), near)
+    log = "array<struct<url: string, depth: int, state: string>>"
+    kind = f"struct<queue: array<{_ENTRY}>, refused: array<string>, seen: array<string>, n: int, log: {log}, done: boolean>"
+
+    def step(s: Column) -> Column:
+        open_ = F.filter(s["queue"], lambda q: ~F.array_contains(s["seen"], q["url"]) & ~F.array_contains(s["refused"], q["host"]))
+        page = lambda at: F.array_min(F.filter("near", lambda p: p["url"] == at["url"]))
+        return _let(open_, lambda queue: _let(F.array_min(queue), lambda at: _let(page(at), lambda p: after(s, queue, at, p))))
+
+    def after(s: Column, queue: Column, at: Column, page: Column) -> Column:
+        took, got = at.isNotNull(), F.coalesce(page["state"], F.lit("error"))
         ok = took & (got == "ok")
-        stopped = ok & F.coalesce("p_stop", F.lit(False))
-        more = F.when(ok & ~stopped & (F.col("next.depth") < depth), _queued(F.col("p_links"), F.col("next.depth") + 1, F.coalesce(F.array_max(F.transform("queue", lambda q: q["at"])), F.lit(0)) + 1)).otherwise(F.array().cast(f"array<{_ENTRY}>"))
-        n = F.col("n") + took.cast("int")
-        return rows.select(
-            "domain",
-            F.concat(F.filter("queue", lambda q: q["at"] != F.col("next.at")), more).alias("queue"),
-            F.when(took & (got == "refused"), F.array_append("refused", F.col("next.host"))).otherwise(F.col("refused")).alias("refused"),
-            F.when(took, F.array_append("seen", F.col("next.url"))).otherwise(F.col("seen")).alias("seen"),
+        stopped = ok & F.coalesce(page["stop"], F.lit(False))
+        last = F.coalesce(F.array_max(F.transform(queue, lambda q: q["at"])), F.lit(0))
+        more = F.when(ok & ~stopped & (at["depth"] < depth), _queued(page["links"], at["depth"] + 1, last + 1)).otherwise(F.array().cast(f"array<{_ENTRY}>"))
+        n = s["n"] + took.cast("int")
+        return F.struct(
+            F.concat(F.filter(queue, lambda q: q["at"] != at["at"]), more).alias("queue"),
+            F.when(took & (got == "refused"), F.array_append(s["refused"], at["host"])).otherwise(s["refused"]).alias("refused"),
+            F.when(took, F.array_append(s["seen"], at["url"])).otherwise(s["seen"]).alias("seen"),
             n.alias("n"),
-            F.when(took, F.array_append("log", F.struct(F.col("next.url").alias("url"), F.col("next.depth").alias("depth"), got.alias("state")))).otherwise(F.col("log")).alias("log"),
+            F.when(took, F.array_append(s["log"], F.struct(at["url"].alias("url"), at["depth"].alias("depth"), got.alias("state")))).otherwise(s["log"]).alias("log"),
             (~took | stopped | (n >= fetches)).alias("done"),
-        )
+        ).cast(kind)
 
-    out = _rounds(begun, step)
-    return out.select("domain", F.posexplode("log").alias("nth", "f")).select("domain", (F.col("nth") + 1).alias("nth"), "f.*")
+    start = [F.col("queue"), F.col("refused"), F.col("seen"), F.lit(0), F.array().cast(log), F.lit(False)]
+    out = _walked(rows, start, kind, step, F.lit(max(fetches, 1)))
+    return out.select("domain", F.posexplode("walk.log").alias("nth", "f")).select("domain", (F.col("nth") + 1).alias("nth"), "f.*")
 
 
 #: Contact pages of a domain that are read live, and from the archive; paths that are tried on a main host that answers.
@@ -147,6 +166,13 @@ def twin(url: Column, domain: Column) -> Column:
     return F.concat(scheme, other, rest)
 
 
+def _tries(url: Column, domain: Column, first: Column) -> Column:
+    """The addresses under which the archive may hold a page: its own, its www twin and, of a start that is a root, both of /bg."""
+    bg = F.concat(F.regexp_replace(url, "/+$", ""), F.lit("/bg"))
+    root = first & url.rlike(r"(?i)^https?://[^/?#]+/?$")
+    return F.array_compact(F.array(url, twin(url, domain), F.when(root, bg), F.when(root, twin(bg, domain))))
+
+
 @scoped
 def archive_fallback(starts: DataFrame, pages: DataFrame, copies: DataFrame, refused: DataFrame, visited: DataFrame | None = None, documents: int = DOCUMENTS, lookups: int = LOOKUPS, depth: int = DEPTH) -> DataFrame:
     """domain, docs, lookups, named, reads (url, via, stamp, depth; in order) of each domain with a start.
@@ -157,47 +183,62 @@ def archive_fallback(starts: DataFrame, pages: DataFrame, copies: DataFrame, ref
     not refuse, else from the archive, twin included. A lookup costs one of `lookups`, a copy one of `documents`; the walk
     ends with either, or once a page names the company. Domains without a start have no rows.
     """
-    # What every round meets is computed once.
-    live = written(pages.select(F.col("url").alias("p_url"), F.col("state").alias("p_state"), F.col("named").alias("p_named"), _links().alias("p_links")), "live")
-    held = written(copies.select(F.col("url").alias("tried"), "stamp", F.col("named").alias("c_named"), _links().alias("c_links")), "copies")
+    live = written(pages.where("url is not null").select("url", "state", "named", F.lit(None).cast("string").alias("stamp"), _links().alias("links")), "live")
+    held = written(copies.where("url is not null").select("url", F.lit(None).cast("string").alias("state"), "named", F.col("stamp").cast("string").alias("stamp"), _links().alias("links")), "copies")
+    level, near = starts.select("domain", "url").distinct(), None
+    for d in range(depth + 1):
+        tried = level.select("domain", F.explode(_tries(F.col("url"), F.col("domain"), F.lit(d == 0))).alias("url")).distinct()
+        met = _met(tried, held, d, d == depth).withColumn("copy", F.lit(True))
+        if d:
+            met = met.unionByName(_met(level, live, d, d == depth).withColumn("copy", F.lit(False)))
+        met = met.withColumn("links", F.filter("links", lambda x: x["tier"] <= ARCHIVE_TIER))
+        if d < depth:
+            met = written(met, "reach")
+            level = _next(met.where("copy or state = 'ok'"))
+        near = met if near is None else near.unionByName(met)
+    rows = _with_near(_begun(starts, refused, visited), near)
     reads = "array<struct<url: string, via: string, stamp: string, depth: int>>"
-    begun = _begun(starts, refused, visited).withColumns({"docs": F.lit(0), "lookups": F.lit(0), "named": F.lit(False), "reads": F.array().cast(reads), "done": F.lit(False)})
+    kind = f"struct<queue: array<{_ENTRY}>, refused: array<string>, seen: array<string>, docs: int, lookups: int, named: boolean, reads: {reads}, done: boolean>"
     none = F.array().cast(_LINK)
-
-    def step(state: DataFrame) -> DataFrame:
-        start = lambda q: q["tier"] == -1
-        open_ = F.filter("queue", lambda q: start(q) | ~F.array_contains("seen", q["url"]))
-        rows = state.withColumn("queue", open_).withColumn("next", F.array_min("queue"))
-        first = F.col("next.tier") == -1
-        spent = F.col("named") | (F.col("docs") >= documents) | (~first & (F.col("lookups") >= lookups))
-        rows = rows.withColumn("next", F.when(~spent, F.col("next"))).join(live, (F.col("next.url") == F.col("p_url")) & (F.col("next.tier") >= 0), "left")
-        url, root = F.col("next.url"), F.col("next.url").rlike(r"(?i)^https?://[^/?#]+/?$")
-        barred = F.array_contains("refused", F.col("next.host"))
-        rows = rows.withColumn("live", F.when(~first & ~barred, F.coalesce("p_state", F.lit("error"))))
-        bg = F.concat(F.regexp_replace(url, "/+$", ""), F.lit("/bg"))
-        tries = F.array_compact(F.array(url, twin(url, F.col("domain")), F.when(first & root, bg), F.when(first & root, twin(bg, F.col("domain")))))
-        asks = F.col("next").isNotNull() & (first | barred | (F.col("live") == "refused"))
-        left = F.lit(lookups) - F.col("lookups")
-        # Only as many as the budget still allows; the first one that is held ends the search.
-        rows = rows.withColumn("tries", F.when(asks & (left > 0), F.slice(tries, 1, F.greatest(left, F.lit(1)))).otherwise(F.array().cast("array<string>")))
-        asked = rows.select("domain", F.posexplode("tries").alias("j", "tried")).join(held, "tried")
-        hit = asked.groupBy("domain").agg(F.min_by(F.struct("j", "tried", "stamp", "c_named", "c_links"), "j").alias("c"))
-        rows = rows.join(hit, "domain", "left")
-        took, copy, page = F.col("next").isNotNull(), F.col("c").isNotNull(), F.col("live") == "ok"
-        got = F.when(copy, F.col("c.c_links")).when(page, F.col("p_links")).otherwise(none)
-        follow = F.when(took & (F.col("next.depth") < depth), F.filter(got, lambda x: x["tier"] <= ARCHIVE_TIER)).otherwise(none)
-        at = F.coalesce(F.array_max(F.transform("queue", lambda q: q["at"])), F.lit(0)) + 1
-        read = F.struct(F.col("next.url").alias("url"), F.when(copy, "archive").otherwise("live").alias("via"), F.col("c.stamp").cast("string").alias("stamp"), F.col("next.depth").alias("depth"))
-        return rows.select(
-            "domain",
-            F.concat(F.filter("queue", lambda q: q["at"] != F.col("next.at")), _queued(follow, F.col("next.depth") + 1, at)).cast(f"array<{_ENTRY}>").alias("queue"),
-            F.when(took & (F.col("live") == "refused"), F.array_append("refused", F.col("next.host"))).otherwise(F.col("refused")).alias("refused"),
-            F.when(took & ~first, F.array_append("seen", F.col("next.url"))).otherwise(F.col("seen")).alias("seen"),
-            (F.col("docs") + copy.cast("int")).alias("docs"),
-            (F.col("lookups") + F.when(copy, F.col("c.j") + 1).otherwise(F.size("tries"))).alias("lookups"),
-            (F.col("named") | F.coalesce(F.when(copy, F.col("c.c_named")).when(page, F.col("p_named")), F.lit(False))).alias("named"),
-            F.when(took & (copy | F.coalesce(page, F.lit(False))), F.array_append("reads", read)).otherwise(F.col("reads")).cast(reads).alias("reads"),
+    meets = lambda url, copy: F.array_min(F.filter("near", lambda p: (p["url"] == url) & (p["copy"] == copy)))
+
+    def step(s: Column) -> Column:
+        open_ = F.filter(s["queue"], lambda q: (q["tier"] == -1) | ~F.array_contains(s["seen"], q["url"]))
+        spent = lambda at: s["named"] | (s["docs"] >= documents) | ((at["tier"] != -1) & (s["lookups"] >= lookups))
+        return _let(open_, lambda queue: _let(F.array_min(queue), lambda at: _let(F.when(~spent(at), at), lambda at: asked(s, queue, at))))
+
+    def asked(s: Column, queue: Column, at: Column) -> Column:
+        first, barred = at["tier"] == -1, F.array_contains(s["refused"], at["host"])
+
+        def answered(page: Column) -> Column:
+            state = F.when(~first & ~barred, F.coalesce(page["state"], F.lit("error")))
+            asks = at.isNotNull() & (first | barred | (state == "refused"))
+            left = F.lit(lookups) - s["lookups"]
+            # Only as many as the budget still allows; the first one that is held ends the search.
+            tries = F.when(asks & (left > 0), F.slice(_tries(at["url"], F.col("domain"), first), 1, F.greatest(left, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+            hits = lambda tries: F.filter(F.transform(tries, lambda u, j: F.struct(j.alias("j"), meets(u, True).alias("c"))), lambda h: h["c"].isNotNull())
+            return _let(tries, lambda tries: _let(F.get(hits(tries), 0), lambda hit: _let(state, lambda state: after(s, queue, at, page, state, tries, hit))))
+
+        return _let(F.when(~first, meets(at["url"], False)), answered)
+
+    def after(s: Column, queue: Column, at: Column, page: Column, state: Column, tries: Column, hit: Column) -> Column:
+        took, copy, read = at.isNotNull(), hit.isNotNull(), F.coalesce(state == "ok", F.lit(False))
+        got = F.when(copy, hit["c"]["links"]).when(read, page["links"]).otherwise(none)
+        follow = F.when(took & (at["depth"] < depth), got).otherwise(none)
+        last = F.coalesce(F.array_max(F.transform(queue, lambda q: q["at"])), F.lit(0))
+        told = F.struct(at["url"].alias("url"), F.when(copy, "archive").otherwise("live").alias("via"), hit["c"]["stamp"].alias("stamp"), at["depth"].alias("depth"))
+        return F.struct(
+            F.concat(F.filter(queue, lambda q: q["at"] != at["at"]), _queued(follow, at["depth"] + 1, last + 1)).alias("queue"),
+            F.when(took & (state == "refused"), F.array_append(s["refused"], at["host"])).otherwise(s["refused"]).alias("refused"),
+            F.when(took & (at["tier"] != -1), F.array_append(s["seen"], at["url"])).otherwise(s["seen"]).alias("seen"),
+            (s["docs"] + copy.cast("int")).alias("docs"),
+            (s["lookups"] + F.when(copy, hit["j"] + 1).otherwise(F.size(tries))).alias("lookups"),
+            (s["named"] | F.coalesce(F.when(copy, hit["c"]["named"]).when(read, page["named"]), F.lit(False))).alias("named"),
+            F.when(took & (copy | read), F.array_append(s["reads"], told)).otherwise(s["reads"]).alias("reads"),
             (~took).alias("done"),
-        )
+        ).cast(kind)
 
-    return _rounds(begun, step).select("domain", "docs", "lookups", "named", "reads")
+    start = [F.col("queue"), F.col("refused"), F.col("seen"), F.lit(0), F.lit(0), F.lit(False), F.array().cast(reads), F.lit(False)]
+    # Each step takes a start or an address that a page or copy links to and that was not seen.
+    most = F.size("queue") + F.aggregate("near", F.lit(0), lambda n, p: n + F.size(p["links"])) + 1
+    return _walked(rows, start, kind, step, most).select("domain", "walk.docs", "walk.lookups", "walk.named", "walk.reads")

@@ -24,11 +24,14 @@ _ENTRIES = "list_transform({0}, lambda x, i: {{'tier': cast(x.tier as int), 'at'
 _AFTER = "coalesce(list_max(list_transform(queue, lambda q: q.at)), 0) + 1"
 
 
+def _of_keys(spark, folder, sql):
+    return synthesised(spark, folder, sql, ("customer",), dealt=True)
+
+
 def _page_tables(spark, folder):
     """Pages with their links; an address stands once a domain."""
-    pages, links = synthesised(spark, folder, PAGES, ("customer",)), synthesised(spark, folder, LINKS, ("customer",))
-    out = links.join(pages.select("k", "j", F.col("url").alias("page")), ["k", "j"])
-    return discovery.with_links(pages.select("url", "state", "named"), out.select("page", "url", "tier", "seq"))
+    pages, links = _of_keys(spark, folder, PAGES), _of_keys(spark, folder, f"select *, {_AT('j')} as page from ({LINKS})")
+    return discovery.with_links(pages.select("url", "state", "named"), links.select("page", "url", "tier", "seq"))
 
 
 CRAWL = f"""with recursive {_PER_PAGE},
@@ -45,7 +48,7 @@ select domain, cast(nth as int) as nth, f.url as url, f.depth as depth, f.state
 
 @query(CRAWL)
 def legal_crawl(spark, folder):
-    return discovery.legal_crawl(synthesised(spark, folder, SEEDS, ("customer",)), _page_tables(spark, folder))
+    return discovery.legal_crawl(_of_keys(spark, folder, SEEDS), _page_tables(spark, folder))
 
 
 #: The archive holds some pages, some of them under the twin address or below /bg alone.
@@ -77,14 +80,14 @@ select domain, docs, lookups, named, cast(len(reads) as int) as n_reads, coalesc
 @query(ARCHIVE)
 def archive_fallback(spark, folder):
     pages = _page_tables(spark, folder)
-    copies = synthesised(spark, folder, COPIES, ("customer",)).dropDuplicates(["url"])
+    copies = _of_keys(spark, folder, COPIES).dropDuplicates(["url"])
     # A copy under another address links as the page that it is a copy of.
-    known = pages.select("url").withColumn("same", F.lit(True))
+    known = pages.select("url").withColumn("same", F.lit(True)).hint("merge")
     bare = F.regexp_replace("url", "example/bg$", "example/")
     copies = copies.withColumn("key", bare).join(known.select(F.col("url").alias("copy_url"), "same"), F.col("url") == F.col("copy_url"), "left")
     key = F.when(F.col("same"), F.col("key")).otherwise(F.regexp_replace("key", r"://www\.", "://"))
-    copies = copies.withColumn("key", key).join(pages.select(F.col("url").alias("key"), "links"), "key", "left").select("url", "stamp", "named", F.coalesce("links", F.array().cast("array<struct<tier: int, url: string>>")).alias("links"))
-    out = discovery.archive_fallback(synthesised(spark, folder, STARTS, ("customer",)), pages, copies, synthesised(spark, folder, REFUSED, ("customer",)))
+    copies = copies.withColumn("key", key).join(pages.select(F.col("url").alias("key"), "links").hint("merge"), "key", "left").select("url", "stamp", "named", F.coalesce("links", F.array().cast("array<struct<tier: int, url: string>>")).alias("links"))
+    out = discovery.archive_fallback(_of_keys(spark, folder, STARTS), pages, copies, _of_keys(spark, folder, REFUSED))
     told = F.transform("reads", lambda r: F.concat_ws(" ", r["via"], r["depth"].cast("string"), r["url"], r["stamp"]))
     return out.select("domain", "docs", "lookups", "named", F.size("reads").alias("n_reads"), F.array_join(told, ",").alias("reads"))
 
@@ -100,7 +103,7 @@ n as (select *, row_number() over (partition by domain, barred order by away, le
 select domain, cast(row_number() over (partition by domain order by away, length(url), url) as int) as nth, url, case when barred then 'archive' else 'live' end as via from n where own <= case when barred then 2 else 3 end""")
 def contact_plan(spark, folder):
     domain = F.concat(F.lit("shop"), F.col("k").cast("string"), F.lit(".example"))
-    links = synthesised(spark, folder, LINKS, ("customer",)).where("tier = 1").select(domain.alias("domain"), "url")
-    visited = synthesised(spark, folder, PAGES, ("customer",)).where("j < 4").select(domain.alias("domain"), "url")
+    links = _of_keys(spark, folder, LINKS).where("tier = 1").select(domain.alias("domain"), "url")
+    visited = _of_keys(spark, folder, PAGES).where("j < 4").select(domain.alias("domain"), "url")
     domains = synthesised(spark, folder, "select concat('shop', cast(c_custkey as string), '.example') as domain, c_custkey % 3 = 0 as blocked from {customer}", ("customer",)).withColumn("host", F.col("domain"))
-    return discovery.contact_plan(domains, links, synthesised(spark, folder, REFUSED, ("customer",)), visited)
+    return discovery.contact_plan(domains, links, _of_keys(spark, folder, REFUSED), visited)
