@@ -50,3 +50,13 @@ def test_pages_of_a_whole_segment(spark, db):
     out = differences(got, db, "select c_custkey, cast(ceil(row_number() over (order by c_acctbal desc, c_custkey) / 5.0) as int) as page from customer where c_mktsegment = 'BUILDING'")
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert out == ""
+
+
+def test_pages_made_of_a_small_file_are_read_by_all_tasks(spark):
+    from tradelens.plans import catalogue
+
+    for name in DEALT:
+        assert catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+DEALT = ["extract_roundtrip"]
