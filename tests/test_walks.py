@@ -97,3 +97,11 @@ def test_rows_that_much_follows_from_are_dealt_to_tasks(spark):
     few, many = spread(spark.range(100)), spread(spark.range(100), rows=2)
     assert few.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and many.rdd.getNumPartitions() == 50
     assert many.distinct().count() == 100
+
+
+def test_contact_plans_meet_in_tasks_by_domain(spark):
+    domains = spark.range(30).selectExpr("cast(id as string) as domain", "cast(id as string) as host", "false as blocked")
+    links = domains.selectExpr("domain", "explode(sequence(1, 9)) as i").selectExpr("domain", "concat('https://', domain, '/', i) as url")
+    out = discovery.contact_plan(domains, links, domains.select("domain", "host"), links.where("url like '%/1'"))
+    assert "Broadcast" not in _plan(out)
+    assert out.count() == 60 and out.where("url like '%/1'").isEmpty()

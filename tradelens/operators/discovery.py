@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import scoped, written
+from ..sources.tables import scoped, tasks_for, written
 
 #: Fetches of a legal crawl, its depth, and links of a page that count.
 FETCHES, DEPTH, LINKS = 14, 2, 30
@@ -147,9 +147,13 @@ def contact_plan(domains: DataFrame, links: DataFrame, refused: DataFrame, visit
     refused is read from the archive alone, up to `archived` pages, any other one live, up to `live`.
     """
     guessed = domains.where("not blocked").select("domain", F.explode(F.array(*(F.concat(F.lit("https://"), "host", F.lit(p)) for p in CONTACT_PATHS))).alias("url"))
-    known = links.select("domain", "url").unionByName(guessed).distinct().join(visited.select("domain", "url"), ["domain", "url"], "left_anti")
-    rows = known.withColumn("at", _host(F.col("url"))).join(domains.select("domain", F.col("host").alias("main")), "domain")
-    rows = rows.join(refused.select("domain", F.col("host").alias("at"), F.lit(True).alias("barred")).distinct(), ["domain", "at"], "left").withColumn("barred", F.coalesce("barred", F.lit(False)))
+    seen = lambda rows, yes: rows.select("domain", "url", F.lit(yes).alias("seen"))
+    known = seen(links, False).unionByName(seen(guessed, False)).unionByName(seen(visited.where("url is not null"), True))
+    # A domain's rows meet once, in as many tasks as there are domains for; all that follows is by domain.
+    known = known.repartition(tasks_for(domains), "domain").groupBy("domain", "url").agg(F.max("seen").alias("seen")).where("not seen").drop("seen")
+    rows = known.withColumn("at", _host(F.col("url"))).join(domains.select("domain", F.col("host").alias("main")).hint("merge"), "domain")
+    rows = rows.join(refused.groupBy("domain").agg(F.collect_set("host").alias("hosts")).hint("merge"), "domain", "left")
+    rows = rows.withColumn("barred", F.coalesce(F.array_contains("hosts", F.col("at")), F.lit(False)))
     away = ~F.col("at").isin(F.col("main"), F.col("domain"), F.concat(F.lit("www."), "domain"))
     order = [away, F.length("url"), F.col("url")]
     nth = F.row_number().over(Window.partitionBy("domain", "barred").orderBy(*order))
