@@ -105,3 +105,12 @@ def test_contact_plans_meet_in_tasks_by_domain(spark):
     out = discovery.contact_plan(domains, links, domains.select("domain", "host"), links.where("url like '%/1'"))
     assert "Broadcast" not in _plan(out)
     assert out.count() == 60 and out.where("url like '%/1'").isEmpty()
+
+
+def test_links_are_ranked_in_as_many_tasks_as_there_are_links_for(spark, monkeypatch):
+    from tradelens.operators import crawl as plans
+
+    monkeypatch.setattr(plans, "TASK_LINKS", 10)
+    links = spark.range(400).selectExpr("id % 40 as page", "id as link", "id % 3 as tier", "false as text_only", "id as seq")
+    out = plans.link_plan(links, 4)
+    assert out.count() == 160 and out.rdd.getNumPartitions() == 40

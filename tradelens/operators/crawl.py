@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import tasks_for
+
+#: Links that a task ranks, about.
+TASK_LINKS = 500_000
 #: How many links of each tier (0 best) come before all others.
 QUOTA = (2, 2, 1)
 #: Marks of pages that challenge the visitor, and of pages that scripts fill; narrow, so that pages that only
@@ -21,8 +25,10 @@ PRIVATE = ("account", "cart", "checkout", "login", "logout", "order", "password"
 def link_plan(links: DataFrame, most: int = 8) -> DataFrame:
     """links: page, link, tier (0 best), text_only, seq. Adds place: each tier's quota first, then the rest, `most` in all.
 
-    A page's links meet in one window; the pages, not the links, are many.
+    A page's links meet in one window; the pages, not the links, are many. Both windows use one shuffle by page, into as many
+    tasks as there are links for, so that a task's memory doesn't grow with the table.
     """
+    links = links.repartition(tasks_for(links, TASK_LINKS), "page")
     best = Window.partitionBy("page", "tier").orderBy("text_only", "seq", "link")
     quota = F.coalesce(F.get(F.array(*map(F.lit, QUOTA)), F.col("tier").cast("int")), F.lit(0))
     late = F.row_number().over(best) > quota
