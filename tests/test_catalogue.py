@@ -60,3 +60,10 @@ def test_pages_made_of_a_small_file_are_read_by_all_tasks(spark):
 
 
 DEALT = ["extract_roundtrip", "page_reader"]
+
+
+def test_pages_made_of_keys_are_dealt_before_they_are_made(spark):
+    from tradelens.plans import prose_queries
+
+    shops = prose_queries._shops(spark, "/root/testdata/sf0.001")
+    assert shops.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
