@@ -67,3 +67,18 @@ def test_pages_made_of_keys_are_dealt_before_they_are_made(spark):
 
     shops = prose_queries._shops(spark, "/root/testdata/sf0.001")
     assert shops.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_triage_makes_its_pages_in_all_tasks(spark, monkeypatch):
+    from tradelens.plans import verb_queries
+
+    class Made(Exception):
+        pass
+
+    def made(df, tag):
+        raise Made(df.rdd.getNumPartitions())
+
+    monkeypatch.setattr(verb_queries, "written", made)
+    with pytest.raises(Made) as e:
+        verb_queries.triage(spark, "/root/testdata/sf0.001")
+    assert e.value.args[0] == 2 * spark.sparkContext.defaultParallelism

@@ -20,7 +20,7 @@ _LEGAL = '<p>Адрес: {address}</p><p>Тел.: {phone}</p><a href="mailto:{em
  """.replace("case when verdict is null and k % 11 <> 0 then company end", "case when verdict is not null then null when k % 11 <> 0 then company when k % 5 <> 0 then 'Other Trade ' || k || ' OOD' end").replace("(case when k % 5 <> 0 and (k % 3 = 0 or k % 11 = 0) then 1 else 0 end)", "(case when k % 5 <> 0 and (k % 3 = 0 or k % 11 = 0) then 1 else 0 end)"))
 def triage(spark, folder):
     k = F.col("k")
-    shops = synthesised(spark, folder, SHOPS, ("customer",)).withColumn("n", k.cast("string"))
+    shops = synthesised(spark, folder, SHOPS, ("customer",), dealt=True).withColumn("n", k.cast("string"))
     # Every third shop's legal page names another company, and so does every eleventh's, whose front page says nothing.
     shops = shops.withColumn("other", F.when((k % 3 == 0) | (k % 11 == 0), F.concat(F.lit("Other Trade "), "n", F.lit(" OOD"))).otherwise(F.col("company")))
     url = F.concat(F.lit("https://shop"), "n", F.lit(".example/"))
