@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.agreement import plausible_name
+from ..functions.flags import any_of, packed
 
 #: Authority of sources, strongest first, and confidence, weakest first.
 TIERS = ("registry", "official", "company", "public", "search")
@@ -25,25 +26,18 @@ def score_candidates(claims: DataFrame) -> DataFrame:
 
     Claims of the operator's own documents are those of tier 3; a search claim (tier 5) may show own pages; operator texts
     count on own documents and own pages alone; hosts count where a public or search claim is not the domain's own.
-    The aggregate is a plain partial one, so a domain with a third of all claims costs a row a task.
+    A claim counts for a page or for a host, never for both, so one aggregate by both and one over it count each once,
+    without a row of a claim for each count. Both are plain partial ones: of a domain with a third of all claims, its
+    different pages and hosts are dealt over tasks, and then cost a row a task.
     """
     document, shown = F.col("tier") == 3, (F.col("tier") == 5) & F.col("own")
     operator = F.col("operator") & ~F.col("declared") & (document | F.col("own"))
-    out = claims.groupBy("domain", "eik").agg(
-        F.min("tier").alias("best_tier"),
-        F.max(document).alias("own_any"),
-        F.max(document & ~F.col("archived")).alias("own_live"),
-        F.max(operator).alias("operator"),
-        F.max(operator & ~F.col("archived")).alias("operator_live"),
-        F.max("declared").alias("declared"),
-        F.max("confirmed").alias("confirmed"),
-        F.max(shown).alias("shown"),
-        F.count_distinct(F.when(F.col("tier").isin(4, 5) & ~F.col("own"), F.col("host"))).alias("public_hosts"),
-        F.count_distinct(F.when(document, F.col("page"))).alias("pages"),
-        F.max(F.when(F.col("name_ok"), True)).alias("any_ok"),
-        F.max(F.when(~F.col("name_ok"), True)).alias("any_bad"),
-    )
-    name_ok = F.when(F.col("any_ok"), True).when(F.col("any_bad"), False)
+    live = ~F.col("archived")
+    says = {"own_any": document, "own_live": document & live, "operator": operator, "operator_live": operator & live, "declared": F.col("declared"), "confirmed": F.col("confirmed"), "shown": shown, "name_ok": F.col("name_ok")}
+    host, page = F.when(F.col("tier").isin(4, 5) & ~F.col("own"), F.col("host")), F.when(document, F.col("page"))
+    once = claims.groupBy("domain", "eik", host.alias("host"), page.alias("page")).agg(F.min("tier").alias("best_tier"), F.bit_or(packed(says.values())).alias("said"))
+    out = once.groupBy("domain", "eik").agg(F.min("best_tier").alias("best_tier"), F.bit_or("said").alias("said"), F.count("host").alias("public_hosts"), F.count("page").alias("pages"))
+    out = out.withColumns({name: any_of("said", i) for i, name in enumerate(says)})
     known = F.col("own_any") | F.col("operator")
     level = (
         F.when(F.col("declared") & ~known, "high")
@@ -53,7 +47,7 @@ def score_candidates(claims: DataFrame) -> DataFrame:
         .when(F.col("public_hosts") >= 2, "medium")
         .otherwise("low")
     )
-    out = out.withColumn("name_ok", name_ok).withColumn("level", level)
+    out = out.withColumn("level", level)
     lowered = F.when((F.col("level") == "high") & (F.col("name_ok") == F.lit(False)), "medium").otherwise(F.col("level"))
     return out.withColumn("level", lowered).select("domain", "eik", "level", "best_tier", "operator", "confirmed", "name_ok", "pages", "public_hosts")
 
