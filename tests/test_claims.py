@@ -27,3 +27,15 @@ def test_pages_and_hosts_of_claims_are_counted_without_a_row_each(spark):
     got = {(r.domain, r.eik): tuple(r)[2:] for r in scored.collect()}
     # level, best_tier, operator, confirmed, name_ok, pages, public_hosts
     assert got == {(1, 7): ("medium", 3, False, None, False, 2, 0), (1, 8): ("medium", 4, False, True, None, 0, 2), (2, 9): ("low", None, None, None, None, 0, 0), (2, 5): ("high", 3, True, False, True, 0, 0)}
+
+
+def _tied(spark):
+    """Domain 1 has two first candidates and five more, domain 2 one; a claim has three rows."""
+    rows = [(d, e, 3 if e < 3 else 4, False, False, False, False, f"h{e % 2}", 1, None, False) for d, e in [*((1, e) for e in range(1, 8)), (2, 1)] for _ in range(3)]
+    return resolution.score_candidates(spark.createDataFrame(rows, CLAIM))
+
+
+def test_alternatives_of_a_tie_begin_with_the_first(spark):
+    out = resolution.alternatives(_tied(spark))
+    assert "Expand" not in _plan(out)
+    assert sorted(map(tuple, out.collect())) == [(1, e, e) for e in range(1, 6)]
