@@ -39,3 +39,9 @@ def test_alternatives_of_a_tie_begin_with_the_first(spark):
     out = resolution.alternatives(_tied(spark))
     assert "Expand" not in _plan(out)
     assert sorted(map(tuple, out.collect())) == [(1, e, e) for e in range(1, 6)]
+
+
+def test_a_tie_ends_the_search_and_one_first_candidate_is_it(spark):
+    out = resolution.resolve(_tied(spark))
+    assert "Expand" not in _plan(out)
+    assert sorted(map(tuple, out.collect())) == [(1, None, "insufficient", "ambiguous"), (2, 1, "high", "identified")]
