@@ -45,3 +45,13 @@ def test_a_tie_ends_the_search_and_one_first_candidate_is_it(spark):
     out = resolution.resolve(_tied(spark))
     assert "Expand" not in _plan(out)
     assert sorted(map(tuple, out.collect())) == [(1, None, "insufficient", "ambiguous"), (2, 1, "high", "identified")]
+
+
+def test_names_are_read_only_where_they_may_count(spark):
+    vats = spark.createDataFrame([(3, "DE1", 2), (3, "DE2", 1)], "domain int, vat string, seq int")
+    names = spark.createDataFrame([(4, "Алфа Трейд ООД", 2, False, True), (4, "Бета Трейд ООД", 3, True, False), (5, "Алфа Трейд ООД", 1, False, False)], "domain int, name string, seq int, operator boolean, stated boolean")
+    out = resolution.resolve(_tied(spark), vats, names)
+    assert "Expand" not in _plan(out)
+    read = next(x for x in _plan(out).splitlines() if "Filter" in x and "stated" in x)
+    assert read.index("stated") < read.index("RLIKE") if "RLIKE" in read else read.index("stated") < read.index("name#")
+    assert {r.domain: (r.basis, r.vat or r.name or r.eik) for r in out.collect()} == {1: ("ambiguous", None), 2: ("identified", 1), 3: ("foreign_vat", "DE2"), 4: ("name_only", "Бета Трейд ООД")}

@@ -75,7 +75,8 @@ def resolve(scored: DataFrame, foreign: DataFrame | None = None, names: DataFram
         basis = basis.otherwise("candidate")
         return best.select("domain", F.when(basis == "identified", F.col("first")).alias("eik"), F.when(basis == "ambiguous", "insufficient").otherwise(F.col("best")).alias("level"), basis.alias("basis"))
     vats = foreign.groupBy("domain").agg(F.min_by("vat", "seq").alias("vat"))
-    told = names.where(plausible_name(F.col("name")) & (F.col("operator") | F.col("stated")))
+    # Names are only read where a flag lets them count: most time goes to them.
+    told = names.where((F.col("operator") | F.col("stated")) & plausible_name(F.col("name")))
     told = told.groupBy("domain").agg(F.min_by("name", F.struct(~F.col("operator"), "seq")).alias("name"))
     out = best.join(vats, "domain", "full_outer").join(told, "domain", "full_outer")
     basis = basis.when(F.col("vat").isNotNull(), "foreign_vat").when(F.col("name").isNotNull(), "name_only").when(F.col("first").isNotNull(), "candidate").otherwise("none")
