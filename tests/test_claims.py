@@ -55,3 +55,22 @@ def test_names_are_read_only_where_they_may_count(spark):
     read = next(x for x in _plan(out).splitlines() if "Filter" in x and "stated" in x)
     assert read.index("stated") < read.index("RLIKE") if "RLIKE" in read else read.index("stated") < read.index("name#")
     assert {r.domain: (r.basis, r.vat or r.name or r.eik) for r in out.collect()} == {1: ("ambiguous", None), 2: ("identified", 1), 3: ("foreign_vat", "DE2"), 4: ("name_only", "Бета Трейд ООД")}
+
+
+VALUE = "domain int, field string, key int, authority int, authoritative boolean, official boolean, voice string, origin string"
+
+
+def test_values_of_many_are_read_once_and_not_expanded(spark):
+    from tradelens.operators import profiles
+
+    rows = [
+        (1, "a", 5, 3, False, False, "v", "x"), (1, "a", 5, 4, True, None, "v", "y"), (1, "a", 6, 1, False, False, "v", "x"), (1, "a", 6, 1, False, False, "w", "x"),
+        (1, "b", 5, 2, False, False, "v", "x"), (1, "b", 6, 2, None, None, "v", "y"), (1, "b", 6, 3, False, False, "v", "y"),
+        (2, "a", 5, 2, None, None, "v", None), (2, "a", 6, 2, False, False, None, None), (2, "b", 5, 2, False, False, "v", "x"), (2, "b", 5, 2, False, False, "w", "x"),
+    ]
+    values = spark.createDataFrame([*rows, *rows[:4] * 2], VALUE)
+    out = profiles.shared_value_status(values)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and plan.count("LogicalRDD") == 1
+    got = {(r.domain, r.field): (r.value, r.n_values, r.status) for r in out.collect()}
+    assert got == {(1, "a"): (5, 2, "verified"), (1, "b"): (6, 2, "conflicting"), (2, "a"): (5, 2, "published"), (2, "b"): (5, 1, "corroborated")}
