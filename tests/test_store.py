@@ -67,3 +67,16 @@ def test_refresh_tells_again_takes_records_and_purges(spark, tmp_path):
     assert rows(store, "domains", "domain") == [("a.bg",), ("b.bg",), ("c.bg",)] and rows(store, "records", "eik") == [("9",)]
     assert rows(store, "links", "domain") == [("a.bg",), ("b.bg",), ("c.bg",)]
     assert store.read("entities").where("eik = '2'").select(F.date_format("checked", "yyyy-MM-dd")).first()[0] == "2024-08-20"
+
+
+def test_what_a_purge_hangs_on_is_computed_once(spark):
+    from tradelens.operators import state
+
+    reads = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda x: reads.add(1) or x, "string").asNondeterministic()
+    domains = spark.createDataFrame([("a", "2024-01-01"), ("b", "2020-01-01")], "domain string, at string").select(count("domain").alias("domain"), F.to_timestamp("at").alias("last_checked"))
+    links = spark.createDataFrame([("a", 1), ("b", 2)], "domain string, eik int")
+    eiks = links.select("eik")
+    tables = {"domains": domains, "links": links, "evidence": links, "entities": eiks, "subscriptions": eiks, "roles": eiks.withColumn("person", F.col("eik")), "people": eiks.select(F.col("eik").alias("person")), "cache": spark.sql("select 'dns' as kind, timestamp '2024-01-02 00:00:00' as stored_at")}
+    left = {t: df.count() for t, df in state.purge(tables, "2024-01-03 00:00:00").items()}
+    assert set(left.values()) == {1} and reads.value == 2

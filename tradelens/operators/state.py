@@ -86,12 +86,15 @@ def purge(tables: dict[str, DataFrame], as_of: str, days: int = 180, results: in
     """
     now = F.to_timestamp(F.lit(as_of))
     out = dict(tables)
-    out["domains"] = tables["domains"].where(F.col("last_checked") >= now - F.expr(f"interval {days} days"))
+    # What others hang on is computed once, as a table.
+    out["domains"] = written(tables["domains"].where(F.col("last_checked") >= now - F.expr(f"interval {days} days")), "domains")
     for t in ("links", "evidence"):
         out[t] = tables[t].join(out["domains"].select("domain"), "domain", "left_semi")
-    held = out["links"].select("eik").distinct()
+    out["links"] = written(out["links"], "links")
+    held = written(out["links"].select("eik").distinct(), "held")
     for t in ("entities", "subscriptions", "roles", "evidence"):
         out[t] = out[t].join(held, "eik", "left_semi")
+    out["roles"] = written(out["roles"], "roles")
     out["people"] = tables["people"].join(out["roles"].select("person").distinct(), "person", "left_semi")
     age = F.unix_timestamp(now) - F.unix_timestamp("stored_at")
     out["cache"] = tables["cache"].where(~((F.col("kind") == "result") & (age > results)) & (age <= cached))
