@@ -9,7 +9,9 @@ decision is the one of a fold over all requests in order.
 from __future__ import annotations
 
 from collections import defaultdict, deque
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ def coupled(day: tuple[int, int], client: tuple[int, int]):
     keep = max(span, own_span)
 
     def task(batches):
-        now, log, days, own = None, deque(), deque(), defaultdict(deque)
+        now, order_kind, log, days, own = None, None, deque(), deque(), defaultdict(deque)
 
         def take(t, who):
             log.append((t, who))
@@ -41,42 +43,62 @@ def coupled(day: tuple[int, int], client: tuple[int, int]):
         def told():
             return [{"at": t, "client": c} for t, c in log]
 
+        def rows(stretches, orders, decisions, logs):
+            return pa.RecordBatch.from_arrays([pa.array(stretches, pa.int64()), orders, decisions, logs], names=["stretch", "order", "decision", "log"])
+
+        def left(ended):
+            return rows([x for x, _ in ended], pa.nulls(len(ended), order_kind), pa.nulls(len(ended), pa.string()), pa.array([x for _, x in ended], kind))
+
         for b in batches:
-            rows = []
-            for stretch, order, at, who, before in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                if stretch != now:
+            stretches, ats, opens, order_kind = b.column(0).to_numpy(), b.column(2).to_numpy(), b.column(1).is_null().to_numpy(zero_copy_only=False), b.schema.field(1).type
+            said, ended = np.full(b.num_rows, -1, np.int8), []
+            bounds = [0, *(np.flatnonzero(np.diff(stretches)) + 1).tolist(), b.num_rows] if b.num_rows else []
+            for i, end in zip(bounds, bounds[1:], strict=False):
+                if stretches[i] != now:
                     if now is not None:
-                        rows.append((now, None, None, told()))
-                    now = stretch
+                        ended.append((now, told()))
+                    now = int(stretches[i])
                     for x in (log, days, own):
                         x.clear()
-                if order is None:
-                    for x in before or ():
-                        take(x["at"], x["client"])
-                    continue
-                while log and at - log[0][0] > keep:
-                    t, c = log.popleft()
-                    while own[c] and own[c][0] <= t:
-                        own[c].popleft()
-                    if not own[c]:
-                        del own[c]
-                while days and at - days[0] > span:
-                    days.popleft()
-                mine = own.get(who, ())
-                while mine and at - mine[0] > own_span:
-                    mine.popleft()
-                if len(days) >= most:
-                    rows.append((stretch, order, "day", None))
-                elif len(mine) >= own_most:
-                    rows.append((stretch, order, "client", None))
-                else:
-                    take(at, who)
-                    rows.append((stretch, order, "passed", None))
-            for i in range(0, len(rows), 20_000):
-                part = list(zip(*rows[i : i + 20_000], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], b.schema.field(1).type), pa.array(part[2], pa.string()), pa.array(part[3], kind)], names=["stretch", "order", "decision", "log"])
+                while i < end:
+                    if opens[i]:
+                        for x in b.column(4)[i].as_py() or ():
+                            take(x["at"], x["client"])
+                        i += 1
+                        continue
+                    at = int(ats[i])
+                    while log and at - log[0][0] > keep:
+                        t, c = log.popleft()
+                        while own[c] and own[c][0] <= t:
+                            own[c].popleft()
+                        if not own[c]:
+                            del own[c]
+                    while days and at - days[0] > span:
+                        days.popleft()
+                    if len(days) >= most:
+                        # Until its oldest request is a day old, the day refuses all and nothing changes.
+                        to = i + int(np.searchsorted(ats[i:end], days[0] + span, side="right")) if days else end
+                        said[i:to] = 0
+                        i = to
+                        continue
+                    who = b.column(3)[i].as_py()
+                    mine = own.get(who, ())
+                    while mine and at - mine[0] > own_span:
+                        mine.popleft()
+                    if len(mine) >= own_most:
+                        said[i] = 1
+                    else:
+                        take(at, who)
+                        said[i] = 2
+                    i += 1
+            here = np.flatnonzero(said >= 0)
+            if len(here):
+                decisions = pa.DictionaryArray.from_arrays(pa.array(said[here]), pa.array(["day", "client", "passed"])).cast(pa.string())
+                yield rows(stretches[here], b.column(1).take(pa.array(here)), decisions, pa.nulls(len(here), kind))
+            if ended:
+                yield left(ended)
         if now is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([None], b.schema.field(1).type), pa.array([None], pa.string()), pa.array([told()], kind)], names=["stretch", "order", "decision", "log"])
+            yield left([(now, told())])
 
     return task
 
@@ -100,24 +122,33 @@ def admit(requests: DataFrame, client: str, target: str, time: str, order: str,
     chain = timed.groupBy("stretch").agg(F.min("at").alias("begins")).withColumns({"next": F.lead("stretch").over(in_order), "then": F.lead("begins").over(in_order)})
     chain = written(chain, "stretches")
     begun = chain.select("stretch", F.array().cast(log).alias("log"))
-    todo, told, ends = begun, None, None
+    # A round folds the first stretches that would begin otherwise, as many as tasks run at once: only the very first one of
+    # them is sure to be final, and all the others may have to be folded again.
+    at_once = requests.sparkSession.sparkContext.defaultParallelism
+    todo, folded, final, ends = begun, [], {}, None
     while True:
-        work = timed.join(todo.select("stretch"), "stretch", "left_semi").select("stretch", "order", "at", "client", F.lit(None).cast(log).alias("log"))
+        numbers = [r.stretch for r in todo.select("stretch").collect()]  # of stretches, one for about `rows` requests
+        # By their numbers, so that files of other stretches are not read.
+        work = timed.where(F.col("stretch").isin(numbers)).select("stretch", "order", "at", "client", F.lit(None).cast(log).alias("log"))
         opening = todo.select("stretch", F.lit(None).cast(kind).alias("order"), F.lit(-(2**63)).alias("at"), F.lit(None).cast("string").alias("client"), "log")
         dealt = opening.unionByName(work).repartition("stretch").sortWithinPartitions("stretch", F.col("order").isNotNull(), "at", "order")
         new = written(dealt.mapInArrow(coupled(day, per_client), f"stretch long, order {kind}, decision string, log {log}"), "folded")
-        again = new.select("stretch").distinct()
-        decisions, left = new.where("order is not null").select("stretch", "order", "decision"), new.where("order is null").select("stretch", "log")
+        final |= dict.fromkeys(numbers, len(folded))
+        folded.append(new)
+        left = new.where("order is null").select("stretch", "log")
         # What was not folded again stays as it was.
-        told = decisions if told is None else written(told.join(again, "stretch", "left_anti").unionByName(decisions), "decisions")
-        ends = left if ends is None else written(ends.join(again, "stretch", "left_anti").unionByName(left), "ends")
+        ends = left if ends is None else written(ends.where(~F.col("stretch").isin(numbers)).unionByName(left), "ends")
         # A stretch begins with what its predecessor left, of which only what is young enough at its start counts.
         young = F.filter("log", lambda x: F.col("then") - x["at"] <= max(day[1], per_client[1]) * 1_000_000)
         handed = ends.join(chain.where("next is not null"), "stretch").select(F.col("next").alias("stretch"), young.alias("log"))
-        todo = written(handed.join(begun.withColumnRenamed("log", "was"), "stretch").where(~F.col("log").eqNullSafe(F.col("was"))).select("stretch", "log"), "todo")
+        other = handed.join(begun.withColumnRenamed("log", "was"), "stretch").where(~F.col("log").eqNullSafe(F.col("was"))).select("stretch", "log")
+        todo = written(other.orderBy("stretch").limit(at_once), "todo")
         if todo.isEmpty():
             break
         begun = written(begun.join(todo.select("stretch"), "stretch", "left_anti").unionByName(todo), "begun")
+    # Each stretch's decisions are those of the last round that folded it.
+    rounds = [(new, [s for s, r in final.items() if r == i]) for i, new in enumerate(folded)]
+    told = reduce(DataFrame.unionByName, [new.where(F.col("order").isNotNull() & F.col("stretch").isin(own)) for new, own in rounds if own] or [folded[0]])
     met = timed.join(told.select("order", "decision"), "order")
     passed = state.admit(met.where("decision = 'passed'").select("target", "order", F.timestamp_micros("at").alias("at")), "target", "at", "order", *per_target)
     final = F.when(F.col("decision") != "passed", F.col("decision")).when(F.col("accepted"), "accepted").otherwise("target")
