@@ -1,5 +1,8 @@
 """The company profile on small tables: groups by agreement, wording by authority, odd rows."""
 
+from pyspark.sql import functions as F
+
+from tradelens.functions import agreement
 from tradelens.operators import company
 
 ROW = "domain string, field string, value string, key string, type string, url string, archived boolean, seq string"
@@ -37,3 +40,25 @@ def test_no_rows(spark):
     assert company.grouped(spark.createDataFrame([], ROW)).collect() == []
     assert company.names_same("НаспърсБългария ЕООД", "Наспърс България - ЕООД") and not company.names_same("А ООД", "Б ООД")
     assert company.addresses_same("гр. София, ул. Дълга 5", "Дълга 5 София") and not company.addresses_same("", "ул. Дълга 5")
+
+
+def test_a_source_is_read_a_few_times_and_not_once_a_field(spark):
+    """Pages were read and joined again for each field's rows, 8 times here."""
+    read = spark.sparkContext.accumulator(0)
+
+    def task(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    page = "domain string, page int, url string, archived boolean, legal boolean, company string, eik string, address string, vat string"
+    pages = spark.createDataFrame([(f"{i}.bg", 1, f"https://{i}.bg/x", False, False, f"Алфа {i} ООД", str(100000000 + i), "гр. София, ул. Дълга 5", f"BG{100000000 + i}") for i in range(40)], page).mapInArrow(task, page)
+    none = lambda schema: spark.createDataFrame([], schema)
+    resolved = pages.select("domain", "eik").localCheckpoint()
+    began = read.value
+    rows = company.candidates(resolved, pages, none("domain string, page int, nth int, name string, eik string, address string"), none("domain string, page int, phones array<string>, emails array<string>"), none("eik string, state string, name string, address string"), none("eik string, name string, form string, seat string, phone string, email string, website string"), none("domain string, eik string, name string"))
+    got = {(r.field, r.value) for r in rows.where("domain = '7.bg'").collect()}
+    assert got == {("eik", "100000007"), ("legal_name", "Алфа 7 ООД"), ("legal_form", "ООД"), ("registered_address", "гр. София, ул. Дълга 5"), ("vat_number", "BG100000007"), ("domain_association", "7.bg")}
+    assert (read.value - began) / 40 <= 6
+    plan = spark.range(1).select(agreement.legal_form(F.lit("а").cast("string")).alias("f"))._jdf.queryExecution().analyzed().toString()
+    assert "lambda" not in plan  # words were split again for each form

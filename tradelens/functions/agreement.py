@@ -18,7 +18,7 @@ def words(text: Column) -> Column:
 
 def legal_form(name: Column) -> Column:
     """The first legal form by the order of FORMS that is a word of the name, in capitals; null without one."""
-    return F.upper(F.get(F.filter(F.array(*map(F.lit, FORMS)), lambda f: F.array_contains(words(name), f)), F.lit(0)))
+    return F.upper(F.get(F.array_intersect(F.array(*map(F.lit, FORMS)), words(name)), F.lit(0)))
 
 
 def name_words(name: Column) -> Column:

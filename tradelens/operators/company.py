@@ -5,6 +5,7 @@ grouped by agreement, each with its value, status and why there is none.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import agreement, identifiers
 from ..functions.agreement import ADDRESS_STOP, FORMS
 from ..sources.tables import scoped, written
-from . import profiles, verbs
+from . import verbs
 
 #: Kinds of sources, strongest first; which of them settle a field, and which corroborate it.
 AUTHORITY = ("registry", "vat_register", "declaration", "company_document", "company_site", "company_archive", "public_source")
@@ -58,61 +59,75 @@ def candidates(resolved: DataFrame, pages: DataFrame, named: DataFrame, contacts
     at = page.select("domain", "page", "url", "archived", "type", "own")
     said = named.select("domain", "page", "nth", "name", F.col("eik").alias("told"), "address").join(at, ["domain", "page"])
 
-    def rows(df: DataFrame, field: str, value: Column, key: Column | None = None, order: str = "1", n: Column | None = None) -> DataFrame:
+    def entry(field: str, value: Column, key: Column | None = None, order: str = "1", n: Column | None = None, when: Column | None = None) -> Column:
+        """A row that a row of a source makes, unless `when` fails."""
+        row = F.struct(F.lit(field).alias("field"), value.cast("string").alias("value"), (value if key is None else key).cast("string").alias("key"), F.lit(order).alias("order"), (F.lit(0) if n is None else n).cast("int").alias("n"))
+        return row if when is None else F.when(when, row)
+
+    def read(df: DataFrame, name: str | None = None, address: str | None = None, any_name: bool = False) -> DataFrame:
+        """df with what its name and address say: each is read once, however many rows it makes. A declared name often lacks
+        its form, so any is taken as it is."""
+        if name:
+            df = df.withColumn("bare", F.col(name) if any_name else agreement.clean_name(F.col(name)))
+            df = df.withColumns({"shown": agreement.display_name(F.col("bare")), "named": F.col("bare").isNotNull() if any_name else agreement.plausible_name(F.col("bare")), "form_of": agreement.legal_form(F.col("bare"))})
+        if address:
+            df = df.withColumn("place", agreement.clean_address(F.col(address)))
+            df = df.withColumns({"place_shown": agreement.display_address(F.col("place")), "placed": agreement.plausible_address(F.col("place"))})
+        return df
+
+    def names(order: str, n: Column | None = None, when: Column | None = None, forms: bool = True) -> list[Column]:
+        has = F.col("named") if when is None else when & F.col("named")
+        return [entry("legal_name", F.col("shown"), F.col("bare"), order, n, has), *([entry("legal_form", F.col("form_of"), None, order, n, has)] if forms else [])]
+
+    def address(order: str, n: Column | None = None, when: Column | None = None) -> Column:
+        return entry("registered_address", F.col("place_shown"), F.col("place"), order, n, F.col("placed") if when is None else when & F.col("placed"))
+
+    def rows(df: DataFrame, *entries: Column) -> DataFrame:
+        """All rows of a source at once: it is read and joined once."""
         has = {c: F.col(c) if c in df.columns else F.lit(None) for c in ("url", "archived", "page")}
-        seq = F.concat_ws("/", F.lit(order), F.lpad(F.coalesce(has["page"].cast("string"), F.lit("")), 12, "0"), F.lpad(F.coalesce(n if n is not None else F.lit(0), F.lit(0)).cast("string"), 6, "0"))
-        out = df.select("domain", F.lit(field).alias("field"), value.cast("string").alias("value"), (value if key is None else key).cast("string").alias("key"), "type", has["url"].cast("string").alias("url"), F.coalesce(has["archived"].cast("boolean"), F.lit(False)).alias("archived"), seq.alias("seq"))
-        return out.where("key is not null and key <> ''")
+        each = df.select("domain", "type", has["url"].cast("string").alias("url"), F.coalesce(has["archived"].cast("boolean"), F.lit(False)).alias("archived"), has["page"].cast("string").alias("page"), F.explode(F.array(*entries)).alias("e")).where("e.key is not null and e.key <> ''")
+        seq = F.concat_ws("/", "e.order", F.lpad(F.coalesce("page", F.lit("")), 12, "0"), F.lpad(F.coalesce("e.n", F.lit(0)).cast("string"), 6, "0"))
+        return each.select("domain", "e.field", "e.value", "e.key", "type", "url", "archived", seq.alias("seq"))
 
-    def text(df, field, column, clean, shown, plausible, order, n=None):
-        bare = clean(F.col(column))
-        return rows(df.where(plausible(bare)), field, shown(bare), bare, order, n)
-
-    name = lambda df, column, order, n=None: text(df, "legal_name", column, agreement.clean_name, agreement.display_name, agreement.plausible_name, order, n)
-    address = lambda df, column, order, n=None: text(df, "registered_address", column, agreement.clean_address, agreement.display_address, agreement.plausible_address, order, n)
-    mine, called = page.where("mine"), said.where("told = own")
+    mine, nth, last = F.col("mine"), F.col("nth"), F.lit(999)
+    called = said.where("told = own")
     register = records.join(own.withColumnRenamed("own", "eik"), "eik").withColumn("type", F.lit("registry"))
     vat = answers.where("state = 'confirmed'").join(own.withColumnRenamed("own", "eik"), "eik").withColumn("type", F.lit("vat_register"))
     shops = declared.join(own, "domain").where("eik = own").withColumn("type", F.lit("declaration"))
-    names = name(called, "name", "1", F.col("nth")).unionByName(name(mine, "company", "1", F.lit(999))).unionByName(name(register, "name", "2")).unionByName(name(vat, "name", "3"))
-    # A declared name often lacks its form, so it is taken as it is.
-    names = names.unionByName(rows(shops.where("name is not null"), "legal_name", agreement.display_name(F.col("name")), F.col("name"), "4"))
-    forms = names.where("type <> 'registry'").select("domain", F.lit("legal_form").alias("field"), agreement.legal_form(F.col("key")).alias("value"), agreement.legal_form(F.col("key")).alias("key"), "type", "url", "archived", "seq").where("key is not null")
-    # The same company under another number, in a text of the domain's own.
-    other = said.where("told is not null and told <> own").select("*", agreement.clean_name(F.col("name")).alias("n"))
-    clash = other.join(names.select("domain", F.col("key").alias("known")).distinct(), "domain").where(agreement.names_agree(F.col("n"), F.col("known"))).select("domain", "page", "nth", "told", "url", "archived", "type").distinct()
-    each = contacts.join(at, ["domain", "page"])
-    phones, mails = (each.select("domain", "page", "url", "archived", "type", F.posexplode(c).alias("i", "raw")) for c in ("phones", "emails"))
-    number = F.concat(F.lit("BG"), F.col("eik"))
+    listed = lambda c: F.transform(c, lambda x, i: F.struct(F.lit(c).alias("kind"), x.alias("raw"), i.alias("i")))
+    told = contacts.join(at, ["domain", "page"]).select("domain", "page", "url", "archived", "type", F.explode(F.concat(*(F.coalesce(listed(c), F.array().cast("array<struct<kind: string, raw: string, i: int>>")) for c in ("phones", "emails")))).alias("c"))
+    told = told.select("domain", "page", "url", "archived", "type", "c.*")
+    raw, is_phone = F.col("raw"), F.col("kind") == "phones"
     parts = [
-        rows(mine, "eik", F.col("own")),
-        rows(called, "eik", F.col("own"), n=F.col("nth")),
-        rows(register, "eik", F.col("eik"), order="2"),
-        rows(vat, "eik", F.col("eik"), order="3"),
-        rows(clash, "eik", F.col("told"), order="4", n=F.col("nth")),
-        rows(shops, "eik", F.col("own"), order="5"),
-        names,
-        rows(register, "legal_form", agreement.legal_form(F.col("form")), order="0"),
-        forms,
-        address(called, "address", "1", F.col("nth")),
-        address(mine, "address", "1", F.lit(999)),
-        address(register, "seat", "2"),
-        address(vat, "address", "3"),
-        rows(phones, "phone", identifiers.phone_display(F.col("raw")), identifiers.phone_key(F.col("raw")), n=F.col("i")),
-        rows(register, "phone", identifiers.phone_display(F.col("phone")), identifiers.phone_key(F.col("phone")), "2"),
-        rows(mails, "email", identifiers.email_key(F.col("raw")), n=F.col("i")),
-        rows(register, "email", identifiers.email_key(F.col("email")), order="2"),
-        rows(page, "vat_number", identifiers.vat_key(F.col("vat"))),
-        rows(vat, "vat_number", number, order="2"),
-        rows(shops, "domain_association", F.col("domain"), order="0"),
-        rows(mine, "domain_association", F.col("domain")),
-        rows(called, "domain_association", F.col("domain"), n=F.col("nth")),
-        rows(register.where(F.contains(F.lower("website"), F.col("domain"))), "domain_association", F.col("domain"), order="2"),
+        rows(
+            read(page, "company", "address"),
+            entry("eik", F.col("own"), when=mine),
+            *names("1", last, mine),
+            address("1", last, mine),
+            entry("vat_number", identifiers.vat_key(F.col("vat"))),
+            entry("domain_association", F.col("domain"), when=mine),
+        ),
+        rows(read(called, "name", "address"), entry("eik", F.col("own"), n=nth), *names("1", nth), address("1", nth), entry("domain_association", F.col("domain"), n=nth)),
+        rows(
+            read(register, "name", "seat"),
+            entry("eik", F.col("eik"), order="2"),
+            *names("2", forms=False),
+            entry("legal_form", agreement.legal_form(F.col("form")), order="0"),
+            address("2"),
+            entry("phone", identifiers.phone_display(F.col("phone")), identifiers.phone_key(F.col("phone")), "2"),
+            entry("email", identifiers.email_key(F.col("email")), order="2"),
+            entry("domain_association", F.col("domain"), order="2", when=F.contains(F.lower("website"), F.col("domain"))),
+        ),
+        rows(read(vat, "name", "address"), entry("eik", F.col("eik"), order="3"), *names("3"), address("3"), entry("vat_number", F.concat(F.lit("BG"), F.col("eik")), order="2")),
+        rows(read(shops, "name", any_name=True), entry("eik", F.col("own"), order="5"), *names("4"), entry("domain_association", F.col("domain"), order="0")),
+        rows(told, entry("phone", identifiers.phone_display(raw), identifiers.phone_key(raw), n=F.col("i"), when=is_phone), entry("email", identifiers.email_key(raw), n=F.col("i"), when=~is_phone)),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    out = written(reduce(DataFrame.unionByName, parts), "candidates")
+    # The same company under another number, in a text of the domain's own.
+    other = said.where("told is not null and told <> own").select("*", agreement.clean_name(F.col("name")).alias("n"))
+    known = out.where("field = 'legal_name'").select("domain", F.col("key").alias("known")).distinct()
+    clash = other.join(known, "domain").where(agreement.names_agree(F.col("n"), F.col("known"))).select("domain", "page", "nth", "told", "url", "archived", "type").distinct()
+    return out.unionByName(rows(clash, entry("eik", F.col("told"), order="4", n=nth)))
 
 
 def _listed(kinds: dict[str, tuple[str, ...]]) -> Column:
@@ -123,6 +138,32 @@ def _listed(kinds: dict[str, tuple[str, ...]]) -> Column:
     return out
 
 
+def _led(rows: DataFrame, same: dict) -> DataFrame:
+    """rows (domain, field, key, seq and others) of fields whose values are one by a predicate (same), with leader: the key
+    that each is grouped with. In order of arrival a key joins the first leader that agrees with it, or leads itself; rows
+    of one domain and field stay in one task, which holds their leaders alone (as in profiles.fuzzy_groups).
+    """
+    import pyarrow as pa
+
+    names = rows.columns
+
+    def task(batches):
+        own, leaders = None, []
+        for b in batches:
+            out = []
+            for domain, field, key in zip(*(b.column(names.index(c)).to_pylist() for c in ("domain", "field", "key")), strict=True):
+                if (domain, field) != own:
+                    own, leaders = (domain, field), []
+                found = next((x for x in leaders if x == key or same[field](x, key)), None) if key is not None else None
+                if found is None and key is not None:
+                    leaders.append(found := key)
+                out.append(found)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*names, "leader"])
+
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", leader string"
+    return rows.repartition("domain", "field").sortWithinPartitions("domain", "field", "seq", "key").mapInArrow(task, ddl)
+
+
 def grouped(rows: DataFrame) -> DataFrame:
     """domain, field, value, status, n_values, n_sources, disclosed of candidates: values that agree are one group, in order
     of arrival; names and addresses by their words, all others by their keys.
@@ -134,20 +175,27 @@ def grouped(rows: DataFrame) -> DataFrame:
     rank = F.array_position(F.array(*map(F.lit, AUTHORITY)), F.col("type"))
     host = F.regexp_replace(F.regexp_extract(F.lower(F.coalesce("url", F.lit(""))), r"^https?://([^/:?#]+)", 1), r"^www\.", "")
     kind = F.when(F.col("type").isin("registry", "vat_register"), F.col("type")).otherwise("first_party")
-    rows = written(rows.withColumns({"authority": rank, "origin": F.concat_ws("|", "type", F.col("archived").cast("string"), host), "voice": F.concat_ws("|", kind, host, F.col("archived").cast("string")), "settles": _listed(SETTLES), "official": _listed(CORROBORATES)}), "candidates")
     fuzzy = {"legal_name": names_same, "registered_address": addresses_same}
-    led = rows.where(~F.col("field").isin(*fuzzy)).withColumn("leader", F.col("key"))
-    for field, same in fuzzy.items():
-        part = rows.where(F.col("field") == field)
-        groups = profiles.fuzzy_groups(part.withColumnsRenamed({"value": "shown", "key": "value"}), same, ["domain", "field"])
-        led = led.unionByName(groups.withColumnsRenamed({"value": "key", "shown": "value"}).select(*led.columns))
-    wording = F.min_by("value", F.struct("authority", "seq"))
-    groups = led.groupBy("domain", "field", "leader").agg(wording.alias("value"), F.min("authority").alias("authority"), F.count(F.lit(1)).alias("sources"), F.min("seq").alias("first"), F.count_distinct("voice").alias("voices"), F.max("settles").alias("settles"), F.max("official").alias("official"), F.count_distinct("origin").alias("in_origins"), F.max(F.col("type").startswith("company_")).alias("site"))
-    origins = led.groupBy("domain", "field").agg(F.count_distinct("origin").alias("origins"))
-    groups = groups.join(origins, ["domain", "field"])
+    named = F.col("field").isin(*fuzzy)
+    rows = rows.where("domain is not null and field is not null").withColumn("host", host)
+    # Copies meet first, dealt by all that tells rows apart; then a field's rows meet once, and what follows is by field.
+    once = lambda df: df.groupBy("domain", "field", "key", "type", "archived", "host").agg(F.min(F.struct("seq", "value")).alias("w"), F.count(F.lit(1)).alias("sources")).select("domain", "field", "key", "type", "archived", "host", "w.*", "sources")
+    led = once(rows.where(~named)).withColumn("leader", F.col("key")).unionByName(_led(once(rows.where(named)), fuzzy)).repartition("domain", "field")
+    origin, voice = F.concat_ws("|", "type", F.col("archived").cast("string"), "host"), F.concat_ws("|", kind, "host", F.col("archived").cast("string"))
+    led = led.select("domain", "field", "leader", origin.alias("origin"), voice.alias("voice"), F.struct(rank.alias("authority"), "seq", "value").alias("wording"), "seq", "sources", _listed(SETTLES).alias("settles"), _listed(CORROBORATES).alias("official"), F.col("type").startswith("company_").alias("site"))
+    led = led.withColumn("nth_origin", F.dense_rank().over(Window.partitionBy("domain", "field").orderBy("origin")))
     many = F.col("field").isin(*MULTI_VALUED)
+    # Each level counts what the one below it tells apart: origins of a voice, voices of a group, groups of a field.
+    sums = {"wording": F.min, "seq": F.min, "sources": F.sum, "settles": F.max, "official": F.max, "site": F.max, "nth_origin": F.max}
+    all_of = [f(c).alias(c) for c, f in sums.items()]
+    by = ["domain", "field", "leader"]
+    origins = led.groupBy(*by, "voice", "origin").agg(*all_of)
+    voices = origins.groupBy(*by, "voice").agg(*all_of, F.count(F.lit(1)).alias("in_origins"))
+    groups = voices.groupBy(*by).agg(*all_of, F.sum("in_origins").alias("in_origins"), F.count(F.lit(1)).alias("voices"))
+    # A group that all origins share is in as many as there are: the last origin's number.
+    groups = groups.withColumn("origins", F.max("nth_origin").over(Window.partitionBy("domain", "field")))
     shared = many & (F.col("origins") > 1) & (F.col("in_origins") == F.col("origins"))
-    best = F.min(F.struct((~F.col("shared")).alias("late"), "authority", (-F.col("sources")).alias("s"), "first", "value", "settles", "official", "voices", "sources"))
+    best = F.min(F.struct((~F.col("shared")).alias("late"), F.col("wording.authority").alias("authority"), (-F.col("sources")).alias("s"), "seq", F.col("wording.value").alias("value"), "settles", "official", "voices", "sources"))
     out = groups.withColumn("shared", shared).groupBy("domain", "field").agg(best.alias("b"), F.count(F.lit(1)).alias("n_values"), F.max("origins").alias("origins"), F.bool_or("shared").alias("any_shared"), F.max("site").alias("disclosed"))
     conflict = F.when(many, (F.col("origins") > 1) & ~F.col("any_shared")).otherwise(F.col("n_values") > 1)
     status = F.when(conflict, "conflicting").when(F.col("b.settles"), "verified").when(F.col("b.official") | (F.col("b.voices") > 1), "corroborated").otherwise("published")
@@ -170,7 +218,10 @@ def company_profile(resolved: DataFrame, pages: DataFrame, named: DataFrame, con
     reg = records.select("eik").distinct().withColumn("reg_ok", F.lit(True))
     own = resolved.select("domain", "eik", "site").join(n, "domain", "left").join(vat, "eik", "left").join(reg, "eik", "left")
     own = own.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("vat_ok", "vat_told", "reg_ok")})
-    every = own.select("*", F.explode(F.array(*map(F.lit, FIELDS))).alias("field")).join(told, ["domain", "field"], "left")
+    # At most a row a field, so that a domain's are one map: its name's row stands beside the others without a window.
+    told = told.where(F.col("field").isin(*FIELDS)).groupBy("domain").agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct("value", "status", "n_values", "n_sources", "disclosed")))).alias("told"))
+    own = own.join(told, "domain", "left").withColumn("name", F.element_at("told", "legal_name"))
+    every = own.select("*", F.explode(F.array(*map(F.lit, FIELDS))).alias("field")).withColumn("of", F.element_at("told", F.col("field"))).select("*", "of.*")
     field, known = F.col("field"), F.col("eik").isNotNull()
     blocked = F.col("site").isin("blocked", "temporarily_unavailable", "failed")
     contact, official = field.isin(*MULTI_VALUED), field.isin("eik", "legal_name", "legal_form", "registered_address")
@@ -186,9 +237,7 @@ def company_profile(resolved: DataFrame, pages: DataFrame, named: DataFrame, con
     out = every.withColumn("value", F.coalesce(word, "value"))
     out = out.withColumn("status", F.when(word.isNotNull(), "verified").otherwise(F.coalesce("status", F.when(gone, "unavailable").otherwise("not_found"))))
     out = out.withColumn("reason", F.when(F.col("value").isNull(), reason)).withColumn("coverage", verbs.coverage_of(F.col("status"), F.col("value")))
-    # Identity needs the name's row beside the others: a window a domain, of as many rows as there are fields.
-    names = lambda c: F.max(F.when(field == "legal_name", F.col(c))).over(Window.partitionBy("domain"))
-    clash = names("status") == "conflicting"
-    identity = F.when(F.col("reg_ok"), "verified").when(F.col("vat_ok") & ~clash, "corroborated").when(clash, "conflicting").when(known | names("value").isNotNull(), "published").otherwise("unverified")
+    clash = F.coalesce(F.col("name.status") == "conflicting", F.lit(False))
+    identity = F.when(F.col("reg_ok"), "verified").when(F.col("vat_ok") & ~clash, "corroborated").when(clash, "conflicting").when(known | F.col("name.value").isNotNull(), "published").otherwise("unverified")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return out.select("domain", "field", "value", "status", "reason", zero("n_values"), zero("n_sources"), F.coalesce("disclosed", F.lit(False)).alias("disclosed"), "coverage", identity.alias("identity"))

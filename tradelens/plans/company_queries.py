@@ -24,7 +24,7 @@ _FIELDS = "unnest(['eik', 'legal_name', 'legal_form', 'registered_address', 'pho
   when field = 'phone' then case when shape = 3 then '+359 32 ' else '+359 2 ' end || substr(n::varchar, 1, 3) || ' ' || substr(n::varchar, 4) when field = 'vat_number' then case when shape < 3 then 'BG' || eik end else domain end as value,
  case when field in ('phone', 'email') then case when shape = 5 then 'site_blocked' else 'checked' end when field in ('vat_number', 'vat_status') then case when shape = 5 then 'no_eik' when shape > 2 then 'vat_register_unavailable' end when field = 'domain_association' then 'no_first_party_link' else 'registry_no_record' end as reason from (select *, {_FIELDS} as field from ({_S})))""")
 def company_profile(spark, folder):
-    s = synthesised(spark, folder, SHOPS, ("customer",))
+    s = synthesised(spark, folder, SHOPS, ("customer",), dealt=True)
     known = s.where("shape < 5")
     no = F.lit(False)
     lit = lambda v, kind="string": F.lit(v).cast(kind)
