@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from tradelens.operators import resolution
+from tradelens.plans import entity_queries
+from tradelens.sources import tables
 
 CLAIM = "domain int, eik int, tier int, operator boolean, archived boolean, declared boolean, own boolean, host string, page int, name_ok boolean, confirmed boolean"
 
@@ -74,3 +76,21 @@ def test_values_of_many_are_read_once_and_not_expanded(spark):
     assert "Expand" not in plan and plan.count("LogicalRDD") == 1
     got = {(r.domain, r.field): (r.value, r.n_values, r.status) for r in out.collect()}
     assert got == {(1, "a"): (5, 2, "verified"), (1, "b"): (6, 2, "conflicting"), (2, "a"): (5, 2, "published"), (2, "b"): (5, 1, "corroborated")}
+
+
+def test_tables_are_joined_and_ranked_in_tasks_by_their_size_not_by_the_session(spark, monkeypatch):
+    """With few shuffle partitions each task sorted, and spilled, its share of whatever size."""
+    for module in (tables, entity_queries):
+        monkeypatch.setattr(module, "SORTED", 400, raising=False)
+    folder = "/root/testdata/sf0.001"
+    least = -(-tables.table(spark, folder, "lineitem").count() // 400)
+    partitions, adaptive = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        claims = tables.synthesised(spark, folder, entity_queries.CLAIMS, ("lineitem", "orders"), by={"lineitem": "l_orderkey", "orders": "o_orderkey"}).rdd.getNumPartitions()
+        ranked = [f(spark, folder).rdd.getNumPartitions() for f in (entity_queries.resolve_domains, entity_queries.resolve_alternatives)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert least > 8 and (claims, ranked) == (least, [least, least])

@@ -52,9 +52,11 @@ def score_candidates(claims: DataFrame) -> DataFrame:
     return out.withColumn("level", lowered).select("domain", "eik", "level", "best_tier", "operator", "confirmed", "name_ok", "pages", "public_hosts")
 
 
-def ranked(scored: DataFrame) -> DataFrame:
+def ranked(scored: DataFrame, tasks: int | None = None) -> DataFrame:
     """rank, n_first (how many candidates share the first rank in all six parts of the key), and place: rank's order, of
-    equals by identifier."""
+    equals by identifier. tasks: how many tasks sort them, where the session's shuffle partitions are too few for that."""
+    if tasks:
+        scored = scored.repartition(tasks, "domain")
     level = F.array_position(F.array(*map(F.lit, LEVELS)), F.col("level"))
     key = [level.desc(), F.asc("best_tier"), F.desc("operator"), F.desc("confirmed"), F.coalesce("name_ok", F.lit(False)).desc(), F.desc("pages")]
     w = Window.partitionBy("domain")
@@ -62,14 +64,14 @@ def ranked(scored: DataFrame) -> DataFrame:
     return out.withColumn("n_first", F.sum((F.col("rank") == 1).cast("int")).over(w))
 
 
-def resolve(scored: DataFrame, foreign: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
-    """One row a domain: the entity, unless first candidates tie (which ends it) or the best is low.
+def resolve(scored: DataFrame, foreign: DataFrame | None = None, names: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
+    """One row a domain: the entity, unless first candidates tie (which ends it) or the best is low. tasks as in ranked.
 
     foreign: domain, vat, seq; names: domain, name, seq, operator, stated (labelled, structured or on a legal page).
     Where no candidate is identified, the first foreign number identifies without an id (high), else the first plausible
     name that was stated or said to run the domain, those first (medium); else the best is shown as a candidate.
     """
-    best = ranked(scored).where("place = 1").select("domain", F.col("eik").alias("first"), "n_first", F.col("level").alias("best"))
+    best = ranked(scored, tasks).where("place = 1").select("domain", F.col("eik").alias("first"), "n_first", F.col("level").alias("best"))
     basis = F.when(F.col("n_first") > 1, "ambiguous").when(F.col("best").isin("high", "medium"), "identified")
     if foreign is None and names is None:
         basis = basis.otherwise("candidate")
@@ -85,9 +87,9 @@ def resolve(scored: DataFrame, foreign: DataFrame | None = None, names: DataFram
     return out.select("domain", only("identified", "first").alias("eik"), level.alias("level"), basis.alias("basis"), only("foreign_vat", "vat").alias("vat"), only("name_only", "name").alias("name"), only("candidate", "first").alias("candidate"))
 
 
-def alternatives(scored: DataFrame, most: int = 5) -> DataFrame:
-    """Candidates after the first, or from it where first candidates tie, in ranked()'s order up to place `most`."""
-    out = ranked(scored).where((F.col("place") <= most) & ((F.col("place") > 1) | (F.col("n_first") > 1)))
+def alternatives(scored: DataFrame, most: int = 5, tasks: int | None = None) -> DataFrame:
+    """Candidates after the first, or from it where first candidates tie, in ranked()'s order up to place `most`; tasks as there."""
+    out = ranked(scored, tasks).where((F.col("place") <= most) & ((F.col("place") > 1) | (F.col("n_first") > 1)))
     return out.select("domain", "eik", F.col("place").alias("rn"))
 
 
