@@ -1,5 +1,7 @@
 """Claims and values are counted without a row of theirs for each count, and mean the same."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from tradelens.operators import resolution
@@ -94,3 +96,36 @@ def test_tables_are_joined_and_ranked_in_tasks_by_their_size_not_by_the_session(
         spark.conf.set("spark.sql.shuffle.partitions", partitions)
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     assert least > 8 and (claims, ranked) == (least, [least, least])
+
+
+def test_candidates_are_counted_in_tasks_by_their_size_not_by_the_session(spark, monkeypatch):
+    """With few shuffle partitions each task held, and from some size on spilled, its share of all claims twice."""
+    for module in (tables, entity_queries):
+        monkeypatch.setattr(module, "SORTED", 400)
+    names = ("candidate_scores", "resolve_domains", "resolve_alternatives", "resolve_conflicts")
+    plans = {n: _plan(getattr(entity_queries, n)(spark, "/root/testdata/sf0.001")) for n in names}
+    assert all("REPARTITION_BY_NUM" in p and "ENSURE_REQUIREMENTS" not in p for p in plans.values())
+    # Lines and orders, claims by domain and part, candidates by domain.
+    assert plans["resolve_alternatives"].count("REPARTITION_BY_NUM") == 4
+
+
+def test_claims_dealt_by_page_and_host_count_the_same(spark):
+    """A third of the claims are one domain's; keys, flags, hosts and pages may be null."""
+    r = random.Random(10)
+    pick = lambda *of: r.choice(of)
+    flag = lambda: pick(True, False, None)
+    rows = [
+        (1 if i % 3 == 0 else pick(2, 3, 4, None), pick(7, 8, 9, None), pick(1, 2, 3, 3, 4, 5, None), flag(), flag(), flag(), flag(), pick("a", "b", "c", None), pick(*range(90), None), flag(), flag())
+        for i in range(1500)
+    ]
+    claims = spark.createDataFrame(rows, CLAIM)
+    want = sorted(map(str, resolution.score_candidates(claims).collect()))
+    for tasks in (1, 5, 40):
+        dealt = resolution.score_candidates(claims, tasks)
+        assert dealt.rdd.getNumPartitions() == tasks and sorted(map(str, dealt.collect())) == want
+    assert len(want) == 20 and any("pages=31," in w for w in want)
+
+
+def test_lines_of_six_gigabytes_are_dealt_to_joins_without_being_held():
+    """To more than 200 tasks a file's share was held in memory, and spilled, before it was written."""
+    assert -(-360 * 600_000 // tables.SORTED) <= 200 and tables.SORTED > entity_queries.SORTED

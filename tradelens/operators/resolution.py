@@ -20,7 +20,7 @@ def union_claims(branches: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), branches)
 
 
-def score_candidates(claims: DataFrame) -> DataFrame:
+def score_candidates(claims: DataFrame, tasks: int | None = None) -> DataFrame:
     """One row a (domain, eik). claims: tier (1 strongest, of TIERS), own (shown on the domain's own pages), operator (a text
     says who runs the domain), archived, declared, confirmed (by an official answer), host, page, name_ok.
 
@@ -29,14 +29,29 @@ def score_candidates(claims: DataFrame) -> DataFrame:
     A claim counts for a page or for a host, never for both, so one aggregate by both and one over it count each once,
     without a row of a claim for each count. Both are plain partial ones: of a domain with a third of all claims, its
     different pages and hosts are dealt over tasks, and then cost a row a task.
+    tasks: how many tasks count, where the session's shuffle partitions are too few to do it in memory. A domain's claims are
+    then dealt by their page or host to so many parts and counted in each, and its ids meet as a row a part. The result is
+    dealt by domain, so that what is done by domain next needs no shuffle.
     """
     document, shown = F.col("tier") == 3, (F.col("tier") == 5) & F.col("own")
     operator = F.col("operator") & ~F.col("declared") & (document | F.col("own"))
     live = ~F.col("archived")
     says = {"own_any": document, "own_live": document & live, "operator": operator, "operator_live": operator & live, "declared": F.col("declared"), "confirmed": F.col("confirmed"), "shown": shown, "name_ok": F.col("name_ok")}
     host, page = F.when(F.col("tier").isin(4, 5) & ~F.col("own"), F.col("host")), F.when(document, F.col("page"))
-    once = claims.groupBy("domain", "eik", host.alias("host"), page.alias("page")).agg(F.min("tier").alias("best_tier"), F.bit_or(packed(says.values())).alias("said"))
-    out = once.groupBy("domain", "eik").agg(F.min("best_tier").alias("best_tier"), F.bit_or("said").alias("said"), F.count("host").alias("public_hosts"), F.count("page").alias("pages"))
+    key = ["domain", "eik"]
+    counted = [*key, F.col("tier").alias("best_tier"), packed(says.values()).alias("said"), host.alias("host"), page.alias("page")]
+    best = [F.min("best_tier").alias("best_tier"), F.bit_or("said").alias("said")]
+    if tasks:
+        # Claims that count for neither may be counted in any part: beside others of their page they take fewest bytes.
+        of = F.xxhash64(host, F.when(host.isNull(), F.col("page")))
+        claims = claims.select(*counted, F.pmod(of, F.lit(tasks)).cast("int").alias("part")).repartition(tasks, "domain", "part")
+        key = [*key, "part"]
+    else:
+        claims = claims.select(*counted)
+    once = claims.groupBy(*key, "host", "page").agg(*best)
+    out = once.groupBy(*key).agg(*best, F.count("host").alias("public_hosts"), F.count("page").alias("pages"))
+    if tasks:
+        out = out.repartition(tasks, "domain").groupBy("domain", "eik").agg(*best, F.sum("public_hosts").alias("public_hosts"), F.sum("pages").alias("pages"))
     out = out.withColumns({name: any_of("said", i) for i, name in enumerate(says)})
     known = F.col("own_any") | F.col("operator")
     level = (
@@ -52,11 +67,9 @@ def score_candidates(claims: DataFrame) -> DataFrame:
     return out.withColumn("level", lowered).select("domain", "eik", "level", "best_tier", "operator", "confirmed", "name_ok", "pages", "public_hosts")
 
 
-def ranked(scored: DataFrame, tasks: int | None = None) -> DataFrame:
+def ranked(scored: DataFrame) -> DataFrame:
     """rank, n_first (how many candidates share the first rank in all six parts of the key), and place: rank's order, of
-    equals by identifier. tasks: how many tasks sort them, where the session's shuffle partitions are too few for that."""
-    if tasks:
-        scored = scored.repartition(tasks, "domain")
+    equals by identifier."""
     level = F.array_position(F.array(*map(F.lit, LEVELS)), F.col("level"))
     key = [level.desc(), F.asc("best_tier"), F.desc("operator"), F.desc("confirmed"), F.coalesce("name_ok", F.lit(False)).desc(), F.desc("pages")]
     w = Window.partitionBy("domain")
@@ -64,14 +77,14 @@ def ranked(scored: DataFrame, tasks: int | None = None) -> DataFrame:
     return out.withColumn("n_first", F.sum((F.col("rank") == 1).cast("int")).over(w))
 
 
-def resolve(scored: DataFrame, foreign: DataFrame | None = None, names: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
-    """One row a domain: the entity, unless first candidates tie (which ends it) or the best is low. tasks as in ranked.
+def resolve(scored: DataFrame, foreign: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
+    """One row a domain: the entity, unless first candidates tie (which ends it) or the best is low.
 
     foreign: domain, vat, seq; names: domain, name, seq, operator, stated (labelled, structured or on a legal page).
     Where no candidate is identified, the first foreign number identifies without an id (high), else the first plausible
     name that was stated or said to run the domain, those first (medium); else the best is shown as a candidate.
     """
-    best = ranked(scored, tasks).where("place = 1").select("domain", F.col("eik").alias("first"), "n_first", F.col("level").alias("best"))
+    best = ranked(scored).where("place = 1").select("domain", F.col("eik").alias("first"), "n_first", F.col("level").alias("best"))
     basis = F.when(F.col("n_first") > 1, "ambiguous").when(F.col("best").isin("high", "medium"), "identified")
     if foreign is None and names is None:
         basis = basis.otherwise("candidate")
@@ -87,9 +100,9 @@ def resolve(scored: DataFrame, foreign: DataFrame | None = None, names: DataFram
     return out.select("domain", only("identified", "first").alias("eik"), level.alias("level"), basis.alias("basis"), only("foreign_vat", "vat").alias("vat"), only("name_only", "name").alias("name"), only("candidate", "first").alias("candidate"))
 
 
-def alternatives(scored: DataFrame, most: int = 5, tasks: int | None = None) -> DataFrame:
-    """Candidates after the first, or from it where first candidates tie, in ranked()'s order up to place `most`; tasks as there."""
-    out = ranked(scored, tasks).where((F.col("place") <= most) & ((F.col("place") > 1) | (F.col("n_first") > 1)))
+def alternatives(scored: DataFrame, most: int = 5) -> DataFrame:
+    """Candidates after the first, or from it where first candidates tie, in ranked()'s order up to place `most`."""
+    out = ranked(scored).where((F.col("place") <= most) & ((F.col("place") > 1) | (F.col("n_first") > 1)))
     return out.select("domain", "eik", F.col("place").alias("rn"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import identifiers as ids
 from ..functions import web
 from ..operators import profiles, resolution, state
-from ..sources.tables import SORTED, synthesised, table, tasks_for
+from ..sources.tables import synthesised, table, tasks_for
 from .registry import plain as _sql
 from .registry import query
 
@@ -151,6 +151,8 @@ def page_links(spark, folder):
 
 _CLAIM_SOURCE = ("lineitem", "orders")
 _JOINED = {"lineitem": "l_orderkey", "orders": "o_orderkey"}
+#: Claims that a task counts, and candidates that it ranks.
+SORTED = 500_000
 
 
 def _scored_sql() -> str:
@@ -168,12 +170,9 @@ def _ranked_sql() -> str:
 
 
 def _scored(spark, folder):
-    return resolution.score_candidates(synthesised(spark, folder, CLAIMS, _CLAIM_SOURCE, by=_JOINED))
-
-
-def _tasks(spark, folder) -> int:
-    """Tasks that rank candidates: there are no more of them than claims."""
-    return tasks_for(table(spark, folder, "lineitem"), SORTED)
+    """Candidates, counted and dealt by domain in tasks of about SORTED claims: there are no more candidates than claims."""
+    tasks = tasks_for(table(spark, folder, "lineitem"), SORTED)
+    return resolution.score_candidates(synthesised(spark, folder, CLAIMS, _CLAIM_SOURCE, by=_JOINED), tasks)
 
 
 @query(_scored_sql())
@@ -186,7 +185,7 @@ _FIRST = f"select domain, eik, level, case when alike > 1 then 'ambiguous' when
 
 @query(f"select domain, case when basis = 'identified' then eik end as eik, case when basis = 'ambiguous' then 'insufficient' else level end as level, coalesce(basis, 'candidate') as basis from ({_FIRST})")
 def resolve_domains(spark, folder):
-    return resolution.resolve(_scored(spark, folder), tasks=_tasks(spark, folder))
+    return resolution.resolve(_scored(spark, folder))
 
 
 FOREIGN = "select c_custkey as domain, concat('DE', cast(100000000 + c_custkey as string)) as vat, c_custkey as seq from {customer} where c_custkey % 4 = 0"
@@ -197,12 +196,12 @@ NAMED = "select o_custkey as domain, concat(case o_orderkey % 3 when 0 then 'Alp
  b as (select domain, f.eik, f.level as best, v.vat, n.name, case when f.basis is not null then f.basis when v.vat is not null then 'foreign_vat' when n.name is not null then 'name_only' when f.eik is not null then 'candidate' else 'none' end as basis from f full join v using (domain) full join n using (domain))
  select domain, case when basis = 'identified' then eik end as eik, case basis when 'identified' then best when 'foreign_vat' then 'high' when 'name_only' then 'medium' when 'candidate' then 'low' else 'insufficient' end as level, basis, case when basis = 'foreign_vat' then vat end as vat, case when basis = 'name_only' then name end as name, case when basis = 'candidate' then eik end as candidate from b""")
 def resolve_fall_through(spark, folder):
-    return resolution.resolve(_scored(spark, folder), synthesised(spark, folder, FOREIGN, ("customer",)), synthesised(spark, folder, NAMED, ("orders",)), _tasks(spark, folder))
+    return resolution.resolve(_scored(spark, folder), synthesised(spark, folder, FOREIGN, ("customer",)), synthesised(spark, folder, NAMED, ("orders",)))
 
 
 @query(f"select r.domain, r.eik, cast(r.rn as int) as rn from ({_ranked_sql()}) r join ({_FIRST}) f using (domain) where rn <= 5 and (rn > 1 or coalesce(f.basis, '') = 'ambiguous')")
 def resolve_alternatives(spark, folder):
-    return resolution.alternatives(_scored(spark, folder), tasks=_tasks(spark, folder))
+    return resolution.alternatives(_scored(spark, folder))
 
 
 @query(f"with s as ({_scored_sql()}) select domain, 'names' as kind, cast(eik as varchar) as ids from s where not name_ok union all select domain, 'ids', array_to_string(list_sort(list(eik))[1:5], ',') from s group by domain having count(*) > 1")
