@@ -82,6 +82,30 @@ def test_company_values(spark):
     assert [tuple(r) for r in df.where("not (want <=> got)").collect()] == []
 
 
+SAID = "е собственост на Алфа Трейд ООД, ЕИК 1"
+#: Pieces longer than 2000 characters, and what the whole of each says.
+LONG = (
+    ("дума " * 500 + SAID, "Алфа Трейд ООД"),
+    ("дума " * 60_000 + SAID, "Алфа Трейд ООД"),
+    ("Куриер ООД носи " * 20_000 + "„Бета“ АД със седалище Варна, " + SAID, "Бета АД"),
+    # Character 2000 ends a form, but not the word; the name, but not what is said of it.
+    ("x" * 1975 + " е собственост на Алфа АДмин", None),
+    ("x" * 1990 + " „Алфа“ АД, ЕИК 1", "Алфа АД"),
+    # The words before count up to 60 characters from the name.
+    ("x" * 3000 + " собственост" + " " * 49 + "Алфа АД", "Алфа АД"),
+    ("x" * 3000 + " собственост" + " " * 50 + "Алфа АД", None),
+    # No word and no run of marks is read again from each of its characters.
+    *((part * (100_000 // len(part)) + " " + SAID, "Алфа Трейд ООД") for part in ("А", "А-", "-", " ", "„", "А ", "ЕООДх", "А😀")),
+    ("А" + "-" * 100_000 + ", " + SAID, "Алфа Трейд ООД"),
+)
+
+
+def test_a_long_piece_is_read_to_its_end(spark):
+    df = spark.createDataFrame([(i, piece) for i, (piece, _) in enumerate(LONG)], "page int, piece string").withColumn("i", F.lit(0))
+    got = {r.page: r.company for r in lines.contextual_companies(df).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(LONG)}
+
+
 def test_addresses_by_their_block(spark):
     page = "<p>{}</p>" * 3
     pages = spark.createDataFrame([
